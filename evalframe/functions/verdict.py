@@ -26,6 +26,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from evalframe.functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, WS, py_strip
 
@@ -99,7 +100,7 @@ def parse_verdict_py(text):
     return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _strict_verdict(texts: pd.Series) -> pd.Series:
     return pd.Series([parse_verdict_py(t) for t in texts], dtype="object")
 
