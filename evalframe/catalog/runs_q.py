@@ -91,7 +91,7 @@ def q_run_key(spark, sf_dir):
     "run_table",
     oracle=f"""WITH k AS ({_RUN_KEY_SQL})
 SELECT k.evaluation_name LIKE 'grader%' AS graded, k.run_key, k.result_path,
-       regexp_replace(k.result_path, '\\.json$', '.jsonl') AS sample_results_path, p.p_size * 10 AS num_samples
+       regexp_replace(k.result_path, '\\.json$', '.jsonl') AS sample_results_path, CAST(p.p_size * 10 AS BIGINT) AS num_samples
 FROM k JOIN part p ON k.p_partkey = p.p_partkey""",
 )
 def q_run_table(spark, sf_dir):

@@ -1,27 +1,25 @@
 """Grader-reply verdict parsing: reply text → true / false / null.
 
-Rules (first hit wins):
-
-1. candidates, in order: the stripped reply; a fenced ```` ```json {..}``` ````
-   block (lazy); the greedy first-``{``-to-last-``}`` span. The first that
-   parses as a JSON object whose ``criteria_met`` is a JSON boolean decides.
-2. on the lower-cased reply: ``"criteria_met": true`` → true;
-   ``"criteria_met": false`` → false; the word ``yes`` → true; the word
-   ``no`` → false.
-3. otherwise null (unparseable — the criterion is skipped when scoring).
-
-Replies with at most one ``{`` and at most one ``}`` are decided natively:
-every candidate that can parse is then the same brace span, and
-``from_json`` with a boolean field rejects the same inputs a strict JSON
-parser rejects. Replies with more braces (nested or several objects) can
-disagree natively, so only those rows go through an Arrow-batched pandas
-UDF running a strict JSON parser; the UDF is a small per-row helper.
+A verdict is decided in two tiers, first hit wins:
+
+* JSON tier — three candidate texts, in order: the stripped reply, the
+  first fenced ```` ```json {..}``` ```` block (lazy) and the span from the
+  first ``{`` to the last ``}``. The first candidate that is, as a whole, a
+  JSON object whose ``criteria_met`` member is a JSON boolean decides.
+* Text tier — on the lower-cased reply: ``"criteria_met": true`` → true,
+  ``"criteria_met": false`` → false, the word ``yes`` → true, the word
+  ``no`` → false. Otherwise null (the criterion is skipped when scoring).
+
+Candidates and the text tier are native expressions. A reply with at most
+one ``{`` and at most one ``}`` has at most one distinct parsable candidate,
+the brace span, which ``from_json`` with a boolean field decides exactly.
+Only replies with more braces hand their candidate texts to a small
+Arrow-batched helper that runs a strict JSON parser on them.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,91 +30,59 @@ from evalframe.functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, WS, py_str
 
 # --- fixed values ---------------------------------------------------------
 VERDICT_FIELD = "criteria_met"
-FENCED_OBJECT = r"```(?:json)?\s*(\{.*?\})\s*```"
-GREEDY_OBJECT = r"(\{.*\})"
-TRUE_FIELD = r'"criteria_met"\s*:\s*true'
-FALSE_FIELD = r'"criteria_met"\s*:\s*false'
-YES_WORD = r"\byes\b"
-NO_WORD = r"\bno\b"
+FENCED_OBJECT = "```(?:json)?" + WS + "*(\\{.*?\\})" + WS + "*```"
+BRACE_SPAN = "(\\{.*\\})"
+TRUE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*true"
+FALSE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*false"
+YES_WORD = NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD
+NO_WORD = NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD
 # --------------------------------------------------------------------------
 
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
-def _java(pattern: str) -> str:
-    """Python-semantics regex → Java regex (Unicode ``\\s`` and ``\\b``)."""
-    out = pattern.replace(r"\s", WS)
-    out = out.replace(r"\b" + "yes" + r"\b", NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD)
-    out = out.replace(r"\b" + "no" + r"\b", NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD)
-    return out
-
-
-def _text_rules(lowered: Column) -> Column:
-    return (
-        F.when(lowered.rlike(_java(TRUE_FIELD)), F.lit(True))
-        .when(lowered.rlike(_java(FALSE_FIELD)), F.lit(False))
-        .when(lowered.rlike(_java(YES_WORD)), F.lit(True))
-        .when(lowered.rlike(_java(NO_WORD)), F.lit(False))
-    )
-
-
-def _native(stripped: Column) -> Column:
-    span = F.regexp_extract(stripped, "(?s)" + GREEDY_OBJECT, 1)
-    parsed = F.from_json(span, "criteria_met boolean", _JSON_OPTS)[VERDICT_FIELD]
-    from_json_hit = F.when(span != "", parsed)
-    return F.coalesce(from_json_hit, _text_rules(F.lower(stripped)))
-
-
-def parse_verdict_py(text):
-    """Reference implementation of the rules above for one reply (None in → None out)."""
-    if text is None:
-        return None
-    stripped = text.strip()
-    if not stripped:
-        return None
-    candidates = [stripped]
-    fenced = re.search(FENCED_OBJECT, stripped, re.DOTALL)
-    if fenced:
-        candidates.append(fenced.group(1))
-    greedy = re.search(GREEDY_OBJECT, stripped, re.DOTALL)
-    if greedy:
-        candidates.append(greedy.group(1))
-    for cand in candidates:
+def _json_member_is_bool(candidates: list) -> bool | None:
+    for text in candidates:
+        if text is None:
+            continue
         try:
-            data = json.loads(cand)
-        except json.JSONDecodeError:
+            value = json.loads(text)
+        except (ValueError, RecursionError):
             continue
-        if isinstance(data, dict) and isinstance(data.get(VERDICT_FIELD), bool):
-            return data[VERDICT_FIELD]
-    lowered = stripped.lower()
-    if re.search(TRUE_FIELD, lowered):
-        return True
-    if re.search(FALSE_FIELD, lowered):
-        return False
-    if re.search(YES_WORD, lowered):
-        return True
-    if re.search(NO_WORD, lowered):
-        return False
+        if type(value) is dict and type(value.get(VERDICT_FIELD)) is bool:
+            return value[VERDICT_FIELD]
     return None
 
 
 @F.pandas_udf(BooleanType())
-def _strict_verdict(texts: pd.Series) -> pd.Series:
-    return pd.Series([parse_verdict_py(t) for t in texts], dtype="object")
+def _strict_json_verdict(candidates: pd.Series) -> pd.Series:
+    out = [None if c is None else _json_member_is_bool(list(c)) for c in candidates]
+    return pd.Series(out, dtype="object")
+
+
+def text_rules(lowered: Column) -> Column:
+    """Verdict from wording alone (input already lower-cased); null when nothing matches."""
+    return (
+        F.when(lowered.rlike(TRUE_FIELD), F.lit(True))
+        .when(lowered.rlike(FALSE_FIELD), F.lit(False))
+        .when(lowered.rlike(YES_WORD), F.lit(True))
+        .when(lowered.rlike(NO_WORD), F.lit(False))
+    )
 
 
 def parse_verdict(c) -> Column:
     """Three-valued verdict of a grader reply (nullable boolean Column)."""
     text = F.col(c) if isinstance(c, str) else c
     stripped = py_strip(text)
+    span = F.nullif(F.regexp_extract(stripped, "(?s)" + BRACE_SPAN, 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(stripped, "(?s)" + FENCED_OBJECT, 1), F.lit(""))
     n_open = F.length(stripped) - F.length(F.replace(stripped, F.lit("{"), F.lit("")))
     n_close = F.length(stripped) - F.length(F.replace(stripped, F.lit("}"), F.lit("")))
     simple = (n_open <= 1) & (n_close <= 1)
-    # Python UDFs are evaluated for every row even inside a CASE branch, so
-    # only multi-brace replies are handed over; the rest cross as nulls.
-    strict = _strict_verdict(F.when(~simple, text))
-    return (
-        F.when(stripped.isNull() | (stripped == ""), F.lit(None).cast("boolean"))
-        .when(simple, _native(stripped))
-        .otherwise(strict)
-    )
+    native_json = F.from_json(span, "criteria_met boolean", _JSON_OPTS)[VERDICT_FIELD]
+    # Python UDFs run for every row even inside a CASE branch, so simple
+    # replies pass a null instead of their candidates.
+    strict_json = _strict_json_verdict(F.when(~simple, F.array(stripped, fenced, span)))
+    json_tier = F.when(simple, native_json).otherwise(strict_json)
+    verdict = F.coalesce(json_tier, text_rules(F.lower(stripped)))
+    return F.when(stripped != "", verdict)

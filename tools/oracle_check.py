@@ -22,6 +22,11 @@ import duckdb  # noqa: E402
 from evalframe.session import TABLES, get_session  # noqa: E402
 
 
+_SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                "date": "DATE", "binary": "BLOB"}
+
+
 def _norm(v):
     if v is None:
         return "NULL"
@@ -77,6 +82,11 @@ def compare(spark, con, name, fn, sql, sf_dir, show=3):
     a, b = digest(scols, srows), digest(dcols, drows)
     ok = a[0] == b[0] and a[1] == b[1] and a[2] == b[2]
     res["status"] = "match" if ok else "MISMATCH"
+    stypes = {f.name: _SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    diff = {c: (stypes.get(c), dtypes.get(c)) for c in stypes if stypes.get(c) != dtypes.get(c)}
+    if diff:
+        res["type_diff"] = diff
     if not ok:
         res["spark_cols"], res["duck_cols"] = a[0], b[0]
         res["duck_rows"] = b[1]
