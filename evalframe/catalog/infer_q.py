@@ -9,7 +9,7 @@ from evalframe.catalog.prompts_q import _GRADER_SQL, grader_inputs, sql_fill
 from evalframe.catalog.registry import query
 from evalframe.functions.prompts import QA_OPEN_TEMPLATE, grader_prompt
 from evalframe.functions.text import exact_match
-from evalframe.functions.verdict import parse_verdict
+from evalframe.functions.verdict import with_verdict
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.rubric import score_samples
 from evalframe.operators.stand_in_models import choice_model, flaky_choice_model, parity_judge
@@ -80,7 +80,7 @@ def q_grade_stub(spark, sf_dir):
     )
     cfg = GenerationConfig(max_tokens=256, temperature=0.0, options={"response_format": {"type": "json_object"}})
     replies = generate(prompts, "messages", parity_judge, out="reply", carry=["conv_id", "item_id", "weight"], config=cfg)
-    judged = replies.withColumn("criteria_met", parse_verdict("reply"))
+    judged = with_verdict(replies, "reply", "criteria_met")
     s = score_samples(judged, "conv_id")
     return s.select("conv_id", F.round("rubric_score", 6).alias("rubric_score"), "n_criteria", "n_met")
 

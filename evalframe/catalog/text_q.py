@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalframe.catalog import sqltext as S
 from evalframe.catalog.registry import query
 from evalframe.functions.text import exact_match, extract_choice, normalize_answer
-from evalframe.functions.verdict import parse_verdict
+from evalframe.functions.verdict import with_verdict
 from evalframe.catalog.fixtures import rubric_criteria, rubric_criteria_sql
 from evalframe.operators.metrics import avg_response_length
 from evalframe.session import table
@@ -108,4 +108,5 @@ SELECT sample_id, criterion, reply, CAST({_verdict_sql('reply')} AS VARCHAR) AS
 def q_parse_verdict(spark, sf_dir):
     """Three-valued verdict of every grader reply (rendered as text: true/false/null)."""
     c = rubric_criteria(spark, sf_dir)
-    return c.select("sample_id", "criterion", "reply", parse_verdict("reply").cast("string").alias("criteria_met"))
+    v = with_verdict(c, "reply", "criteria_met")
+    return v.select("sample_id", "criterion", "reply", F.col("criteria_met").cast("string").alias("criteria_met"))

@@ -10,21 +10,18 @@ A verdict is decided in two tiers, first hit wins:
   ``"criteria_met": false`` → false, the word ``yes`` → true, the word
   ``no`` → false. Otherwise null (the criterion is skipped when scoring).
 
-Candidates and the text tier are native expressions. A reply with at most
-one ``{`` and at most one ``}`` has at most one distinct parsable candidate,
-the brace span, which ``from_json`` with a boolean field decides exactly.
-Only replies with more braces hand their candidate texts to a small
-Arrow-batched helper that runs a strict JSON parser on them.
+Everything is a native expression. A reply with at most one ``{`` and at
+most one ``}`` has at most one distinct parsable candidate, the brace span,
+which ``from_json`` with a boolean field decides exactly. Replies with more
+braces need a strict parse (``from_json`` ignores content after the first
+value), so for those rows only each candidate must also be exactly one
+object, checked by collapsing nested brackets.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from evalframe.functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, WS, py_strip
 
@@ -36,30 +33,12 @@ TRUE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*true"
 FALSE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*false"
 YES_WORD = NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD
 NO_WORD = NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD
+MAX_NESTING = 16
 # --------------------------------------------------------------------------
 
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
-def _json_member_is_bool(candidates: list) -> bool | None:
-    for text in candidates:
-        if text is None:
-            continue
-        try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
-            continue
-        if type(value) is dict and type(value.get(VERDICT_FIELD)) is bool:
-            return value[VERDICT_FIELD]
-    return None
-
-
-@F.pandas_udf(BooleanType())
-def _strict_json_verdict(candidates: pd.Series) -> pd.Series:
-    out = [None if c is None else _json_member_is_bool(list(c)) for c in candidates]
-    return pd.Series(out, dtype="object")
-
-
 def text_rules(lowered: Column) -> Column:
     """Verdict from wording alone (input already lower-cased); null when nothing matches."""
     return (
@@ -70,19 +49,70 @@ def text_rules(lowered: Column) -> Column:
     )
 
 
+def _one_object(c: Column) -> Column:
+    """True when ``c`` is exactly one JSON object (JSON whitespace around it allowed).
+
+    String literals are blanked so only structural brackets remain, then the
+    innermost bracket groups are collapsed to one token, pass after pass; one
+    object collapses to exactly one token, trailing content leaves more. The
+    check is exact up to ``MAX_NESTING`` levels; deeper text that still has
+    brackets is accepted as parsed. Only regular expressions are used, so the
+    expression stays inside whole-stage code generation.
+    """
+    t = F.regexp_replace(c, '"(?:[^"\\\\]++|\\\\.)*+"', '""')
+    t = F.regexp_replace(t, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
+    starts = t.startswith("{")
+    for _ in range(MAX_NESTING):
+        t = F.regexp_replace(t, "\\{[^\\[\\]{}]*\\}|\\[[^\\[\\]{}]*\\]", "@")
+    return starts & ((t == "@") | t.rlike("[\\[\\]{}]"))
+
+
+def _json_verdict(candidate: Column, strict: bool) -> Column:
+    value = F.from_json(candidate, "criteria_met boolean", _JSON_OPTS)[VERDICT_FIELD]
+    return F.when(_one_object(candidate), value) if strict else value
+
+
+def _verdict_from(stripped: Column, lowered: Column, span: Column, fenced: Column, simple: Column) -> Column:
+    json_tier = F.when(simple, _json_verdict(span, strict=False)).otherwise(
+        F.coalesce(_json_verdict(stripped, True), _json_verdict(fenced, True), _json_verdict(span, True))
+    )
+    return F.when(stripped != "", F.coalesce(json_tier, text_rules(lowered)))
+
+
+def _pieces(stripped: Column) -> dict:
+    n_open = F.length(stripped) - F.length(F.replace(stripped, F.lit("{"), F.lit("")))
+    n_close = F.length(stripped) - F.length(F.replace(stripped, F.lit("}"), F.lit("")))
+    return {
+        "lowered": F.lower(stripped),
+        "span": F.nullif(F.regexp_extract(stripped, "(?s)" + BRACE_SPAN, 1), F.lit("")),
+        # fenced blocks only matter for replies with several braces
+        "fenced": F.when((n_open > 1) | (n_close > 1), F.nullif(F.regexp_extract(stripped, "(?s)" + FENCED_OBJECT, 1), F.lit(""))),
+        # one brace pair at most: every parsable candidate is the brace span itself
+        "simple": (n_open <= 1) & (n_close <= 1),
+    }
+
+
 def parse_verdict(c) -> Column:
-    """Three-valued verdict of a grader reply (nullable boolean Column)."""
+    """Three-valued verdict of a grader reply (nullable boolean Column).
+
+    For large inputs prefer ``with_verdict``, which evaluates the shared
+    pieces once per row instead of once per use.
+    """
     text = F.col(c) if isinstance(c, str) else c
     stripped = py_strip(text)
-    span = F.nullif(F.regexp_extract(stripped, "(?s)" + BRACE_SPAN, 1), F.lit(""))
-    fenced = F.nullif(F.regexp_extract(stripped, "(?s)" + FENCED_OBJECT, 1), F.lit(""))
-    n_open = F.length(stripped) - F.length(F.replace(stripped, F.lit("{"), F.lit("")))
-    n_close = F.length(stripped) - F.length(F.replace(stripped, F.lit("}"), F.lit("")))
-    simple = (n_open <= 1) & (n_close <= 1)
-    native_json = F.from_json(span, "criteria_met boolean", _JSON_OPTS)[VERDICT_FIELD]
-    # Python UDFs run for every row even inside a CASE branch, so simple
-    # replies pass a null instead of their candidates.
-    strict_json = _strict_json_verdict(F.when(~simple, F.array(stripped, fenced, span)))
-    json_tier = F.when(simple, native_json).otherwise(strict_json)
-    verdict = F.coalesce(json_tier, text_rules(F.lower(stripped)))
-    return F.when(stripped != "", verdict)
+    return _verdict_from(stripped, **_pieces(stripped))
+
+
+def with_verdict(df: DataFrame, reply: str, out: str = "criteria_met") -> DataFrame:
+    """``df`` plus the verdict of its ``reply`` column.
+
+    ``from_json`` runs outside whole-stage code generation, where repeated
+    subexpressions are not shared; so the stripped reply and the candidate
+    spans are computed in a code-generated projection first and the verdict
+    reads them as columns.
+    """
+    cols = df.columns
+    a = df.select("*", py_strip(F.col(reply)).alias("_v_stripped"))
+    b = a.select("*", *[e.alias("_v_" + k) for k, e in _pieces(F.col("_v_stripped")).items()])
+    v = _verdict_from(F.col("_v_stripped"), F.col("_v_lowered"), F.col("_v_span"), F.col("_v_fenced"), F.col("_v_simple"))
+    return b.select(*[F.col(c) for c in cols if c != out], v.alias(out))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import first_nonempty
-from evalframe.functions.verdict import parse_verdict
+from evalframe.functions.verdict import with_verdict
 from evalframe.operators.metrics import dataset_rubric_metrics, rubric_score_expr
 
 CRITERION_RESULT = "criterion string, weight double, criteria_met boolean"
@@ -50,7 +50,7 @@ def explode_criteria(samples: DataFrame, key: str, rubrics: str, criteria: str |
 
 def judge_criteria(criteria: DataFrame, reply: str = "reply", out: str = "criteria_met") -> DataFrame:
     """Attach the three-valued verdict parsed from each grader reply."""
-    return criteria.withColumn(out, parse_verdict(reply))
+    return with_verdict(criteria, reply, out)
 
 
 def score_samples(judged: DataFrame, key: str, met: str = "criteria_met", weight: str = "weight") -> DataFrame:

@@ -25,7 +25,7 @@ from evalframe.functions.prompts import (
     turn_line,
 )
 from evalframe.functions.text import first_nonempty, py_strip
-from evalframe.functions.verdict import parse_verdict
+from evalframe.functions.verdict import with_verdict
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.metrics import avg_response_length, category_label, dataset_rubric_metrics, grade_qa, record_accuracy
 from evalframe.operators.rubric import explode_criteria, score_samples
@@ -238,7 +238,7 @@ def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
             config=GenerationConfig(max_tokens=GRADER_MAX_TOKENS, temperature=0.0, options={"response_format": {"type": "json_object"}}),
             retry=RetryPolicy(),
         )
-        judged = replies.withColumn("criteria_met", parse_verdict("reply"))
+        judged = with_verdict(replies, "reply", "criteria_met")
     else:
         judged = crit.select("sample_id", "criterion_idx", "criterion", "weight", F.lit(None).cast("boolean").alias("criteria_met"))
     scored = score_samples(judged, "sample_id")
