@@ -10,7 +10,7 @@ from evalframe.catalog.registry import query
 from evalframe.functions.prompts import QA_OPEN_TEMPLATE, grader_prompt
 from evalframe.functions.text import exact_match
 from evalframe.functions.verdict import with_verdict
-from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
+from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate, user_text
 from evalframe.operators.rubric import score_samples
 from evalframe.operators.stand_in_models import choice_model, flaky_choice_model, parity_judge
 from evalframe.plans.run import record_frame, run_generation
@@ -109,7 +109,6 @@ def q_generate_retry(spark, sf_dir):
 # ---- a task defined by a user: part type → guess the material -------------
 def last_word_model():
     """Stand-in model for the custom task: answers with the last word of the user text."""
-    from evalframe.operators.infer import user_text
 
     def predict(messages, **_):
         words = user_text(messages).split()
