@@ -9,6 +9,7 @@ from evalframe.catalog.registry import query
 from evalframe.catalog.text_q import _verdict_sql
 from evalframe.operators.rubric import judge_criteria, score_all_samples, score_samples
 from evalframe.operators.metrics import dataset_rubric_metrics
+from evalframe.session import materialize
 
 _JUDGED = f"""WITH j AS (SELECT sample_id, criterion, weight, {_verdict_sql('reply')} AS v FROM ({rubric_criteria_sql()}) c)"""
 _SCORED = (
@@ -59,7 +60,8 @@ FROM j JOIN s ON j.sample_id = s.sample_id""",
 def criterion_results(spark, sf_dir):
     """Per-sample grading result in long form: every criterion with its weight and
     verdict, next to the sample's rubric score (scores aggregated first, then joined)."""
-    judged = judge_criteria(rubric_criteria(spark, sf_dir), "reply")
+    # verdicts feed both the per-sample aggregate and the rows joined back: parse once
+    judged = materialize(judge_criteria(rubric_criteria(spark, sf_dir), "reply").drop("reply"), "judged-criteria")
     scores = score_samples(judged, "sample_id").select("sample_id", "rubric_score")
     out = judged.join(scores, "sample_id")
     return out.select(

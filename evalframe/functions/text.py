@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------
 # Exactly the code points Python's str.isspace()/str.split()/str.strip() and
-# the ``\s`` of ``re`` treat as whitespace.
+# the ``\s`` of ``re`` treat as whitespace (29 in all).
+WHITESPACE_CODE_POINTS = (
+    list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + [0x85, 0xA0, 0x1680]
+    + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WS_CHARS = "".join(chr(c) for c in WHITESPACE_CODE_POINTS)
 # A "word" character for Unicode-aware ``\b``: letters, digits, underscore.
 WORD = "[\\p{L}\\p{N}_]"
 NOT_WORD_BEHIND = "(?<![\\p{L}\\p{N}_])"
@@ -32,7 +37,6 @@ CHOICE_LETTERS = ("A", "B", "C", "D", "E")
 # --------------------------------------------------------------------------
 
 _ARTICLE_RE = NOT_WORD_BEHIND + "(?:" + "|".join(ARTICLES) + ")" + NOT_WORD_AHEAD
-_STRIP_RE = "^" + WS + "+|" + WS + "+$"
 
 
 def _col(c) -> Column:
@@ -40,8 +44,8 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: drop leading/trailing Python whitespace."""
-    return F.regexp_replace(_col(c), _STRIP_RE, "")
+    """``str.strip()``: drop leading/trailing Python whitespace (a character-set trim, no regex)."""
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -110,8 +114,14 @@ def choice_correct(prediction, reference) -> Column:
 
 
 def token_count(c) -> Column:
-    """``len(s.split())``: number of whitespace-separated tokens."""
-    return F.size(F.filter(F.split(_col(c), WS + "+"), lambda x: x != ""))
+    """``len(s.split())``: number of whitespace-separated tokens.
+
+    The stripped text has no whitespace at its ends, so splitting it on
+    whitespace runs yields exactly the tokens (no higher-order function, so
+    the projection stays code-generated).
+    """
+    s = py_strip(c)
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS + "+")))
 
 
 def sanitize_component(c) -> Column:
@@ -125,7 +135,7 @@ def sanitize_component(c) -> Column:
     s = F.replace(s, F.lit("/"), F.lit("-"))
     s = F.regexp_replace(s, "[^A-Za-z0-9._-]+", "-")
     s = F.regexp_replace(s, "-+", "-")
-    s = F.regexp_replace(s, "^[-.]+|[-.]+$", "")
+    s = F.trim(s, F.lit("-."))
     return F.coalesce(_nonempty(s), F.lit("unknown"))
 
 

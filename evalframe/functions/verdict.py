@@ -34,6 +34,13 @@ FALSE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*false"
 YES_WORD = NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD
 NO_WORD = NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD
 MAX_NESTING = 16
+# A flat JSON object: plain keys, values that are escape-free strings, JSON
+# numbers, true, false or null; JSON whitespace only.
+_JWS = "[ \\t\\n\\r]*"
+_JVALUE = '(?:"[^"\\\\\\x00-\\x1f]*"|true|false|null|-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
+_JMEMBER = '"[A-Za-z0-9_ ]*"' + _JWS + ":" + _JWS + _JVALUE
+FLAT_OBJECT = "^\\{" + _JWS + "(?:" + _JMEMBER + "(?:" + _JWS + "," + _JWS + _JMEMBER + ")*)?" + _JWS + "\\}$"
+VERDICT_KEY = '"criteria_met"' + _JWS + ":"
 # --------------------------------------------------------------------------
 
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
@@ -72,23 +79,38 @@ def _json_verdict(candidate: Column, strict: bool) -> Column:
     return F.when(_one_object(candidate), value) if strict else value
 
 
-def _verdict_from(stripped: Column, lowered: Column, span: Column, fenced: Column, simple: Column) -> Column:
-    json_tier = F.when(simple, _json_verdict(span, strict=False)).otherwise(
+def _flat_verdict(span: Column) -> Column:
+    """Decided JSON-tier value for a flat object with one verdict key: true/false, or
+    null when the member is not a boolean."""
+    v = F.regexp_extract(span, VERDICT_KEY + _JWS + "(true|false)", 1)
+    return F.when(v == "true", F.lit(True)).when(v == "false", F.lit(False))
+
+
+def _verdict_from(stripped: Column, span: Column, fenced: Column, simple: Column, flat: Column, flat_value: Column, by_text: Column) -> Column:
+    json_tier = F.when(simple & flat, flat_value).when(simple, _json_verdict(span, strict=False)).otherwise(
         F.coalesce(_json_verdict(stripped, True), _json_verdict(fenced, True), _json_verdict(span, True))
     )
-    return F.when(stripped != "", F.coalesce(json_tier, text_rules(lowered)))
+    return F.when(stripped != "", F.coalesce(json_tier, by_text))
 
 
 def _pieces(stripped: Column) -> dict:
     n_open = F.length(stripped) - F.length(F.replace(stripped, F.lit("{"), F.lit("")))
     n_close = F.length(stripped) - F.length(F.replace(stripped, F.lit("}"), F.lit("")))
+    span = F.nullif(F.regexp_extract(stripped, "(?s)" + BRACE_SPAN, 1), F.lit(""))
+    simple = (n_open <= 1) & (n_close <= 1)
+    # the usual reply shape is decided without a JSON parser
+    flat = F.coalesce(span.rlike(FLAT_OBJECT) & (F.regexp_count(span, F.lit(VERDICT_KEY)) == 1), F.lit(False))
+    flat_value = _flat_verdict(span)
     return {
-        "lowered": F.lower(stripped),
-        "span": F.nullif(F.regexp_extract(stripped, "(?s)" + BRACE_SPAN, 1), F.lit("")),
+        "span": span,
         # fenced blocks only matter for replies with several braces
-        "fenced": F.when((n_open > 1) | (n_close > 1), F.nullif(F.regexp_extract(stripped, "(?s)" + FENCED_OBJECT, 1), F.lit(""))),
+        "fenced": F.when(~simple, F.nullif(F.regexp_extract(stripped, "(?s)" + FENCED_OBJECT, 1), F.lit(""))),
         # one brace pair at most: every parsable candidate is the brace span itself
-        "simple": (n_open <= 1) & (n_close <= 1),
+        "simple": simple,
+        "flat": flat,
+        "flat_value": flat_value,
+        # wording only matters when the JSON tier is not already decided by the flat path
+        "by_text": F.when(~(simple & flat) | flat_value.isNull(), text_rules(F.lower(stripped))),
     }
 
 
@@ -114,5 +136,5 @@ def with_verdict(df: DataFrame, reply: str, out: str = "criteria_met") -> DataFr
     cols = df.columns
     a = df.select("*", py_strip(F.col(reply)).alias("_v_stripped"))
     b = a.select("*", *[e.alias("_v_" + k) for k, e in _pieces(F.col("_v_stripped")).items()])
-    v = _verdict_from(F.col("_v_stripped"), F.col("_v_lowered"), F.col("_v_span"), F.col("_v_fenced"), F.col("_v_simple"))
+    v = _verdict_from(*[F.col("_v_" + k) for k in ("stripped", "span", "fenced", "simple", "flat", "flat_value", "by_text")])
     return b.select(*[F.col(c) for c in cols if c != out], v.alias(out))
