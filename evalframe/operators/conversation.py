@@ -48,15 +48,17 @@ def chat_messages(
     if samples is not None:
         cols = [key] + ([prompt] if prompt else [])
         per_sample = samples.select(*cols).join(per_sample, key, "left")
-    system = per_sample.select(key, F.lit(-1).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))
     kept = turns.where(ok).select(
         key, F.col(order).cast("bigint").alias("msg_idx"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.col(content).alias("content")
     )
     fb_text = F.coalesce(F.nullif(F.col(prompt), F.lit("")), F.lit("")) if prompt else F.lit("")
-    fallback = per_sample.where(F.coalesce(F.col("_n"), F.lit(0)) == 0).select(
-        key, F.lit(0).cast("bigint").alias("msg_idx"), F.lit("user").alias("role"), fb_text.alias("content")
-    )
-    return system.unionByName(kept).unionByName(fallback)
+    msg = "struct<msg_idx:bigint,role:string,content:string>"
+    system_msg = F.struct(F.lit(-1).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))
+    fallback_msg = F.struct(F.lit(0).cast("bigint").alias("msg_idx"), F.lit("user").alias("role"), fb_text.alias("content"))
+    # one pass over the per-sample flags: the system row always, the fallback row when no turn was kept
+    extra = F.when(F.coalesce(F.col("_n"), F.lit(0)) == 0, F.array(system_msg, fallback_msg)).otherwise(F.array(system_msg))
+    added = per_sample.select(key, F.explode(extra.cast(f"array<{msg}>")).alias("_m")).select(key, "_m.msg_idx", "_m.role", "_m.content")
+    return added.unionByName(kept)
 
 
 def ordered_concat(rows: DataFrame, key: str, order: str, value: str, sep: str, bucket_rows: int = 1024) -> DataFrame:
@@ -86,5 +88,5 @@ def grading_history(turns: DataFrame, key: str, order: str = "turn", role: str =
 
 
 def last_turn(turns: DataFrame, key: str, role_value: str = "assistant", order: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
-    """Text of the last turn with the given role per sample (partial aggregate; no sort of the group)."""
+    """Text of the last turn with the given role per sample (partial aggregate, no group collected)."""
     return turns.where(F.col(role) == role_value).groupBy(key).agg(F.max_by(content, order).alias("last_" + role_value))

@@ -37,29 +37,33 @@ def grade_qa(prediction, reference, has_options) -> Column:
     )
 
 
-def _with_overall_fallback(metrics: DataFrame, overall: str) -> DataFrame:
-    """An empty input still reports ``overall = 0.0`` (grouping sets yield no row then)."""
-    spark = metrics.sparkSession
-    zero = spark.range(1).select(F.lit(overall).alias("metric"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("n"))
-    return metrics.unionByName(zero.join(metrics.where(F.col("metric") == overall).select("metric"), "metric", "left_anti"))
+def _with_sentinel(rows: DataFrame) -> DataFrame:
+    """Add one marker row (all values null, ``_sentinel`` true) so the overall
+    grouping set exists even for an empty input; aggregates skip its nulls and
+    counts skip it explicitly. One pass, no second scan."""
+    marker = rows.sparkSession.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields], F.lit(True).alias("_sentinel")
+    )
+    return rows.withColumn("_sentinel", F.lit(False)).unionByName(marker)
 
 
 def record_accuracy(graded: DataFrame, correct: str = "correct", category: str = "category") -> DataFrame:
     """Accuracy from graded records: overall mean of ``correct`` (missing → 0.0)
-    over all records plus the mean per non-empty category (``accuracy_{cat}``)."""
+    over all records plus the mean per non-empty category (``accuracy_{cat}``).
+    No records → accuracy 0.0."""
     ok = F.coalesce(F.col(correct).cast("double"), F.lit(0.0))
     cat = F.nullif(F.col(category).cast("string"), F.lit(""))
-    agg = (
-        graded.select(ok.alias("_ok"), cat.alias("_cat"))
-        .groupingSets([[], ["_cat"]], "_cat")
-        .agg(F.avg("_ok").alias("value"), F.count(F.lit(1)).alias("n"), F.grouping("_cat").alias("_g"))
+    rows = _with_sentinel(graded.select(ok.alias("_ok"), cat.alias("_cat")))
+    agg = rows.groupingSets([[], ["_cat"]], "_cat").agg(
+        F.coalesce(F.avg("_ok"), F.lit(0.0)).alias("value"),
+        F.count_if(~F.col("_sentinel")).alias("n"),
+        F.grouping("_cat").alias("_g"),
     )
-    out = agg.where((F.col("_g") == 1) | F.col("_cat").isNotNull()).select(
+    return agg.where((F.col("_g") == 1) | (F.col("_cat").isNotNull() & (F.col("n") > 0))).select(
         F.when(F.col("_g") == 1, F.lit("accuracy")).otherwise(F.concat(F.lit("accuracy_"), F.col("_cat"))).alias("metric"),
         F.col("value"),
         F.col("n"),
     )
-    return _with_overall_fallback(out, "accuracy")
 
 
 def multiple_choice_accuracy(pairs: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
@@ -86,24 +90,22 @@ def batch_accuracy(
     """
     mc = choice_correct(prediction, reference).cast("double")
     em = exact_match(prediction, reference)
-    agg = (
+    rows = _with_sentinel(
         samples.select(mc.alias("_mc"), em.alias("_em"), F.col(has_options).alias("_opt"), F.col(category).alias("_cat"))
-        .groupingSets([[], ["_cat"]], "_cat")
-        .agg(
-            F.avg("_mc").alias("_mc"),
-            F.avg("_em").alias("_em"),
-            F.bool_and("_opt").alias("_all_opt"),
-            F.count(F.lit(1)).alias("n"),
-            F.grouping("_cat").alias("_g"),
-        )
+    )
+    agg = rows.groupingSets([[], ["_cat"]], "_cat").agg(
+        F.coalesce(F.avg("_mc"), F.lit(0.0)).alias("_mc"),
+        F.coalesce(F.avg("_em"), F.lit(0.0)).alias("_em"),
+        F.bool_and("_opt").alias("_all_opt"),
+        F.count_if(~F.col("_sentinel")).alias("n"),
+        F.grouping("_cat").alias("_g"),
     )
     overall = F.when(F.coalesce(F.col("_all_opt"), F.lit(True)), F.col("_mc")).otherwise(F.col("_em"))
-    out = agg.where((F.col("_g") == 1) | F.col("_cat").isNotNull()).select(
+    return agg.where((F.col("_g") == 1) | (F.col("_cat").isNotNull() & (F.col("n") > 0))).select(
         F.when(F.col("_g") == 1, F.lit("accuracy")).otherwise(F.concat(F.lit("accuracy_"), F.col("_cat"))).alias("metric"),
         F.when(F.col("_g") == 1, overall).otherwise(F.col("_mc")).alias("value"),
         F.col("n"),
     )
-    return _with_overall_fallback(out, "accuracy")
 
 
 def rubric_score_expr(met, weight, judged=None) -> Column:
