@@ -159,3 +159,54 @@ def qa_messages(question, options_text, has_opts, image=None) -> Column:
         F.struct(F.lit("system").alias("role"), sys_part.cast(f"array<{part}>").alias("content")),
         F.struct(F.lit("user").alias("role"), parts.cast(f"array<{part}>").alias("content")),
     )
+
+
+# Depth of nested lists inside a chat payload that is unrolled natively.
+MAX_PAYLOAD_DEPTH = 4
+PAYLOAD_MESSAGE = "array<struct<role:string,content:string>>"
+
+
+def payload_messages(v, default_role: str = "user", depth: int = MAX_PAYLOAD_DEPTH) -> Column:
+    """Messages of a mixed-shape chat payload held as VARIANT.
+
+    A string becomes one message with the default role when non-empty. An
+    object is kept when its role (absent → default role; JSON null → dropped)
+    is user/assistant/system and its content is neither null nor "";
+    non-string content is kept as JSON text. A list contributes the messages
+    of its items, in order (nested lists unrolled up to ``depth`` levels).
+    Anything else contributes nothing.
+    """
+    v = _c(v)
+    kind = F.schema_of_variant(v)
+    empty = F.array().cast(PAYLOAD_MESSAGE)
+    text = F.try_variant_get(v, "$", "string")
+    from_str = F.when(text != "", F.array(F.struct(F.lit(default_role).alias("role"), text.alias("content"))))
+    role_v = F.try_variant_get(v, "$.role", "variant")
+    role = F.when(role_v.isNull(), F.lit(default_role)).when(~F.is_variant_null(role_v), F.try_variant_get(role_v, "$", "string"))
+    content_v = F.try_variant_get(v, "$.content", "variant")
+    content = F.when(content_v.isNull() | F.is_variant_null(content_v), F.lit(None).cast("string")).when(
+        F.schema_of_variant(content_v) == "STRING", F.try_variant_get(content_v, "$", "string")
+    ).otherwise(F.to_json(content_v))
+    keep = F.coalesce(role.isin(*CHAT_ROLES) & content.isNotNull() & (content != ""), F.lit(False))
+    from_obj = F.when(keep, F.array(F.struct(role.alias("role"), content.alias("content"))))
+    out = F.when(kind == "STRING", from_str).when(kind.startswith("OBJECT"), from_obj)
+    if depth > 0:
+        items = F.try_variant_get(v, "$", "array<variant>")
+        from_list = F.flatten(F.transform(items, lambda x: payload_messages(x, default_role, depth - 1)))
+        out = out.when(kind.startswith("ARRAY"), from_list)
+    return F.coalesce(out.cast(PAYLOAD_MESSAGE), empty)
+
+
+def variant_truthy(v) -> Column:
+    """Python truthiness of a VARIANT value: null, "", 0, false, [] and {} are false."""
+    v = _c(v)
+    kind = F.schema_of_variant(v)
+    return F.coalesce(
+        F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
+        .when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+        .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .otherwise(F.try_variant_get(v, "$", "double") != 0),
+        F.lit(False),
+    )

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from evalframe.functions.prompts import (
     CHAT_ROLES,
@@ -20,6 +21,8 @@ from evalframe.functions.prompts import (
     OPTION_LETTERS,
     format_options,
     grader_prompt,
+    payload_messages,
+    variant_truthy,
     has_options,
     qa_messages,
     turn_line,
@@ -172,13 +175,35 @@ def _norm_messages(arr: Column) -> Column:
     return F.transform(kept, lambda m: _text_message(F.coalesce(m["role"], F.lit("user")), m["content"]))
 
 
+def _is_variant(df: DataFrame, name: str) -> bool:
+    return name in df.columns and isinstance(df.schema[name].dataType, VariantType)
+
+
+def _payload_as_messages(df: DataFrame, name: str) -> Column:
+    """Typed array of messages, or a mixed-shape VARIANT payload, as chat messages."""
+    if _is_variant(df, name):
+        return F.transform(payload_messages(F.col(name)), lambda m: _text_message(m["role"], m["content"]))
+    return _norm_messages(F.coalesce(col_or_null(df, name, MESSAGE_IN), F.array().cast(MESSAGE_IN)))
+
+
+def _prompt_messages(df: DataFrame) -> Column:
+    """``prompt or question``: a string gives one user message; a VARIANT prompt
+    may also be a message object or a list."""
+    question = F.coalesce(col_or_null(df, "question"), F.lit(""))
+    if _is_variant(df, "prompt"):
+        p = F.col("prompt")
+        truthy = variant_truthy(p)
+        from_q = F.when(question != "", F.array(_text_message("user", question)))
+        return F.when(truthy, F.transform(payload_messages(p), lambda m: _text_message(m["role"], m["content"]))).otherwise(from_q)
+    prompt = first_nonempty(col_or_null(df, "prompt"), question)
+    return F.when(prompt != "", F.array(_text_message("user", prompt)))
+
+
 def _chat_messages(df: DataFrame) -> Column:
-    conv = col_or_null(df, "conversation", MESSAGE_IN)
-    from_conv = _norm_messages(F.coalesce(conv, F.array().cast(MESSAGE_IN)))
-    prompt = first_nonempty(col_or_null(df, "prompt"), F.coalesce(col_or_null(df, "question"), F.lit("")))
-    from_prompt = F.when(prompt != "", F.array(_text_message("user", prompt)))
+    from_conv = _payload_as_messages(df, "conversation")
+    from_prompt = _prompt_messages(df)
     empty_user = F.array(_text_message("user", F.lit("")))
-    body = F.coalesce(F.when(F.size(from_conv) > 0, from_conv), from_prompt, empty_user)
+    body = F.coalesce(F.when(F.size(from_conv) > 0, from_conv), F.when(F.size(from_prompt) > 0, from_prompt), empty_user)
     return F.concat(F.array(_text_message("system", F.lit(CHAT_SYSTEM_PROMPT))), body).cast(MESSAGE_TYPE)
 
 
