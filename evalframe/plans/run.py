@@ -98,6 +98,8 @@ def evaluate_run(
     (separate layout); metrics come only from persisted grades. Returns
     (records with evaluation, metrics).
     """
+    if records.isEmpty():
+        raise ValueError("No per-sample records found to evaluate")
     sample = task.grade(records.limit(0), judge)
     schema = sample.schema
     persisted = read_if_exists(spark, graded_path, schema)

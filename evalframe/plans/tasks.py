@@ -223,28 +223,41 @@ def _chat_reference(df: DataFrame) -> Column:
 def _chat_payload(df: DataFrame) -> Column:
     return F.struct(
         F.coalesce(col_or_null(df, "conversation", MESSAGE_IN), F.array().cast(MESSAGE_IN)).alias("conversation"),
-        col_or_null(df, "prompt").alias("prompt"),
+        (F.col("prompt") if "prompt" in df.columns else F.lit(None).cast("string")).alias("prompt"),
         col_or_null(df, "question").alias("question"),
         F.coalesce(col_or_null(df, "rubrics", RUBRIC_IN), F.array().cast(RUBRIC_IN)).alias("rubrics"),
         F.coalesce(col_or_null(df, "criteria", RUBRIC_IN), F.array().cast(RUBRIC_IN)).alias("criteria"),
     )
 
 
-def grading_history_of(sample: Column) -> Column:
-    """Grader history of one stored sample: the raw conversation when non-empty, else
-    the prompt/question as one user turn."""
+def grading_history_of(sample: Column, variant_prompt: bool = False) -> Column:
+    """Grader history of one stored sample: the raw conversation when non-empty
+    (every turn, no role filter); else the messages of ``prompt or question``."""
     conv = sample["conversation"]
     conv_lines = F.array_join(F.transform(conv, lambda m: turn_line(m["role"], F.coalesce(m["content"], F.lit("None")))), "\n\n")
-    prompt = first_nonempty(sample["prompt"], F.coalesce(sample["question"], F.lit("")))
-    from_prompt = F.when(prompt != "", F.concat(F.lit("User: "), prompt)).otherwise(F.lit(""))
-    return F.when(F.size(conv) > 0, conv_lines).otherwise(from_prompt)
+    question = F.coalesce(sample["question"], F.lit(""))
+    from_question = F.when(question != "", F.concat(F.lit("User: "), question)).otherwise(F.lit(""))
+    if variant_prompt:
+        p = sample["prompt"]
+        msgs = payload_messages(p)
+        from_prompt = F.array_join(F.transform(msgs, lambda m: turn_line(m["role"], m["content"])), "\n\n")
+        fallback = F.when(variant_truthy(p), from_prompt).otherwise(from_question)
+    else:
+        prompt = first_nonempty(sample["prompt"], question)
+        fallback = F.when(prompt != "", F.concat(F.lit("User: "), prompt)).otherwise(F.lit(""))
+    return F.when(F.size(conv) > 0, conv_lines).otherwise(fallback)
+
+
+def _stored_prompt_is_variant(records: DataFrame) -> bool:
+    fields = records.schema["evaluation_sample"].dataType
+    return "prompt" in fields.fieldNames() and isinstance(fields["prompt"].dataType, VariantType)
 
 
 def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
     s = records.select(
         "sample_id",
         F.coalesce(F.col("prediction"), F.lit("")).alias("prediction"),
-        grading_history_of(F.col("evaluation_sample")).alias("history"),
+        grading_history_of(F.col("evaluation_sample"), _stored_prompt_is_variant(records)).alias("history"),
         F.col("evaluation_sample.rubrics").alias("rubrics"),
         F.col("evaluation_sample.criteria").alias("criteria"),
     )

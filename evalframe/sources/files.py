@@ -152,6 +152,36 @@ def legacy_records(summaries: DataFrame, run_key: str = "run_key") -> DataFrame:
     )
 
 
+def load_records(spark: SparkSession, records_path: str, summary_path: str | None, schema, summary_schema=None) -> DataFrame | None:
+    """Per-sample records of a run.
+
+    The JSONL sidecar wins when it exists. Otherwise a legacy summary (one
+    JSON document per run holding parallel arrays) is turned into records and
+    written through as the sidecar. Returns None when neither exists.
+    """
+    def exists(path, reader):
+        try:
+            df = reader(path)
+            df.inputFiles()
+            return df
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+                return None
+            raise
+
+    records = exists(records_path, lambda p: read_jsonl(spark, p, schema))
+    if records is not None or summary_path is None:
+        return records
+    summary = exists(summary_path, lambda p: read_json_array(spark, p, summary_schema))
+    if summary is None:
+        return None
+    if "run_key" not in summary.columns:
+        summary = summary.withColumn("run_key", F.lit(None).cast("string"))
+    legacy = legacy_records(summary).drop("run_key")
+    write_jsonl(legacy, records_path)
+    return read_jsonl(spark, records_path, legacy.schema)
+
+
 def evaluated_records(source: DataFrame, evaluations: DataFrame, key: str = "sample_id", in_place: bool = True) -> DataFrame:
     """Records to persist after grading.
 

@@ -26,6 +26,11 @@ RESULT_SUFFIX = ".json"
 RECORDS_SUFFIX = ".jsonl"
 # Metrics printed as integers in the metrics listing.
 INTEGER_METRICS = ("num_graded",)
+# Keys removed from a run's metadata because they are stored as run fields.
+RUN_FIELDS_IN_METADATA = ("task_config", "generation_config", "model", "result_path")
+# Folder that evaluated results are re-rooted under, and the marker folder of saved results.
+EVALUATED_ROOT = "results/evaluated"
+RESULTS_DIR = "results"
 # --------------------------------------------------------------------------
 
 RUN_PARTITIONS = ("task_name", "backend")
@@ -84,6 +89,20 @@ def evaluated_key(key, grader_backend=None, grader_model=None) -> Column:
     return F.concat(_c(key), F.lit("__"), marker)
 
 
+def evaluated_path(path, grader_backend=None, grader_model=None, output_dir: str = EVALUATED_ROOT) -> Column:
+    """Location of an evaluated result: ``{output_dir}/{path below the first
+    "results" folder}/{name}__{marker}.json``; a path without a "results"
+    folder keeps all of its folders."""
+    parts = F.split(F.regexp_replace(_c(path), "/+", "/"), "/")
+    n = F.size(parts)
+    at = F.array_position(parts, F.lit(RESULTS_DIR)).cast("int")
+    start = F.when(at > 0, at + 1).otherwise(F.lit(1))
+    folders = F.slice(parts, start, F.greatest(n - start, F.lit(0)))
+    base = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    name = F.concat(evaluated_key(base, grader_backend, grader_model), F.lit(RESULT_SUFFIX))
+    return F.array_join(F.concat(F.array(F.lit(output_dir)), folders, F.array(name)), "/")
+
+
 def evaluation_name(task, grader_backend=None, grader_model=None) -> Column:
     """``grader__{task}__{backend}__{model}`` when both grader fields are set, else ``task__{task}``."""
     t = _c(task)
@@ -114,6 +133,8 @@ def summary_row(
     empty_meta = F.create_map().cast("map<string,string>")
     ev_type = "map<string,struct<metrics:map<string,double>,grader:map<string,string>>>"
     meta = F.coalesce(_c(metadata), empty_meta) if metadata is not None else empty_meta
+    # run parameters live in their own columns, not in the free-form metadata
+    meta = F.map_filter(meta, lambda k, _: ~k.isin(*RUN_FIELDS_IN_METADATA))
     records_path = F.regexp_replace(path, r"\.json$", RECORDS_SUFFIX)
     meta = F.map_concat(F.map_filter(meta, lambda k, _: k != "sample_results_path"), F.create_map(F.lit("sample_results_path"), F.coalesce(meta["sample_results_path"], records_path)))
     return [

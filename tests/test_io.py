@@ -111,3 +111,20 @@ def test_resume_and_merges(spark):
     assert [(r.sample_id, r.evaluation, r.grader, r.prediction) for r in keyed] == [(0, 1.0, "g", "p0"), (1, 0.0, "g", "p1"), (3, 1.0, "g", "p3")]
     full = spark.createDataFrame([(i, 1.0, "g") for i in range(6)], "sample_id int, evaluation double, grader string")
     assert merge_prefix(src, full).count() == 6
+
+
+def test_sidecar_wins_and_legacy_is_written_through(spark, tmp_dir):
+    from evalframe.sources.files import load_records
+
+    summary = os.path.join(tmp_dir, "run.json")
+    with open(summary, "w") as f:
+        json.dump({"task_name": "t", "predictions": ["A", "B"], "references": ["A"], "evaluation_samples": [{"answer": "A"}]}, f, indent=2)
+    sidecar = os.path.join(tmp_dir, "run.jsonl")
+    schema = "predictions array<string>, references array<string>, evaluation_samples array<struct<answer:string>>"
+    recs = load_records(spark, sidecar, summary, None, schema).orderBy("sample_idx").collect()
+    assert [(r.prediction, r.reference) for r in recs] == [("A", "A"), ("B", "")]
+    assert os.path.isdir(sidecar)  # written through
+    os.remove(summary)
+    again = load_records(spark, sidecar, summary, "sample_idx long, prediction string, reference string")
+    assert again.count() == 2
+    assert load_records(spark, os.path.join(tmp_dir, "none.jsonl"), os.path.join(tmp_dir, "none.json"), "a int") is None

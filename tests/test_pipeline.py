@@ -102,3 +102,25 @@ def test_qa_evaluation_metrics(spark):
         else:
             expected = 1.0 if r.prediction.lower().replace("the ", "") == r.reference.lower() else 0.0
         assert r.correct == expected
+
+
+def test_variant_prompt_history_and_empty_run(spark):
+    from evalframe.plans.tasks import grading_history_of
+
+    root = scratch_path(spark, "variant-history")
+    os.makedirs(root, exist_ok=True)
+    lines = [
+        {"sample_id": 1, "prompt": [{"role": "user", "content": "hi"}, {"role": "ASSISTANT", "content": "no"}, {"role": "assistant", "content": "yo"}]},
+        {"sample_id": 2, "prompt": "plain"},
+        {"sample_id": 3, "prompt": [], "question": "q"},
+        {"sample_id": 4, "conversation": [{"role": "tool", "content": None}], "prompt": "ignored"},
+    ]
+    with open(os.path.join(root, "s.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(x) for x in lines) + "\n")
+    df = read_jsonl(spark, root, "sample_id long, prompt variant, question string, conversation array<struct<role:string,content:string>>")
+    task = get_task("rubric_chat")
+    payload = df.select("sample_id", task.payload(df).alias("evaluation_sample"))
+    got = {r.sample_id: r.h for r in payload.select("sample_id", grading_history_of(F.col("evaluation_sample"), True).alias("h")).collect()}
+    assert got == {1: "User: hi\n\nAssistant: yo", 2: "User: plain", 3: "User: q", 4: "Tool: None"}
+    with pytest.raises(ValueError, match="No per-sample records"):
+        evaluate_run(spark, task, payload.limit(0), os.path.join(root, "graded"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evalframe.operators.joins import upsert_evaluation_map, upsert_evaluations
 from evalframe.operators.metrics import metrics_long, record_accuracy
 from evalframe.session import scratch_path
-from evalframe.sources.runs import evaluated_key, evaluation_name, find_run, result_path, run_key, summary_row, write_runs
+from evalframe.sources.runs import evaluated_key, evaluated_path, evaluation_name, find_run, result_path, run_key, summary_row, write_runs
 
 
 def _one(spark, **cols):
@@ -84,3 +84,18 @@ def test_record_accuracy_and_listing(spark):
     runs = spark.createDataFrame([("qa", {"accuracy": 0.123456}, 4), ("chat", {}, 3)], "task string, metrics map<string,double>, num_samples int")
     rows = {(r.task, r.metric, r.value, r.num_samples) for r in metrics_long(runs).collect()}
     assert rows == {("qa", "accuracy", "0.1235", "4"), ("chat", "status", "predictions_saved", "3")}
+
+
+def test_evaluated_path_rerooting(spark):
+    df = spark.createDataFrame(
+        [("results/healthbench/azure/gpt-4o/run__limit-8.json", "azure", "gpt-4o"),
+         ("/data/x/results/a/b/run.json", None, None),
+         ("out/a/run.json", "", "m")],
+        "p string, gb string, gm string",
+    )
+    got = [r.e for r in df.select(evaluated_path("p", "gb", "gm").alias("e")).collect()]
+    assert got == [
+        "results/evaluated/healthbench/azure/gpt-4o/run__limit-8__graded-by-azure-gpt-4o.json",
+        "results/evaluated/a/b/run__graded.json",
+        "results/evaluated/out/a/run__graded-by-m.json",
+    ]
