@@ -158,8 +158,13 @@ def summary_row(
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
-    """Persist summary rows, partitioned by task and backend."""
-    runs.write.mode(mode).partitionBy(*RUN_PARTITIONS).parquet(path)
+    """Persist summary rows, partitioned by task and backend.
+
+    The runs table holds one small row per run, so rows are first grouped by
+    the partition columns: one file per partition instead of one per task
+    and partition.
+    """
+    runs.repartition(*RUN_PARTITIONS).write.mode(mode).partitionBy(*RUN_PARTITIONS).parquet(path)
 
 
 def find_runs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def ingest(
     checkpoint: str,
     key: str = "sample_id",
     transform: Callable[[DataFrame], DataFrame] | None = None,
-    files_per_batch: int = 8,
+    files_per_batch: int = 64,
 ) -> DataFrame:
     """Stream new JSONL record files from ``source`` into the keyed sink; returns the sink."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
