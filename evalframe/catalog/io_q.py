@@ -19,7 +19,6 @@ from evalframe.session import scratch_path, table
 from evalframe.sources.files import (
     evaluated_records,
     legacy_records,
-    read_json_array,
     read_jsonl,
     read_splits,
     subset_scan,

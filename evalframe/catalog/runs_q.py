@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalframe.catalog import sqltext as S
-from evalframe.catalog.fixtures import qa_samples, qa_samples_sql, rubric_criteria, rubric_samples
+from evalframe.catalog.fixtures import qa_samples, qa_samples_sql
 from evalframe.catalog.registry import query
-from evalframe.functions.prompts import CHAT_ROLES
 from evalframe.functions.text import py_strip
 from evalframe.operators.conversation import valid_message
 from evalframe.operators.joins import upsert_evaluations
-from evalframe.operators.metrics import batch_accuracy, category_label, grade_qa, metrics_long, record_accuracy
-from evalframe.operators.rubric import judge_criteria, score_all_samples, score_samples
-from evalframe.operators.metrics import dataset_rubric_metrics
+from evalframe.operators.metrics import category_label, grade_qa, metrics_long, record_accuracy
 from evalframe.session import scratch_path, table
 from evalframe.sources.runs import evaluated_key, evaluation_name, find_runs, result_path, run_key, summary_row, write_runs
 

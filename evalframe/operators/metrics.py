@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from evalframe.functions.text import choice_correct, exact_match, first_nonempty, token_count
 
 METRIC_SCHEMA = "metric string, value double, n bigint"
+# --- fixed values ---------------------------------------------------------
+# Metrics that are counts: listed as integers, not with four decimals.
+INTEGER_METRICS = ("num_graded",)
+# --------------------------------------------------------------------------
 
 
 def _c(c) -> Column:
@@ -151,13 +155,15 @@ def avg_response_length(predictions: DataFrame, prediction: str = "prediction",
 
 def metrics_long(metrics: DataFrame, task: str = "task", num_samples: str = "num_samples") -> DataFrame:
     """Display rows (task, metric, value text, # samples); value text uses ``%.4f``
-    for doubles. A task without metrics yields one ``status=predictions_saved`` row."""
+    (counts such as ``num_graded`` are listed as integers). A task without
+    metrics yields one ``status=predictions_saved`` row."""
     entry = F.explode_outer(F.map_entries(F.col("metrics")))
     rows = metrics.select(F.col(task).alias("task"), F.col(num_samples).alias("num_samples"), entry.alias("_e"))
     return rows.select(
         "task",
         F.coalesce(F.col("_e.key"), F.lit("status")).alias("metric"),
         F.when(F.col("_e.key").isNull(), F.lit("predictions_saved"))
+        .when(F.col("_e.key").isin(*INTEGER_METRICS), F.col("_e.value").cast("bigint").cast("string"))
         .otherwise(F.format_string("%.4f", F.col("_e.value")))
         .alias("value"),
         F.col("num_samples").cast("string").alias("num_samples"),

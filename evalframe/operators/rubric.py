@@ -15,9 +15,6 @@ from evalframe.functions.text import first_nonempty
 from evalframe.functions.verdict import with_verdict
 from evalframe.operators.metrics import dataset_rubric_metrics, rubric_score_expr
 
-CRITERION_RESULT = "criterion string, weight double, criteria_met boolean"
-
-
 def rubric_list(rubrics, criteria=None) -> Column:
     """``rubrics or criteria or []``."""
     r = F.col(rubrics) if isinstance(rubrics, str) else rubrics

@@ -24,8 +24,6 @@ SKIPPED_KEY_SUFFIX = "_dir"
 SUMMARY_SCHEMA_VERSION = 2
 RESULT_SUFFIX = ".json"
 RECORDS_SUFFIX = ".jsonl"
-# Metrics printed as integers in the metrics listing.
-INTEGER_METRICS = ("num_graded",)
 # Keys removed from a run's metadata because they are stored as run fields.
 RUN_FIELDS_IN_METADATA = ("task_config", "generation_config", "model", "result_path")
 # Folder that evaluated results are re-rooted under, and the marker folder of saved results.

@@ -2,8 +2,6 @@
 
 import base64
 
-from pyspark.sql import functions as F
-
 from evalframe.functions.prompts import (
     QA_SYSTEM_PROMPT,
     format_options,

@@ -81,9 +81,17 @@ def test_record_accuracy_and_listing(spark):
     assert m == {"accuracy": (0.5, 4), "accuracy_x": (0.5, 2)}
     empty = record_accuracy(g.limit(0)).collect()
     assert [(r.metric, r.value) for r in empty] == [("accuracy", 0.0)]
-    runs = spark.createDataFrame([("qa", {"accuracy": 0.123456}, 4), ("chat", {}, 3)], "task string, metrics map<string,double>, num_samples int")
+    runs = spark.createDataFrame(
+        [("qa", {"accuracy": 0.123456}, 4), ("chat", {}, 3), ("rubric", {"rubric_score": 0.5, "num_graded": 7.0}, 9)],
+        "task string, metrics map<string,double>, num_samples int",
+    )
     rows = {(r.task, r.metric, r.value, r.num_samples) for r in metrics_long(runs).collect()}
-    assert rows == {("qa", "accuracy", "0.1235", "4"), ("chat", "status", "predictions_saved", "3")}
+    assert rows == {
+        ("qa", "accuracy", "0.1235", "4"),
+        ("chat", "status", "predictions_saved", "3"),
+        ("rubric", "rubric_score", "0.5000", "9"),
+        ("rubric", "num_graded", "7", "9"),
+    }
 
 
 def test_evaluated_path_rerooting(spark):
