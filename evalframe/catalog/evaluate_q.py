@@ -8,10 +8,13 @@ block of at most 16 turns, so no sample document is unbounded) and
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from evalframe.catalog import sqltext as S
+from evalframe.catalog.fixtures import qa_samples_sql
+from evalframe.catalog.io_q import qa_records
 from evalframe.catalog.prompts_q import sql_fill, sql_str
 from evalframe.catalog.registry import query
 from evalframe.functions.prompts import CHAT_SYSTEM_PROMPT, GRADER_TEMPLATE
@@ -21,6 +24,7 @@ from evalframe.plans.run import evaluate_run, run_generation
 from evalframe.plans.tasks import get_task
 from evalframe.session import scratch_path, table
 from evalframe.sources.files import read_jsonl
+from evalframe.sources.runs import append_evaluation, run_summaries, summary_row, write_runs
 
 TURNS_PER_SAMPLE = 16
 _SAMPLE_ID = f"conv_id * 1000 + CAST(floor(turn / {TURNS_PER_SAMPLE}) AS BIGINT)"
@@ -149,3 +153,51 @@ def q_rubric_evaluate(spark, sf_dir):
         F.col("evaluation.n_criteria").alias("n_criteria"),
         F.col("evaluation.n_met").alias("n_met"),
     )
+
+
+_QA_GRADED_SQL = f"""WITH qa AS ({qa_samples_sql()}),
+g AS (SELECT nullif(category, '') AS cat,
+             CASE WHEN has_options THEN CAST({S.choice_correct('prediction', f"upper({S.strip('answer')})")} AS DOUBLE)
+                  ELSE {S.exact_match('prediction', f"upper({S.strip('answer')})")} END AS ok FROM qa),
+m AS (SELECT CASE WHEN grouping(cat) = 1 THEN 'accuracy' ELSE 'accuracy_' || cat END AS metric, round(avg(ok), 6) AS value
+      FROM g GROUP BY GROUPING SETS ((), (cat)) HAVING grouping(cat) = 1 OR cat IS NOT NULL)"""
+
+
+@query(
+    "run_summary",
+    oracle=_QA_GRADED_SQL
+    + """
+SELECT e.name AS evaluation_name, m.metric, m.value, e.is_latest FROM m,
+  (VALUES ('task__choice_qa', false), ('grader__choice_qa__stand-in__parity', true)) AS e(name, is_latest)""",
+)
+def q_run_summary(spark, sf_dir):
+    """A QA run's records graded and aggregated, the evaluation recorded twice (task and
+    grader names) in the append-only evaluation log, and the run summary folded: every
+    evaluation by name, top-level metrics from the newest one."""
+    root = scratch_path(spark, "run-summary")
+    recs = qa_records(spark, sf_dir).drop("status")
+    payload = F.struct(
+        *[F.col("evaluation_sample." + f) for f in ("answer", "category", "type", "task_type", "options")],
+        F.col("evaluation_sample.options").isNotNull().alias("has_options"),
+    )
+    records = recs.withColumn("evaluation_sample", payload)
+    task = get_task("choice_qa")
+    _, metrics = evaluate_run(spark, task, records, os.path.join(root, "graded"))
+    n = records.count()
+    run = spark.range(1).select(*summary_row(F.lit("choice_qa"), F.lit("stand-in"), F.lit("choice"), None, None, None, None, None, F.lit(n)))
+    write_runs(run, os.path.join(root, "runs"))
+    key = run.first().run_key
+    log = os.path.join(root, "evaluations")
+    append_evaluation(spark, log, key, "task__choice_qa", metrics, num_samples=n)
+    time.sleep(0.01)  # newer timestamp for the second evaluation
+    append_evaluation(spark, log, key, "grader__choice_qa__stand-in__parity", metrics, {"backend": "stand-in", "model": "parity"}, n)
+    s = run_summaries(spark, os.path.join(root, "runs"), log)
+    ev = s.select("metrics", F.explode("evaluations").alias("evaluation_name", "e"))
+    rows = ev.select("evaluation_name", "metrics", F.explode("e.metrics").alias("metric", "value"))
+    latest = F.col("evaluation_name") == "grader__choice_qa__stand-in__parity"
+    return rows.select(
+        "evaluation_name",
+        "metric",
+        F.round("value", 6).alias("value"),
+        (latest & (F.col("metrics")[F.col("metric")] == F.col("value"))).alias("is_latest"),
+    )

@@ -190,3 +190,55 @@ def find_run(spark: SparkSession, path: str, task_name: str, backend: str, model
 def metrics_entries(metrics: DataFrame) -> DataFrame:
     """Long form of a metrics map: (…, metric, value)."""
     return metrics.select("*", F.explode_outer("metrics").alias("metric", "value"))
+
+
+EVALUATION_LOG_SCHEMA = (
+    "run_key string, evaluation_name string, metrics map<string,double>, grader map<string,string>, "
+    "num_samples bigint, ts timestamp"
+)
+
+
+def append_evaluation(
+    spark: SparkSession,
+    log_path: str,
+    key: str,
+    name: str,
+    metrics: DataFrame,
+    grader: dict | None = None,
+    num_samples: int | None = None,
+) -> None:
+    """Append one evaluation of a run to the evaluation log.
+
+    ``metrics`` is the long form (metric, value[, n]); it becomes one map. The
+    log is append-only: re-evaluating under the same name adds a newer row,
+    and ``run_summaries`` keeps the newest.
+    """
+    grader_map = F.create_map(*[F.lit(x) for kv in sorted((grader or {}).items()) for x in kv]).cast("map<string,string>")
+    row = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("double")))).alias("metrics")).select(
+        F.lit(key).alias("run_key"),
+        F.lit(name).alias("evaluation_name"),
+        F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"),
+        grader_map.alias("grader"),
+        F.lit(num_samples).cast("bigint").alias("num_samples"),
+        F.current_timestamp().alias("ts"),
+    )
+    row.write.mode("append").parquet(log_path)
+
+
+def run_summaries(spark: SparkSession, runs_path: str, log_path: str | None) -> DataFrame:
+    """Runs with their evaluations folded in: per (run, evaluation name) the newest
+    entry wins, ``evaluations`` maps name → {metrics, grader}, and the run's
+    top-level ``metrics`` are those of its newest evaluation."""
+    runs = spark.read.parquet(runs_path)
+    if log_path is None:
+        return runs
+    log = spark.read.parquet(log_path)
+    latest = log.groupBy("run_key", "evaluation_name").agg(F.max_by(F.struct("metrics", "grader", "ts"), "ts").alias("e"))
+    per_run = latest.groupBy("run_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("evaluation_name", F.struct(F.col("e.metrics").alias("metrics"), F.col("e.grader").alias("grader"))))).alias("_evals"),
+        F.max_by(F.col("e.metrics"), F.col("e.ts")).alias("_metrics"),
+    )
+    joined = runs.join(per_run, "run_key", "left")
+    return joined.withColumn("evaluations", F.coalesce("_evals", "evaluations")).withColumn(
+        "metrics", F.coalesce("_metrics", "metrics")
+    ).drop("_evals", "_metrics")
