@@ -85,9 +85,15 @@ def running_metrics(
     checkpoint: str,
     correct: str = "correct",
     category: str = "category",
+    state_partitions: int = 8,
 ) -> DataFrame:
     """Running accuracy: streaming sum/count per category (complete mode), combined into
-    (metric, value, n) rows — overall over all records plus one row per non-empty category."""
+    (metric, value, n) rows — overall over all records plus one row per non-empty category.
+
+    The state holds one row per category, so the stateful stage gets a few state
+    partitions (fixed by the checkpoint on its first run) instead of the
+    session's shuffle-partition count; the session setting is restored.
+    """
     agg = stream.groupBy(F.col(category).alias("category")).agg(
         F.sum(F.coalesce(F.col(correct).cast("double"), F.lit(0.0))).alias("ok"), F.count(F.lit(1)).alias("n")
     )
@@ -95,8 +101,13 @@ def running_metrics(
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    q = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     counts = spark.read.parquet(sink)
