@@ -122,7 +122,8 @@ FROM h LEFT JOIN s ON h.sample_id = s.sample_id"""
 def q_rubric_evaluate(spark, sf_dir):
     """End to end on JSON Lines chat samples with weighted rubrics: run (prompts, model,
     records; resumable), then evaluate (criteria exploded, grader prompts, judge,
-    verdicts, weighted scores) — once for the finished samples, then resumed for all."""
+    verdicts, weighted scores) — first for the conversations that open with a system
+    turn, then resumed for all."""
     blocks = _turn_blocks(spark, sf_dir)
     bench = table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") % CRITERIA_GROUPS).alias("g"),
