@@ -34,11 +34,14 @@ FALSE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*false"
 YES_WORD = NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD
 NO_WORD = NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD
 MAX_NESTING = 16
-# A flat JSON object: plain keys, values that are escape-free strings, JSON
+# A flat JSON object: escape-free keys; values that are JSON strings, JSON
 # numbers, true, false or null; JSON whitespace only.
 _JWS = "[ \\t\\n\\r]*"
-_JVALUE = '(?:"[^"\\\\\\x00-\\x1f]*"|true|false|null|-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
-_JMEMBER = '"[A-Za-z0-9_ ]*"' + _JWS + ":" + _JWS + _JVALUE
+# JSON string: plain characters or the JSON escapes; keys take no escapes, so
+# a key can only spell the verdict field literally (duplicates stay countable).
+_JSTRING = '"(?:[^"\\\\\\x00-\\x1f]|\\\\["\\\\/bfnrt]|\\\\u[0-9a-fA-F]{4})*+"'
+_JVALUE = "(?:" + _JSTRING + '|true|false|null|-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
+_JMEMBER = '"[^"\\\\\\x00-\\x1f]*"' + _JWS + ":" + _JWS + _JVALUE
 FLAT_OBJECT = "^\\{" + _JWS + "(?:" + _JMEMBER + "(?:" + _JWS + "," + _JWS + _JMEMBER + ")*)?" + _JWS + "\\}$"
 VERDICT_KEY = '"criteria_met"' + _JWS + ":"
 # --------------------------------------------------------------------------

@@ -35,6 +35,10 @@ CASES = [
     ('{"x": "}{", "criteria_met": false}', False),
     ('{"a": [1, {"b": 2}], "criteria_met": false}}', False),
     ('"criteria_met":false', False),
+    ('{"explanation": "says \\"no\\" twice\\n", "criteria_met": true}', True),
+    ('{"explanation": "quote \\"criteria_met\\": false", "criteria_met": true}', True),
+    ('{"explanation": "bad escape \\q", "criteria_met": true}', True),
+    ('{"e": "\\u00e9", "criteria_met": false, "n": -1.5e3, "l": [1, "x"]}', False),
 ]
 
 
