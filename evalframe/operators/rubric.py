@@ -25,15 +25,24 @@ def rubric_list(rubrics, criteria=None) -> Column:
     return chosen
 
 
-def explode_criteria(samples: DataFrame, key: str, rubrics: str, criteria: str | None = None, weight_field: str = "weight") -> DataFrame:
-    """One row per criterion: (key, criterion_idx, criterion, weight).
+def explode_criteria(
+    samples: DataFrame,
+    key: str,
+    rubrics: str,
+    criteria: str | None = None,
+    weight_field: str = "weight",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """One row per criterion: (key, criterion_idx, criterion, weight, *carry).
 
     Criterion text is ``criterion or text``; the weight field defaults to 1.0
     (``points`` is ignored unless ``weight_field="points"``). Samples without
     rubrics produce no rows; per-sample scoring adds them back with 0.0.
+    ``carry`` columns of the sample are repeated on its criteria rows (no join).
     """
+    carry = list(carry or [])
     lst = rubric_list(rubrics, criteria)
-    exploded = samples.select(F.col(key), F.posexplode(lst).alias("criterion_idx", "_r"))
+    exploded = samples.select(F.col(key), *carry, F.posexplode(lst).alias("criterion_idx", "_r"))
     fields = exploded.schema["_r"].dataType
     names = set(fields.fieldNames()) if hasattr(fields, "fieldNames") else set()
     if names:
@@ -42,7 +51,7 @@ def explode_criteria(samples: DataFrame, key: str, rubrics: str, criteria: str |
         w = F.col("_r." + weight_field).cast("double") if weight_field in names else F.lit(None).cast("double")
     else:
         text, w = F.col("_r").cast("string"), F.lit(None).cast("double")
-    return exploded.select(key, "criterion_idx", text.alias("criterion"), F.coalesce(w, F.lit(1.0)).alias("weight"))
+    return exploded.select(key, "criterion_idx", text.alias("criterion"), F.coalesce(w, F.lit(1.0)).alias("weight"), *carry)
 
 
 def judge_criteria(criteria: DataFrame, reply: str = "reply", out: str = "criteria_met") -> DataFrame:

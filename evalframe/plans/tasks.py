@@ -261,7 +261,7 @@ def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
         F.col("evaluation_sample.rubrics").alias("rubrics"),
         F.col("evaluation_sample.criteria").alias("criteria"),
     )
-    crit = explode_criteria(s, "sample_id", "rubrics", "criteria").join(s.select("sample_id", "history", "prediction"), "sample_id")
+    crit = explode_criteria(s, "sample_id", "rubrics", "criteria", carry=["history", "prediction"])
     if judge is not None:
         prompts = crit.select(
             "sample_id", "criterion_idx", "criterion", "weight",
@@ -294,9 +294,11 @@ def _chat_aggregate(records: DataFrame, judged: bool = True) -> DataFrame:
     if not judged:
         m = avg_response_length(records.select(F.coalesce("prediction", F.lit("")).alias("prediction")))
         return m.select(F.lit("avg_response_length").alias("metric"), F.col("avg_response_length").alias("value"), "n")
+    stored = F.col("evaluation_sample")
+    rubric_list = F.coalesce(F.when(F.size(stored["rubrics"]) > 0, stored["rubrics"]), F.when(F.size(stored["criteria"]) > 0, stored["criteria"]))
     per = records.select(
         F.col("evaluation.rubric_score").alias("rubric_score"),
-        F.col("evaluation.n_criteria").alias("n_criteria"),
+        F.coalesce(F.size(rubric_list), F.lit(0)).alias("n_criteria"),  # samples with a non-empty rubric list
     )
     d = dataset_rubric_metrics(per)
     return d.select(
