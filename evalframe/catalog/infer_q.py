@@ -117,7 +117,7 @@ def last_word_model():
     return predict
 
 
-def _part_grade(records, judge=None):
+def _part_grade(records, judge=None, details_path=None):
     s = F.col("evaluation_sample")
     ev = F.struct(exact_match(F.coalesce("prediction", F.lit("")), "reference").alias("correct"), s["size_group"].alias("category"))
     return records.select("sample_id", ev.alias("evaluation"))

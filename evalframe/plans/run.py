@@ -85,6 +85,21 @@ def run_generation(
     return read_jsonl(spark, records_path, schema)
 
 
+def details_location(graded_path: str) -> str:
+    """Where per-item grading details (judged rubric criteria) of a graded table live."""
+    return graded_path.rstrip("/") + "_details"
+
+
+def criterion_results_of(spark: SparkSession, graded_path: str) -> DataFrame:
+    """Judged criteria of the persisted evaluations only (rows of interrupted
+    grading passes are skipped): (sample_id, criterion_idx, criterion, weight,
+    reply, criteria_met)."""
+    details = spark.read.parquet(details_location(graded_path))
+    graded = read_jsonl(spark, graded_path, "sample_id bigint, evaluation struct<grade_run:string>")
+    keep = graded.select("sample_id", F.col("evaluation.grade_run").alias("grade_run"))
+    return details.join(keep, ["sample_id", "grade_run"], "left_semi").drop("grade_run")
+
+
 def evaluate_run(
     spark: SparkSession,
     task: TaskSpec,
@@ -100,11 +115,11 @@ def evaluate_run(
     """
     if records.isEmpty():
         raise ValueError("No per-sample records found to evaluate")
-    sample = task.grade(records.limit(0), judge)
+    sample = task.grade(records.limit(0), judge, None)
     schema = sample.schema
     persisted = read_if_exists(spark, graded_path, schema)
     todo = records if persisted is None else pending(records, persisted)
-    write_jsonl(task.grade(todo, judge), graded_path, mode="append")
+    write_jsonl(task.grade(todo, judge, details_location(graded_path)), graded_path, mode="append")
     graded = read_jsonl(spark, graded_path, schema)
     merged = records.join(graded, "sample_id", "left")
     judged = judge is not None or task.name != "rubric_chat"

@@ -7,6 +7,7 @@ Catalyst plan that works in batch and in Structured Streaming alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,7 +47,8 @@ class TaskSpec:
     messages(samples) → Column of model input messages
     reference(samples) → Column of reference text
     payload(samples) → Column (struct) kept with each record for later grading
-    grade(records, judge) → DataFrame (sample_id, evaluation)
+    grade(records, judge, details_path) → DataFrame (sample_id, evaluation); a task
+        with per-item details (rubric criteria) appends them under details_path
     aggregate(records_with_evaluation, judged) → DataFrame (metric, value, n)
     """
 
@@ -54,7 +56,7 @@ class TaskSpec:
     messages: Callable[[DataFrame], Column]
     reference: Callable[[DataFrame], Column]
     payload: Callable[[DataFrame], Column]
-    grade: Callable[[DataFrame, Judge | None], DataFrame]
+    grade: Callable[..., DataFrame]
     aggregate: Callable[[DataFrame, bool], DataFrame]
     description: str = ""
 
@@ -136,7 +138,7 @@ def _qa_payload(df: DataFrame) -> Column:
     )
 
 
-def _qa_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
+def _qa_grade(records: DataFrame, judge: Judge | None = None, details_path: str | None = None) -> DataFrame:
     s = F.col("evaluation_sample")
     ref = first_nonempty(F.col("reference"), F.upper(py_strip(F.coalesce(s["answer"], F.lit("")))))
     ev = F.struct(
@@ -253,7 +255,11 @@ def _stored_prompt_is_variant(records: DataFrame) -> bool:
     return "prompt" in fields.fieldNames() and isinstance(fields["prompt"].dataType, VariantType)
 
 
-def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
+def _chat_grade(records: DataFrame, judge: Judge | None = None, details_path: str | None = None) -> DataFrame:
+    """Rubric grading. With ``details_path`` the judged criteria (the grader's
+    output) are written there once, tagged with this pass's ``grade_run``, and
+    the scores are computed from the written rows; the evaluation carries the
+    same ``grade_run`` so criterion results can be joined back exactly."""
     s = records.select(
         "sample_id",
         F.coalesce(F.col("prediction"), F.lit("")).alias("prediction"),
@@ -277,6 +283,10 @@ def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
             retry=RetryPolicy(),
         )
         judged = with_verdict(replies, "reply", "criteria_met")
+        if details_path is not None:
+            run_id = uuid.uuid4().hex
+            judged.withColumn("grade_run", F.lit(run_id)).write.mode("append").parquet(details_path)
+            judged = judged.sparkSession.read.parquet(details_path).where(F.col("grade_run") == run_id).drop("grade_run")
     else:
         judged = crit.select("sample_id", "criterion_idx", "criterion", "weight", F.lit(None).cast("boolean").alias("criteria_met"))
     scored = score_samples(judged, "sample_id")
@@ -286,6 +296,7 @@ def _chat_grade(records: DataFrame, judge: Judge | None = None) -> DataFrame:
         F.coalesce("n_criteria", F.lit(0).cast("bigint")).alias("n_criteria"),
         F.coalesce("n_judged", F.lit(0).cast("bigint")).alias("n_judged"),
         F.coalesce("n_met", F.lit(0).cast("bigint")).alias("n_met"),
+        (F.lit(run_id) if judge is not None and details_path is not None else F.lit(None).cast("string")).alias("grade_run"),
     )
     return out.select("sample_id", ev.alias("evaluation"))
 

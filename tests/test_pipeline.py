@@ -124,3 +124,34 @@ def test_variant_prompt_history_and_empty_run(spark):
     assert got == {1: "User: hi\n\nAssistant: yo", 2: "User: plain", 3: "User: q", 4: "Tool: None"}
     with pytest.raises(ValueError, match="No per-sample records"):
         evaluate_run(spark, task, payload.limit(0), os.path.join(root, "graded"))
+
+
+def test_criterion_results_persisted_once(spark):
+    from evalframe.plans.run import criterion_results_of
+
+    root = scratch_path(spark, "criteria-details")
+    os.makedirs(root, exist_ok=True)
+    samples = [{"sample_id": i, "conversation": [{"role": "user", "content": f"q{i}"}],
+                "rubrics": [{"criterion": f"c{k}/{i}", "weight": float(k + 1)} for k in range(i + 1)]} for i in range(4)]
+    with open(os.path.join(root, "s.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(s) for s in samples) + "\n")
+    schema = "sample_id long, conversation array<struct<role:string,content:string>>, rubrics array<struct<criterion:string,text:string,weight:double,points:double>>"
+    df = read_jsonl(spark, os.path.join(root, "s.jsonl"), schema)
+    task = get_task("rubric_chat")
+
+    def echo():
+        def predict(messages, **_):
+            return "ok"
+
+        return predict
+
+    recs = run_generation(spark, task, df, echo, os.path.join(root, "records"))
+    graded_path = os.path.join(root, "graded")
+    graded, _ = evaluate_run(spark, task, recs.where("sample_id < 2"), graded_path, judge=_judge_met_first_k)
+    graded, _ = evaluate_run(spark, task, recs, graded_path, judge=_judge_met_first_k)
+    crit = criterion_results_of(spark, graded_path)
+    assert crit.count() == 1 + 2 + 3 + 4
+    met = {(r.sample_id, r.criterion_idx): r.criteria_met for r in crit.collect()}
+    assert all(met[(i, k)] == (k < i) for i in range(4) for k in range(i + 1))
+    scores = {r.sample_id: r.evaluation.rubric_score for r in graded.collect()}
+    assert scores[3] == pytest.approx((1 + 2 + 3) / 10)
