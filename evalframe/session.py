@@ -39,26 +39,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a private temporary folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir`` (or the context's checkpoint
+    directory). Only when neither is set (local tests) a private temporary
+    folder is created once per session and registered as the checkpoint
+    directory.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # Spark Connect has no SparkContext
-            root = None
-    if not root:
-        root = tempfile.mkdtemp(prefix="evalframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root:
+        return root
+    try:
+        root = spark.sparkContext.getCheckpointDir()
+    except Exception:  # Spark Connect has no SparkContext
+        root = None
+    if root:
+        return root
+    key = id(spark)
+    if key not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="evalframe-")
         try:
-            spark.sparkContext.setCheckpointDir(root)
+            spark.sparkContext.setCheckpointDir(_LOCAL_ROOTS[key])
         except Exception:
             pass
-    return root
+    return _LOCAL_ROOTS[key]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
