@@ -54,6 +54,7 @@ def run_generation(
     retry: RetryPolicy | None = None,
     on_error: str = "fail",
     partitions: int | None = None,
+    concurrency: int = 1,
 ) -> DataFrame:
     """Generate a prediction for every sample without a persisted record.
 
@@ -75,6 +76,7 @@ def run_generation(
             retry=retry,
             on_error=on_error,
             partitions=partitions,
+            concurrency=concurrency,
         )
         return gen.select("sample_id", "prediction", "reference", "evaluation_sample", "attempts", "error")
 
