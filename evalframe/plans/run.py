@@ -126,3 +126,18 @@ def evaluate_run(
     merged = records.join(graded, "sample_id", "left")
     judged = judge is not None or task.name != "rubric_chat"
     return merged, task.aggregate(merged, judged)
+
+
+def validate_samples(task: TaskSpec, samples: DataFrame, order: str = "sample_id") -> DataFrame:
+    """Dataset check in one aggregate job: number of samples, number of model-input
+    messages of the first sample (by ``order``) and the fields that sample has
+    (non-null columns). One row; a broken dataset fails the job."""
+    cols = [c for c in samples.columns if c != order]
+    first = F.min_by(F.struct(F.size(task.messages(samples)).alias("n_messages"), *[F.col(c) for c in cols]), F.col(order))
+    agg = samples.agg(F.count(F.lit(1)).alias("num_samples"), first.alias("_first"))
+    present = F.array(F.lit(order), *[F.when(F.col("_first")[c].isNotNull(), F.lit(c)) for c in cols])
+    return agg.select(
+        "num_samples",
+        F.col("_first.n_messages").alias("first_prompt_messages"),
+        F.array_compact(present).alias("first_sample_keys"),
+    )

@@ -155,3 +155,14 @@ def test_criterion_results_persisted_once(spark):
     assert all(met[(i, k)] == (k < i) for i in range(4) for k in range(i + 1))
     scores = {r.sample_id: r.evaluation.rubric_score for r in graded.collect()}
     assert scores[3] == pytest.approx((1 + 2 + 3) / 10)
+
+
+def test_validate_samples(spark):
+    from evalframe.plans.run import validate_samples
+
+    df = spark.createDataFrame(
+        [(2, None, "q2"), (1, [("user", "hi"), ("assistant", "yo")], None)],
+        "sample_id long, conversation array<struct<role:string,content:string>>, question string",
+    )
+    row = validate_samples(get_task("rubric_chat"), df).first()
+    assert (row.num_samples, row.first_prompt_messages, row.first_sample_keys) == (2, 3, ["sample_id", "conversation"])

@@ -37,3 +37,15 @@ def test_verdict_pieces_are_code_generated(spark):
     assert "regexp_extract" in plan
     generated = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("*(")]
     assert any("regexp_extract" in line or "trim(" in line for line in generated)
+
+
+def test_rubric_scores_aggregate_before_the_shuffle(spark):
+    """A sample holding a third of all criteria still ships one partial row per task."""
+    plan = _plan(entry_mod.queries()["rubric_score_per_sample"](spark, SF))
+    exchange = plan.index("Exchange hashpartitioning(sample_id")
+    assert "partial_sum" in plan[exchange:] and "partial_count" in plan[exchange:]
+
+
+def test_history_concat_is_two_phase(spark):
+    plan = _plan(entry_mod.queries()["grading_history"](spark, SF))
+    assert plan.count("Exchange hashpartitioning(conv_id") >= 2
