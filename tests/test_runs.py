@@ -96,14 +96,14 @@ def test_record_accuracy_and_listing(spark):
 
 def test_evaluated_path_rerooting(spark):
     df = spark.createDataFrame(
-        [("results/healthbench/azure/gpt-4o/run__limit-8.json", "azure", "gpt-4o"),
+        [("results/rubric_chat/azure/gpt-4o/run__limit-8.json", "azure", "gpt-4o"),
          ("/data/x/results/a/b/run.json", None, None),
          ("out/a/run.json", "", "m")],
         "p string, gb string, gm string",
     )
     got = [r.e for r in df.select(evaluated_path("p", "gb", "gm").alias("e")).collect()]
     assert got == [
-        "results/evaluated/healthbench/azure/gpt-4o/run__limit-8__graded-by-azure-gpt-4o.json",
+        "results/evaluated/rubric_chat/azure/gpt-4o/run__limit-8__graded-by-azure-gpt-4o.json",
         "results/evaluated/a/b/run__graded.json",
         "results/evaluated/out/a/run__graded-by-m.json",
     ]
