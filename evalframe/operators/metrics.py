@@ -124,6 +124,18 @@ def rubric_score_expr(met, weight, judged=None) -> Column:
     return F.coalesce(F.try_divide(met_w, total_w), F.lit(0.0))
 
 
+def points_score_expr(met, points) -> Column:
+    """Opt-in points scoring (aggregate): Σ points of met criteria / Σ positive
+    points, clipped to [0, 1]. Negative points penalise when met; an unjudged
+    criterion counts as not met; no positive points → 0.0."""
+    v = F.coalesce(_c(met), F.lit(False))
+    p = F.coalesce(_c(points).cast("double"), F.lit(0.0))
+    achieved = F.coalesce(F.sum(F.when(v, p)), F.lit(0.0))
+    possible = F.sum(F.when(p > 0, p))
+    raw = F.coalesce(F.try_divide(achieved, possible), F.lit(0.0))
+    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+
+
 def rubric_score_nested(results) -> Column:
     """Row-level score of an ``array<struct<criterion, weight, criteria_met>>``; no shuffle."""
     judged = F.filter(_c(results), lambda x: x["criteria_met"].isNotNull())

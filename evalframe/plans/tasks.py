@@ -118,10 +118,12 @@ def _qa_reference(df: DataFrame) -> Column:
     return F.upper(py_strip(_qa_answer(df)))
 
 
-def _qa_payload(df: DataFrame) -> Column:
+def _qa_payload(df: DataFrame, strict: bool = False) -> Column:
     opts = "options" if "options" in df.columns else None
     chs = "choices" if "choices" in df.columns else None
-    opt = has_options(opts, chs, _keyed_options(df))
+    # strict: only a non-empty options/choices list survives persistence, so
+    # samples given as option_X fields are graded by exact match later
+    opt = has_options(opts, chs, {} if strict else _keyed_options(df))
     lst = None
     for c in (opts, chs):
         if c is not None:
@@ -152,17 +154,22 @@ def _qa_aggregate(records: DataFrame, judged: bool = True) -> DataFrame:
     return record_accuracy(records.select(F.col("evaluation.correct").alias("correct"), F.col("evaluation.category").alias("category")))
 
 
-CHOICE_QA = register(
-    TaskSpec(
-        name="choice_qa",
+def choice_qa_task(strict_payload: bool = False) -> TaskSpec:
+    """The QA task; ``strict_payload`` reproduces the original persisted payload,
+    which keeps only an options list (keyed option fields are lost on save)."""
+    return TaskSpec(
+        name="choice_qa_strict" if strict_payload else "choice_qa",
         description="Image/text questions with lettered options or open answers; graded by choice or exact match.",
         messages=_qa_messages,
         reference=_qa_reference,
-        payload=_qa_payload,
+        payload=lambda df: _qa_payload(df, strict_payload),
         grade=_qa_grade,
         aggregate=_qa_aggregate,
     )
-)
+
+
+CHOICE_QA = register(choice_qa_task())
+CHOICE_QA_STRICT = register(choice_qa_task(strict_payload=True))
 
 
 # --------------------------------------------------------- rubric chat task

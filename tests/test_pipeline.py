@@ -166,3 +166,10 @@ def test_validate_samples(spark):
     )
     row = validate_samples(get_task("rubric_chat"), df).first()
     assert (row.num_samples, row.first_prompt_messages, row.first_sample_keys) == (2, 3, ["sample_id", "conversation"])
+
+
+def test_strict_payload_variant(spark):
+    df = spark.createDataFrame([(1, "q", "a", "b", None)], "sample_id long, question string, option_A string, option_B string, options array<string>")
+    loose = df.select(get_task("choice_qa").payload(df).alias("p")).first().p
+    strict = df.select(get_task("choice_qa_strict").payload(df).alias("p")).first().p
+    assert loose.has_options is True and strict.has_options is False

@@ -81,3 +81,12 @@ def test_published_eight_sample_mean(spark):
     m = rubric_dataset_metrics(samples, judged, "sample_id").first()
     assert m.rubric_score == pytest.approx(0.710358062989642, abs=1e-12)
     assert m.num_graded == 8
+
+
+def test_points_scoring_opt_in(spark):
+    from evalframe.operators.metrics import points_score_expr
+
+    rows = [(0, True, 5.0), (0, False, 3.0), (0, True, -2.0), (1, True, -4.0), (1, None, 2.0), (2, True, 10.0), (3, False, -1.0)]
+    df = spark.createDataFrame(rows, "sid int, met boolean, points double")
+    got = {r.sid: r.s for r in df.groupBy("sid").agg(points_score_expr("met", "points").alias("s")).collect()}
+    assert got == {0: pytest.approx(3 / 8), 1: 0.0, 2: 1.0, 3: 0.0}
