@@ -8,6 +8,7 @@ everything downstream reads the persisted table, never the inference plan.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,20 @@ from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.joins import pending
 from evalframe.plans.tasks import TaskSpec
 from evalframe.sources.files import read_jsonl, write_jsonl
+from evalframe.sources.runs import (
+    RECORDS_SUFFIX,
+    RESULT_SUFFIX,
+    UNKNOWN_BACKEND,
+    UNKNOWN_MODEL,
+    append_evaluation,
+    evaluated_key,
+    evaluation_name,
+    find_run,
+    result_path,
+    run_key,
+    summary_row,
+    write_runs,
+)
 
 
 def read_if_exists(spark: SparkSession, path: str, schema) -> DataFrame | None:
@@ -141,3 +156,88 @@ def validate_samples(task: TaskSpec, samples: DataFrame, order: str = "sample_id
         F.col("_first.n_messages").alias("first_prompt_messages"),
         F.array_compact(present).alias("first_sample_keys"),
     )
+
+
+def _lit_map(d: dict):
+    """A literal ``map<string,string>`` Column of a Python dict (values rendered with ``str``)."""
+    items = [F.lit(x) for k, v in sorted(d.items()) for x in (str(k), None if v is None else str(v))]
+    return F.create_map(*items).cast("map<string,string>")
+
+
+def _key_of(spark: SparkSession, task_name: str, backend: str | None, model: str | None, task_config: dict | None, config: GenerationConfig, limit: int | None) -> dict:
+    """Run key, result path and evaluation-ready fields of one parameter set (a one-row job)."""
+    cfg_map = _lit_map(task_config or {})
+    key = run_key(cfg_map, F.lit(config.max_tokens), F.lit(float(config.temperature)), F.lit(limit).cast("int"))
+    row = spark.range(1).select(
+        key.alias("run_key"),
+        result_path(F.lit(task_name), F.lit(backend), F.lit(model), key).alias("result_path"),
+    ).first()
+    return {"run_key": row.run_key, "result_path": row.result_path, "task_config": task_config or {}}
+
+
+def run_task(
+    spark: SparkSession,
+    task: TaskSpec,
+    samples: DataFrame,
+    predictor_factory: Callable,
+    root: str,
+    *,
+    backend: str | None,
+    model: str | None,
+    task_config: dict | None = None,
+    config: GenerationConfig | None = None,
+    limit: int | None = None,
+    partitions: int | None = None,
+    concurrency: int = 1,
+) -> DataFrame:
+    """Generate (resumably) and record a run: records under
+    ``root/records/{task}/{backend}/{model}/{run_key}.jsonl``, one summary row
+    (metrics empty until evaluated) in ``root/runs``."""
+    cfg = config or GenerationConfig()
+    key = _key_of(spark, task.name, backend, model, task_config, cfg, limit)
+    records_path = os.path.join(root, "records", key["result_path"][: -len(RESULT_SUFFIX)] + RECORDS_SUFFIX)
+    records = run_generation(
+        spark, task, samples, predictor_factory, records_path,
+        limit=limit, config=cfg, partitions=partitions, concurrency=concurrency,
+    )
+    n = records.count()
+    summary = spark.range(1).select(
+        *summary_row(
+            F.lit(task.name), F.lit(backend), F.lit(model), _lit_map(key["task_config"]),
+            F.lit(cfg.max_tokens), F.lit(float(cfg.temperature)), F.lit(limit).cast("int"), None, F.lit(n),
+            metadata=F.create_map(F.lit("sample_results_path"), F.lit(records_path)),
+        )
+    )
+    write_runs(summary, os.path.join(root, "runs"))
+    return spark.read.parquet(os.path.join(root, "runs")).where(F.col("run_key") == key["run_key"])
+
+
+def evaluate_task(
+    spark: SparkSession,
+    task: TaskSpec,
+    root: str,
+    *,
+    backend: str | None,
+    model: str | None,
+    task_config: dict | None = None,
+    config: GenerationConfig | None = None,
+    limit: int | None = None,
+    judge: Callable | None = None,
+    grader_backend: str | None = None,
+    grader_model: str | None = None,
+) -> DataFrame:
+    """Locate a run by its parameters, grade its records (resumably), aggregate, and
+    append the evaluation to ``root/evaluations``; returns the metrics."""
+    cfg = config or GenerationConfig()
+    key = _key_of(spark, task.name, backend, model, task_config, cfg, limit)["run_key"]
+    run = find_run(spark, os.path.join(root, "runs"), task.name, backend or UNKNOWN_BACKEND, model or UNKNOWN_MODEL, key).first()
+    records_path = run.metadata["sample_results_path"]
+    sample = read_jsonl(spark, records_path, None).limit(0)
+    records = read_jsonl(spark, records_path, sample.schema)
+    marker = spark.range(1).select(evaluated_key(F.lit(key), F.lit(grader_backend), F.lit(grader_model)).alias("k")).first().k
+    graded_path = os.path.join(root, "graded", marker)
+    _, metrics = evaluate_run(spark, task, records, graded_path, judge=judge)
+    name = spark.range(1).select(evaluation_name(F.lit(task.name), F.lit(grader_backend), F.lit(grader_model)).alias("n")).first().n
+    grader = {k: v for k, v in (("backend", grader_backend), ("model", grader_model)) if v}
+    append_evaluation(spark, os.path.join(root, "evaluations"), key, name, metrics, grader, run.num_samples)
+    return metrics

@@ -173,3 +173,22 @@ def test_strict_payload_variant(spark):
     loose = df.select(get_task("choice_qa").payload(df).alias("p")).first().p
     strict = df.select(get_task("choice_qa_strict").payload(df).alias("p")).first().p
     assert loose.has_options is True and strict.has_options is False
+
+
+def test_run_and_evaluate_task_bookkeeping(spark):
+    from evalframe.operators.infer import GenerationConfig
+    from evalframe.plans.run import evaluate_task, run_task
+    from evalframe.sources.runs import run_summaries
+
+    root = scratch_path(spark, "task-bookkeeping")
+    task = get_task("choice_qa")
+    samples = _qa_samples(spark, 12)
+    cfg = GenerationConfig(max_tokens=64, temperature=0.0)
+    run = run_task(spark, task, samples, choice_model, root, backend="stand-in", model="choice", task_config={"subset": "all", "data_dir": "/x"}, config=cfg).first()
+    assert run.run_key == "subset-all__max_tokens-64__temperature-0.0__limit-all"
+    assert run.num_samples == 12 and run.metrics == {}
+    metrics = {r.metric: r.value for r in evaluate_task(spark, task, root, backend="stand-in", model="choice", task_config={"subset": "all", "data_dir": "/x"}, config=cfg).collect()}
+    summary = run_summaries(spark, os.path.join(root, "runs"), os.path.join(root, "evaluations")).first()
+    assert summary.metrics == metrics and list(summary.evaluations) == ["task__choice_qa"]
+    with pytest.raises(FileNotFoundError):
+        evaluate_task(spark, task, root, backend="stand-in", model="other", config=cfg)
