@@ -11,14 +11,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.joins import pending
 from evalframe.plans.tasks import TaskSpec
-from evalframe.sources.files import read_jsonl, write_jsonl
+from evalframe.sources.files import read_if_exists, read_jsonl, write_jsonl
 from evalframe.sources.runs import (
     RECORDS_SUFFIX,
     RESULT_SUFFIX,
@@ -35,16 +34,9 @@ from evalframe.sources.runs import (
 )
 
 
-def read_if_exists(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def _persisted(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """Persisted JSON Lines table, or None when nothing was written yet."""
-    try:
-        df = read_jsonl(spark, path, schema)
-        df.inputFiles()
-        return df
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            return None
-        raise
+    return read_if_exists(lambda p: read_jsonl(spark, p, schema), path)
 
 
 def record_frame(task: TaskSpec, samples: DataFrame) -> DataFrame:
@@ -96,7 +88,7 @@ def run_generation(
         return gen.select("sample_id", "prediction", "reference", "evaluation_sample", "attempts", "error")
 
     schema = records_of(frame).schema
-    existing = read_if_exists(spark, records_path, schema)
+    existing = _persisted(spark, records_path, schema)
     todo = frame if existing is None else pending(frame, existing)
     write_jsonl(records_of(todo), records_path, mode="append")
     return read_jsonl(spark, records_path, schema)
@@ -134,7 +126,7 @@ def evaluate_run(
         raise ValueError("No per-sample records found to evaluate")
     sample = task.grade(records.limit(0), judge, None)
     schema = sample.schema
-    persisted = read_if_exists(spark, graded_path, schema)
+    persisted = _persisted(spark, graded_path, schema)
     todo = records if persisted is None else pending(records, persisted)
     write_jsonl(task.grade(todo, judge, details_location(graded_path)), graded_path, mode="append")
     graded = read_jsonl(spark, graded_path, schema)

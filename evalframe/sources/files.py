@@ -34,6 +34,21 @@ SPLIT_FILES = {
 # --------------------------------------------------------------------------
 
 
+_MISSING = ("PATH_NOT_FOUND", "Path does not exist", "UNABLE_TO_INFER_SCHEMA")
+
+
+def read_if_exists(read, path: str) -> DataFrame | None:
+    """``read(path)`` when something was written there, else None (no data is read)."""
+    try:
+        df = read(path)
+        df.inputFiles()
+        return df
+    except AnalysisException as exc:
+        if any(marker in str(exc) for marker in _MISSING):
+            return None
+        raise
+
+
 def read_jsonl(spark: SparkSession, path, schema=None) -> DataFrame:
     """JSON Lines scan: one object per line, blank lines skipped, a malformed line fails the job."""
     r = spark.read.option("mode", "FAILFAST")
@@ -159,20 +174,10 @@ def load_records(spark: SparkSession, records_path: str, summary_path: str | Non
     JSON document per run holding parallel arrays) is turned into records and
     written through as the sidecar. Returns None when neither exists.
     """
-    def exists(path, reader):
-        try:
-            df = reader(path)
-            df.inputFiles()
-            return df
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-                return None
-            raise
-
-    records = exists(records_path, lambda p: read_jsonl(spark, p, schema))
+    records = read_if_exists(lambda p: read_jsonl(spark, p, schema), records_path)
     if records is not None or summary_path is None:
         return records
-    summary = exists(summary_path, lambda p: read_json_array(spark, p, summary_schema))
+    summary = read_if_exists(lambda p: read_json_array(spark, p, summary_schema), summary_path)
     if summary is None:
         return None
     if "run_key" not in summary.columns:

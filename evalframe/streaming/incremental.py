@@ -13,22 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.operators.metrics import METRIC_SCHEMA
-
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        df = spark.read.parquet(path)
-        df.inputFiles()
-        return df
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+from evalframe.sources.files import read_if_exists
 
 
 def keyed_appender(sink: str, key: str = "sample_id") -> Callable[[DataFrame, int], None]:
@@ -37,7 +26,7 @@ def keyed_appender(sink: str, key: str = "sample_id") -> Callable[[DataFrame, in
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        prior = _existing(spark, sink)
+        prior = read_if_exists(spark.read.parquet, sink)
         if prior is not None:
             keys = prior.where(F.col("epoch") != epoch_id).select(key)
             rows = rows.join(keys, key, "left_anti")
