@@ -139,3 +139,23 @@ def test_normalize_properties(spark):
         | F.col("n").rlike("^ | $")
     )
     assert bad.count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_TRICKY = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ",
+           " ", " ", "​", "᠎", " ", " ", " ", " ", "　", "﻿"]
+_texts = st.lists(st.one_of(st.sampled_from(_TRICKY), st.text(max_size=3)), max_size=12).map("".join)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(_texts, min_size=1, max_size=8))
+def test_whitespace_functions_match_python(spark, texts):
+    from evalframe.functions.text import collapse_ws, py_strip
+
+    df = one_col(spark, texts)
+    rows = df.select("i", py_strip("x").alias("s"), collapse_ws("x").alias("c"), token_count("x").alias("n")).orderBy("i").collect()
+    assert [r.s for r in rows] == [t.strip() for t in texts]
+    assert [r.c for r in rows] == [" ".join(t.split()) for t in texts]
+    assert [r.n for r in rows] == [len(t.split()) for t in texts]
