@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalframe.session import materialize
+
 # --- fixed values ---------------------------------------------------------
 # Sample subsets of the rubric chat dataset → file-name patterns.
 SUBSET_FILE_PATTERNS = {
@@ -121,14 +123,44 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def with_sample_idx(scan: DataFrame, name: str = "sample_idx") -> DataFrame:
+# Inputs with more files than this get split offsets by a distributed prefix sum.
+SINGLE_TASK_OFFSET_FILES = 10_000
+
+
+def _offsets_single_task(splits: DataFrame) -> DataFrame:
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
+def _offsets_distributed(splits: DataFrame) -> DataFrame:
+    """Running sum over (file, split) order without a single-task window.
+
+    The split table is range-partitioned by (file, split) and written once
+    with each row's partition number, so every branch below sees the same
+    assignment. Offsets are then the running sum of the partition totals
+    (one row per partition) plus the running sum inside the partition.
+    """
+    ranged = materialize(
+        splits.repartitionByRange("_f", "_b").select("*", F.spark_partition_id().alias("_p")), "split-offsets"
+    )
+    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_pn"))
+    part_before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part_off = totals.select("_p", F.coalesce(F.sum("_pn").over(part_before), F.lit(0)).alias("_poff"))
+    local_before = Window.partitionBy("_p").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("_p", "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(local_before), F.lit(0)).alias("_loff"))
+    return local.join(part_off, "_p").select("_f", "_b", "_m0", (F.col("_poff") + F.col("_loff")).alias("_off"))
+
+
+def with_sample_idx(scan: DataFrame, name: str = "sample_idx", single_task_files: int = SINGLE_TASK_OFFSET_FILES) -> DataFrame:
     """Global 0-based position of every row in (sorted file path, in-file order).
 
     Must be applied directly on a file scan. Rows are tagged with their file,
     split start and a monotonically increasing id (contiguous within a split);
-    per-split row counts — one row per file split, metadata-sized — give each
-    split its offset through a running sum, and a row's position is offset +
-    its rank inside the split. No data row is sorted or moved to one task.
+    per-split row counts (one row per file split) give each split its offset
+    through a running sum, and a row's position is offset + its rank inside
+    the split. No data row is sorted or moved to one task. Up to
+    ``single_task_files`` input files the running sum runs in one task (the
+    split table is metadata-sized); beyond, it is a distributed prefix sum.
     """
     tagged = scan.select(
         "*",
@@ -137,8 +169,8 @@ def with_sample_idx(scan: DataFrame, name: str = "sample_idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_m"),
     )
     splits = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    many_files = len(scan.inputFiles()) > single_task_files
+    offsets = _offsets_distributed(splits) if many_files else _offsets_single_task(splits)
     out = tagged.join(offsets, ["_f", "_b"])
     return out.withColumn(name, F.col("_off") + F.col("_m") - F.col("_m0")).drop("_f", "_b", "_m", "_m0", "_off")
 

@@ -95,11 +95,12 @@ def test_ordered_ingest_many_files(spark, tmp_dir):
         _write_lines(os.path.join(tmp_dir, name), [{"id": i} for i in ids])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256")  # several splits per file
     try:
-        df = with_sample_idx(read_jsonl(spark, tmp_dir, "id int"))
-        rows = df.collect()
+        one_task = with_sample_idx(read_jsonl(spark, tmp_dir, "id int")).collect()
+        distributed = with_sample_idx(read_jsonl(spark, tmp_dir, "id int"), single_task_files=0).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted((r.id, r.sample_idx) for r in rows) == [(i, i) for i in range(151)]
+    assert sorted((r.id, r.sample_idx) for r in one_task) == [(i, i) for i in range(151)]
+    assert sorted((r.id, r.sample_idx) for r in distributed) == [(i, i) for i in range(151)]
 
 
 def test_resume_and_merges(spark):
