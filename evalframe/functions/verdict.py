@@ -51,11 +51,13 @@ _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 def text_rules(lowered: Column) -> Column:
     """Verdict from wording alone (input already lower-cased); null when nothing matches."""
+    # each regex only runs when its literal occurs (a cheap substring test first)
+    field = lowered.contains('"criteria_met"')
     return (
-        F.when(lowered.rlike(TRUE_FIELD), F.lit(True))
-        .when(lowered.rlike(FALSE_FIELD), F.lit(False))
-        .when(lowered.rlike(YES_WORD), F.lit(True))
-        .when(lowered.rlike(NO_WORD), F.lit(False))
+        F.when(field & lowered.rlike(TRUE_FIELD), F.lit(True))
+        .when(field & lowered.rlike(FALSE_FIELD), F.lit(False))
+        .when(lowered.contains("yes") & lowered.rlike(YES_WORD), F.lit(True))
+        .when(lowered.contains("no") & lowered.rlike(NO_WORD), F.lit(False))
     )
 
 
