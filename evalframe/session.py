@@ -46,9 +46,10 @@ def shared_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or the context's checkpoint
-    directory). Only when neither is set (local tests) a private temporary
-    folder is created once per session and registered as the checkpoint
-    directory.
+    directory). Only when neither is set on a local master (tests) a private
+    temporary folder is created once per session and registered as the
+    checkpoint directory; on a cluster that is an error, never a machine-local
+    folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -59,6 +60,15 @@ def shared_root(spark: SparkSession) -> str:
         root = None
     if root:
         return root
+    try:
+        master = spark.conf.get("spark.master", "") or ""
+    except Exception:
+        master = ""
+    if master and not master.startswith("local"):
+        raise RuntimeError(
+            "No shared checkpoint location: set spark.checkpoint.dir (or SparkContext.setCheckpointDir) "
+            "to a folder every executor can reach"
+        )
     key = id(spark)
     if key not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="evalframe-")
