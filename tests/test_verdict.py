@@ -50,26 +50,25 @@ def test_literal_cases(spark):
     assert got2 == got
 
 
+def _decisive(candidate):
+    """True/False when the text is exactly one JSON object with a boolean verdict member."""
+    try:
+        obj = json.loads(candidate)
+    except ValueError:
+        return None
+    member = obj.get("criteria_met") if type(obj) is dict else None
+    return member if type(member) is bool else None
+
+
 def _json_tier(text):
-    """Expected JSON-tier outcome, written from the specification."""
-    s = text.strip()
-    cands = [s]
-    if "```" in s:
-        import re
+    """Expected JSON-tier outcome: whole reply, first fenced object, outermost brace span."""
+    import re
 
-        m = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", s, re.DOTALL)
-        if m:
-            cands.append(m.group(1))
-    if "{" in s and "}" in s[s.index("{"):]:
-        cands.append(s[s.index("{"): s.rindex("}") + 1])
-    for c in cands:
-        try:
-            v = json.loads(c)
-        except ValueError:
-            continue
-        if isinstance(v, dict) and isinstance(v.get("criteria_met"), bool):
-            return v["criteria_met"]
-    return None
+    body = text.strip()
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", body, re.DOTALL)
+    lo, hi = body.find("{"), body.rfind("}")
+    spans = [body, fenced.group(1) if fenced else None, body[lo: hi + 1] if 0 <= lo < hi else None]
+    return next((v for v in map(_decisive, filter(None, spans)) if v is not None), None)
 
 
 _values = st.recursive(
