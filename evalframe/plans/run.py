@@ -8,11 +8,13 @@ everything downstream reads the persisted table, never the inference plan.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.joins import pending
@@ -197,7 +199,10 @@ def run_task(
         *summary_row(
             F.lit(task.name), F.lit(backend), F.lit(model), _lit_map(key["task_config"]),
             F.lit(cfg.max_tokens), F.lit(float(cfg.temperature)), F.lit(limit).cast("int"), None, F.lit(n),
-            metadata=F.create_map(F.lit("sample_results_path"), F.lit(records_path)),
+            metadata=F.create_map(
+                F.lit("sample_results_path"), F.lit(records_path),
+                F.lit("record_schema"), F.lit(records.schema.json()),
+            ),
         )
     )
     write_runs(summary, os.path.join(root, "runs"))
@@ -224,8 +229,10 @@ def evaluate_task(
     key = _key_of(spark, task.name, backend, model, task_config, cfg, limit)["run_key"]
     run = find_run(spark, os.path.join(root, "runs"), task.name, backend or UNKNOWN_BACKEND, model or UNKNOWN_MODEL, key).first()
     records_path = run.metadata["sample_results_path"]
-    sample = read_jsonl(spark, records_path, None).limit(0)
-    records = read_jsonl(spark, records_path, sample.schema)
+    stored = run.metadata.get("record_schema")
+    # records are read with the schema they were written with (inference would
+    # turn empty arrays and all-null fields into strings)
+    records = read_jsonl(spark, records_path, StructType.fromJson(json.loads(stored)) if stored else None)
     marker = spark.range(1).select(evaluated_key(F.lit(key), F.lit(grader_backend), F.lit(grader_model)).alias("k")).first().k
     graded_path = os.path.join(root, "graded", marker)
     _, metrics = evaluate_run(spark, task, records, graded_path, judge=judge)

@@ -192,3 +192,35 @@ def test_run_and_evaluate_task_bookkeeping(spark):
     assert summary.metrics == metrics and list(summary.evaluations) == ["task__choice_qa"]
     with pytest.raises(FileNotFoundError):
         evaluate_task(spark, task, root, backend="stand-in", model="other", config=cfg)
+
+
+def test_readme_usage_flow(spark, tmp_dir):
+    """The README's usage example, with local folders and stand-in models."""
+    from evalframe.operators.infer import GenerationConfig
+    from evalframe.operators.stand_in_models import parity_judge
+    from evalframe.plans.run import evaluate_task, run_task
+    from evalframe.sources.files import subset_scan
+    from evalframe.sources.runs import run_summaries
+
+    with open(os.path.join(tmp_dir, "x_oss_eval.jsonl"), "w") as f:
+        for i in range(5):
+            f.write(json.dumps({"conversation": [{"role": "user", "content": "q" * (i + 1)}],
+                                "rubrics": [{"criterion": "c" * (k + 1), "points": 1} for k in range(i + 1)]}) + "\n")
+    schema = ("conversation array<struct<role:string,content:string>>, "
+              "rubrics array<struct<criterion:string,text:string,weight:double,points:double>>")
+    samples = subset_scan(spark, tmp_dir, "standard", schema).withColumnRenamed("sample_idx", "sample_id")
+
+    def my_model():
+        return lambda messages, **opts: "reply"
+
+    root = scratch_path(spark, "usage")
+    task = get_task("rubric_chat")
+    cfg = GenerationConfig(max_tokens=4096, temperature=0.0)
+    run_task(spark, task, samples, my_model, root, backend="openai", model="m",
+             task_config={"subset": "standard"}, config=cfg, partitions=4, concurrency=2)
+    metrics = evaluate_task(spark, task, root, backend="openai", model="m", task_config={"subset": "standard"},
+                            config=cfg, judge=parity_judge, grader_backend="openai", grader_model="judge")
+    m = {r.metric: r.value for r in metrics.collect()}
+    assert m["num_graded"] == 5 and 0.0 <= m["rubric_score"] <= 1.0
+    s = run_summaries(spark, os.path.join(root, "runs"), os.path.join(root, "evaluations")).first()
+    assert s.num_samples == 5 and list(s.evaluations) == ["grader__rubric_chat__openai__judge"]
