@@ -203,8 +203,9 @@ def load_records(spark: SparkSession, records_path: str, summary_path: str | Non
     """Per-sample records of a run.
 
     The JSONL sidecar wins when it exists. Otherwise a legacy summary (one
-    JSON document per run holding parallel arrays) is turned into records and
-    written through as the sidecar. Returns None when neither exists.
+    JSON document per run holding parallel arrays) is turned into records
+    (``sample_id`` = position) and written through as the sidecar. Returns
+    None when neither exists.
     """
     records = read_if_exists(lambda p: read_jsonl(spark, p, schema), records_path)
     if records is not None or summary_path is None:
@@ -214,7 +215,8 @@ def load_records(spark: SparkSession, records_path: str, summary_path: str | Non
         return None
     if "run_key" not in summary.columns:
         summary = summary.withColumn("run_key", F.lit(None).cast("string"))
-    legacy = legacy_records(summary).drop("run_key")
+    # a legacy summary identifies records by position only: the position is the key
+    legacy = legacy_records(summary).drop("run_key").withColumn("sample_id", F.col("sample_idx"))
     write_jsonl(legacy, records_path)
     return read_jsonl(spark, records_path, legacy.schema)
 

@@ -123,7 +123,7 @@ def test_sidecar_wins_and_legacy_is_written_through(spark, tmp_dir):
     sidecar = os.path.join(tmp_dir, "run.jsonl")
     schema = "predictions array<string>, references array<string>, evaluation_samples array<struct<answer:string>>"
     recs = load_records(spark, sidecar, summary, None, schema).orderBy("sample_idx").collect()
-    assert [(r.prediction, r.reference) for r in recs] == [("A", "A"), ("B", "")]
+    assert [(r.sample_id, r.prediction, r.reference) for r in recs] == [(0, "A", "A"), (1, "B", "")]
     assert os.path.isdir(sidecar)  # written through
     os.remove(summary)
     again = load_records(spark, sidecar, summary, "sample_idx long, prediction string, reference string")
