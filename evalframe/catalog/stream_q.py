@@ -11,7 +11,11 @@ from evalframe.catalog.registry import query
 from evalframe.operators.metrics import grade_qa
 from evalframe.session import scratch_path, table
 from evalframe.sources.files import write_jsonl
-from evalframe.streaming.incremental import ingest, running_metrics
+from evalframe.catalog.prompts_q import sql_fill
+from evalframe.functions.prompts import QA_OPEN_TEMPLATE
+from evalframe.operators.stand_in_models import choice_model
+from evalframe.plans.tasks import get_task
+from evalframe.streaming.incremental import generate_stream, ingest, running_metrics
 
 EVENT_RECORD_SCHEMA = "sample_id bigint, prediction string, reference string, category string, day string"
 _PRED = "'The answer is ' || chr(65 + CAST(user_id % 5 AS INT))"
@@ -89,3 +93,28 @@ def q_stream_metrics(spark, sf_dir):
     graded = stream.select(grade_qa("prediction", "reference", F.lit(True)).alias("correct"), "category")
     m = running_metrics(spark, graded, os.path.join(root, "counts"), os.path.join(root, "checkpoint"))
     return m.select("metric", F.round("value", 6).alias("value"), "n")
+
+
+_TOKENS = S.token_count(sql_fill(QA_OPEN_TEMPLATE, question="coalesce(text, '')"))
+
+
+@query(
+    "stream_generate",
+    oracle=f"SELECT doc_id AS sample_id, 'The answer is ' || chr(65 + CAST(({_TOKENS}) % 5 AS INT)) AS prediction, 1 AS attempts FROM documents",
+)
+def q_stream_generate(spark, sf_dir):
+    """Incremental generation: document questions arrive as sample files in two waves
+    (English first, then the rest); each restart of the stream answers only the new
+    files, and every sample is stored once."""
+    root = scratch_path(spark, "stream-generate")
+    source, sink, ckpt = (os.path.join(root, x) for x in ("samples", "records", "checkpoint"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("question"), F.lit("").alias("answer"), "lang"
+    )
+    schema = "sample_id bigint, question string, answer string"
+    task = get_task("choice_qa")
+    write_jsonl(docs.where(F.col("lang") == "en").drop("lang"), os.path.join(source, "wave=1"))
+    generate_stream(spark, source, schema, task, choice_model, sink, ckpt)
+    write_jsonl(docs.where(F.col("lang") != "en").drop("lang"), os.path.join(source, "wave=2"))
+    records = generate_stream(spark, source, schema, task, choice_model, sink, ckpt)
+    return records.select("sample_id", "prediction", "attempts")

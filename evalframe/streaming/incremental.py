@@ -16,7 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalframe.operators.infer import generate
 from evalframe.operators.metrics import METRIC_SCHEMA
+from evalframe.plans.run import record_frame
 from evalframe.sources.files import read_if_exists
 
 
@@ -109,3 +111,26 @@ def running_metrics(
         F.concat(F.lit("accuracy_"), "category").alias("metric"), (F.col("ok") / F.col("n")).alias("value"), F.col("n").cast("bigint").alias("n")
     )
     return overall.unionByName(per_cat).select(*[c.split()[0] for c in METRIC_SCHEMA.split(", ")])
+
+
+def generate_stream(
+    spark: SparkSession,
+    source: str,
+    schema,
+    task,
+    predictor_factory: Callable,
+    sink: str,
+    checkpoint: str,
+    files_per_batch: int = 64,
+    **generate_options,
+) -> DataFrame:
+    """Incremental generation: sample files arriving under ``source`` are turned into
+    model input, answered by the model stage and stored as records in the keyed
+    sink, one micro-batch at a time; a restart continues with files not yet
+    processed. A replayed micro-batch calls the model again but stores its
+    records once."""
+    samples = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    frame = record_frame(task, samples)
+    records = generate(frame, "messages", predictor_factory, carry=["sample_id", "reference", "evaluation_sample"], **generate_options)
+    run_available(records, checkpoint, keyed_appender(sink, "sample_id"))
+    return spark.read.parquet(sink)
