@@ -161,7 +161,8 @@ def _lit_map(d: dict):
 def _key_of(spark: SparkSession, task_name: str, backend: str | None, model: str | None, task_config: dict | None, config: GenerationConfig, limit: int | None) -> dict:
     """Run key, result path and evaluation-ready fields of one parameter set (a one-row job)."""
     cfg_map = _lit_map(task_config or {})
-    key = run_key(cfg_map, F.lit(config.max_tokens), F.lit(float(config.temperature)), F.lit(limit).cast("int"))
+    # the temperature is rendered by Python's float repr, as in result file names
+    key = run_key(cfg_map, F.lit(config.max_tokens), limit=F.lit(limit).cast("int"), temperature_text=str(float(config.temperature)))
     row = spark.range(1).select(
         key.alias("run_key"),
         result_path(F.lit(task_name), F.lit(backend), F.lit(model), key).alias("result_path"),

@@ -38,12 +38,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def run_key(task_config=None, max_tokens=None, temperature=None, limit=None) -> Column:
+def run_key(task_config=None, max_tokens=None, temperature=None, limit=None, *, temperature_text: str | None = None) -> Column:
     """``{k-v__...}max_tokens-N__temperature-T__limit-L``.
 
     Config entries are sorted by key; null/empty values and keys ending in
     ``_dir`` are skipped; every key and value is sanitised. Defaults: 4096,
-    0.0 and ``all``.
+    0.0 and ``all``. ``temperature_text`` gives the temperature already rendered
+    (Python's float repr, e.g. ``1e-05``) when keys are built on the driver.
     """
     pieces = []
     if task_config is not None:
@@ -55,7 +56,12 @@ def run_key(task_config=None, max_tokens=None, temperature=None, limit=None) ->
         rendered = F.transform(entries, lambda e: F.concat(sanitize_component(e["key"]), F.lit("-"), sanitize_component(e["value"])))
         pieces.append(F.array_join(F.when(F.size(rendered) > 0, rendered), "__"))
     mt = F.coalesce(_c(max_tokens).cast("string"), F.lit(str(DEFAULT_MAX_TOKENS))) if max_tokens is not None else F.lit(str(DEFAULT_MAX_TOKENS))
-    tp = F.coalesce(_c(temperature).cast("double").cast("string"), F.lit(str(DEFAULT_TEMPERATURE))) if temperature is not None else F.lit(str(DEFAULT_TEMPERATURE))
+    if temperature_text is not None:
+        tp = F.lit(temperature_text)
+    elif temperature is not None:
+        tp = F.coalesce(_c(temperature).cast("double").cast("string"), F.lit(str(DEFAULT_TEMPERATURE)))
+    else:
+        tp = F.lit(str(DEFAULT_TEMPERATURE))
     lm = F.coalesce(_c(limit).cast("string"), F.lit(ALL_SAMPLES)) if limit is not None else F.lit(ALL_SAMPLES)
     pieces += [
         F.concat(F.lit("max_tokens-"), sanitize_component(mt)),
