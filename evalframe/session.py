@@ -30,7 +30,10 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "eval
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        pass
     return spark
 
 
