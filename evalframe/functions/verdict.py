@@ -66,21 +66,24 @@ def _one_object(c: Column) -> Column:
 
     String literals are blanked so only structural brackets remain, then the
     innermost bracket groups are collapsed to one token, pass after pass; one
-    object collapses to exactly one token, trailing content leaves more. The
-    check is exact up to ``MAX_NESTING`` levels; deeper text that still has
-    brackets is accepted as parsed. Only regular expressions are used, so the
-    expression stays inside whole-stage code generation.
+    object collapses to exactly one token, trailing content (a stray bracket
+    included) leaves more. Exact up to ``MAX_NESTING`` levels of nesting;
+    deeper objects count as not parsable. Only regular expressions are used.
     """
     t = F.regexp_replace(c, '"(?:[^"\\\\]++|\\\\.)*+"', '""')
     t = F.regexp_replace(t, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
     starts = t.startswith("{")
     for _ in range(MAX_NESTING):
         t = F.regexp_replace(t, "\\{[^\\[\\]{}]*\\}|\\[[^\\[\\]{}]*\\]", "@")
-    return starts & ((t == "@") | t.rlike("[\\[\\]{}]"))
+    return starts & (t == "@")
 
 
 def _json_verdict(candidate: Column, strict: bool) -> Column:
-    value = F.from_json(candidate, "criteria_met boolean", _JSON_OPTS)[VERDICT_FIELD]
+    # The member is read as VARIANT: with duplicate keys the last one wins and
+    # keeps its JSON type, so only a final boolean decides (a boolean-typed
+    # field would keep an earlier boolean when the last value is not one).
+    member = F.from_json(candidate, "criteria_met variant", _JSON_OPTS)[VERDICT_FIELD]
+    value = F.when(F.schema_of_variant(member) == "BOOLEAN", F.try_variant_get(member, "$", "boolean"))
     return F.when(_one_object(candidate), value) if strict else value
 
 

@@ -39,6 +39,12 @@ CASES = [
     ('{"explanation": "quote \\"criteria_met\\": false", "criteria_met": true}', True),
     ('{"explanation": "bad escape \\q", "criteria_met": true}', True),
     ('{"e": "\\u00e9", "criteria_met": false, "n": -1.5e3, "l": [1, "x"]}', False),
+    # duplicate verdict keys: the last one counts, a non-boolean last value defers to the wording
+    ('{"criteria_met": true, "x": 1} ```json\n{"criteria_met": false, "a": [], "criteria_met": "true"}\n```', True),
+    ('{"a": {"b": 1}, "criteria_met": false, "criteria_met": true}', True),
+    # a stray closing brace after an object is trailing content
+    ('{"x": "no", "criteria_met": false}}{"criteria_met": true}', True),
+    ('{"x": "k", "criteria_met": true}\n}\n```json\n{"e": "a \\"q\\" }", "criteria_met": false}\n```', False),
 ]
 
 
