@@ -119,9 +119,8 @@ def format_options(options=None, choices=None, keyed: dict | None = None) -> Col
     if lst is None:
         return all_keyed
     # index of the first missing keyed letter (0-based), 5 when none is missing
-    first_missing = F.coalesce(
-        F.array_position(F.transform(keyed_lines, lambda x: x.isNull()), F.lit(True)) - 1, F.lit(5)
-    )
+    missing_at = F.array_position(F.transform(keyed_lines, lambda x: x.isNull()), F.lit(True))  # 1-based, 0 = none
+    first_missing = F.when(missing_at == 0, F.lit(5)).otherwise(missing_at - 1)
     before = F.slice(keyed_lines, F.lit(1), first_missing)
     listed = F.transform(
         F.slice(lst, 1, len(OPTION_LETTERS)),

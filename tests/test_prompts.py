@@ -79,6 +79,14 @@ def test_format_options(spark):
     ]
 
 
+def test_format_options_all_keyed_with_list(spark):
+    """Every letter present plus a list: the keyed letters win and the list is unused."""
+    df = spark.createDataFrame([(["p", "q"], "a", "b", "c", "d", "e")], "options array<string>, option_A string, option_B string, option_C string, option_D string, option_E string")
+    keyed = {f"option_{x}": f"option_{x}" for x in "ABCDE"}
+    row = df.select(format_options("options", None, keyed).alias("t")).first()
+    assert row.t == "A. a\nB. b\nC. c\nD. d\nE. e"
+
+
 def test_qa_messages_with_image(spark):
     img = bytes(range(200))
     df = spark.createDataFrame([("Q?", "A. x", True, img), ("Open?", "", False, None)], "q string, o string, h boolean, img binary")
