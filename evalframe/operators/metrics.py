@@ -95,7 +95,10 @@ def batch_accuracy(
     mc = choice_correct(prediction, reference).cast("double")
     em = exact_match(prediction, reference)
     rows = _with_sentinel(
-        samples.select(mc.alias("_mc"), em.alias("_em"), F.col(has_options).alias("_opt"), F.col(category).alias("_cat"))
+        samples.select(
+            mc.alias("_mc"), em.alias("_em"), F.col(has_options).alias("_opt"),
+            F.nullif(F.col(category).cast("string"), F.lit("")).alias("_cat"),  # "" is no category
+        )
     )
     agg = rows.groupingSets([[], ["_cat"]], "_cat").agg(
         F.coalesce(F.avg("_mc"), F.lit(0.0)).alias("_mc"),

@@ -129,3 +129,12 @@ def test_evaluation_log_and_summaries(spark):
     assert {k: v.metrics["accuracy"] for k, v in s.evaluations.items()} == {"task__qa": 0.9, "grader__qa__b__m": 0.7}
     assert s.evaluations["grader__qa__b__m"].grader == {"backend": "b", "model": "m"}
     assert s.metrics == {"accuracy": 0.9}
+
+
+def test_batch_accuracy_empty_category_is_none(spark):
+    from evalframe.operators.metrics import batch_accuracy
+
+    df = spark.createDataFrame([("A", "A", True, ""), ("B", "A", True, "x"), ("C", "C", True, None)],
+                               "prediction string, reference string, has_options boolean, category string")
+    got = {r.metric: r.value for r in batch_accuracy(df).collect()}
+    assert got == {"accuracy": 2 / 3, "accuracy_x": 0.0}
