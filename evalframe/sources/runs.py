@@ -97,7 +97,8 @@ def evaluated_path(path, grader_backend=None, grader_model=None, output_dir: str
     """Location of an evaluated result: ``{output_dir}/{path below the first
     "results" folder}/{name}__{marker}.json``; a path without a "results"
     folder keeps all of its folders."""
-    parts = F.split(F.regexp_replace(_c(path), "/+", "/"), "/")
+    # normalised like a file path: empty and "." segments dropped
+    parts = F.filter(F.split(_c(path), "/"), lambda x: (x != "") & (x != "."))
     n = F.size(parts)
     at = F.array_position(parts, F.lit(RESULTS_DIR)).cast("int")
     start = F.when(at > 0, at + 1).otherwise(F.lit(1))

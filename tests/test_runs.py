@@ -98,7 +98,8 @@ def test_evaluated_path_rerooting(spark):
     df = spark.createDataFrame(
         [("results/rubric_chat/azure/gpt-4o/run__limit-8.json", "azure", "gpt-4o"),
          ("/data/x/results/a/b/run.json", None, None),
-         ("out/a/run.json", "", "m")],
+         ("out/a/run.json", "", "m"),
+         ("./out//./b/run.json", None, None)],
         "p string, gb string, gm string",
     )
     got = [r.e for r in df.select(evaluated_path("p", "gb", "gm").alias("e")).collect()]
@@ -106,6 +107,7 @@ def test_evaluated_path_rerooting(spark):
         "results/evaluated/rubric_chat/azure/gpt-4o/run__limit-8__graded-by-azure-gpt-4o.json",
         "results/evaluated/a/b/run__graded.json",
         "results/evaluated/out/a/run__graded-by-m.json",
+        "results/evaluated/out/b/run__graded.json",
     ]
 
 
