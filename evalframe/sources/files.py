@@ -188,13 +188,20 @@ def legacy_records(summaries: DataFrame, run_key: str = "run_key") -> DataFrame:
         F.col("references").alias("reference"),
         F.col("evaluation_samples").alias("evaluation_sample"),
     )
-    ex = summaries.select(run_key, F.size("predictions").alias("_np"), F.posexplode_outer(zipped).alias("sample_idx", "_z"))
+    ex = summaries.select(
+        run_key,
+        F.size("predictions").alias("_np"),
+        F.coalesce(F.size("references"), F.lit(0)).alias("_nr"),
+        F.posexplode_outer(zipped).alias("sample_idx", "_z"),
+    )
     ex = ex.where(F.col("sample_idx") < F.col("_np"))
+    # only positions beyond a short references list are padded; an explicit null stays null
+    reference = F.when(F.col("sample_idx") < F.col("_nr"), F.col("_z.reference")).otherwise(F.lit(""))
     return ex.select(
         run_key,
         F.col("sample_idx").cast("bigint").alias("sample_idx"),
         F.col("_z.prediction").alias("prediction"),
-        F.coalesce(F.col("_z.reference"), F.lit("")).alias("reference"),
+        reference.alias("reference"),
         F.col("_z.evaluation_sample").alias("evaluation_sample"),
     )
 

@@ -80,13 +80,16 @@ def test_splits_union_and_backfill(spark, tmp_dir):
 def test_legacy_records_padding(spark):
     ddl = "run_key string, predictions array<string>, references array<string>, evaluation_samples array<struct<answer:string>>"
     df = spark.createDataFrame(
-        [("r1", ["p0", "p1", "p2"], ["a"], [("x",), ("y",)]), ("r2", [], ["a"], []), ("r3", None, None, None)], ddl
+        [("r1", ["p0", "p1", "p2"], ["a"], [("x",), ("y",)]), ("r2", [], ["a"], []), ("r3", None, None, None),
+         ("r4", ["q0", "q1"], [None, "b"], None)], ddl
     )
     out = legacy_records(df).orderBy("run_key", "sample_idx").collect()
     assert [(r.run_key, r.sample_idx, r.prediction, r.reference, None if r.evaluation_sample is None else r.evaluation_sample.answer) for r in out] == [
         ("r1", 0, "p0", "a", "x"),
         ("r1", 1, "p1", "", "y"),
         ("r1", 2, "p2", "", None),
+        ("r4", 0, "q0", None, None),  # an explicit null reference is kept, not padded
+        ("r4", 1, "q1", "b", None),
     ]
 
 
