@@ -183,10 +183,15 @@ def legacy_records(summaries: DataFrame, run_key: str = "run_key") -> DataFrame:
     no predictions → no rows. Output: (run_key, sample_idx, prediction,
     reference, evaluation_sample).
     """
+    def present(name):
+        # a missing references/samples list counts as empty (arrays_zip would return null)
+        c = F.col(name)
+        return F.coalesce(c, F.array().cast(summaries.schema[name].dataType))
+
     zipped = F.arrays_zip(
         F.col("predictions").alias("prediction"),
-        F.col("references").alias("reference"),
-        F.col("evaluation_samples").alias("evaluation_sample"),
+        present("references").alias("reference"),
+        present("evaluation_samples").alias("evaluation_sample"),
     )
     ex = summaries.select(
         run_key,
