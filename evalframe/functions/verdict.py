@@ -11,8 +11,10 @@ A verdict is decided in two tiers, first hit wins:
   ``no`` → false. Otherwise null (the criterion is skipped when scoring).
 
 Everything is a native expression. A reply with at most one ``{`` and at
-most one ``}`` has at most one distinct parsable candidate, the brace span,
-which ``from_json`` with a boolean field decides exactly. Replies with more
+most one ``}`` has at most one distinct parsable candidate, the brace span:
+the usual flat object with one verdict key is decided by a regular
+expression, anything else by ``from_json`` reading the member as VARIANT (so
+a duplicated key's last value counts, with its JSON type). Replies with more
 braces need a strict parse (``from_json`` ignores content after the first
 value), so for those rows only each candidate must also be exactly one
 object, checked by collapsing nested brackets.
