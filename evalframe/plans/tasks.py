@@ -85,6 +85,11 @@ def col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
+def base_reference(df: DataFrame) -> Column:
+    """Default reference for a custom task: ``answer``, else ``label``, else "" (as text)."""
+    return F.coalesce(col_or_null(df, "answer").cast("string"), col_or_null(df, "label").cast("string"), F.lit(""))
+
+
 def _text_message(role, text) -> Column:
     part = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("url"))
     return F.struct(F.lit(role).alias("role") if isinstance(role, str) else role.alias("role"), F.array(part).alias("content"))

@@ -224,3 +224,12 @@ def test_readme_usage_flow(spark, tmp_dir):
     assert m["num_graded"] == 5 and 0.0 <= m["rubric_score"] <= 1.0
     s = run_summaries(spark, os.path.join(root, "runs"), os.path.join(root, "evaluations")).first()
     assert s.num_samples == 5 and list(s.evaluations) == ["grader__rubric_chat__openai__judge"]
+
+
+def test_base_reference(spark):
+    from evalframe.plans.tasks import base_reference
+
+    df = spark.createDataFrame([("x", None), (None, 3), (None, None)], "answer string, label int")
+    assert [r.r for r in df.select(base_reference(df).alias("r")).collect()] == ["x", "3", ""]
+    only_label = spark.createDataFrame([(7,)], "label int")
+    assert only_label.select(base_reference(only_label).alias("r")).first().r == "7"
