@@ -43,7 +43,9 @@ class StatusError(Exception):
 
 def flaky_choice_model():
     """Like ``choice_model`` but rate-limited (429) on the first call for token counts
-    divisible by 5, and rejecting (400, not retryable) token counts divisible by 7."""
+    divisible by 5, and rejecting (400, not retryable) token counts divisible by 7.
+    It recognises retries of the same call by identity, so use it with
+    ``concurrency=1``."""
     current = [None]  # messages of the call being retried (kept alive, compared by identity)
 
     def predict(messages, **_):
