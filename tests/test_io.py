@@ -132,3 +132,17 @@ def test_sidecar_wins_and_legacy_is_written_through(spark, tmp_dir):
     again = load_records(spark, sidecar, summary, "sample_idx long, prediction string, reference string")
     assert again.count() == 2
     assert load_records(spark, os.path.join(tmp_dir, "none.jsonl"), os.path.join(tmp_dir, "none.json"), "a int") is None
+
+
+def test_ordered_ingest_parquet_row_groups(spark, tmp_dir):
+    """Parquet splits follow row groups: positions still follow file row order."""
+    path = os.path.join(tmp_dir, "docs")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.coalesce(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", str(16 * 1024)).parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 * 1024))
+    try:
+        for single in (10_000, 0):
+            df = with_sample_idx(spark.read.parquet(path).select("doc_id"), single_task_files=single)
+            assert df.where("doc_id <> sample_idx").count() == 0 and df.count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
