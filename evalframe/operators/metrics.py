@@ -169,7 +169,8 @@ def avg_response_length(predictions: DataFrame, prediction: str = "prediction",
 
 
 def metrics_long(metrics: DataFrame, task: str = "task", num_samples: str = "num_samples") -> DataFrame:
-    """Display rows (task, metric, value text, # samples); value text uses ``%.4f``
+    """Display rows (task, metric, value text, # samples); value text has four
+    decimals, rounded half-even from the exact value like Python's ``%.4f``
     (counts such as ``num_graded`` are listed as integers). A task without
     metrics yields one ``status=predictions_saved`` row."""
     entry = F.explode_outer(F.map_entries(F.col("metrics")))
@@ -179,7 +180,7 @@ def metrics_long(metrics: DataFrame, task: str = "task", num_samples: str = "num
         F.coalesce(F.col("_e.key"), F.lit("status")).alias("metric"),
         F.when(F.col("_e.key").isNull(), F.lit("predictions_saved"))
         .when(F.col("_e.key").isin(*INTEGER_METRICS), F.col("_e.value").cast("bigint").cast("string"))
-        .otherwise(F.format_string("%.4f", F.col("_e.value")))
+        .otherwise(F.regexp_replace(F.format_number(F.col("_e.value"), 4), ",", ""))
         .alias("value"),
         F.col("num_samples").cast("string").alias("num_samples"),
     )

@@ -140,3 +140,10 @@ def test_batch_accuracy_empty_category_is_none(spark):
                                "prediction string, reference string, has_options boolean, category string")
     got = {r.metric: r.value for r in batch_accuracy(df).collect()}
     assert got == {"accuracy": 2 / 3, "accuracy_x": 0.0}
+
+
+def test_metric_text_rounds_like_python(spark):
+    ties = [1 / 32, 3 / 160, 0.10625, 0.5, 2 / 3, 1234.56785]
+    runs = spark.createDataFrame([("t", {f"m{i}": v for i, v in enumerate(ties)}, 1)], "task string, metrics map<string,double>, num_samples int")
+    got = {r.metric: r.value for r in metrics_long(runs).collect()}
+    assert got == {f"m{i}": f"{v:.4f}" for i, v in enumerate(ties)}
