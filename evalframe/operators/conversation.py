@@ -88,5 +88,7 @@ def grading_history(turns: DataFrame, key: str, order: str = "turn", role: str =
 
 
 def last_turn(turns: DataFrame, key: str, role_value: str = "assistant", order: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
-    """Text of the last turn with the given role per sample (partial aggregate, no group collected)."""
-    return turns.where(F.col(role) == role_value).groupBy(key).agg(F.max_by(content, order).alias("last_" + role_value))
+    """Text of the last turn with the given role per sample (partial aggregate, no group
+    collected; equal turn numbers are broken by the text, so the result is deterministic)."""
+    latest = F.max(F.struct(F.col(order).alias("o"), F.col(content).alias("t")))
+    return turns.where(F.col(role) == role_value).groupBy(key).agg(latest["t"].alias("last_" + role_value))
