@@ -133,7 +133,7 @@ def evaluate_run(
     write_jsonl(task.grade(todo, judge, details_location(graded_path)), graded_path, mode="append")
     graded = read_jsonl(spark, graded_path, schema)
     merged = records.join(graded, "sample_id", "left")
-    judged = judge is not None or task.name != "rubric_chat"
+    judged = judge is not None or not task.graded_by_model
     return merged, task.aggregate(merged, judged)
 
 

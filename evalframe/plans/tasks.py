@@ -59,6 +59,7 @@ class TaskSpec:
     grade: Callable[..., DataFrame]
     aggregate: Callable[[DataFrame, bool], DataFrame]
     description: str = ""
+    graded_by_model: bool = False  # grading needs a judge model; without one, aggregate(…, judged=False)
 
 
 _REGISTRY: dict[str, TaskSpec] = {}
@@ -342,5 +343,6 @@ RUBRIC_CHAT = register(
         payload=_chat_payload,
         grade=_chat_grade,
         aggregate=_chat_aggregate,
+        graded_by_model=True,
     )
 )
