@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import mixing, quality, sharding
+from evalframe.llm import mixing, quality, repeats, sharding
 from evalframe.llm.common import read, text_or_empty
 
 N_SHARDS = 8
@@ -32,6 +32,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "source")
 
 
+def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 200-byte strings that occur anywhere else."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = repeats.cut_repeats(docs, width=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the weighted mix takes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -41,6 +48,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_repeated_windows": op6_repeated_windows,
     "op8_source_mixing": op8_source_mixing,
 }
 ORACLES: dict[str, str] = {}
