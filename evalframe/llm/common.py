@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalframe.session import shared_root
+from evalframe.session import scratch_path, shared_root
 
 #: white space of the word rule: space and the controls 0x09-0x0D
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,6 +45,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as zstd Parquet under the shared folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_hash(df: DataFrame, seed: int) -> Column:
     """Seeded 64-bit hash of a whole row (map columns, which have no hash, left out)."""
     cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -37,8 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import row_hash, text_or_empty
-from evalframe.session import materialize
+from evalframe.llm.common import row_hash, text_or_empty, written
 
 GRAM = 64
 #: bands of the longest run
@@ -309,7 +308,7 @@ def _split(df: DataFrame, group: str, digest: str, item: list[str]) -> tuple[Dat
     several digests that isn't settled by this, one row for each digest, with ``_alone``."""
     place = F.xxhash64(*item)
     classes = df.groupBy(group, digest).agg(F.min(place).alias("_least"), F.max(place).alias("_most"))
-    classes = materialize(classes.select(group, digest, "_least", (F.col("_least") == F.col("_most")).alias("_alone")), "classes")
+    classes = written(classes.select(group, digest, "_least", (F.col("_least") == F.col("_most")).alias("_alone")), "classes")
     same = df.join(classes.where("not _alone").select(group, digest), [group, digest], "left_semi")
     d = F.xxhash64(digest)
     mixed = classes.groupBy(group).agg(F.min(d).alias("_min"), F.max(d).alias("_max"), F.bool_or("_alone").alias("_any"))
@@ -340,17 +339,18 @@ def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text:
     texts = df.select(key.alias("_hash"), raw.alias("_bytes"), row.alias("_row")).where(F.octet_length("_bytes") >= width)
 
     # one row of every distinct text stands for its copies
-    copies = materialize(
+    copies = written(
         df.select(key.alias("_hash"), row.alias("_row")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_copies"), F.min("_row").alias("_row")),
         "copies",
     )
     packed = texts.mapInArrow(_pack, "_hash binary, _row bigint, _packed binary")
 
     anchors = texts.select("_hash", "_bytes").mapInArrow(_anchor_rows(width), "_gram bigint, _hash binary, _run bigint")
-    shared = materialize(_several(anchors, ["_gram"], ["_hash", "_run"]), "grams")
-    tied = anchors.join(shared, "_gram", "left_semi").dropDuplicates(["_hash", "_run"])
-    per_text = tied.groupBy("_hash").agg(F.collect_list(F.struct("_gram", "_run")).alias("_runs"))
-    spans = materialize(
+    shared = written(_several(anchors, ["_gram"], ["_hash", "_run"]), "grams")
+    # a set, as copies of a text bring the same runs
+    tied = anchors.join(shared, "_gram", "left_semi")
+    per_text = tied.groupBy("_hash").agg(F.collect_set(F.struct("_gram", "_run")).alias("_runs"))
+    spans = written(
         packed.join(per_text.join(copies.select("_hash", "_row"), "_hash"), ["_hash", "_row"]).select("_hash", "_packed", "_runs")
         .mapInArrow(_span_rows(width), "_gram bigint, _hash binary, _run bigint, _digest binary, _span binary"),
         "spans",
@@ -360,11 +360,11 @@ def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text:
     whole, members = _split(spans, "_gram", "_digest", ["_hash", "_run"])
     first, more = F.shiftright("_run", _SHIFT), F.shiftright("_run", _BACK_BITS).bitwiseAND(F.lit((1 << _LAST_BITS) - 1))
     back = F.col("_run").bitwiseAND(F.lit((1 << _BACK_BITS) - 1))
-    members = materialize(members.select("_hash", "_run", "_span"), "members")
+    members = written(members.select("_hash", "_run", "_span"), "members")
 
     # digits 3 and 4: their bands
     made = "_core binary, _hash binary, _run bigint, _band int, _whole binary"
-    bands = materialize(members.mapInArrow(_band_rows(width), made), "bands")
+    bands = written(members.mapInArrow(_band_rows(width), made), "bands")
     whole_bands, left = _split(bands, "_core", "_whole", ["_hash", "_run", "_band"])
     mask = F.expr("shiftleft(1, _band)")
     left = left.groupBy("_hash", "_run").agg(F.bit_or(mask).alias("_bands"), F.bit_or(F.when(F.col("_alone"), mask).otherwise(0)).alias("_open"))
@@ -373,7 +373,7 @@ def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text:
     windows = members.join(left, ["_hash", "_run"]).select("_hash", "_run", "_span", "_bands", "_open").mapInArrow(
         _window_rows(width), "_lo bigint, _hi bigint, _hash binary, _at int, _alone boolean"
     )
-    windows = materialize(windows, "windows")
+    windows = written(windows, "windows")
     single = windows.where("_alone").join(_several(windows, ["_lo", "_hi"], ["_hash", "_at"]), ["_lo", "_hi"], "left_semi")
 
     # repeated windows as 64-bit blocks of a bit map: a run or band is at most a few blocks
