@@ -9,15 +9,16 @@ joined through pivots, never by listing all pairs:
    order, ``prefix_length`` many, meet those of every partner. The documents
    that share a pair form a region; unlike single shingles, ring pairs are not
    shared by texts that merely quote the same line.
-2. Each document is measured against one pivot of its regions, then against
-   the pivots of regions that still hold several components.
-3. Regions that still hold several components choose pivots among their home
-   documents; a document is at home in the Voronoi region of its nearest pivot
-   and a guest, as a boundary document, in every region whose pivot is at most
-   2 eps further (if x and y link and y is at home with p then d(x, p) <=
-   d(x, nearest) + 2 eps). So each pair meets where one of it is at home. A
-   pivot has met all members of its region and leaves it; regions join
-   recursively until each holds one component or has no home document.
+2. Regions that overlap make one cluster. A cluster of up to ``LEAF`` documents
+   is joined as it is. In a larger one each document is measured against
+   ``PIVOTS`` pivots and goes to the Voronoi region of the nearest one; the
+   documents that link to a pivot form components at once.
+3. Regions are cut into blocks by distance band. Two blocks meet only if, for
+   every pivot p, their ranges of d(., p) come within eps of each other (by the
+   triangle inequality no link can bridge a wider gap), and only if they don't
+   belong to one component already.
+4. A leaf (a cluster, or two blocks) counts all its intersections exactly as a
+   product of 0/1 matrices over the shingles that occur at least twice in it.
 
 Only components are reported, so two members of one component need no test.
 Set sizes, distances and links are exact; 64-bit hashes stand for shingles.
@@ -31,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,10 +42,14 @@ from pyspark.sql.window import Window
 from evalframe.llm.common import text_or_empty, written
 from evalframe.llm.components import components
 
-#: pivots that an open region chooses in a round
+#: documents that a leaf holds, at most (twice as many where two blocks meet)
+LEAF = 512
+#: pivots of a larger cluster
 PIVOTS = 8
-#: bytes of text hashed at once
-BLOCK = 1 << 18
+#: distance bands within eps
+BANDS = 3
+#: shingles in one matrix product
+COLUMNS = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,51 +173,106 @@ def _common_rows(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, unpack = Shingler(k), zstandard.ZstdDecompressor()
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, dtype=np.uint64))
+        seen: dict[int, np.ndarray] = {}
+
+        def set_of(i: int, packed: pa.Scalar) -> np.ndarray:
+            if i not in seen:
+                if len(seen) >= 64:
+                    seen.clear()
+                seen[i] = of.shingles(unpack.decompress(packed.as_py()))
+            return seen[i]
+
         for batch in batches:
             rows = []
-            for i, p, own, other in zip(*(batch.column(c) for c in ("_id", "_pivot", "_packed", "_other")), strict=True):
-                if last[0] != p.as_py():
-                    last = (p.as_py(), of.shingles(unpack.decompress(other.as_py())))
-                s = of.shingles(unpack.decompress(own.as_py()))
-                both = len(np.intersect1d(s, last[1], assume_unique=True))
-                rows.append((i.as_py(), p.as_py(), both, len(s), len(last[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, schema=schema)
+            for i, p, own, other in zip(batch.column("_id").to_pylist(), batch.column("_pivot").to_pylist(), batch.column("_packed"), batch.column("_other"), strict=True):
+                s, t = set_of(i, own), set_of(p, other)
+                rows.append((i, p, len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     return run
 
 
-class _Join:
-    """State of one join: packed texts of the nodes in regions, links found, components so far."""
-
-    def __init__(self, texts: DataFrame, k: int, percent: int):
-        self.texts, self.k, self.percent = texts, k, percent
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def measure(self, pairs: DataFrame) -> DataFrame:
-        """Exact sizes for (_id, _pivot) pairs, written."""
-        other = self.texts.select(F.col("_id").alias("_pivot"), F.col("_packed").alias("_other"))
-        rows = pairs.join(self.texts, "_id").join(other, "_pivot").select("_id", "_pivot", "_packed", "_other")
-        made = "_id bigint, _pivot bigint, _both bigint, _n bigint, _m bigint"
-        return written(rows.mapInArrow(_common_rows(self.k), made), "measured")
+def leaf_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (row, least row it reaches) over the pairs of a ``left`` and a ``right`` row."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        both += (x[a] @ x[b].T).astype(np.int64)
+    linked = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
+    label = np.arange(len(sets))
+    while True:  # least label over links, until nothing changes
+        new = label.copy()
+        np.minimum.at(new, a, np.where(linked, label[b][None, :], len(sets)).min(axis=1, initial=len(sets)))
+        np.minimum.at(new, b, np.where(linked, label[a][:, None], len(sets)).min(axis=0, initial=len(sets)))
+        if (new == label).all():
+            return [(i, int(x)) for i, x in enumerate(label) if x != i]
+        label = new
+
+
+def _leaf_rows(k: int, percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        of, unpack = Shingler(k), zstandard.ZstdDecompressor()
+        group = group.sort_values("_id")
+        ids = group["_id"].to_numpy()
+        found = leaf_links([of.shingles(unpack.decompress(x)) for x in group["_packed"]], group["_left"].to_numpy(), group["_right"].to_numpy(), percent)
+        return pd.DataFrame({"a": [int(ids[i]) for i, _ in found], "b": [int(ids[j]) for _, j in found]}, dtype="int64")
 
-    def add(self, measured: DataFrame) -> None:
-        new = measured.where(100 * F.col("_both") >= self.percent * (F.col("_n") + F.col("_m") - F.col("_both"))).select("_id", "_pivot")
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.labels = written(components(self.links, "_id", "_pivot"), "labels")
+    return run
 
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """``members`` with _label: the component so far of _id."""
-        labels = self.labels.select(F.col("node").alias("_id"), F.col("component").alias("_label"))
-        return members.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
 
-    def open_regions(self, members: DataFrame) -> DataFrame:
-        """Members (_key, _id, _home) of the regions that hold a home document and several components."""
-        m = self.labelled(members)
-        several = m.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.bool_or("_home").alias("_any"))
-        several = several.where("_lo <> _hi and _any").select("_key")
-        return written(m.join(several, "_key", "left_semi").select("_key", "_id", "_home"), "open")
+def _block_links(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of the clusters that are larger than a leaf; ``big`` has (_cluster, _id)."""
+    at = F.row_number().over(Window.partitionBy("_cluster").orderBy("_hash", "_id")) - 1
+    # the least hashes of a cluster, found without sorting it: the least of each of PIVOTS parts, then ranked
+    parts = big.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PIVOTS))).groupBy("_cluster", "_part").agg(F.min(F.struct(F.xxhash64("_id", F.lit(1)).alias("_hash"), "_id")).alias("_p"))
+    pivots = written(parts.select("_cluster", F.col("_p._hash").alias("_hash"), F.col("_p._id").alias("_id")).withColumn("_at", at).select("_cluster", F.col("_id").alias("_pivot"), "_at"), "pivots")
+    pairs = big.join(pivots, "_cluster")
+    other = texts.select(F.col("_id").alias("_pivot"), F.col("_packed").alias("_other"))
+    rows = pairs.select("_id", "_pivot").join(other, "_pivot").join(texts, "_id").select("_id", "_pivot", "_packed", "_other")
+    measured = written(rows.mapInArrow(_common_rows(k), "_id bigint, _pivot bigint, _both bigint, _n bigint, _m bigint"), "measured")
+    linked = measured.where(100 * F.col("_both") >= percent * (F.col("_n") + F.col("_m") - F.col("_both"))).select("_id", "_pivot")
+    labels = components(linked, "_id", "_pivot").select(F.col("node").alias("_id"), F.col("component").alias("_label"))
+
+    eps = 1 - percent / 100
+    d = 1 - F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
+    by_doc = pairs.join(measured.select("_id", "_pivot", d.alias("_d")), ["_id", "_pivot"]).groupBy("_cluster", "_id").agg(
+        F.min(F.struct("_d", "_at")).alias("_near"), *[F.max(F.when(F.col("_at") == i, F.col("_d"))).alias(f"_d{i}") for i in range(PIVOTS)]
+    )
+    by_doc = by_doc.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    cell = ["_cluster", F.col("_near._at").alias("_home"), F.ceil(F.col("_near._d") / (eps / BANDS) - 1e-9).alias("_band")]
+    docs = written(by_doc.select(*cell, "_id", "_label", *[f"_d{i}" for i in range(PIVOTS)]), "distances")
+    counts = docs.groupBy("_cluster", "_home", "_band").agg(F.ceil(F.count(F.lit(1)) / (LEAF // 2)).alias("_blocks"))
+    docs = docs.join(counts, ["_cluster", "_home", "_band"]).withColumn("_block", F.xxhash64("_cluster", "_home", "_band", F.pmod(F.xxhash64("_id", F.lit(2)), F.col("_blocks"))))
+    docs = written(docs.drop("_home", "_band", "_blocks"), "blocks")
+    ranges = docs.groupBy("_cluster", "_block").agg(
+        F.min("_label").alias("_from"), F.max("_label").alias("_to"),
+        *[f(f"_d{i}").alias(f"_{n}{i}") for i in range(PIVOTS) for f, n in ((F.min, "lo"), (F.max, "hi"))],
+    )
+    x, y = ranges.alias("x"), ranges.alias("y")
+    near = [F.greatest(F.col(f"x._lo{i}") - F.col(f"y._hi{i}"), F.col(f"y._lo{i}") - F.col(f"x._hi{i}")) <= eps + 1e-9 for i in range(PIVOTS)]
+    one = (F.col("x._from") == F.col("x._to")) & (F.col("y._from") == F.col("y._to")) & (F.col("x._from") == F.col("y._from"))
+    meet = x.join(y, F.col("x._cluster") == F.col("y._cluster")).where(F.col("x._block") <= F.col("y._block")).where(~one)
+    for close in near:
+        meet = meet.where(F.coalesce(close, F.lit(True)))
+    meet = written(meet.select(F.col("x._block").alias("_x"), F.col("y._block").alias("_y")), "meet")
+    sides = meet.select("_x", "_y", F.col("_x").alias("_block"), F.lit(True).alias("_left"), (F.col("_x") == F.col("_y")).alias("_right")).unionByName(
+        meet.where("_x <> _y").select("_x", "_y", F.col("_y").alias("_block"), F.lit(False).alias("_left"), F.lit(True).alias("_right"))
+    )
+    leaves = docs.select("_id", "_block").join(sides, "_block").join(texts, "_id").select("_x", "_y", "_id", "_left", "_right", "_packed")
+    found = leaves.groupBy("_x", "_y").applyInPandas(_leaf_rows(k, percent), "a bigint, b bigint")
+    return linked.select(F.col("_id").alias("a"), F.col("_pivot").alias("b")).unionByName(found)
 
 
 def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -221,36 +282,27 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
     src = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), text_or_empty(F.col(f"`{text}`")).cast("binary").alias("_bytes"))
     sets = written(src.mapInArrow(_set_rows(k), "_id bigint, _n bigint, _set binary"), "sets")
     reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep")), "reps")
-    nodes = sets.join(reps, "_set").select("_id", "_rep").distinct()
+    nodes = sets.where("_id is not null").join(reps, "_set").select("_id", "_rep").distinct()
 
     keyed = src.where("_id is not null").mapInArrow(_key_rows(k, percent), "_key bigint, _id bigint")
-    tied = keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key")
-    tied = written(tied, "keys")
+    tied = written(keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key"), "keys")
     # copies become their representative; a key that only copies share is no region
-    members = keyed.join(tied, "_key", "left_semi").join(nodes, "_id").select("_key", F.col("_rep").alias("_id")).distinct()
-    members = written(members, "members")
-    regions = members.groupBy("_key").agg(F.min("_id").alias("_pivot"), F.max("_id").alias("_hi")).where("_pivot <> _hi").select("_key", "_pivot")
-    near = written(members.join(regions, "_key").where("_id <> _pivot").groupBy("_id", "_pivot").agg(F.count(F.lit(1)).alias("_keys")), "near")
-    needed = near.select("_id").unionByName(near.select(F.col("_pivot").alias("_id"))).distinct()
-    texts = src.where("_id is not null").mapInArrow(_pack, "_id bigint, _packed binary").join(needed, "_id").dropDuplicates(["_id"])
-    join = _Join(written(texts, "texts"), k, percent)
-
-    # the pivot that shares most pairs first, then the other pivots unless the component is known
-    best = near.groupBy("_id").agg(F.max(F.struct("_keys", "_pivot"))["_pivot"].alias("_pivot"))
-    first = join.measure(best)
-    join.add(first)
-    far = join.labelled(near.join(first, ["_id", "_pivot"], "left_anti")).withColumnRenamed("_label", "_own")
-    far = join.labelled(far.select("_id", "_own", "_pivot").select(F.col("_pivot").alias("_id"), F.col("_id").alias("_x"), "_own"))
-    second = join.measure(far.where("_own <> _label").select(F.col("_x").alias("_id"), F.col("_id").alias("_pivot")))
-    join.add(second)
-
-    # regions of several components, without their first pivot, which has met all members
-    rest = members.join(regions, "_key").where("_id <> _pivot").select("_key", "_id", F.lit(True).alias("_home"))
-    rest = join.open_regions(rest)
-    while not rest.isEmpty():
-        rest = _voronoi_round(join, rest)
-
-    label = join.labels.select(F.col("node").alias("_rep"), F.col("component").alias("component_id"))
+    members = keyed.join(tied, "_key", "left_semi").join(nodes, "_id").groupBy("_key", F.col("_rep").alias("_id")).agg(F.lit(1).alias("_one"))
+    members = written(members.select("_key", "_id"), "members")
+    heads = members.groupBy("_key").agg(F.min("_id").alias("_head"))
+    clusters = written(components(members.join(heads, "_key").where("_id <> _head").select("_id", "_head").distinct(), "_id", "_head"), "clusters")
+    clusters = clusters.select(F.col("node").alias("_id"), F.col("component").alias("_cluster"))
+    counts = written(clusters.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+
+    packed = src.where("_id is not null").mapInArrow(_pack, "_id bigint, _packed binary")
+    texts = written(packed.join(clusters, "_id").dropDuplicates(["_id"]), "texts")
+    small = texts.join(counts.where(F.col("_size") <= LEAF), "_cluster", "left_semi").select("_cluster", "_id", "_packed", F.lit(True).alias("_left"), F.lit(True).alias("_right"))
+    links = small.groupBy("_cluster").applyInPandas(_leaf_rows(k, percent), "a bigint, b bigint")
+    big = clusters.join(counts.where(F.col("_size") > LEAF), "_cluster", "left_semi")
+    if not big.isEmpty():
+        links = links.unionByName(_block_links(texts.drop("_cluster"), big, k, percent))
+
+    label = components(links).select(F.col("node").alias("_rep"), F.col("component").alias("component_id"))
     found = sets.join(reps, "_set", "left").join(label, "_rep", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_rep", "_id")).alias("component_id")
     return found.select("_id", "_set", F.col("_n").alias("n_shingles"), component)
@@ -269,23 +321,3 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = _solve(df, doc_id, text, k, percent)
     return found.select(F.col("_id").alias(doc_id), "n_shingles", "component_id")
-
-
-def _voronoi_round(join: _Join, rest: DataFrame) -> DataFrame:
-    """Measure every member of the open regions against the region's pivots; the smaller regions that stay open."""
-    order = Window.partitionBy("_key").orderBy(F.xxhash64("_id", F.lit(PIVOTS)), "_id")
-    pivots = rest.where("_home").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= PIVOTS)
-    pivots = pivots.select("_key", F.col("_id").alias("_pivot"))
-    pairs = written(rest.join(pivots, "_key").where("_id <> _pivot"), "pairs")
-    measured = join.measure(pairs.select("_id", "_pivot").distinct())
-    join.add(measured)
-    d = 1 - F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
-    chosen = pivots.select("_key", F.col("_pivot").alias("_id"))
-    apart = pairs.join(measured.select("_id", "_pivot", d.alias("_d")), ["_id", "_pivot"]).join(chosen, ["_key", "_id"], "left_anti")
-    nearest = apart.groupBy("_key", "_id").agg(F.min(F.struct("_d", "_pivot")).alias("_near"))
-    eps = 1 - join.percent / 100
-    cells = apart.join(nearest, ["_key", "_id"]).where(F.col("_d") <= F.col("_near")["_d"] + 2 * eps + 1e-9)
-    cells = cells.select(
-        F.xxhash64("_key", "_pivot").alias("_key"), "_id", (F.col("_home") & (F.col("_pivot") == F.col("_near")["_pivot"])).alias("_home")
-    )
-    return join.open_regions(cells)

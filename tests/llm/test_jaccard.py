@@ -78,17 +78,20 @@ def test_against_brute_force(spark, seed, k, percent):
     assert rows_of(jaccard.jaccard_components(df, k=k, percent=percent)) == brute(rows, k, percent)
 
 
-def test_regions_recurse(spark, monkeypatch):
-    """A large cluster whose members are near a shared base but mostly do not link: many rounds, still exact."""
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+@pytest.mark.parametrize("links", [False, True])
+def test_large_clusters(spark, monkeypatch, links):
+    """Clusters above the leaf size: measured against pivots, cut into blocks, still exact."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
     r = random.Random(4)
-    base = [f"w{i}" for i in range(60)]
     rows = []
-    for i in range(40):
-        t = list(base)
-        for at in r.sample(range(60), r.choice([1, 2, 3])):
-            t[at] = f"x{r.randint(0, 5)}"
-        rows.append((i, " ".join(t)))
+    for c in range(2):
+        base = [f"w{c}{i}" for i in range(60)]
+        for i in range(40):
+            t = list(base)
+            for at in r.sample(range(60), r.choice([0, 1] if links else [1, 2, 3])):
+                t[at] = f"x{r.randint(0, 5)}"
+            rows.append((100 * c + i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert rows_of(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
 
