@@ -42,6 +42,10 @@ from pyspark.sql.window import Window
 from evalframe.llm.common import text_or_empty, written
 from evalframe.llm.components import components
 
+#: documents whose pairs decide which come last in the order, and the share of them that makes a pair frequent;
+#: a set has 1 / ORDER_SHARE such pairs on average at most, so their list has a fixed bound
+ORDER_SAMPLE = 20_000
+ORDER_SHARE = 1 / 2_000
 #: documents that a leaf holds, at most (twice as many where two blocks meet)
 LEAF = 512
 #: pivots of a larger cluster
@@ -135,7 +139,20 @@ def _set_rows(k: int):
     return run
 
 
-def _key_rows(k: int, percent: int):
+def first_pairs(s: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
+    """The first ring pairs of a set, in the order (in ``last``, hash)."""
+    pairs, p = ring_pairs(s), prefix_length(len(s), percent)
+    if p >= len(pairs):
+        return pairs
+    late = last[np.minimum(np.searchsorted(last, pairs), len(last) - 1)] == pairs if len(last) else np.zeros(len(pairs), dtype=bool)
+    early = pairs[~late]
+    if p < len(early):
+        return np.partition(early, p - 1)[:p]
+    return np.concatenate((early, np.sort(pairs[late])[: p - len(early)]))
+
+
+def _key_rows(k: int, percent: int | None, last: np.ndarray):
+    """(_key, _id) of the first ring pairs of each set, or of all pairs if ``percent`` is None."""
     schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +163,9 @@ def _key_rows(k: int, percent: int):
                 s = of.shingles(x.as_buffer())
                 if not len(s):
                     continue
-                p = prefix_length(len(s), percent)
-                pairs = ring_pairs(s)
-                keys.append(np.partition(pairs, p - 1)[:p] if p < len(pairs) else pairs)
-                ids.append(np.full(p, i, dtype=np.int64))
-                made += p
+                keys.append(ring_pairs(s) if percent is None else first_pairs(s, percent, last))
+                ids.append(np.full(len(keys[-1]), i, dtype=np.int64))
+                made += len(keys[-1])
                 if made > 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
                     ids, keys, made = [], [], 0
@@ -284,7 +299,12 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
     reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep")), "reps")
     nodes = sets.where("_id is not null").join(reps, "_set").select("_id", "_rep").distinct()
 
-    keyed = src.where("_id is not null").mapInArrow(_key_rows(k, percent), "_key bigint, _id bigint")
+    rows = max(1, sets.count())
+    sample = src.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, ORDER_SAMPLE / rows) * (1 << 30)))
+    often = sample.where("_id is not null").mapInArrow(_key_rows(k, None, np.empty(0)), "_key bigint, _id bigint").groupBy("_key").count()
+    often = often.where(F.col("count") >= max(4, int(min(rows, ORDER_SAMPLE) * ORDER_SHARE))).select("_key").toPandas()["_key"]
+    last = np.sort(often.to_numpy(dtype=np.int64).view(np.uint64))
+    keyed = src.where("_id is not null").mapInArrow(_key_rows(k, percent, last), "_key bigint, _id bigint")
     tied = written(keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key"), "keys")
     # copies become their representative; a key that only copies share is no region
     members = keyed.join(tied, "_key", "left_semi").join(nodes, "_id").groupBy("_key", F.col("_rep").alias("_id")).agg(F.lit(1).alias("_one"))
