@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import html_bp, jaccard, mixing, quality, repeats, sharding
+from evalframe.llm import decontam, html_bp, jaccard, mixing, packing, quality, repeats, sharding
 from evalframe.llm.common import read, text_or_empty
 
 N_SHARDS = 8
@@ -55,6 +55,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how much of it they hold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2048 token ids."""
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_html_text": op3_html_text,
@@ -63,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_windows": op6_repeated_windows,
     "op8_source_mixing": op8_source_mixing,
 }
+QUERIES |= {"op9_decontamination": op9_decontamination, "op10_token_packing": op10_token_packing}
 ORACLES: dict[str, str] = {}
