@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import mixing, quality, sharding
+from evalframe.llm import decontam, jaccard, mixing, quality, sharding
 from evalframe.llm.common import read
 from evalframe.session import materialize
 
@@ -24,6 +24,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of every component of linked 5-word shingle sets (Jaccard 0.8 or more).
+
+    Rows that repeat an id count as one document; rows without an id all stay.
+    """
+    found = jaccard.jaccard_components(docs, k=5, percent=80)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    chosen = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    key = F.xxhash64("text")
+    leaks = decontam.find_leaks(docs.select(key.alias("_key"), "text"), read(spark, sf_dir, "benchmark"), doc_id="_key")
+    gone = leaks.select("_key").distinct()
+    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(*docs.columns)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often (0, 1 or 2 times) as the weighted mix takes it."""
     mixed = mixing.mix(docs)
@@ -40,6 +59,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("source_mixing", source_mixing),
     ("sharding", shards),
 ]

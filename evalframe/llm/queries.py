@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import decontam, html_bp, jaccard, mixing, packing, quality, repeats, sharding
+from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, quality, repeats, sharding
 from evalframe.llm.common import read, text_or_empty
 
 N_SHARDS = 8
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line repeats, up to one word."""
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of eight shards whose row counts differ by at most one."""
     text = text_or_empty("text")
@@ -49,6 +54,12 @@ def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address and host."""
+    model = langid.fit_text(read(spark, sf_dir, "documents").select("text", "lang"))
+    return langid.identify(read(spark, sf_dir, "pages"), model).drop("html")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the weighted mix takes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -74,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_windows": op6_repeated_windows,
     "op8_source_mixing": op8_source_mixing,
 }
+QUERIES |= {"op1_line_dedup": op1_line_dedup, "op7_language": op7_language}
 QUERIES |= {"op9_decontamination": op9_decontamination, "op10_token_packing": op10_token_packing}
 ORACLES: dict[str, str] = {}
