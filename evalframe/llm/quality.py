@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import NOT_SPACE, SPACE, checkpoint, text_or_empty, words
+from evalframe.llm.common import NOT_SPACE, SPACE, checkpoint, text_or_empty, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -134,9 +134,10 @@ def judge(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     remain without those lines. Null text: kept false. Null host: one host of
     its own. Repeated rows get equal verdicts. Empty table: no rows.
     """
-    own = {"n_boiler_words", "kept"}
-    rows = base_counts(df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own]), text)
-    columns = rows.columns
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boiler_words", "kept"}
+    cols = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    base = base_counts(df.select(*_host_and_text(host, text), F.col(f"`{text}`").alias("_t")), "_t").drop("_t")
+    base = base.dropDuplicates(["_host", "_text"])
     # both are small against the texts and feed several joins: written once to the shared folder
     lines, copies = checkpoint(document_lines(df, host, text)), checkpoint(distinct_texts(df, host, text))
     boiler = (
@@ -146,12 +147,13 @@ def judge(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
         .join(copies, ["_host", "_text"])
         .select("_host", "_text", F.expr("_sum div _copies").alias("_boiler"))
     )
-    joined = rows.select(*[F.col(f"`{c}`") for c in columns], *_host_and_text(host, text)).join(
-        boiler, ["_host", "_text"], "left"
-    )
     lost = F.coalesce("_boiler", F.lit(0).cast("bigint"))
-    kept = ~F.col("base_failed") & (100 * (F.col("n_words") - lost) >= MIN_LEFT_PERCENT * F.col("n_words"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], lost.alias("n_boiler_words"), kept.alias("kept"))
+    left = (F.col("n_words") - F.col("n_boiler_words")) * 100 >= MIN_LEFT_PERCENT * F.col("n_words")
+    # one row per text and host; written, so that a filter on the verdict reads it instead of counting again
+    verdict = base.join(boiler, ["_host", "_text"], "left").withColumn("n_boiler_words", lost).drop("_boiler")
+    verdict = written(verdict.withColumn("kept", ~F.col("base_failed") & left), "verdicts")
+    joined = df.select(*cols, *_host_and_text(host, text)).join(verdict, ["_host", "_text"])
+    return joined.drop("_host", "_text")
 
 
 def without_frequent_lines(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
