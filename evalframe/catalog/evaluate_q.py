@@ -188,7 +188,7 @@ def q_run_summary(spark, sf_dir):
     n = records.count()
     run = spark.range(1).select(*summary_row(F.lit("choice_qa"), F.lit("stand-in"), F.lit("choice"), None, None, None, None, None, F.lit(n)))
     write_runs(run, os.path.join(root, "runs"))
-    key = run.first().run_key
+    key = run.first().result_path
     log = os.path.join(root, "evaluations")
     append_evaluation(spark, log, key, "task__choice_qa", metrics, num_samples=n)
     time.sleep(0.01)  # newer timestamp for the second evaluation

@@ -35,7 +35,6 @@ TRUE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*true"
 FALSE_FIELD = '"criteria_met"' + WS + "*:" + WS + "*false"
 YES_WORD = NOT_WORD_BEHIND + "yes" + NOT_WORD_AHEAD
 NO_WORD = NOT_WORD_BEHIND + "no" + NOT_WORD_AHEAD
-MAX_NESTING = 16
 # A flat JSON object: escape-free keys; values that are JSON strings, JSON
 # numbers, true, false or null; JSON whitespace only.
 _JWS = "[ \\t\\n\\r]*"
@@ -64,20 +63,16 @@ def text_rules(lowered: Column) -> Column:
 
 
 def _one_object(c: Column) -> Column:
-    """True when ``c`` is exactly one JSON object (JSON whitespace around it allowed).
+    """True when ``c`` is exactly one JSON object (JSON whitespace around it allowed), at any depth.
 
-    String literals are blanked so only structural brackets remain, then the
-    innermost bracket groups are collapsed to one token, pass after pass; one
-    object collapses to exactly one token, trailing content (a stray bracket
-    included) leaves more. Exact up to ``MAX_NESTING`` levels of nesting;
-    deeper objects count as not parsable. Only regular expressions are used.
+    As the only element of an array it must parse as one element, and as a
+    member it must leave the member after it readable; both fail on trailing
+    content and on unbalanced brackets.
     """
-    t = F.regexp_replace(c, '"(?:[^"\\\\]++|\\\\.)*+"', '""')
-    t = F.regexp_replace(t, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
-    starts = t.startswith("{")
-    for _ in range(MAX_NESTING):
-        t = F.regexp_replace(t, "\\{[^\\[\\]{}]*\\}|\\[[^\\[\\]{}]*\\]", "@")
-    return starts & (t == "@")
+    element = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", _JSON_OPTS)
+    member = F.from_json(F.concat(F.lit('{"v":'), c, F.lit(',"zz_end":1}')), "v string, zz_end int", _JSON_OPTS)
+    starts = F.regexp_replace(c, "^[ \\t\\n\\r]+", "").startswith("{")
+    return F.coalesce(starts & (F.size(element) == 1) & (member["zz_end"] == 1), F.lit(False))
 
 
 def _json_verdict(candidate: Column, strict: bool) -> Column:

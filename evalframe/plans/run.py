@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
@@ -29,6 +30,7 @@ from evalframe.sources.runs import (
     evaluated_key,
     evaluation_name,
     find_run,
+    latest_runs,
     result_path,
     run_key,
     summary_row,
@@ -69,7 +71,8 @@ def run_generation(
 
     ``samples`` needs ``sample_id`` (and ``sample_idx`` when ``limit`` is set:
     the first ``limit`` samples in ingest order). New records are appended to
-    ``records_path``; the full, persisted record table is returned.
+    ``records_path``; the persisted records of these samples are returned, one
+    each. A record with an error (``on_error="null"``) is tried again by the next run.
     """
     if limit is not None:
         samples = samples.where(F.col("sample_idx") < limit)
@@ -91,9 +94,18 @@ def run_generation(
 
     schema = records_of(frame).schema
     existing = _persisted(spark, records_path, schema)
-    todo = frame if existing is None else pending(frame, existing)
+    todo = frame if existing is None else pending(frame, existing.where("error is null"))
     write_jsonl(records_of(todo), records_path, mode="append")
-    return read_jsonl(spark, records_path, schema)
+    records = current_records(read_jsonl(spark, records_path, schema))
+    return records if limit is None else records.join(samples.select("sample_id"), "sample_id", "left_semi")
+
+
+def current_records(records: DataFrame) -> DataFrame:
+    """One record per sample: a good one where some attempt succeeded, else the last failed one kept."""
+    if "error" not in records.columns:
+        return records
+    order = Window.partitionBy("sample_id").orderBy(F.col("error").isNotNull(), F.col("attempts").desc())
+    return records.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
 def details_location(graded_path: str) -> str:
@@ -160,9 +172,8 @@ def _lit_map(d: dict):
 
 def _key_of(spark: SparkSession, task_name: str, backend: str | None, model: str | None, task_config: dict | None, config: GenerationConfig, limit: int | None) -> dict:
     """Run key, result path and evaluation-ready fields of one parameter set (a one-row job)."""
-    cfg_map = _lit_map(task_config or {})
     # the temperature is rendered by Python's float repr, as in result file names
-    key = run_key(cfg_map, F.lit(config.max_tokens), limit=F.lit(limit).cast("int"), temperature_text=str(float(config.temperature)))
+    key = run_key(_lit_map({k: v for k, v in (task_config or {}).items() if v is not None and v not in ("", [], {}, ())}), F.lit(config.max_tokens), limit=F.lit(limit).cast("int"), temperature_text=str(float(config.temperature)))
     row = spark.range(1).select(
         key.alias("run_key"),
         result_path(F.lit(task_name), F.lit(backend), F.lit(model), key).alias("result_path"),
@@ -184,6 +195,8 @@ def run_task(
     limit: int | None = None,
     partitions: int | None = None,
     concurrency: int = 1,
+    retry: RetryPolicy | None = None,
+    on_error: str = "fail",
 ) -> DataFrame:
     """Generate (resumably) and record a run: records under
     ``root/records/{task}/{backend}/{model}/{run_key}.jsonl``, one summary row
@@ -193,7 +206,7 @@ def run_task(
     records_path = os.path.join(root, "records", key["result_path"][: -len(RESULT_SUFFIX)] + RECORDS_SUFFIX)
     records = run_generation(
         spark, task, samples, predictor_factory, records_path,
-        limit=limit, config=cfg, partitions=partitions, concurrency=concurrency,
+        limit=limit, config=cfg, partitions=partitions, concurrency=concurrency, retry=retry, on_error=on_error,
     )
     n = records.count()
     summary = spark.range(1).select(
@@ -207,7 +220,7 @@ def run_task(
         )
     )
     write_runs(summary, os.path.join(root, "runs"))
-    return spark.read.parquet(os.path.join(root, "runs")).where(F.col("run_key") == key["run_key"])
+    return latest_runs(spark.read.parquet(os.path.join(root, "runs")).where(F.col("result_path") == key["result_path"]))
 
 
 def evaluate_task(
@@ -227,17 +240,19 @@ def evaluate_task(
     """Locate a run by its parameters, grade its records (resumably), aggregate, and
     append the evaluation to ``root/evaluations``; returns the metrics."""
     cfg = config or GenerationConfig()
-    key = _key_of(spark, task.name, backend, model, task_config, cfg, limit)["run_key"]
-    run = find_run(spark, os.path.join(root, "runs"), task.name, backend or UNKNOWN_BACKEND, model or UNKNOWN_MODEL, key).first()
+    identity = _key_of(spark, task.name, backend, model, task_config, cfg, limit)
+    key = identity["run_key"]
+    run = latest_runs(find_run(spark, os.path.join(root, "runs"), task.name, backend or UNKNOWN_BACKEND, model or UNKNOWN_MODEL, key)).first()
     records_path = run.metadata["sample_results_path"]
     stored = run.metadata.get("record_schema")
     # records are read with the schema they were written with (inference would
     # turn empty arrays and all-null fields into strings)
-    records = read_jsonl(spark, records_path, StructType.fromJson(json.loads(stored)) if stored else None)
+    records = current_records(read_jsonl(spark, records_path, StructType.fromJson(json.loads(stored)) if stored else None))
     marker = spark.range(1).select(evaluated_key(F.lit(key), F.lit(grader_backend), F.lit(grader_model)).alias("k")).first().k
-    graded_path = os.path.join(root, "graded", marker)
+    # grades of one model must never serve another: the path names task, backend and model
+    graded_path = os.path.join(root, "graded", os.path.dirname(identity["result_path"]), marker)
     _, metrics = evaluate_run(spark, task, records, graded_path, judge=judge)
     name = spark.range(1).select(evaluation_name(F.lit(task.name), F.lit(grader_backend), F.lit(grader_model)).alias("n")).first().n
     grader = {k: v for k, v in (("backend", grader_backend), ("model", grader_model)) if v}
-    append_evaluation(spark, os.path.join(root, "evaluations"), key, name, metrics, grader, run.num_samples)
+    append_evaluation(spark, os.path.join(root, "evaluations"), identity["result_path"], name, metrics, grader, run.num_samples)
     return metrics

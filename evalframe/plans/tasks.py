@@ -146,11 +146,19 @@ def _qa_payload(df: DataFrame, strict: bool = False) -> Column:
     )
 
 
+def _offers_options(records: DataFrame):
+    """Whether a record's question had options: its flag, or the stored options themselves (either may be absent)."""
+    fields = records.schema["evaluation_sample"].dataType.names
+    s = F.col("evaluation_sample")
+    flag = F.coalesce(s["has_options"], F.lit(False)) if "has_options" in fields else F.lit(False)
+    return flag | F.coalesce(F.size(s["options"]) > 0, F.lit(False)) if "options" in fields else flag
+
+
 def _qa_grade(records: DataFrame, judge: Judge | None = None, details_path: str | None = None) -> DataFrame:
     s = F.col("evaluation_sample")
     ref = first_nonempty(F.col("reference"), F.upper(py_strip(F.coalesce(s["answer"], F.lit("")))))
     ev = F.struct(
-        grade_qa(F.coalesce(F.col("prediction"), F.lit("")), ref, F.coalesce(s["has_options"], F.lit(False))).alias("correct"),
+        grade_qa(F.coalesce(F.col("prediction"), F.lit("")), ref, _offers_options(records)).alias("correct"),
         category_label(s["category"], s["type"], s["task_type"]).alias("category"),
     )
     return records.select("sample_id", ev.alias("evaluation"))

@@ -123,15 +123,6 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-# Inputs with more files than this get split offsets by a distributed prefix sum.
-SINGLE_TASK_OFFSET_FILES = 10_000
-
-
-def _offsets_single_task(splits: DataFrame) -> DataFrame:
-    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    return splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-
-
 def _offsets_distributed(splits: DataFrame) -> DataFrame:
     """Running sum over (file, split) order without a single-task window.
 
@@ -151,16 +142,15 @@ def _offsets_distributed(splits: DataFrame) -> DataFrame:
     return local.join(part_off, "_p").select("_f", "_b", "_m0", (F.col("_poff") + F.col("_loff")).alias("_off"))
 
 
-def with_sample_idx(scan: DataFrame, name: str = "sample_idx", single_task_files: int = SINGLE_TASK_OFFSET_FILES) -> DataFrame:
+def with_sample_idx(scan: DataFrame, name: str = "sample_idx") -> DataFrame:
     """Global 0-based position of every row in (sorted file path, in-file order).
 
     Must be applied directly on a file scan. Rows are tagged with their file,
     split start and a monotonically increasing id (contiguous within a split);
     per-split row counts (one row per file split) give each split its offset
     through a running sum, and a row's position is offset + its rank inside
-    the split. No data row is sorted or moved to one task. Up to
-    ``single_task_files`` input files the running sum runs in one task (the
-    split table is metadata-sized); beyond, it is a distributed prefix sum.
+    the split. No data row is sorted or moved to one task; the running sum over
+    splits is a distributed prefix sum.
     """
     tagged = scan.select(
         "*",
@@ -169,9 +159,7 @@ def with_sample_idx(scan: DataFrame, name: str = "sample_idx", single_task_files
         F.monotonically_increasing_id().alias("_m"),
     )
     splits = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    many_files = len(scan.inputFiles()) > single_task_files
-    offsets = _offsets_distributed(splits) if many_files else _offsets_single_task(splits)
-    out = tagged.join(offsets, ["_f", "_b"])
+    out = tagged.join(_offsets_distributed(splits), ["_f", "_b"])
     return out.withColumn(name, F.col("_off") + F.col("_m") - F.col("_m0")).drop("_f", "_b", "_m", "_m0", "_off")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalframe.functions.text import first_nonempty, sanitize_component
 
@@ -200,7 +201,7 @@ def metrics_entries(metrics: DataFrame) -> DataFrame:
 
 
 EVALUATION_LOG_SCHEMA = (
-    "run_key string, evaluation_name string, metrics map<string,double>, grader map<string,string>, "
+    "result_path string, evaluation_name string, metrics map<string,double>, grader map<string,string>, "
     "num_samples bigint, ts timestamp"
 )
 
@@ -214,7 +215,8 @@ def append_evaluation(
     grader: dict | None = None,
     num_samples: int | None = None,
 ) -> None:
-    """Append one evaluation of a run to the evaluation log.
+    """Append one evaluation of a run to the evaluation log; ``key`` is the run's
+    ``result_path``, which names task, backend, model and run key.
 
     ``metrics`` is the long form (metric, value[, n]); it becomes one map. The
     log is append-only: re-evaluating under the same name adds a newer row,
@@ -222,7 +224,7 @@ def append_evaluation(
     """
     grader_map = F.create_map(*[F.lit(x) for kv in sorted((grader or {}).items()) for x in kv]).cast("map<string,string>")
     row = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("double")))).alias("metrics")).select(
-        F.lit(key).alias("run_key"),
+        F.lit(key).alias("result_path"),
         F.lit(name).alias("evaluation_name"),
         F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"),
         grader_map.alias("grader"),
@@ -232,20 +234,26 @@ def append_evaluation(
     row.write.mode("append").parquet(log_path)
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """One row per run (task, backend, model, run key): a rerun adds a row that holds at least as many samples."""
+    order = Window.partitionBy("result_path").orderBy(F.col("num_samples").desc_nulls_last())
+    return runs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
 def run_summaries(spark: SparkSession, runs_path: str, log_path: str | None) -> DataFrame:
     """Runs with their evaluations folded in: per (run, evaluation name) the newest
     entry wins, ``evaluations`` maps name → {metrics, grader}, and the run's
     top-level ``metrics`` are those of its newest evaluation."""
-    runs = spark.read.parquet(runs_path)
+    runs = latest_runs(spark.read.parquet(runs_path))
     if log_path is None:
         return runs
     log = spark.read.parquet(log_path)
-    latest = log.groupBy("run_key", "evaluation_name").agg(F.max_by(F.struct("metrics", "grader", "ts"), "ts").alias("e"))
-    per_run = latest.groupBy("run_key").agg(
+    latest = log.groupBy("result_path", "evaluation_name").agg(F.max_by(F.struct("metrics", "grader", "ts"), "ts").alias("e"))
+    per_run = latest.groupBy("result_path").agg(
         F.map_from_entries(F.collect_list(F.struct("evaluation_name", F.struct(F.col("e.metrics").alias("metrics"), F.col("e.grader").alias("grader"))))).alias("_evals"),
         F.max_by(F.col("e.metrics"), F.col("e.ts")).alias("_metrics"),
     )
-    joined = runs.join(per_run, "run_key", "left")
+    joined = runs.join(per_run, "result_path", "left")
     return joined.withColumn("evaluations", F.coalesce("_evals", "evaluations")).withColumn(
         "metrics", F.coalesce("_metrics", "metrics")
     ).drop("_evals", "_metrics")

@@ -98,12 +98,10 @@ def test_ordered_ingest_many_files(spark, tmp_dir):
         _write_lines(os.path.join(tmp_dir, name), [{"id": i} for i in ids])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256")  # several splits per file
     try:
-        one_task = with_sample_idx(read_jsonl(spark, tmp_dir, "id int")).collect()
-        distributed = with_sample_idx(read_jsonl(spark, tmp_dir, "id int"), single_task_files=0).collect()
+        rows = with_sample_idx(read_jsonl(spark, tmp_dir, "id int")).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted((r.id, r.sample_idx) for r in one_task) == [(i, i) for i in range(151)]
-    assert sorted((r.id, r.sample_idx) for r in distributed) == [(i, i) for i in range(151)]
+    assert sorted((r.id, r.sample_idx) for r in rows) == [(i, i) for i in range(151)]
 
 
 def test_resume_and_merges(spark):
@@ -141,8 +139,7 @@ def test_ordered_ingest_parquet_row_groups(spark, tmp_dir):
     docs.coalesce(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", str(16 * 1024)).parquet(path)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 * 1024))
     try:
-        for single in (10_000, 0):
-            df = with_sample_idx(spark.read.parquet(path).select("doc_id"), single_task_files=single)
-            assert df.where("doc_id <> sample_idx").count() == 0 and df.count() == docs.count()
+        df = with_sample_idx(spark.read.parquet(path).select("doc_id"))
+        assert df.where("doc_id <> sample_idx").count() == 0 and df.count() == docs.count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -120,7 +120,7 @@ def test_evaluation_log_and_summaries(spark):
     rows = df.select(*summary_row("task", "backend", "model", None, None, None, None, None, "n"))
     runs_path, log_path = scratch_path(spark, "runs-ev"), scratch_path(spark, "evals")
     write_runs(rows, runs_path)
-    key = rows.first().run_key
+    key = rows.first().result_path
     m1 = spark.createDataFrame([("accuracy", 0.5, 10)], "metric string, value double, n bigint")
     append_evaluation(spark, log_path, key, "task__qa", m1)
     time.sleep(0.05)

@@ -98,3 +98,11 @@ def test_json_tier_matches_strict_parse(spark, parts):
     df = one_col(spark, [text])
     got = collect_ordered(df.select("i", parse_verdict("x").alias("v")), "v")[0]
     assert got == expected, text
+
+
+def test_verdict_at_any_depth(spark):
+    """A deep member before the verdict changes nothing (the outer value decides)."""
+    replies = ['{"detail": {"criteria_met": true, "deep": ' + "[" * n + "1" + "]" * n + '}, "criteria_met": false}' for n in (1, 10, 16, 17, 20, 40)]
+    df = spark.createDataFrame([(r,) for r in replies], "reply string")
+    got = [r["verdict"] for r in with_verdict(df, "reply", "verdict").collect()]
+    assert got == [False] * len(replies)
