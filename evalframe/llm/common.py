@@ -79,5 +79,11 @@ def with_rank(df: DataFrame, group: list[str], key: str, bits: int, out: str) ->
     )
 
 
+def hash_sample(df: DataFrame, columns: list[str], rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a seeded hash of their content; all of a smaller table."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

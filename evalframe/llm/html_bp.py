@@ -27,7 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: labelled pages that the potentials are counted on, at most
+from evalframe.llm.common import hash_sample
+
+#: labelled pages that the potentials are counted on, about
 TRAIN_PAGES = 2_000
 
 # fixed values: element names of the HTML standard
@@ -260,9 +262,9 @@ def main_text(source: str | None, model: Model) -> str:
 
 
 def fit(pages: DataFrame, source: str = "html") -> Model:
-    """Count the potentials on the ``TRAIN_PAGES`` pages of least hash; only the counts reach the driver."""
+    """Count the potentials on about ``TRAIN_PAGES`` pages chosen by hash; only the counts reach the driver."""
     page = F.col(f"`{source}`").alias("_page")
-    sample = pages.select(page).where(F.col("_page").isNotNull()).orderBy(F.xxhash64("_page")).limit(TRAIN_PAGES)
+    sample = hash_sample(pages.select(page).where(F.col("_page").isNotNull()), ["_page"], TRAIN_PAGES, 7)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

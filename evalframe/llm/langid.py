@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import written
+from evalframe.llm.common import hash_sample, written
 
 BUCKETS = 1 << 15
 TRAIN_DOCUMENTS = 8_000
@@ -67,9 +67,9 @@ class TextModel:
 
 
 def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
-    """Count trigrams per language on the ``TRAIN_DOCUMENTS`` labelled texts of least hash."""
+    """Count trigrams per language on about ``TRAIN_DOCUMENTS`` labelled texts chosen by hash."""
     src = labelled.select(F.col(f"`{text}`").alias("_t"), F.col(f"`{lang}`").cast("string").alias("_l")).where("_t is not null and _l is not null")
-    sample = src.orderBy(F.xxhash64("_t", F.lit(1))).limit(TRAIN_DOCUMENTS).repartition(8, F.xxhash64("_t"))
+    sample = hash_sample(src, ["_t"], TRAIN_DOCUMENTS, 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -77,11 +77,15 @@ def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Tex
             for t, x in zip(batch["_t"], batch["_l"], strict=True):
                 total.setdefault(x, np.zeros(BUCKETS, dtype=np.int64))
                 total[x] += np.bincount(trigram_counts(t), minlength=BUCKETS)
-        yield pd.DataFrame([(x, n.tobytes()) for x, n in total.items()], columns=["lang", "counts"])
+        for x, n in total.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": x, "bucket": at, "n": n[at]})
 
+    summed = sample.mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(count, "lang string, counts binary").collect():  # a row for each part and language
-        counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+    rows = summed.toPandas()  # a row for each language and bucket at most
+    for x, part in rows.groupby("lang"):
+        counts[x] = np.bincount(part["bucket"], weights=part["n"], minlength=BUCKETS)
     return TextModel(counts)
 
 
