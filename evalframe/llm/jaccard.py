@@ -126,15 +126,23 @@ def ring_pairs(s: np.ndarray) -> np.ndarray:
     return _mix(s * _A + np.roll(s, -1) * _B)
 
 
-def _set_rows(k: int):
-    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_set", pa.binary())])
+def _set_rows(k: int, percent: int, last: np.ndarray):
+    """(_id, _n, _set, _keys): size and digest of each set, and its first ring pairs."""
+    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_set", pa.binary()), ("_keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
         for batch in batches:
-            sets = [of.shingles(x.as_buffer()) if x.is_valid else of.shingles(b"") for x in batch.column("_bytes")]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=schema)
+            sizes, digests, keys = [], [], []
+            for x in batch.column("_bytes"):
+                s = of.shingles(x.as_buffer() if x.is_valid else b"")
+                sizes.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(first_pairs(s, percent, last) if len(s) else s)
+            ends = np.cumsum([0, *[len(x) for x in keys]]).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
 
     return run
 
@@ -151,26 +159,17 @@ def first_pairs(s: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
     return np.concatenate((early, np.sort(pairs[late])[: p - len(early)]))
 
 
-def _key_rows(k: int, percent: int | None, last: np.ndarray):
-    """(_key, _id) of the first ring pairs of each set, or of all pairs if ``percent`` is None."""
-    schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64())])
+def _pair_rows(k: int):
+    """(_key) of all ring pairs of each set."""
+    schema = pa.schema([("_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
         for batch in batches:
-            ids, keys, made = [], [], 0
-            for i, x in zip(batch.column("_id").to_pylist(), batch.column("_bytes"), strict=True):
+            for x in batch.column("_bytes"):
                 s = of.shingles(x.as_buffer())
-                if not len(s):
-                    continue
-                keys.append(ring_pairs(s) if percent is None else first_pairs(s, percent, last))
-                ids.append(np.full(len(keys[-1]), i, dtype=np.int64))
-                made += len(keys[-1])
-                if made > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
-                    ids, keys, made = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(ring_pairs(s).view(np.int64))], schema=schema)
 
     return run
 
@@ -295,20 +294,20 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     src = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), text_or_empty(F.col(f"`{text}`")).cast("binary").alias("_bytes"))
-    sets = written(src.mapInArrow(_set_rows(k), "_id bigint, _n bigint, _set binary"), "sets")
-    reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep")), "reps")
-    nodes = sets.where("_id is not null").join(reps, "_set").select("_id", "_rep").distinct()
-
-    rows = max(1, sets.count())
+    rows = max(1, src.count())
     sample = src.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, ORDER_SAMPLE / rows) * (1 << 30)))
-    often = sample.where("_id is not null").mapInArrow(_key_rows(k, None, np.empty(0)), "_key bigint, _id bigint").groupBy("_key").count()
+    often = sample.where("_id is not null").mapInArrow(_pair_rows(k), "_key bigint").groupBy("_key").count()
     often = often.where(F.col("count") >= max(4, int(min(rows, ORDER_SAMPLE) * ORDER_SHARE))).select("_key").toPandas()["_key"]
     last = np.sort(often.to_numpy(dtype=np.int64).view(np.uint64))
-    keyed = src.where("_id is not null").mapInArrow(_key_rows(k, percent, last), "_key bigint, _id bigint")
+
+    sets = written(src.mapInArrow(_set_rows(k, percent, last), "_id bigint, _n bigint, _set binary, _keys array<bigint>"), "sets")
+    reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep")), "reps")
+    # one document stands for its copies, so a key that only copies share is no region
+    alone = sets.select(F.col("_id").alias("_rep"), "_set", "_keys").join(reps, ["_rep", "_set"], "left_semi")
+    keyed = alone.select(F.explode("_keys").alias("_key"), F.col("_rep").alias("_id"))
     tied = written(keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key"), "keys")
-    # copies become their representative; a key that only copies share is no region
-    members = keyed.join(tied, "_key", "left_semi").join(nodes, "_id").groupBy("_key", F.col("_rep").alias("_id")).agg(F.lit(1).alias("_one"))
-    members = written(members.select("_key", "_id"), "members")
+    members = keyed.join(tied, "_key", "left_semi")
+    members = written(members, "members")
     heads = members.groupBy("_key").agg(F.min("_id").alias("_head"))
     clusters = written(components(members.join(heads, "_key").where("_id <> _head").select("_id", "_head").distinct(), "_id", "_head"), "clusters")
     clusters = clusters.select(F.col("node").alias("_id"), F.col("component").alias("_cluster"))
@@ -323,7 +322,7 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
         links = links.unionByName(_block_links(texts.drop("_cluster"), big, k, percent))
 
     label = components(links).select(F.col("node").alias("_rep"), F.col("component").alias("component_id"))
-    found = sets.join(reps, "_set", "left").join(label, "_rep", "left")
+    found = sets.drop("_keys").join(reps, "_set", "left").join(label, "_rep", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_rep", "_id")).alias("component_id")
     return found.select("_id", "_set", F.col("_n").alias("n_shingles"), component)
 
