@@ -13,7 +13,7 @@ import time
 from pyspark.sql import functions as F
 
 from evalframe.catalog import sqltext as S
-from evalframe.catalog.fixtures import qa_samples_sql
+from evalframe.catalog.fixtures import SAMPLE_CRITERIA_SQL, qa_samples_sql, sample_criteria
 from evalframe.catalog.io_q import qa_records
 from evalframe.catalog.prompts_q import sql_fill, sql_str
 from evalframe.catalog.registry import query
@@ -26,12 +26,11 @@ from evalframe.session import materialize, scratch_path, table
 from evalframe.sources.files import read_jsonl
 from evalframe.sources.runs import append_evaluation, run_summaries, summary_row, write_runs
 
-TURNS_PER_SAMPLE = 16
-_SAMPLE_ID = f"conv_id * 1000 + CAST(floor(turn / {TURNS_PER_SAMPLE}) AS BIGINT)"
+_SAMPLE_ID = "conv_id"
 
 
 def _turn_blocks(spark, sf_dir):
-    """Turns grouped into samples: (sample_id, shape, ordered turns) — at most 16 turns each."""
+    """Conversations as samples: (sample_id, conv_id, ordered turns)."""
     turns = table(spark, sf_dir, "conversations").select(F.expr(_SAMPLE_ID).alias("sample_id"), "conv_id", "turn", "role", "text")
     return turns.groupBy("sample_id", "conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
@@ -89,9 +88,6 @@ def q_chat_payload_shapes(spark, sf_dir):
     return msgs.select("sample_id", "msg_idx", "m.role", F.col("m.content")[0]["text"].alias("content"))
 
 
-CRITERIA_GROUPS = 20  # benchmark items whose id ≡ conversation id (mod 20) are a sample's rubric
-
-
 def reply_model():
     """Stand-in chat model: replies "Reply: " + the last user message."""
 
@@ -107,9 +103,9 @@ h AS (SELECT sample_id, any_value(conv_id) AS conv_id,
              string_agg({S.capitalize('role')} || ': ' || coalesce(text, 'None'), chr(10) || chr(10) ORDER BY turn) AS history,
              'Reply: ' || coalesce(arg_max(text, turn) FILTER (WHERE role = 'user' AND text <> ''), '') AS response
       FROM b GROUP BY sample_id),
-c AS (SELECT h.sample_id, {sql_fill(GRADER_TEMPLATE, history="coalesce(nullif(h.history, ''), 'User: ')", response="h.response", criterion="bm.text")} AS prompt,
+c AS (SELECT h.sample_id, {sql_fill(GRADER_TEMPLATE, history="coalesce(nullif(h.history, ''), 'User: ')", response="h.response", criterion="bm.criterion")} AS prompt,
              CAST(bm.item_id % 3 + 1 AS DOUBLE) AS weight
-      FROM h JOIN benchmark bm ON h.conv_id % {CRITERIA_GROUPS} = bm.item_id % {CRITERIA_GROUPS}),
+      FROM h JOIN {SAMPLE_CRITERIA_SQL} bm ON h.conv_id = bm.conv_id),
 v AS (SELECT sample_id, weight, length(prompt) % 2 = 0 AS met FROM c),
 s AS (SELECT sample_id, coalesce(sum(weight) FILTER (WHERE met), 0.0) / sum(weight) AS rubric_score, count(*) AS n_criteria, count(*) FILTER (WHERE met) AS n_met
       FROM v GROUP BY sample_id)
@@ -125,12 +121,9 @@ def q_rubric_evaluate(spark, sf_dir):
     verdicts, weighted scores) — first for the conversations that open with a system
     turn, then resumed for all."""
     blocks = _turn_blocks(spark, sf_dir)
-    bench = table(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") % CRITERIA_GROUPS).alias("g"),
-        F.struct(F.col("text").alias("criterion"), ((F.col("item_id") % 3) + 1).cast("double").alias("weight"), "item_id").alias("r"),
-    )
-    rubrics = bench.groupBy("g").agg(F.array_sort(F.collect_list("r")).alias("rubrics"))
-    docs = blocks.join(rubrics, (F.col("conv_id") % CRITERIA_GROUPS) == F.col("g"), "left").select(
+    rubric = F.struct("criterion", ((F.col("item_id") % 3) + 1).cast("double").alias("weight"), "item_id")
+    rubrics = sample_criteria(spark, sf_dir, blocks.select("conv_id")).groupBy("conv_id").agg(F.array_sort(F.collect_list(rubric)).alias("rubrics"))
+    docs = blocks.join(rubrics, "conv_id", "left").select(
         "sample_id",
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("conversation"),
         F.transform(F.coalesce("rubrics", F.array()), lambda r: F.struct(r["criterion"].alias("criterion"), r["weight"].alias("weight"))).alias("rubrics"),

@@ -9,6 +9,7 @@ and DuckDB, so the oracle reads exactly the same inputs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalframe.session import table
 
@@ -66,5 +67,23 @@ def rubric_criteria_sql() -> str:
     return "SELECT " + ", ".join(CRITERIA_COLUMNS) + " FROM lineitem"
 
 
+#: criteria per conversation: benchmark items (conv_id * 5 + j) mod their number, j = 0..4
+CRITERIA_PER_SAMPLE = 5
+
+
+def sample_criteria(spark: SparkSession, sf_dir: str, samples: DataFrame) -> DataFrame:
+    """``samples`` (with conv_id) × their criteria: item_id and the item's text as criterion."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("criterion"))
+    n_items = bench.select((F.max("item_id") + 1).alias("n")).scalar()
+    j = F.explode(F.sequence(F.lit(0), F.lit(CRITERIA_PER_SAMPLE - 1)))
+    keyed = samples.select("*", j.alias("_j")).withColumn("item_id", (F.col("conv_id") * CRITERIA_PER_SAMPLE + F.col("_j")) % n_items)
+    return keyed.drop("_j").join(bench, "item_id")
+
+
+SAMPLE_CRITERIA_SQL = f"""(SELECT s.conv_id, b.item_id, b.text AS criterion
+FROM (SELECT DISTINCT conv_id FROM conversations) s, (SELECT unnest(range(0, {CRITERIA_PER_SAMPLE})) AS j) k, benchmark b
+WHERE b.item_id = (s.conv_id * {CRITERIA_PER_SAMPLE} + k.j) % (SELECT max(item_id) + 1 FROM benchmark))"""
+
+
 def rubric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sample_id")

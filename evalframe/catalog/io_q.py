@@ -148,17 +148,18 @@ def q_json_array_scan(spark, sf_dir):
 
 @query(
     "split_union",
-    oracle="SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'test_day' ELSE 'test_week' END AS source_split FROM documents WHERE lang IN ('en', 'fr')",
+    oracle="SELECT doc_id, lang, text, CASE WHEN lang = 'en' THEN 'test_day' ELSE 'test_week' END AS source_split FROM documents",
 )
 def q_split_union(spark, sf_dir):
-    """English documents as the day split and French as the week split (JSON arrays of
+    """English documents as the day split and all others as the week split (JSON arrays of
     at most 50 documents per file); the "test" split reads both and tags every row."""
     root = scratch_path(spark, "splits")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.floor(F.col("doc_id") / 50).alias("bucket"))
-    _write_arrays(docs.where(F.col("lang") == "en"), os.path.join(root, "day"), "bucket")
-    _write_arrays(docs.where(F.col("lang") == "fr"), os.path.join(root, "week"), "bucket")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    _write_arrays(docs.where(english), os.path.join(root, "day"), "bucket")
+    _write_arrays(docs.where(~english), os.path.join(root, "week"), "bucket")
     rows = read_splits(spark, root, "test", "doc_id bigint, lang string, text string", {"test": [("day", "test_day"), ("week", "test_week")]})
-    return rows.select("doc_id", "lang", "source_split")
+    return rows.select("doc_id", "lang", "text", "source_split")
 
 
 _LEGACY_RUN = "CAST(o_custkey AS STRING) || '-' || CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING)"

@@ -7,6 +7,7 @@ import string
 from pyspark.sql import functions as F
 
 from evalframe.catalog import sqltext as S
+from evalframe.catalog.fixtures import SAMPLE_CRITERIA_SQL, sample_criteria
 from evalframe.catalog.registry import query
 from evalframe.functions.prompts import (
     CHAT_SYSTEM_PROMPT,
@@ -67,11 +68,9 @@ def q_grading_history(spark, sf_dir):
     return grading_history(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "history")
 
 
-_CRITERIA_GROUPS = 20  # criterion assignment: benchmark items whose id ≡ conversation id (mod 20)
-
 _GRADER_SQL = f"""WITH h AS ({_HISTORY_SQL}),
 r AS (SELECT conv_id, arg_max(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-c AS (SELECT h.conv_id, b.item_id, b.text AS criterion, h.history FROM h JOIN benchmark b ON h.conv_id % {_CRITERIA_GROUPS} = b.item_id % {_CRITERIA_GROUPS})
+c AS (SELECT h.conv_id, b.item_id, b.criterion, h.history FROM h JOIN {SAMPLE_CRITERIA_SQL} b ON h.conv_id = b.conv_id)
 SELECT c.conv_id, c.item_id,
        {sql_fill(GRADER_TEMPLATE, history="coalesce(nullif(c.history, ''), 'User: ')", response="coalesce(r.response, '')", criterion="c.criterion")} AS prompt
 FROM c LEFT JOIN r ON c.conv_id = r.conv_id"""
@@ -82,8 +81,7 @@ def grader_inputs(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     hist = grading_history(turns, "conv_id")
     resp = last_turn(turns, "conv_id")
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("criterion"))
-    crit = hist.join(bench, (hist["conv_id"] % _CRITERIA_GROUPS) == (bench["item_id"] % _CRITERIA_GROUPS))
+    crit = sample_criteria(spark, sf_dir, hist)
     return crit.join(resp, "conv_id", "left").select(
         "conv_id", "item_id", "history", F.coalesce("last_assistant", F.lit("")).alias("response"), "criterion"
     )

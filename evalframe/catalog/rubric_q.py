@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalframe.catalog.fixtures import rubric_criteria, rubric_criteria_sql, rubric_samples
+from evalframe.catalog.fixtures import SAMPLE_CRITERIA_SQL, rubric_criteria, rubric_criteria_sql, rubric_samples, sample_criteria
 from evalframe.catalog.registry import query
 from evalframe.catalog.text_q import _verdict_sql
 from evalframe.operators.rubric import judge_criteria, score_all_samples, score_samples
@@ -75,10 +75,8 @@ def criterion_results(spark, sf_dir):
     )
 
 
-# Nested form: each conversation's rubric is the list of benchmark items of its
-# group (item_id ≡ conv_id mod 20; at most |benchmark|/20 items), each with a
-# grader reply shaped by the item id.
-_NESTED_GROUPS = 20
+# Nested form: each conversation's rubric is the list of its five benchmark
+# items, each with a grader reply shaped by the item id.
 _ITEM_REPLY = """CASE CAST(item_id % 4 AS INT)
     WHEN 0 THEN '{"explanation": "fine", "criteria_met": true}'
     WHEN 1 THEN 'No, it misses this.'
@@ -88,9 +86,8 @@ _ITEM_REPLY = """CASE CAST(item_id % 4 AS INT)
 
 @query(
     "rubric_score_nested",
-    oracle=f"""WITH s AS (SELECT DISTINCT conv_id FROM conversations),
-c AS (SELECT s.conv_id, CAST(b.item_id % 3 + 1 AS DOUBLE) AS weight, {_verdict_sql(_ITEM_REPLY.replace('item_id', 'b.item_id'))} AS v
-      FROM s JOIN benchmark b ON s.conv_id % {_NESTED_GROUPS} = b.item_id % {_NESTED_GROUPS})
+    oracle=f"""WITH c AS (SELECT b.conv_id, CAST(b.item_id % 3 + 1 AS DOUBLE) AS weight, {_verdict_sql(_ITEM_REPLY.replace('item_id', 'b.item_id'))} AS v
+      FROM {SAMPLE_CRITERIA_SQL} b)
 SELECT conv_id,
        round(coalesce(coalesce(sum(CASE WHEN v THEN weight END), 0.0) / nullif(sum(CASE WHEN v IS NOT NULL THEN weight END), 0.0), 0.0), 6) AS rubric_score,
        count(*) AS n_criteria
@@ -99,18 +96,9 @@ FROM c GROUP BY conv_id""",
 def rubric_score_nested(spark, sf_dir):
     """Rubric score of criteria held as an array per sample: verdicts parsed and
     weights summed inside the array, no shuffle of criteria."""
-    bench = table(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") % _NESTED_GROUPS).alias("g"),
-        F.struct(
-            F.col("item_id"),
-            F.col("text").alias("criterion"),
-            ((F.col("item_id") % 3) + 1).cast("double").alias("weight"),
-            F.expr(_ITEM_REPLY).alias("reply"),
-        ).alias("r"),
-    )
-    rubrics = bench.groupBy("g").agg(F.collect_list("r").alias("rubrics"))
     samples = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    s = samples.join(rubrics, (F.col("conv_id") % _NESTED_GROUPS) == F.col("g"))
+    rubric = F.struct("item_id", "criterion", ((F.col("item_id") % 3) + 1).cast("double").alias("weight"), F.expr(_ITEM_REPLY).alias("reply"))
+    s = sample_criteria(spark, sf_dir, samples).groupBy("conv_id").agg(F.collect_list(rubric).alias("rubrics"))
     results = F.transform(
         "rubrics",
         lambda r: F.struct(r["criterion"].alias("criterion"), r["weight"].alias("weight"), parse_verdict(r["reply"]).alias("criteria_met")),

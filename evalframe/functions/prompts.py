@@ -60,8 +60,8 @@ def fill(template: str, **cols) -> Column:
 
 
 def turn_line(role, content) -> Column:
-    """One history line ``"{Role}: {content}"`` (role capitalised, rest lower)."""
-    return F.concat(capitalize(role), F.lit(": "), _c(content))
+    """One history line ``"{Role}: {content}"`` (role capitalised, rest lower); a null role reads as the default role."""
+    return F.concat(capitalize(F.coalesce(_c(role), F.lit("user"))), F.lit(": "), _c(content))
 
 
 def grader_prompt(history, response, criterion) -> Column:
@@ -104,13 +104,9 @@ def format_options(options=None, choices=None, keyed: dict | None = None) -> Col
 
     vals = []
     for letter in OPTION_LETTERS:
-        cands = [keyed.get(n) for n in (f"option_{letter}", letter, f"choice_{letter}") if keyed.get(n) is not None]
-        if not cands:
-            vals.append(F.lit(None).cast("string"))
-        elif len(cands) == 1:
-            vals.append(_c(cands[0]))
-        else:
-            vals.append(F.coalesce(*[F.nullif(_c(x), F.lit("")) for x in cands[:-1]], _c(cands[-1])))
+        first = [F.nullif(_c(keyed[n]), F.lit("")) for n in (f"option_{letter}", letter) if keyed.get(n) is not None]
+        choice = keyed.get(f"choice_{letter}")
+        vals.append(F.coalesce(*first, F.lit(None).cast("string") if choice is None else _c(choice)))
     keyed_lines = F.array(
         *[F.when(v.isNotNull(), F.concat(F.lit(f"{letter}. "), v)) for letter, v in zip(OPTION_LETTERS, vals)]
     )
@@ -160,40 +156,67 @@ def qa_messages(question, options_text, has_opts, image=None) -> Column:
     )
 
 
-# Depth of nested lists inside a chat payload that is unrolled natively.
-MAX_PAYLOAD_DEPTH = 4
 PAYLOAD_MESSAGE = "array<struct<role:string,content:string>>"
+VARIANTS = "array<variant>"
 
 
-def payload_messages(v, default_role: str = "user", depth: int = MAX_PAYLOAD_DEPTH) -> Column:
-    """Messages of a mixed-shape chat payload held as VARIANT.
+def _is_list(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
-    A string becomes one message with the default role when non-empty. An
-    object is kept when its role (absent → default role; JSON null → dropped)
-    is user/assistant/system and its content is neither null nor "";
-    non-string content is kept as JSON text. A list contributes the messages
-    of its items, in order (nested lists unrolled up to ``depth`` levels).
-    Anything else contributes nothing.
-    """
+
+def _bracket_depth(v: Column) -> Column:
+    """How deep square brackets nest in a VARIANT's JSON text, string contents left out (0: no list)."""
+    bare = F.regexp_replace(F.to_json(v), '"(?:[^"\\\\]|\\\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, "[^\\[\\]]", ""), "")
+    step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
+
+    def walk(acc, mark):
+        at = acc["at"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(acc["top"], at).alias("top"))
+
+    return F.aggregate(marks, step, walk, lambda acc: acc["top"])
+
+
+def payload_items(v) -> Column:
+    """The strings, objects and other scalars of a VARIANT payload in order, lists unrolled at any depth."""
     v = _c(v)
+    rounds = F.when(_is_list(v), _bracket_depth(v)).otherwise(F.lit(0))
+    turns = F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>"))
+
+    def unroll(items, _):
+        return F.flatten(F.transform(items, lambda x: F.when(_is_list(x), F.try_variant_get(x, "$", VARIANTS)).otherwise(F.array(x))))
+
+    return F.aggregate(turns, F.array(v), unroll)
+
+
+def raw_message(v: Column, default_role: str = "user") -> Column:
+    """(role, content) of one payload item: absent role → default role; non-string content → JSON text."""
     kind = F.schema_of_variant(v)
-    empty = F.array().cast(PAYLOAD_MESSAGE)
-    text = F.try_variant_get(v, "$", "string")
-    from_str = F.when(text != "", F.array(F.struct(F.lit(default_role).alias("role"), text.alias("content"))))
     role_v = F.try_variant_get(v, "$.role", "variant")
     role = F.when(role_v.isNull(), F.lit(default_role)).when(~F.is_variant_null(role_v), F.try_variant_get(role_v, "$", "string"))
     content_v = F.try_variant_get(v, "$.content", "variant")
     content = F.when(content_v.isNull() | F.is_variant_null(content_v), F.lit(None).cast("string")).when(
         F.schema_of_variant(content_v) == "STRING", F.try_variant_get(content_v, "$", "string")
     ).otherwise(F.to_json(content_v))
-    keep = F.coalesce(role.isin(*CHAT_ROLES) & content.isNotNull() & (content != ""), F.lit(False))
-    from_obj = F.when(keep, F.array(F.struct(role.alias("role"), content.alias("content"))))
-    out = F.when(kind == "STRING", from_str).when(kind.startswith("OBJECT"), from_obj)
-    if depth > 0:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        from_list = F.flatten(F.transform(items, lambda x: payload_messages(x, default_role, depth - 1)))
-        out = out.when(kind.startswith("ARRAY"), from_list)
-    return F.coalesce(out.cast(PAYLOAD_MESSAGE), empty)
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(kind == "STRING", F.struct(F.lit(default_role).alias("role"), text.alias("content"))).when(
+        kind.startswith("OBJECT"), F.struct(role.alias("role"), content.alias("content"))
+    )
+
+
+def payload_messages(v, default_role: str = "user") -> Column:
+    """Messages of a mixed-shape chat payload held as VARIANT.
+
+    A string becomes one message with the default role when non-empty. An
+    object is kept when its role (absent → default role; JSON null → dropped)
+    is user/assistant/system and its content is neither null nor "";
+    non-string content is kept as JSON text. A list contributes the messages
+    of its items, in order, however deep lists nest. Anything else contributes
+    nothing.
+    """
+    found = F.transform(payload_items(v), lambda x: raw_message(x, default_role))
+    kept = F.filter(found, lambda m: F.coalesce(m["role"].isin(*CHAT_ROLES) & (m["content"] != ""), F.lit(False)))
+    return F.coalesce(kept.cast(PAYLOAD_MESSAGE), F.array().cast(PAYLOAD_MESSAGE))
 
 
 def variant_truthy(v) -> Column:

@@ -129,11 +129,13 @@ def evaluate_run(
     records: DataFrame,
     graded_path: str,
     judge: Callable | None = None,
+    **judge_options,
 ) -> tuple[DataFrame, DataFrame]:
     """Grade every record that has no persisted evaluation yet, then aggregate.
 
     Grades are appended to ``graded_path`` as (sample_id, evaluation) rows
-    (separate layout); metrics come only from persisted grades. Returns
+    (separate layout); metrics come only from persisted grades. ``judge_options``
+    (partitions, concurrency, on_error, retry) shape the judge's calls. Returns
     (records with evaluation, metrics).
     """
     if records.isEmpty():
@@ -142,7 +144,7 @@ def evaluate_run(
     schema = sample.schema
     persisted = _persisted(spark, graded_path, schema)
     todo = records if persisted is None else pending(records, persisted)
-    write_jsonl(task.grade(todo, judge, details_location(graded_path)), graded_path, mode="append")
+    write_jsonl(task.grade(todo, judge, details_location(graded_path), **judge_options), graded_path, mode="append")
     graded = read_jsonl(spark, graded_path, schema)
     merged = records.join(graded, "sample_id", "left")
     judged = judge is not None or not task.graded_by_model
@@ -236,6 +238,7 @@ def evaluate_task(
     judge: Callable | None = None,
     grader_backend: str | None = None,
     grader_model: str | None = None,
+    **judge_options,
 ) -> DataFrame:
     """Locate a run by its parameters, grade its records (resumably), aggregate, and
     append the evaluation to ``root/evaluations``; returns the metrics."""
@@ -251,7 +254,7 @@ def evaluate_task(
     marker = spark.range(1).select(evaluated_key(F.lit(key), F.lit(grader_backend), F.lit(grader_model)).alias("k")).first().k
     # grades of one model must never serve another: the path names task, backend and model
     graded_path = os.path.join(root, "graded", os.path.dirname(identity["result_path"]), marker)
-    _, metrics = evaluate_run(spark, task, records, graded_path, judge=judge)
+    _, metrics = evaluate_run(spark, task, records, graded_path, judge=judge, **judge_options)
     name = spark.range(1).select(evaluation_name(F.lit(task.name), F.lit(grader_backend), F.lit(grader_model)).alias("n")).first().n
     grader = {k: v for k, v in (("backend", grader_backend), ("model", grader_model)) if v}
     append_evaluation(spark, os.path.join(root, "evaluations"), identity["result_path"], name, metrics, grader, run.num_samples)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import VariantType
+from pyspark.sql.types import ArrayType, StructType, VariantType
 
 from evalframe.functions.prompts import (
     CHAT_ROLES,
@@ -22,7 +22,9 @@ from evalframe.functions.prompts import (
     OPTION_LETTERS,
     format_options,
     grader_prompt,
+    payload_items,
     payload_messages,
+    raw_message,
     variant_truthy,
     has_options,
     qa_messages,
@@ -47,8 +49,9 @@ class TaskSpec:
     messages(samples) → Column of model input messages
     reference(samples) → Column of reference text
     payload(samples) → Column (struct) kept with each record for later grading
-    grade(records, judge, details_path) → DataFrame (sample_id, evaluation); a task
-        with per-item details (rubric criteria) appends them under details_path
+    grade(records, judge, details_path, **judge_options) → DataFrame (sample_id, evaluation);
+        a task with per-item details (rubric criteria) appends them under details_path;
+        judge_options (partitions, concurrency, on_error, retry) are passed only when given
     aggregate(records_with_evaluation, judged) → DataFrame (metric, value, n)
     """
 
@@ -233,9 +236,53 @@ def _chat_messages(df: DataFrame) -> Column:
 RUBRIC_IN = "array<struct<criterion:string,text:string,weight:double,points:double>>"
 
 
+def _rubric(text, weight=None, points=None) -> Column:
+    number = lambda x: (F.lit(None) if x is None else x).cast("double")
+    return F.struct(text.alias("criterion"), F.lit(None).cast("string").alias("text"), number(weight).alias("weight"), number(points).alias("points"))
+
+
+def _rubrics_in(df: DataFrame, name: str) -> Column:
+    """A rubric list of any shape as ``RUBRIC_IN``: bare strings, structs with some of its
+    fields, or VARIANT items of both kinds. A criterion without text is its JSON text."""
+    if name not in df.columns:
+        return F.lit(None).cast(RUBRIC_IN)
+    kind, items = df.schema[name].dataType, F.col(name)
+    if kind.simpleString() == RUBRIC_IN:
+        return items
+    if isinstance(kind, VariantType):
+        items, kind = F.try_variant_get(items, "$", "array<variant>"), ArrayType(VariantType())
+    if not isinstance(kind, ArrayType):
+        raise ValueError(f"'{name}' must be an array or a VARIANT, not {kind.simpleString()}")
+    inner = kind.elementType
+    if isinstance(inner, VariantType):
+        def one(x):
+            get = lambda path, t: F.try_variant_get(x, path, t)
+            bare = F.schema_of_variant(x) == "STRING"
+            text = F.when(bare, get("$", "string")).otherwise(first_nonempty(get("$.criterion", "string"), get("$.text", "string"), F.to_json(x)))
+            return _rubric(text, get("$.weight", "double"), get("$.points", "double"))
+    elif isinstance(inner, StructType):
+        names = set(inner.fieldNames())
+        texts = [n for n in ("criterion", "text") if n in names]
+
+        def one(x):
+            text = first_nonempty(*[x[n].cast("string") for n in texts], F.to_json(x))
+            return _rubric(text, x["weight"] if "weight" in names else None, x["points"] if "points" in names else None)
+    else:
+        def one(x):
+            return _rubric(x.cast("string"))
+    return F.transform(items, one).cast(RUBRIC_IN)
+
+
+def _conversation_in(df: DataFrame) -> Column:
+    """The stored conversation: every turn of a typed array or of a VARIANT payload (no role filter)."""
+    if _is_variant(df, "conversation"):
+        turns = F.filter(F.transform(payload_items(F.col("conversation")), lambda x: raw_message(x)), lambda m: m.isNotNull())
+        return turns.cast(MESSAGE_IN)
+    return col_or_null(df, "conversation", MESSAGE_IN)
+
+
 def _rubric_list(df: DataFrame) -> Column:
-    r = col_or_null(df, "rubrics", RUBRIC_IN)
-    c = col_or_null(df, "criteria", RUBRIC_IN)
+    r, c = _rubrics_in(df, "rubrics"), _rubrics_in(df, "criteria")
     return F.coalesce(F.when(F.size(r) > 0, r), F.when(F.size(c) > 0, c), F.array().cast(RUBRIC_IN))
 
 
@@ -245,11 +292,11 @@ def _chat_reference(df: DataFrame) -> Column:
 
 def _chat_payload(df: DataFrame) -> Column:
     return F.struct(
-        F.coalesce(col_or_null(df, "conversation", MESSAGE_IN), F.array().cast(MESSAGE_IN)).alias("conversation"),
+        F.coalesce(_conversation_in(df), F.array().cast(MESSAGE_IN)).alias("conversation"),
         (F.col("prompt") if "prompt" in df.columns else F.lit(None).cast("string")).alias("prompt"),
         col_or_null(df, "question").alias("question"),
-        F.coalesce(col_or_null(df, "rubrics", RUBRIC_IN), F.array().cast(RUBRIC_IN)).alias("rubrics"),
-        F.coalesce(col_or_null(df, "criteria", RUBRIC_IN), F.array().cast(RUBRIC_IN)).alias("criteria"),
+        F.coalesce(_rubrics_in(df, "rubrics"), F.array().cast(RUBRIC_IN)).alias("rubrics"),
+        F.coalesce(_rubrics_in(df, "criteria"), F.array().cast(RUBRIC_IN)).alias("criteria"),
     )
 
 
@@ -276,8 +323,19 @@ def _stored_prompt_is_variant(records: DataFrame) -> bool:
     return "prompt" in fields.fieldNames() and isinstance(fields["prompt"].dataType, VariantType)
 
 
-def _chat_grade(records: DataFrame, judge: Judge | None = None, details_path: str | None = None) -> DataFrame:
-    """Rubric grading. With ``details_path`` the judged criteria (the grader's
+def _chat_grade(
+    records: DataFrame,
+    judge: Judge | None = None,
+    details_path: str | None = None,
+    *,
+    partitions: int | None = None,
+    concurrency: int = 1,
+    on_error: str = "fail",
+    retry: RetryPolicy | None = None,
+) -> DataFrame:
+    """Rubric grading. The judge's calls are dealt over ``partitions`` tasks by
+    (sample, criterion), so one record's criteria do not wait for each other; with
+    ``on_error="null"`` a criterion whose call failed has no verdict. With ``details_path`` the judged criteria (the grader's
     output) are written there once, tagged with this pass's ``grade_run``, and
     the scores are computed from the written rows; the evaluation carries the
     same ``grade_run`` so criterion results can be joined back exactly."""
@@ -294,14 +352,17 @@ def _chat_grade(records: DataFrame, judge: Judge | None = None, details_path: st
             "sample_id", "criterion_idx", "criterion", "weight",
             F.array(_text_message("user", grader_prompt("history", "prediction", "criterion"))).cast(MESSAGE_TYPE).alias("messages"),
         )
+        dealt = ("sample_id", "criterion_idx")
         replies = generate(
-            prompts,
+            prompts.repartition(partitions, *dealt) if partitions else prompts.repartition(*dealt),
             "messages",
             judge,
             out="reply",
             carry=["sample_id", "criterion_idx", "criterion", "weight"],
             config=GenerationConfig(max_tokens=GRADER_MAX_TOKENS, temperature=0.0, options={"response_format": {"type": "json_object"}}),
-            retry=RetryPolicy(),
+            retry=retry or RetryPolicy(),
+            on_error=on_error,
+            concurrency=concurrency,
         )
         judged = with_verdict(replies, "reply", "criteria_met")
         if details_path is not None:

@@ -22,8 +22,9 @@ from evalframe.plans.run import record_frame
 from evalframe.sources.files import read_if_exists
 
 
-def keyed_appender(sink: str, key: str = "sample_id") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: append rows whose key is not yet in the sink, idempotently per epoch."""
+def keyed_appender(sink: str, key: str = "sample_id", then: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: append rows whose key is not yet in the sink, idempotently per epoch.
+    ``then`` is applied to the new rows only (it must keep the key)."""
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -32,6 +33,8 @@ def keyed_appender(sink: str, key: str = "sample_id") -> Callable[[DataFrame, in
         if prior is not None:
             keys = prior.where(F.col("epoch") != epoch_id).select(key)
             rows = rows.join(keys, key, "left_anti")
+        if then is not None:
+            rows = then(rows)
         (
             rows.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
             .write.mode("overwrite")
@@ -127,10 +130,12 @@ def generate_stream(
     """Incremental generation: sample files arriving under ``source`` are turned into
     model input, answered by the model stage and stored as records in the keyed
     sink, one micro-batch at a time; a restart continues with files not yet
-    processed. A replayed micro-batch calls the model again but stores its
-    records once."""
+    processed. A sample that arrives again is left out before the model is called;
+    a replayed micro-batch calls the model again but stores its records once."""
     samples = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    frame = record_frame(task, samples)
-    records = generate(frame, "messages", predictor_factory, carry=["sample_id", "reference", "evaluation_sample"], **generate_options)
-    run_available(records, checkpoint, keyed_appender(sink, "sample_id"))
+
+    def records_of(new: DataFrame) -> DataFrame:
+        return generate(record_frame(task, new), "messages", predictor_factory, carry=["sample_id", "reference", "evaluation_sample"], **generate_options)
+
+    run_available(samples, checkpoint, keyed_appender(sink, "sample_id", records_of))
     return spark.read.parquet(sink)

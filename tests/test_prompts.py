@@ -2,6 +2,8 @@
 
 import base64
 
+from pyspark.sql import functions as F
+
 from evalframe.functions.prompts import (
     QA_SYSTEM_PROMPT,
     format_options,
@@ -9,6 +11,8 @@ from evalframe.functions.prompts import (
     has_options,
     image_data_url,
     qa_messages,
+    payload_messages,
+    turn_line,
 )
 from evalframe.operators.conversation import chat_messages, grading_history, ordered_concat
 
@@ -99,3 +103,21 @@ def test_qa_messages_with_image(spark):
     assert [p.type for p in second[1].content] == ["text"]
     assert second[1].content[0].text == "Open?\n\nAnswer as concisely as possible using only the final answer."
     assert out[1].u is None
+
+
+def test_payload_lists_unroll_at_any_depth(spark):
+    deep = "[" * 9 + '{"role": "assistant", "content": "a [b] \\"["}' + "]" * 9
+    payload = f'["x", {deep}, [], [["y"], null, 3], {{"role": null, "content": "gone"}}]'
+    rows = spark.createDataFrame([(payload,), ('""',), ("[]",), (None,)], "j string").selectExpr("parse_json(j) AS v")
+    got = [[(m.role, m.content) for m in r[0]] for r in rows.select(payload_messages("v")).collect()]
+    assert got == [[("user", "x"), ("assistant", 'a [b] "['), ("user", "y")], [], [], []]
+
+
+def test_empty_option_without_choice_field_is_missing(spark):
+    row = spark.createDataFrame([("", "x")], "option_A string, option_B string")
+    text = row.select(format_options(keyed={"option_A": "option_A", "option_B": "option_B"})).first()[0]
+    assert text == "B. x"
+
+
+def test_null_role_reads_as_default_role(spark):
+    assert spark.range(1).select(turn_line(F.lit(None).cast("string"), F.lit("hi"))).first()[0] == "User: hi"

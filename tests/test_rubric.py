@@ -90,3 +90,27 @@ def test_points_scoring_opt_in(spark):
     df = spark.createDataFrame(rows, "sid int, met boolean, points double")
     got = {r.sid: r.s for r in df.groupBy("sid").agg(points_score_expr("met", "points").alias("s")).collect()}
     assert got == {0: pytest.approx(3 / 8), 1: 0.0, 2: 1.0, 3: 0.0}
+
+
+def test_rubric_shapes_of_real_files(spark):
+    from evalframe.plans.tasks import get_task
+
+    def rubrics_of(ddl, value):
+        df = spark.createDataFrame([(value,)], f"rubrics {ddl}") if "variant" not in ddl else spark.sql(f"SELECT parse_json('{value}') AS rubrics")
+        task = get_task("rubric_chat")
+        row = df.select(task.payload(df).alias("p"), task.reference(df).alias("r")).first()
+        return [(x.criterion, x.weight, x.points) for x in row.p.rubrics], row.r
+
+    assert rubrics_of("array<struct<criterion:string,points:int>>", [("a", 3)]) == ([("a", None, 3.0)], "1 rubrics")
+    assert rubrics_of("array<string>", ["a", "b"]) == ([("a", None, None), ("b", None, None)], "2 rubrics")
+    assert rubrics_of("variant", '["a", {"text": "b", "weight": 2}, {"points": 1}]') == (
+        [("a", None, None), ("b", 2.0, None), ('{"points":1}', None, 1.0)], "3 rubrics",
+    )
+
+
+def test_variant_conversation_through_payload(spark):
+    from evalframe.plans.tasks import get_task
+
+    df = spark.sql("""SELECT 1 AS sample_id, parse_json('[{"role": "user", "content": "q"}, [{"role": "tool", "content": "t"}], "s"]') AS conversation""")
+    row = df.select(get_task("rubric_chat").payload(df).alias("p")).first()
+    assert [(m.role, m.content) for m in row.p.conversation] == [("user", "q"), ("tool", "t"), ("user", "s")]
