@@ -33,8 +33,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
         e = written(_small_star(_large_star(e)).where("u <> v").distinct(), "edges")
-        # done once no centre of a star is a leaf of another
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        # done once every node has one place: the leaf of one star, or a centre
+        places = e.select("u").unionByName(e.select(F.col("v").alias("u")).distinct()).groupBy("u").count()
+        if places.where("count > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )

@@ -139,3 +139,29 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {n: find(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_leaf_of_two_stars(spark):
+    """After one round of the path 1-10-5-20-2 no centre is a leaf, but 5 still has two centres."""
+    got = sorted(tuple(x) for x in components(spark.createDataFrame([(10, 5), (10, 1), (20, 5), (20, 2)], "a bigint, b bigint")).collect())
+    assert got == [(1, 1), (2, 1), (5, 1), (10, 1), (20, 1)]
+    r, edges, expected = random.Random(7), [], {}
+    for tree in range(60):
+        nodes = [100 * tree + x for x in r.sample(range(100), 8)]
+        edges += [(nodes[i], nodes[r.randrange(i)]) for i in range(1, 8)]
+        expected |= dict.fromkeys(nodes, min(nodes))
+    for first in range(0, 6000, 2000):  # few trees at a time, so that others do not keep the rounds going
+        some = [e for e in edges if first <= e[0] < first + 2000]
+        rows = components(spark.createDataFrame(some, "a bigint, b bigint")).collect()
+        assert sorted(tuple(x) for x in rows) == sorted(x for x in expected.items() if first <= x[0] < first + 2000)
+
+
+@pytest.mark.parametrize("leaf", [2, 512])
+def test_path_whose_middle_has_two_stars(spark, monkeypatch, leaf):
+    """Texts that link only along 1-10-5-20-2."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    words = [f"w{i}" for i in range(84)]
+    rows = [(i, " ".join(words[4 * at : 4 * at + 64])) for at, i in enumerate((1, 10, 5, 20, 2))]
+    got = rows_of(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute(rows, 4, 85) and {c for _, _, c in got} == {1}
