@@ -1,8 +1,12 @@
-"""Near-duplicate lines by a deletion-neighbourhood join over words.
+"""Near-duplicate lines by a deletion-neighbourhood join over words and characters.
 
 Two lines are duplicates if their normalised words are equal or, from
-``MIN_WORDS`` words on, differ by one inserted, deleted or replaced word. A line
-goes if an earlier line (by document id, then line number) is a duplicate of it.
+``MIN_WORDS`` words on, differ by one inserted, deleted or replaced word. With
+``characters``, lines of up to ``MIN_WORDS`` words are also duplicates if their
+words, joined by single spaces, differ by one inserted, deleted or replaced
+character (from ``MIN_CHARS`` characters on), and longer ones if one space more
+or less makes them equal. A line goes if an earlier line (by document id, then
+line number) is a duplicate of it.
 
 1. Equal lines meet by hash; the earliest stands for all.
 2. One edit leaves the first or the last half of a line as it is, so only lines
@@ -13,6 +17,9 @@ goes if an earlier line (by document id, then line number) is a duplicate of it.
    within one insertion of the lines that emitted it.
 4. Every joined pair is verified by its words: equal from the left and from the
    right but for one word.
+5. The characters of the shorter lines go through steps 2 to 4 like words. Longer
+   lines emit every variant with two neighbouring words written as one; a line
+   that equals such a variant is one space away.
 
 Everything is DataFrame code. Keys are pre-aggregated to their earliest line, so
 a variant shared by a third of all lines costs each task a row, and pairs are
@@ -28,8 +35,10 @@ from pyspark.sql.window import Window
 
 from evalframe.llm.common import text_or_empty, words, written
 
-#: shorter lines are duplicates only if equal
+#: a changed word makes no duplicates of shorter lines
 MIN_WORDS = 8
+#: nor a changed character of shorter lines: 'la.' and 'de.', or page numbers
+MIN_CHARS = 8
 
 
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -52,13 +61,12 @@ def _half_keys(n: Column) -> Column:
     return F.array(*keys)
 
 
-def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_ord, _line, _gone) of every line with a word."""
-    lines = _lines(df, doc_id, text)
-    where = written(lines.select("_ord", "_line"), "lines")
-    first = where.groupBy("_line").agg(F.min("_ord").alias("_first"))
+def _near_lines(lines: DataFrame, first: DataFrame, least: int, joins: bool) -> DataFrame:
+    """(_line) of every line that is one edit of its units ``_w`` from an earlier one; both have ``least`` units or more.
 
-    long = lines.where(F.size("_w") >= MIN_WORDS - 1)
+    With ``joins`` also those that two neighbouring units written as one make equal to a line, or the reverse.
+    """
+    long = lines.where(F.size("_w") >= least - 1)
     halves = long.select("_line", F.explode(_half_keys(F.size("_w"))).alias("_half")).where("_half is not null")
     shared = halves.groupBy("_half").agg(F.min("_line").alias("_lo"), F.max("_line").alias("_hi")).where("_lo <> _hi").select("_half")
     maybe = written(halves.join(shared, "_half", "left_semi").groupBy("_line").agg(F.lit(1).alias("_one")).join(first, "_line").select("_line", "_first"), "maybe")
@@ -71,17 +79,25 @@ def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     before = F.coalesce(F.bit_xor(stay).over(of_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     passed = F.bit_xor(move).over(of_line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.bit_xor(move).over(Window.partitionBy("_line"))
-    variants = each.select("_line", "_first", "_at", F.xxhash64(before.bitwiseXOR(whole).bitwiseXOR(passed), F.col("_n") - 1).alias("_key"), "_n")
-    variants = written(variants, "variants")
+    rest_of = before.bitwiseXOR(whole).bitwiseXOR(passed)
+    keys = [F.xxhash64(rest_of, F.col("_n") - 1).alias("_key")]
+    if joins:  # the next word leaves the moved ones, both as one word take its place
+        after = F.lead("_word").over(of_line)
+        one = F.xxhash64("_at", F.concat("_word", after))
+        keys.append(F.when(after.isNotNull(), F.xxhash64(rest_of.bitwiseXOR(F.xxhash64("_at", after)).bitwiseXOR(one), F.col("_n") - 1)).alias("_joined"))
+    variants = written(each.select("_line", "_first", "_at", *keys, "_n"), "variants")
     full = each.groupBy("_line", "_first", "_n").agg(F.bit_xor(stay).alias("_x")).select("_line", "_first", "_n", F.xxhash64("_x", "_n").alias("_key"))
 
     # one replaced word: the same rest at the same place
-    rest = variants.where(F.col("_n") >= MIN_WORDS)
+    rest = variants.where(F.col("_n") >= least)
     head = rest.groupBy("_key", "_at").agg(F.min(F.struct("_first", "_line")).alias("_head"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     replaced = rest.join(head, ["_key", "_at"]).where("_line <> _head._line").select("_line", F.col("_head._line").alias("_by"))
     # one word more: a line that is another's variant
-    short = full.where(F.col("_n") >= MIN_WORDS).select("_key", F.col("_line").alias("_short"), F.col("_first").alias("_sf"))
-    hits = variants.join(short, "_key")
+    short = full.where(F.col("_n") >= least).select("_key", F.col("_line").alias("_short"), F.col("_first").alias("_sf"))
+    made = variants.select("_line", "_first", "_key")
+    if joins:
+        made = made.unionByName(variants.where("_joined is not null").select("_line", "_first", F.col("_joined").alias("_key")))
+    hits = made.join(short, "_key")
     longer = hits.where("_sf < _first").select("_line", F.col("_short").alias("_by"))
     shorter = hits.where("_first < _sf").groupBy("_short").agg(F.min(F.struct("_first", "_line"))["_line"].alias("_by")).select(F.col("_short").alias("_line"), "_by")
     pairs = replaced.unionByName(longer).unionByName(shorter).distinct()
@@ -96,21 +112,37 @@ def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         return F.when(differs == 0, F.greatest(F.size(a), F.size(b))).otherwise(differs - 1)
 
     n, m = F.size("_w"), F.size("_v")
-    near = (F.abs(n - m) <= 1) & (same(F.col("_w"), F.col("_v")) + same(F.reverse("_w"), F.reverse("_v")) >= F.greatest(n, m) - 1)
-    gone = both.where(near).select("_line").distinct().withColumn("_near", F.lit(True))
+    alike = same(F.col("_w"), F.col("_v")) + same(F.reverse("_w"), F.reverse("_v"))
+    near = (F.abs(n - m) <= 1) & (alike >= F.greatest(n, m) - 1)
+    if joins:
+        near |= (F.abs(n - m) == 1) & (alike >= F.least(n, m) - 1) & (F.array_join("_w", "") == F.array_join("_v", ""))
+    return both.where(near).select("_line")
+
+
+def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
+    """(_ord, _line, _gone) of every line with a word."""
+    lines = _lines(df, doc_id, text)
+    where = written(lines.select("_ord", "_line"), "lines")
+    first = where.groupBy("_line").agg(F.min("_ord").alias("_first"))
+    near = _near_lines(lines, first, MIN_WORDS, characters)
+    if characters:
+        few = lines.where(F.size("_w") <= MIN_WORDS).withColumn("_w", F.split(F.array_join("_w", " "), ""))
+        near = near.unionByName(_near_lines(few, first, MIN_CHARS, False))
+    gone = near.distinct().withColumn("_near", F.lit(True))
     lost = F.coalesce("_near", F.lit(False)) | (F.col("_ord") != F.col("_first"))
     return where.join(first, "_line").join(gone, "_line", "left").select("_ord", "_line", lost.alias("_gone"))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
     """All columns of ``df`` plus n_lines, n_removed (lines with a word), and ``text`` without the removed lines.
 
     Lines without a word always stay. A null text stays null with no lines. Rows
     of one id and equal text count as one document and get equal results; null
     ids come last in the order. An empty table gives no rows. Caller columns
-    named n_lines or n_removed are replaced.
+    named n_lines or n_removed are replaced. ``characters`` adds the edits of one
+    character to those of one word.
     """
-    per_doc = duplicate_lines(df, doc_id, text).groupBy(F.col("_ord.a").alias("_a"), F.col("_ord.b").alias("_b"), F.col("_ord.c").alias("_c")).agg(
+    per_doc = duplicate_lines(df, doc_id, text, characters).groupBy(F.col("_ord.a").alias("_a"), F.col("_ord.b").alias("_b"), F.col("_ord.c").alias("_c")).agg(
         F.count(F.lit(1)).alias("_all"), F.collect_list(F.when(F.col("_gone"), F.col("_ord.d"))).alias("_cut")
     )
     per_doc = written(per_doc, "cuts")

@@ -15,7 +15,7 @@ N_SHARDS = 8
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line repeats, up to one word."""
-    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), characters=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

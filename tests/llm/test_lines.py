@@ -86,3 +86,58 @@ def test_query(spark):
     df = QUERIES["op1_line_dedup"](spark, sf)
     assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", df._jdf.queryExecution().executedPlan().toString())
     assert result(df) == brute(rows)
+
+
+def one_character(a, b):
+    """One edit over the words joined by single spaces."""
+    s, t = sorted((a, b), key=len)
+    if len(s) == len(t):
+        return sum(x != y for x, y in zip(s, t)) <= 1
+    return len(t) == len(s) + 1 and any(t[:i] + t[i + 1:] == s for i in range(len(t)))
+
+
+def brute_characters(rows):
+    """{id: text} by all pairs: one word from 8 words on; one character from 8 characters, or one space."""
+    seen, out = [], {}
+    for i, t in sorted(rows):
+        keep = []
+        for x in t.split("\n"):
+            w = WORD.findall(x.lower())
+            a = " ".join(w)
+
+            def near(v):
+                b = " ".join(v)
+                few = max(len(w), len(v)) <= 8 and min(len(a), len(b)) >= 8
+                space = min(len(w), len(v)) >= 8 and a.replace(" ", "") == b.replace(" ", "")
+                return within_one(w, v) or (few or space) and one_character(a, b)
+
+            if not any(near(v) for v in seen):
+                keep.append(x)
+            seen.append(w)
+        out[i] = "\n".join(keep)
+    return out
+
+
+def test_lines_one_character_apart(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, f"Contact our office\nla.\nall rights are reserved by us now\n{long}"),
+        (2, "Contact  our offices\nde.\nall rights are reserved by usnow"),  # a character more; short words stay; a space less
+        (3, f"Contact ourx office\nall rights are reserved by u s now\n{long.replace('two three', 'twothree')}"),
+        (4, f"contactxour office\n{long.replace('eight', 'ei ght')}\ncontakt our ofice"),
+    ]
+    r = random.Random(5)
+    base = [" ".join(r.choice(["ab", "cde", "é𝄞f", "ghijk"]) for _ in range(n)) for n in (2, 3, 5, 7, 8, 9, 9, 12)]
+    for i in range(5, 40):
+        made = []
+        for _ in range(3):
+            x = r.choice(base)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                at = r.randrange(1, len(x) - 1)
+                x = x[:at] + r.choice(["", " ", "q", x[at]]) + x[at + r.randint(0, 1):]
+            made.append(x)
+        rows.append((i, "\n".join(made)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(df, characters=True).collect()}
+    assert got == brute_characters(rows)
+    assert got[2] == "de." and got[3] == "" and got[4] == "contakt our ofice"
