@@ -27,11 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every component of linked 5-word shingle sets (Jaccard 0.8 or more).
 
-    Rows that repeat an id count as one document; rows without an id all stay.
+    Rows that repeat an id and its text count as one document, other texts of an
+    id as documents of their own; rows without an id all stay.
     """
-    found = jaccard.jaccard_components(docs, k=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.where("doc_id is not null").withColumn("_text", jaccard.text_key(F.col("doc_id"), F.col("text")))
+    first = jaccard.first_texts(docs, k=5, percent=80).withColumnRenamed("_doc", "doc_id")
+    chosen = keyed.join(first, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
     return chosen.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,8 +127,8 @@ def ring_pairs(s: np.ndarray) -> np.ndarray:
 
 
 def _set_rows(k: int, percent: int, last: np.ndarray):
-    """(_id, _n, _set, _keys): size and digest of each set, and its first ring pairs."""
-    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_set", pa.binary()), ("_keys", pa.list_(pa.int64()))])
+    """(_doc, _text, _id, _n, _set, _keys): size and digest of each set, and its first ring pairs."""
+    schema = pa.schema([("_doc", pa.int64()), ("_text", pa.int64()), ("_id", pa.int64()), ("_n", pa.int64()), ("_set", pa.binary()), ("_keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
@@ -142,7 +142,7 @@ def _set_rows(k: int, percent: int, last: np.ndarray):
             ends = np.cumsum([0, *[len(x) for x in keys]]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_text"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
 
     return run
 
@@ -289,19 +289,35 @@ def _block_links(texts: DataFrame, big: DataFrame, k: int, percent: int) -> Data
     return linked.select(F.col("_id").alias("a"), F.col("_pivot").alias("b")).unionByName(found)
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """What a text goes by if its id has other texts too."""
+    return F.xxhash64(doc_id.cast("bigint"), text_or_empty(text).cast("binary"))
+
+
+def _nodes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_doc, _text, _id, _bytes): _id is the document id, or the ``text_key`` (_text) where that id has several texts."""
+    i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    src = df.select(i.cast("bigint").alias("_doc"), text_key(i, t).alias("_text"), text_or_empty(t).cast("binary").alias("_bytes"))
+    several = src.where("_doc is not null").groupBy("_doc").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
+    several = written(several.where("_lo <> _hi").select("_doc", F.lit(True).alias("_several")), "several")
+    if several.isEmpty():
+        return src.select("_doc", "_text", F.col("_doc").alias("_id"), "_bytes")
+    return src.join(several, "_doc", "left").select("_doc", "_text", F.when(F.col("_several"), F.col("_text")).otherwise(F.col("_doc")).alias("_id"), "_bytes")
+
+
 def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """(_id, _set, n_shingles, component_id) of every row."""
+    """(_doc, _text, _id, _set, n_shingles, _component, component_id) of every row; _component is the least _id reached."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
-    src = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), text_or_empty(F.col(f"`{text}`")).cast("binary").alias("_bytes"))
+    src = _nodes(df, doc_id, text)
     rows = max(1, src.count())
     sample = src.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, ORDER_SAMPLE / rows) * (1 << 30)))
     often = sample.where("_id is not null").mapInArrow(_pair_rows(k), "_key bigint").groupBy("_key").count()
     often = often.where(F.col("count") >= max(4, int(min(rows, ORDER_SAMPLE) * ORDER_SHARE))).select("_key").toPandas()["_key"]
     last = np.sort(often.to_numpy(dtype=np.int64).view(np.uint64))
 
-    sets = written(src.mapInArrow(_set_rows(k, percent, last), "_id bigint, _n bigint, _set binary, _keys array<bigint>"), "sets")
-    reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep")), "reps")
+    sets = written(src.mapInArrow(_set_rows(k, percent, last), "_doc bigint, _text bigint, _id bigint, _n bigint, _set binary, _keys array<bigint>"), "sets")
+    reps = written(sets.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), F.min("_doc").alias("_least")), "reps")
     # one document stands for its copies, so a key that only copies share is no region
     alone = sets.select(F.col("_id").alias("_rep"), "_set", "_keys").join(reps, ["_rep", "_set"], "left_semi")
     keyed = alone.select(F.explode("_keys").alias("_key"), F.col("_rep").alias("_id"))
@@ -321,10 +337,18 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
     if not big.isEmpty():
         links = links.unionByName(_block_links(texts.drop("_cluster"), big, k, percent))
 
-    label = components(links).select(F.col("node").alias("_rep"), F.col("component").alias("component_id"))
+    label = components(links).select(F.col("node").alias("_rep"), F.col("component").alias("_label"))
+    least = label.join(reps, "_rep").groupBy("_label").agg(F.min("_least").alias("component_id"))
+    label = label.join(least, "_label")
     found = sets.drop("_keys").join(reps, "_set", "left").join(label, "_rep", "left")
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_rep", "_id")).alias("component_id")
-    return found.select("_id", "_set", F.col("_n").alias("n_shingles"), component)
+    of = [F.when(F.col("_id").isNotNull(), F.coalesce(*names)).alias(name) for name, names in (("_component", ("_label", "_rep", "_id")), ("component_id", ("component_id", "_least", "_doc")))]
+    return found.select("_doc", "_text", "_id", "_set", F.col("_n").alias("n_shingles"), *of)
+
+
+def first_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """(_doc, _text) of one text of every component, that of the least document id; _text is its ``text_key``."""
+    found = _solve(df, doc_id, text, k, percent).where("_doc is not null")
+    return found.groupBy("_component").agg(F.min(F.struct("_doc", "_text")).alias("_first")).select("_first.*")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -334,9 +358,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     a text of fewer than ``k`` words is one shingle, a text without words (or
     null) has none and links with nothing. Two documents link if 100 times the
     intersection is at least ``percent`` times the union; component_id is the
-    least id reached over links. Rows of equal shingle sets share a component. A
-    row whose id is null links with nothing and has a null component_id. Other
+    least id reached over links. Rows of equal shingle sets share a component. Links
+    are between texts: where one id has several texts, each is compared, and its
+    row has the component of that text. A row whose id is null links with nothing and has a null component_id. Other
     columns of ``df`` play no part; an empty table gives no rows.
     """
     found = _solve(df, doc_id, text, k, percent)
-    return found.select(F.col("_id").alias(doc_id), "n_shingles", "component_id")
+    return found.select(F.col("_doc").alias(doc_id), "n_shingles", "component_id")

@@ -165,3 +165,13 @@ def test_path_whose_middle_has_two_stars(spark, monkeypatch, leaf):
     rows = [(i, " ".join(words[4 * at : 4 * at + 64])) for at, i in enumerate((1, 10, 5, 20, 2))]
     got = rows_of(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert got == brute(rows, 4, 85) and {c for _, _, c in got} == {1}
+
+
+@pytest.mark.parametrize("leaf", [2, 512])
+def test_one_id_with_two_texts(spark, monkeypatch, leaf):
+    """Each text of an id is compared; a row has the component of its own text."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    a, b, c = ([f"{x}{i}" for i in range(64)] for x in "abc")
+    rows = [(4, a), (4, b), (4, b), (2, [*a[:-1], "x"]), (9, [*b[:-1], "x"]), (12, [*b[:-1], "y"]), (4, c), (4, []), (1, [*c[:-1], "x"]), (7, b[::-1])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string").repartition(3)
+    assert rows_of(jaccard.jaccard_components(df)) == sorted([(4, 61, 2), (4, 61, 4), (4, 61, 4), (2, 61, 2), (9, 61, 4), (12, 61, 4), (4, 61, 1), (4, 0, 4), (1, 61, 1), (7, 61, 7)], key=repr)

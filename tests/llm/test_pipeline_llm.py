@@ -78,3 +78,11 @@ def test_nulls_repeats_and_empty(spark, docs):
             assert name == "sharding" or out.columns == df.columns
     kept = rows(cp.near_duplicates(spark, odd, SF).select("doc_id"))
     assert kept.count((None,)) == 2 and len(kept) == len(set(kept)) + 1
+
+
+def test_near_duplicates_keep_each_text_of_an_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    texts = [(4, a), (4, b), (4, b), (2, [*a[:-1], "x"]), (9, [*b[:-1], "x"]), (4, c)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted((r["doc_id"], r["text"].split()[0]) for r in cp.near_duplicates(spark, docs, SF).collect())
+    assert kept == [(2, "a0"), (4, "b0"), (4, "c0")]
