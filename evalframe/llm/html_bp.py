@@ -34,8 +34,8 @@ TRAIN_PAGES = 2_000
 
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select object".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe textarea title select".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms mtext q s samp small span strike strong sub sup time tspan tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article aside blockquote body div footer form header html main nav ol section table td th ul".split())
@@ -48,7 +48,7 @@ BOILER_WORDS = frozenset(
     "popup promo related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 CONTENT_TAGS = frozenset(["article", "main"])
-BOILER_TAGS = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
+BOILER_TAGS = frozenset("aside button dialog footer form head header iframe menu nav noscript script select style template textarea title".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")

@@ -82,3 +82,15 @@ def test_tables(spark):
     assert html_bp.extract(spark.createDataFrame([], ddl)).count() == 0
     rows = html_bp.extract(spark.createDataFrame([(1, PAGE, "x", 1), (1, PAGE, None, 2), (None, None, "y", 3)], ddl)).collect()
     assert sorted(r["n_chars"] for r in rows)[0] == 0 and rows[0]["text"] == rows[1]["text"]
+
+
+def test_formulas_fallbacks_and_figures_of_an_article(model):
+    page = (
+        "<html><body><nav><a href=/>Home</a><svg><text>Logo</text></svg></nav><article><p>The energy of a body at rest is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> as shown "
+        "in many books.</p><object data=a.pdf><p>The report can be read as a file by everyone.</p></object>"
+        "<svg><style>.a{}</style><path d='M0'/><text>Mass of the body over time</text></svg><p>More text follows here.</p></article></body></html>"
+    )
+    got = html_bp.main_text(page, model)
+    for part in ("is E=m as shown", "The report can be read as a file", "Mass of the body over time", "More text follows here."):
+        assert part in got
+    assert "Logo" not in got and ".a" not in got
