@@ -32,16 +32,6 @@ def tmp_dir():
     return tempfile.mkdtemp(prefix="evalframe-case-")
 
 
-def one_col(spark, values, ddl="x string"):
-    """DataFrame with one row per value (keeps input order in an ``i`` column)."""
-    rows = [(i, v) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "i int, " + ddl)
-
-
-def collect_ordered(df, col):
-    return [r[col] for r in df.orderBy("i").collect()]
-
-
 def pytest_collection_modifyitems(session, config, items):
     """Model factories defined in test modules must reach the Python workers by value."""
     from pyspark import cloudpickle

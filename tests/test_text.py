@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collect_ordered, one_col
+from frames import collect_ordered, one_col
 from evalframe.functions.text import (
     capitalize,
     choice_correct,

@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import collect_ordered, one_col
+from frames import collect_ordered, one_col
 from evalframe.functions.verdict import parse_verdict, with_verdict
 
 CASES = [
