@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, quality, repeats, sharding
-from evalframe.llm.common import read, text_or_empty
+from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, periodic, quality, repeats, sharding
+from evalframe.llm.common import read, text_or_empty, words
 
 N_SHARDS = 8
 
@@ -77,6 +77,41 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), the text of one id in ten rewritten to repeat part of itself.
+
+    With h = crc32(decimal doc_id), g = floor(h / 10) and n words: where h % 10 = 0 and n > 0, each word
+    i >= a becomes word a + (i - a) % p, with a = g % n and p = 1 + floor((n - a) / (3 + g % 8)). A row
+    without an id stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words("text")).alias("w"))
+    n = F.size("w").cast("bigint")
+    rows = rows.withColumn("n", F.when(n > 0, n)).withColumn("a", F.col("g") % F.col("n"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rows = rows.withColumn("rest", (F.col("n") - F.col("a")).cast("int")).withColumn("a", F.col("a").cast("int"))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the largest by exponent, and its text without the repeats."""
+    docs = planted_periods(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs).withColumn("top", periodic.largest_run(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_html_text": op3_html_text,
@@ -87,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES |= {"op1_line_dedup": op1_line_dedup, "op7_language": op7_language}
 QUERIES |= {"op9_decontamination": op9_decontamination, "op10_token_packing": op10_token_packing}
+QUERIES |= {"op11_periodic_runs": op11_periodic_runs}
 ORACLES: dict[str, str] = {}
