@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, periodic, quality, repeats, sharding
+from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, periodic, prefix_trie, quality, repeats, sharding
 from evalframe.llm.common import read, text_or_empty, words
 
 N_SHARDS = 8
@@ -112,6 +112,58 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) with the head of every conversation c taken from conversation c - c % 20:
+    its first h turns (all of fewer), h = crc32(decimal c) % 4, then c's own turns after its first h."""
+    conv = F.col("conv_id")
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    plan = sizes.select("conv_id", (conv - conv % 20).alias("base"), (F.crc32(conv.cast("string").cast("binary")) % 4).cast("int").alias("h"))
+    # a base is asked for by at most 20 conversations and gives each at most 3 turns
+    head = turns.where("pos < 3").withColumnRenamed("conv_id", "base").join(plan, "base").where("pos < h")
+    plan = plan.join(sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base")), "base", "left")
+    taken = F.least("h", F.coalesce("n_base", F.lit(0)))
+    own = turns.join(plan.select("conv_id", "h", taken.alias("taken")), "conv_id").where("pos >= h")
+    own = own.withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    columns = ("conv_id", "pos", "role", "text")
+    return head.select(*columns).unionByName(own.select(*columns)), plan.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations with the measures of its subtree."""
+    turns = prefix_trie.ordered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.conversation_trie(*rebuilt_turns(turns)).drop("node", "parent")
+
+
+# DuckDB has no crc32: the remainder of the decimal id, eight steps a byte
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+  lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, byte)),
+  4294967295::BIGINT))"""
+
+_TRIE_SQL = f"""WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+i AS (SELECT s.conv_id, s.conv_id - s.conv_id % 20 AS base, {_CRC32.replace("conv_id", "s.conv_id")} % 4 AS h, coalesce(b.n, 0) AS n_base
+      FROM s LEFT JOIN s b ON b.conv_id = s.conv_id - s.conv_id % 20),
+t AS (SELECT i.conv_id, o.pos, o.role, o.text FROM i JOIN o ON o.conv_id = i.base AND o.pos < i.h
+      UNION ALL SELECT i.conv_id, o.pos - i.h + least(i.h, i.n_base), o.role, o.text FROM i JOIN o ON o.conv_id = i.conv_id AND o.pos >= i.h),
+p AS (SELECT conv_id, pos + 1 AS depth, text, list(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t
+      UNION ALL SELECT conv_id, 0, NULL, [] FROM i),
+e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT prefix, any_value(p.depth) AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+             len(list_filter(regexp_split_to_array(coalesce(any_value(text), ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_words,
+             string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE e.depth = p.depth) AS ends
+      FROM p JOIN e ON e.conv_id = p.conv_id GROUP BY prefix),
+k AS (SELECT list_slice(prefix, 1, depth - 1) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.prefix = n.prefix),
+u AS (SELECT p.prefix, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.n_words) AS saved_tokens
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.prefix)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, f.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+       CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u ON u.prefix = m.prefix LEFT JOIN m f ON m.depth > 0 AND f.prefix = list_slice(m.prefix, 1, m.depth - 1)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_html_text": op3_html_text,
@@ -123,4 +175,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 QUERIES |= {"op1_line_dedup": op1_line_dedup, "op7_language": op7_language}
 QUERIES |= {"op9_decontamination": op9_decontamination, "op10_token_packing": op10_token_packing}
 QUERIES |= {"op11_periodic_runs": op11_periodic_runs}
-ORACLES: dict[str, str] = {}
+QUERIES |= {"op12_prefix_trie": op12_prefix_trie}
+ORACLES: dict[str, str] = {"op12_prefix_trie": _TRIE_SQL}
