@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, periodic, prefix_trie, quality, repeats, sharding
+from evalframe.llm import decontam, html_bp, jaccard, langid, lines, mixing, packing, periodic, prefix_trie, quality, repeats, sharding, vector_graph
 from evalframe.llm.common import read, text_or_empty, words
 
 N_SHARDS = 8
@@ -164,6 +164,11 @@ SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, f.conv_id AS parent_conv_id,
 FROM m JOIN u ON u.prefix = m.prefix LEFT JOIN m f ON m.depth > 0 AND f.prefix = list_slice(m.prefix, 1, m.depth - 1)"""
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links (cosine 0.9 or more) and its component."""
+    return vector_graph.near_vectors(read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_html_text": op3_html_text,
@@ -176,4 +181,17 @@ QUERIES |= {"op1_line_dedup": op1_line_dedup, "op7_language": op7_language}
 QUERIES |= {"op9_decontamination": op9_decontamination, "op10_token_packing": op10_token_packing}
 QUERIES |= {"op11_periodic_runs": op11_periodic_runs}
 QUERIES |= {"op12_prefix_trie": op12_prefix_trie}
-ORACLES: dict[str, str] = {"op12_prefix_trie": _TRIE_SQL}
+_VECTORS_SQL = """WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS r,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+m AS (SELECT c.a AS r, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.b GROUP BY c.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, v.vec_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM v JOIN m ON m.r = v.r LEFT JOIN n ON n.r = v.r"""
+
+
+QUERIES |= {"op13_near_vectors": op13_near_vectors}
+ORACLES: dict[str, str] = {"op12_prefix_trie": _TRIE_SQL, "op13_near_vectors": _VECTORS_SQL}
