@@ -1,7 +1,6 @@
 """Chat samples stored as JSON Lines: mixed payload shapes, and a full run + grading.
 
-Samples are written from `conversations` (one sample per conversation and
-block of at most 16 turns, so no sample document is unbounded) and
+Samples are written from `conversations` (one sample per conversation) and
 `benchmark` (rubric criteria), then read back through the library's scans.
 """
 
@@ -19,8 +18,8 @@ from evalframe.catalog.prompts_q import sql_fill, sql_str
 from evalframe.catalog.registry import query
 from evalframe.functions.prompts import CHAT_SYSTEM_PROMPT, GRADER_TEMPLATE
 from evalframe.operators.infer import user_text
-from evalframe.operators.stand_in_models import parity_judge
-from evalframe.plans.run import evaluate_run, run_generation
+from evalframe.operators.stand_in_models import failing_judge, parity_judge
+from evalframe.plans.run import details_location, evaluate_run, run_generation
 from evalframe.plans.tasks import get_task
 from evalframe.session import materialize, scratch_path, table
 from evalframe.sources.files import read_jsonl
@@ -114,12 +113,8 @@ SELECT h.sample_id, h.response AS prediction, CAST(coalesce(s.n_criteria, 0) AS
 FROM h LEFT JOIN s ON h.sample_id = s.sample_id"""
 
 
-@query("rubric_evaluate", oracle=_E2E_SQL)
-def q_rubric_evaluate(spark, sf_dir):
-    """End to end on JSON Lines chat samples with weighted rubrics: run (prompts, model,
-    records; resumable), then evaluate (criteria exploded, grader prompts, judge,
-    verdicts, weighted scores) — first for the conversations that open with a system
-    turn, then resumed for all."""
+def _rubric_run(spark, sf_dir):
+    """(task, records, folder) of a run over chat samples with weighted rubrics, stored as JSON Lines."""
     blocks = _turn_blocks(spark, sf_dir)
     rubric = F.struct("criterion", ((F.col("item_id") % 3) + 1).cast("double").alias("weight"), "item_id")
     rubrics = sample_criteria(spark, sf_dir, blocks.select("conv_id")).groupBy("conv_id").agg(F.array_sort(F.collect_list(rubric)).alias("rubrics"))
@@ -134,6 +129,16 @@ def q_rubric_evaluate(spark, sf_dir):
     samples = read_jsonl(spark, os.path.join(root, "samples"), schema)
     task = get_task("rubric_chat")
     records = run_generation(spark, task, samples, reply_model, os.path.join(root, "records"))
+    return task, records, root
+
+
+@query("rubric_evaluate", oracle=_E2E_SQL)
+def q_rubric_evaluate(spark, sf_dir):
+    """End to end on JSON Lines chat samples with weighted rubrics: run (prompts, model,
+    records; resumable), then evaluate (criteria exploded, grader prompts, judge,
+    verdicts, weighted scores) — first for the conversations that open with a system
+    turn, then resumed for all."""
+    task, records, root = _rubric_run(spark, sf_dir)
     graded_path = os.path.join(root, "graded")
     # first evaluation covers the conversations that open with a system turn; the second resumes
     opens_with_system = F.element_at("evaluation_sample.conversation", 1)["role"] == "system"
@@ -149,6 +154,31 @@ def q_rubric_evaluate(spark, sf_dir):
     )
 
 
+@query(
+    "judge_retry",
+    oracle=_E2E_SQL.split("\nSELECT h.sample_id, h.response")[0].replace("v AS (SELECT sample_id, weight,", "v AS (SELECT sample_id, weight, length(prompt) % 3 = 0 AS failed,").replace(
+        "count(*) FILTER (WHERE met) AS n_met", "count(*) FILTER (WHERE met) AS n_met, count(*) FILTER (WHERE failed) AS n_failed, coalesce(sum(weight) FILTER (WHERE met AND NOT failed), 0.0) / nullif(sum(weight) FILTER (WHERE NOT failed), 0) AS first_score"
+    )
+    + """
+SELECT h.sample_id, round(coalesce(s.first_score, 0.0), 6) AS first_score, round(coalesce(s.rubric_score, 0.0), 6) AS rubric_score,
+       coalesce(s.n_failed, 0) AS n_failed, coalesce(s.n_criteria, 0) + coalesce(s.n_failed, 0) AS n_calls
+FROM h LEFT JOIN s ON h.sample_id = s.sample_id""",
+)
+def q_judge_retry(spark, sf_dir):
+    """Rubric grading while the judge fails for some criteria, then again with a healthy
+    judge: the second pass calls it only for those, and scores come from the newest good
+    call of each criterion. The criterion ledger gives the calls of each sample."""
+    task, records, root = _rubric_run(spark, sf_dir)
+    graded_path = os.path.join(root, "graded")
+    first, _ = evaluate_run(spark, task, records, graded_path, judge=failing_judge, on_error="null")
+    first = materialize(first.select("sample_id", "evaluation.rubric_score", "evaluation.n_failed"), "first-grades")
+    second, _ = evaluate_run(spark, task, records, graded_path, judge=parity_judge)
+    calls = spark.read.parquet(details_location(graded_path)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    out = second.select("sample_id", F.round("evaluation.rubric_score", 6).alias("rubric_score"))
+    out = out.join(first.select("sample_id", F.round("rubric_score", 6).alias("first_score"), "n_failed"), "sample_id").join(calls, "sample_id", "left")
+    return out.select("sample_id", "first_score", "rubric_score", "n_failed", F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
+
+
 _QA_GRADED_SQL = f"""WITH qa AS ({qa_samples_sql()}),
 g AS (SELECT nullif(category, '') AS cat,
              CASE WHEN has_options THEN CAST({S.choice_correct('prediction', f"upper({S.strip('answer')})")} AS DOUBLE)

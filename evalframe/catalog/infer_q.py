@@ -13,11 +13,12 @@ from evalframe.functions.verdict import with_verdict
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate, user_text
 from evalframe.operators.rubric import score_samples
 from evalframe.operators.stand_in_models import choice_model, flaky_choice_model, parity_judge
-from evalframe.plans.run import record_frame, run_generation
+from evalframe.plans.run import GenerationFailed, evaluate_run, record_frame, run_generation
 from evalframe.plans.tasks import MESSAGE_TYPE, TaskSpec, _text_message, get_task, register
 from evalframe.operators.metrics import record_accuracy
-from evalframe.session import scratch_path, table
-from evalframe.sources.files import with_sample_idx
+from evalframe.session import materialize, scratch_path, table
+from evalframe.sources.files import read_jsonl, with_sample_idx
+from evalframe.sources.ledger import GRADE_PASS, RUN_PASS
 
 _N = S.token_count(sql_fill(QA_OPEN_TEMPLATE, question="coalesce(text, '')"))
 
@@ -106,6 +107,67 @@ def q_generate_retry(spark, sf_dir):
     return out.select("sample_id", "prediction", "attempts", "error")
 
 
+_NO_DELAY = RetryPolicy(max_retries=3, base_delay=0.0, max_delay=0.0, jitter=0.0)
+
+
+def _failing_then_well(spark, samples, path, between=None):
+    """Records of a run whose model rejects some samples, run again with a model that answers them;
+    ``between`` is called with the records of the first run."""
+    task = get_task("choice_qa")
+    try:
+        run_generation(spark, task, samples, flaky_choice_model, path, retry=_NO_DELAY)
+    except GenerationFailed:
+        pass  # everything that was answered is stored
+    first = run_generation(spark, task, samples, flaky_choice_model, path, retry=_NO_DELAY, on_error="null") if between else None
+    seen = between(first) if between else None
+    return run_generation(spark, task, samples, choice_model, path), seen
+
+
+@query(
+    "generate_interrupted",
+    oracle=f"""WITH n AS (SELECT doc_id, {_N} AS n FROM documents)
+SELECT doc_id AS sample_id, 'The answer is ' || chr(65 + CAST(n % 5 AS INT)) AS prediction,
+       CAST(CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS run_pass, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END AS n_records,
+       CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 2 ELSE 1 END AS n_calls
+FROM n""",
+)
+def q_generate_interrupted(spark, sf_dir):
+    """A run that ends in errors keeps every finished sample; the next run calls the model
+    only for the failed ones, and their newest good attempt is the record. The attempt
+    ledger gives the calls of each sample."""
+    path = scratch_path(spark, "interrupted")
+    records, _ = _failing_then_well(spark, _doc_samples(spark, sf_dir), path)
+    ledger = read_jsonl(spark, path, f"sample_id bigint, attempts bigint, {RUN_PASS} bigint")
+    calls = ledger.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n_records"), F.sum("attempts").cast("int").alias("n_calls"))
+    return records.join(calls, "sample_id").select("sample_id", "prediction", RUN_PASS, "n_records", "n_calls")
+
+
+@query(
+    "regrade_after_retry",
+    oracle=f"""WITH n AS (SELECT doc_id, {_N} AS n FROM documents),
+g AS (SELECT CAST(n % 5 = doc_id % 5 AS DOUBLE) AS ok, n % 7 = 0 AS failed FROM n)
+SELECT 'first' AS evaluation, round(avg(CASE WHEN failed THEN 0 ELSE ok END), 6) AS accuracy, count(*) AS n, count(*) AS n_graded FROM g
+UNION ALL SELECT 'second', round(avg(ok), 6), count(*), count(*) FILTER (WHERE failed) FROM g""",
+)
+def q_regrade_after_retry(spark, sf_dir):
+    """Records graded while some calls had failed, then graded again after a run answered
+    them: only the records that changed are graded anew, and the metrics are those of the
+    records as they are."""
+    samples = _doc_samples(spark, sf_dir).withColumn("answer", F.expr("'answer is ' || chr(65 + CAST(sample_id % 5 AS INT))"))
+    task, path, graded_path = get_task("choice_qa"), scratch_path(spark, "regraded"), scratch_path(spark, "regraded-grades")
+    # computed before the second pass adds rows to the table it reads
+    grade_now = lambda failed: materialize(evaluate_run(spark, task, failed, graded_path)[1], "first-metrics")
+    records, first = _failing_then_well(spark, samples, path, grade_now)
+    graded_first = read_jsonl(spark, graded_path, f"{GRADE_PASS} bigint").where(F.col(GRADE_PASS) == 1)
+    _, second = evaluate_run(spark, task, records, graded_path)
+    graded_second = read_jsonl(spark, graded_path, f"{GRADE_PASS} bigint").where(F.col(GRADE_PASS) == 2)
+    rows = []
+    for name, metrics, graded in (("first", first, graded_first), ("second", second, graded_second)):
+        n = graded.select(F.count(F.lit(1)).alias("n")).scalar()
+        rows.append(metrics.where("metric = 'accuracy'").select(F.lit(name).alias("evaluation"), F.round("value", 6).alias("accuracy"), "n", n.alias("n_graded")))
+    return rows[0].unionByName(rows[1])
+
+
 # ---- a task defined by a user: part type → guess the material -------------
 def last_word_model():
     """Stand-in model for the custom task: answers with the last word of the user text."""

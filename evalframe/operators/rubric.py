@@ -59,14 +59,17 @@ def judge_criteria(criteria: DataFrame, reply: str = "reply", out: str = "criter
     return with_verdict(criteria, reply, out)
 
 
-def score_samples(judged: DataFrame, key: str, met: str = "criteria_met", weight: str = "weight") -> DataFrame:
-    """Per-sample rubric score from judged criteria (key, rubric_score, n_criteria, n_judged, n_met)."""
+def score_samples(judged: DataFrame, key: str, met: str = "criteria_met", weight: str = "weight", failed: str | None = None) -> DataFrame:
+    """Per-sample rubric score from judged criteria (key, rubric_score, n_criteria, n_judged, n_met;
+    with ``failed``, the column of a call's error, also n_failed)."""
     v = F.col(met)
+    more = [F.count(failed).alias("n_failed")] if failed else []
     return judged.groupBy(key).agg(
         rubric_score_expr(v, F.col(weight)).alias("rubric_score"),
         F.count(F.lit(1)).alias("n_criteria"),
         F.count(v).alias("n_judged"),
         F.count_if(v).alias("n_met"),
+        *more,
     )
 
 

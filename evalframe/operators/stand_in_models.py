@@ -60,3 +60,15 @@ def flaky_choice_model():
         return "The answer is " + chr(65 + n % 5)
 
     return predict
+
+
+def failing_judge():
+    """``parity_judge`` that rejects prompts whose number of characters is divisible by 3."""
+    judge = parity_judge()
+
+    def predict(messages, **options):
+        if len(user_text(messages)) % 3 == 0:
+            raise StatusError(400, "judge is down")
+        return judge(messages, **options)
+
+    return predict

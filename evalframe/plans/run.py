@@ -14,13 +14,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.joins import pending
-from evalframe.plans.tasks import TaskSpec
+from evalframe.plans.tasks import TaskSpec, newest_verdicts
+from evalframe.session import materialize
 from evalframe.sources.files import read_if_exists, read_jsonl, write_jsonl
+from evalframe.sources.ledger import GRADE_PASS, RUN_PASS, VERSION, newest, next_pass, record_version
 from evalframe.sources.runs import (
     RECORDS_SUFFIX,
     RESULT_SUFFIX,
@@ -53,6 +54,14 @@ def record_frame(task: TaskSpec, samples: DataFrame) -> DataFrame:
     )
 
 
+class GenerationFailed(RuntimeError):
+    """Some samples got no answer; every other one is stored."""
+
+
+#: commits of one generation pass
+CHUNKS = 4
+
+
 def run_generation(
     spark: SparkSession,
     task: TaskSpec,
@@ -66,19 +75,31 @@ def run_generation(
     on_error: str = "fail",
     partitions: int | None = None,
     concurrency: int = 1,
+    chunks: int = CHUNKS,
 ) -> DataFrame:
-    """Generate a prediction for every sample without a persisted record.
+    """Generate a prediction for every sample without a good persisted record.
 
     ``samples`` needs ``sample_id`` (and ``sample_idx`` when ``limit`` is set:
-    the first ``limit`` samples in ingest order). New records are appended to
-    ``records_path``; the persisted records of these samples are returned, one
-    each. A record with an error (``on_error="null"``) is tried again by the next run.
+    the first ``limit`` samples in ingest order). The pending samples are
+    written once, dealt by hash into ``chunks``; each chunk is generated and
+    appended to ``records_path`` by a job of its own, so a run that dies keeps
+    the chunks it finished. All chunks are processed whatever fails in one.
+
+    Records are an attempt ledger: one row per sample and pass (``run_pass``),
+    with the error of a call that failed; failed samples are tried again by
+    the next run. With ``on_error="fail"`` a pass with failures ends in
+    ``GenerationFailed`` after everything else is stored. Returns the newest
+    good record of each sample (its newest failed one where none is good).
     """
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error must be 'fail' or 'null'")
+    if chunks < 1:
+        raise ValueError("chunks must be at least 1")
     if limit is not None:
         samples = samples.where(F.col("sample_idx") < limit)
     frame = record_frame(task, samples)
 
-    def records_of(todo: DataFrame) -> DataFrame:
+    def records_of(todo: DataFrame, number: int) -> DataFrame:
         gen = generate(
             todo,
             "messages",
@@ -86,41 +107,63 @@ def run_generation(
             carry=["sample_id", "reference", "evaluation_sample"],
             config=config,
             retry=retry,
-            on_error=on_error,
+            on_error="null",
             partitions=partitions,
             concurrency=concurrency,
         )
-        return gen.select("sample_id", "prediction", "reference", "evaluation_sample", "attempts", "error")
+        return gen.select("sample_id", "prediction", "reference", "evaluation_sample", "attempts", "error", F.lit(number).cast("bigint").alias(RUN_PASS))
 
-    schema = records_of(frame).schema
+    schema = records_of(frame, 0).schema
     existing = _persisted(spark, records_path, schema)
+    number = next_pass(existing, RUN_PASS)
     todo = frame if existing is None else pending(frame, existing.where("error is null"))
-    write_jsonl(records_of(todo), records_path, mode="append")
-    records = current_records(read_jsonl(spark, records_path, schema))
+    parts = [todo]
+    if chunks > 1:
+        dealt = todo.withColumn("_chunk", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)).cast("int"))
+        dealt = materialize(dealt, "pending", by="_chunk")
+        parts = [dealt.where(F.col("_chunk") == i).drop("_chunk") for i in range(chunks)]
+    broken = []
+    for part in parts:
+        try:
+            write_jsonl(records_of(part, number), records_path, mode="append")
+        except Exception as exc:  # a lost job costs its own chunk only
+            broken.append(exc)
+    stored = _persisted(spark, records_path, schema)
+    if on_error == "fail" and stored is not None:
+        failed = stored.where((F.col(RUN_PASS) == number) & F.col("error").isNotNull())
+        row = failed.agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("error")).first()
+        if row["n"]:
+            raise GenerationFailed(f"{row['n']} samples failed, for example with {row['error']}; all others are stored in {records_path}") from (broken or [None])[0]
+    if broken:
+        raise broken[0]
+    records = current_records(stored)
     return records if limit is None else records.join(samples.select("sample_id"), "sample_id", "left_semi")
 
 
 def current_records(records: DataFrame) -> DataFrame:
-    """One record per sample: a good one where some attempt succeeded, else the last failed one kept."""
+    """One record per sample: the newest good attempt, else the newest failed one.
+    Records without an ``error`` field have one attempt each and stay as they are."""
     if "error" not in records.columns:
         return records
-    order = Window.partitionBy("sample_id").orderBy(F.col("error").isNotNull(), F.col("attempts").desc())
-    return records.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    number = F.col(RUN_PASS) if RUN_PASS in records.columns else F.lit(0)
+    return newest(records, ["sample_id"], F.struct(F.col("error").isNull(), F.coalesce(number, F.lit(0)), "attempts")).select(*records.columns)
 
 
 def details_location(graded_path: str) -> str:
-    """Where per-item grading details (judged rubric criteria) of a graded table live."""
+    """Where the criterion ledger (judged rubric criteria) of a graded table lives."""
     return graded_path.rstrip("/") + "_details"
 
 
 def criterion_results_of(spark: SparkSession, graded_path: str) -> DataFrame:
-    """Judged criteria of the persisted evaluations only (rows of interrupted
-    grading passes are skipped): (sample_id, criterion_idx, criterion, weight,
-    reply, criteria_met)."""
+    """Judged criteria behind the newest persisted evaluation of each sample: (sample_id,
+    criterion_idx, criterion, weight, reply, criteria_met, error). Verdicts of records that
+    have changed since, or that have no evaluation yet, are left out."""
     details = spark.read.parquet(details_location(graded_path))
-    graded = read_jsonl(spark, graded_path, "sample_id bigint, evaluation struct<grade_run:string>")
-    keep = graded.select("sample_id", F.col("evaluation.grade_run").alias("grade_run"))
-    return details.join(keep, ["sample_id", "grade_run"], "left_semi").drop("grade_run")
+    key_type = details.schema["sample_id"].dataType.simpleString()
+    graded = read_jsonl(spark, graded_path, f"sample_id {key_type}, {VERSION} string, {GRADE_PASS} bigint")
+    keep = newest(graded, ["sample_id"], F.col(GRADE_PASS)).select("sample_id", VERSION)
+    verdicts = newest_verdicts(details.join(keep, ["sample_id", VERSION], "left_semi"))
+    return verdicts.select("sample_id", "criterion_idx", "criterion", "weight", "reply", "criteria_met", "error")
 
 
 def evaluate_run(
@@ -131,22 +174,39 @@ def evaluate_run(
     judge: Callable | None = None,
     **judge_options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Grade every record that has no persisted evaluation yet, then aggregate.
-
-    Grades are appended to ``graded_path`` as (sample_id, evaluation) rows
-    (separate layout); metrics come only from persisted grades. ``judge_options``
-    (partitions, concurrency, on_error, retry) shape the judge's calls. Returns
-    (records with evaluation, metrics).
+    """Grade every record whose present version has no complete persisted evaluation, then aggregate.
+
+    Grades are appended to ``graded_path`` as (sample_id, record_version,
+    grade_pass, evaluation) rows (separate layout); metrics come only from
+    persisted grades of the records as they are now. A record that has changed
+    is graded again, and so is one whose evaluation is not complete
+    (``TaskSpec.complete``; for rubrics: a judge call failed), calling the judge
+    only for what is missing. ``judge_options`` (partitions, concurrency,
+    on_error, retry) shape the judge's calls. Returns (records with evaluation,
+    metrics).
     """
     if records.isEmpty():
         raise ValueError("No per-sample records found to evaluate")
-    sample = task.grade(records.limit(0), judge, None)
-    schema = sample.schema
+    versioned = records.withColumn(VERSION, record_version(records))
+
+    def graded_of(rows: DataFrame, details: str | None, number: int, **options) -> DataFrame:
+        grades = task.grade(rows, judge, details, **options)
+        if VERSION not in grades.columns:  # a task of its own may return the key only
+            grades = grades.join(rows.select("sample_id", VERSION), "sample_id")
+        return grades.select("sample_id", VERSION, F.lit(number).cast("bigint").alias(GRADE_PASS), "evaluation")
+
+    schema = graded_of(versioned.limit(0), None, 0).schema
     persisted = _persisted(spark, graded_path, schema)
-    todo = records if persisted is None else pending(records, persisted)
-    write_jsonl(task.grade(todo, judge, details_location(graded_path), **judge_options), graded_path, mode="append")
+    number = next_pass(persisted, GRADE_PASS)
+    todo = versioned
+    if persisted is not None:
+        done = persisted.where(task.complete(F.col("evaluation"))) if task.complete else persisted
+        todo = versioned.join(done.select("sample_id", VERSION), ["sample_id", VERSION], "left_anti")
+    write_jsonl(graded_of(todo, details_location(graded_path), number, **judge_options), graded_path, mode="append")
     graded = read_jsonl(spark, graded_path, schema)
-    merged = records.join(graded, "sample_id", "left")
+    if task.complete:  # one version may have been graded more than once
+        graded = newest(graded, ["sample_id", VERSION], F.col(GRADE_PASS))
+    merged = versioned.join(graded.drop(GRADE_PASS), ["sample_id", VERSION], "left").select(*records.columns, "evaluation")
     judged = judge is not None or not task.graded_by_model
     return merged, task.aggregate(merged, judged)
 
@@ -199,6 +259,7 @@ def run_task(
     concurrency: int = 1,
     retry: RetryPolicy | None = None,
     on_error: str = "fail",
+    chunks: int = CHUNKS,
 ) -> DataFrame:
     """Generate (resumably) and record a run: records under
     ``root/records/{task}/{backend}/{model}/{run_key}.jsonl``, one summary row
@@ -208,7 +269,7 @@ def run_task(
     records_path = os.path.join(root, "records", key["result_path"][: -len(RESULT_SUFFIX)] + RECORDS_SUFFIX)
     records = run_generation(
         spark, task, samples, predictor_factory, records_path,
-        limit=limit, config=cfg, partitions=partitions, concurrency=concurrency, retry=retry, on_error=on_error,
+        limit=limit, config=cfg, partitions=partitions, concurrency=concurrency, retry=retry, on_error=on_error, chunks=chunks,
     )
     n = records.count()
     summary = spark.range(1).select(

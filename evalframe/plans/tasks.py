@@ -35,6 +35,8 @@ from evalframe.functions.verdict import with_verdict
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.metrics import avg_response_length, category_label, dataset_rubric_metrics, grade_qa, record_accuracy
 from evalframe.operators.rubric import explode_criteria, score_samples
+from evalframe.sources.files import read_if_exists
+from evalframe.sources.ledger import GRADE_PASS, VERSION, newest, next_pass
 
 Judge = Callable[[], Callable[..., str]]
 
@@ -49,8 +51,9 @@ class TaskSpec:
     messages(samples) → Column of model input messages
     reference(samples) → Column of reference text
     payload(samples) → Column (struct) kept with each record for later grading
-    grade(records, judge, details_path, **judge_options) → DataFrame (sample_id, evaluation);
-        a task with per-item details (rubric criteria) appends them under details_path;
+    grade(records, judge, details_path, **judge_options) → DataFrame (sample_id, evaluation), with
+        the records' record_version where they have one and the task carries it; a task with
+        per-item details (rubric criteria) appends them under details_path;
         judge_options (partitions, concurrency, on_error, retry) are passed only when given
     aggregate(records_with_evaluation, judged) → DataFrame (metric, value, n)
     """
@@ -62,6 +65,7 @@ class TaskSpec:
     grade: Callable[..., DataFrame]
     aggregate: Callable[[DataFrame, bool], DataFrame]
     description: str = ""
+    complete: Callable[[Column], Column] | None = None  # of a stored evaluation: nothing is left to grade; None: always
     graded_by_model: bool = False  # grading needs a judge model; without one, aggregate(…, judged=False)
 
 
@@ -164,7 +168,11 @@ def _qa_grade(records: DataFrame, judge: Judge | None = None, details_path: str
         grade_qa(F.coalesce(F.col("prediction"), F.lit("")), ref, _offers_options(records)).alias("correct"),
         category_label(s["category"], s["type"], s["task_type"]).alias("category"),
     )
-    return records.select("sample_id", ev.alias("evaluation"))
+    return records.select("sample_id", *_version_of(records), ev.alias("evaluation"))
+
+
+def _version_of(records: DataFrame) -> list[str]:
+    return [VERSION] if VERSION in records.columns else []
 
 
 def _qa_aggregate(records: DataFrame, judged: bool = True) -> DataFrame:
@@ -323,6 +331,31 @@ def _stored_prompt_is_variant(records: DataFrame) -> bool:
     return "prompt" in fields.fieldNames() and isinstance(fields["prompt"].dataType, VariantType)
 
 
+def newest_verdicts(ledger: DataFrame) -> DataFrame:
+    """One row per (sample, record version, criterion) of a criterion ledger: the newest good call, else the newest failed one."""
+    return newest(ledger, ["sample_id", VERSION, "criterion_idx"], F.struct(F.col("error").isNull(), GRADE_PASS))
+
+
+def _judge_calls(crit: DataFrame, keys: list[str], judge: Judge, partitions: int | None, concurrency: int, on_error: str, retry: RetryPolicy | None) -> DataFrame:
+    """Every criterion with the judge's reply, its error and the parsed verdict."""
+    prompts = crit.select(
+        *keys, "criterion", "weight",
+        F.array(_text_message("user", grader_prompt("history", "prediction", "criterion"))).cast(MESSAGE_TYPE).alias("messages"),
+    )
+    replies = generate(
+        prompts.repartition(partitions, *keys) if partitions else prompts.repartition(*keys),
+        "messages",
+        judge,
+        out="reply",
+        carry=[*keys, "criterion", "weight"],
+        config=GenerationConfig(max_tokens=GRADER_MAX_TOKENS, temperature=0.0, options={"response_format": {"type": "json_object"}}),
+        retry=retry or RetryPolicy(),
+        on_error=on_error,
+        concurrency=concurrency,
+    )
+    return with_verdict(replies, "reply", "criteria_met")
+
+
 def _chat_grade(
     records: DataFrame,
     judge: Judge | None = None,
@@ -334,53 +367,48 @@ def _chat_grade(
     retry: RetryPolicy | None = None,
 ) -> DataFrame:
     """Rubric grading. The judge's calls are dealt over ``partitions`` tasks by
-    (sample, criterion), so one record's criteria do not wait for each other; with
-    ``on_error="null"`` a criterion whose call failed has no verdict. With ``details_path`` the judged criteria (the grader's
-    output) are written there once, tagged with this pass's ``grade_run``, and
-    the scores are computed from the written rows; the evaluation carries the
-    same ``grade_run`` so criterion results can be joined back exactly."""
+    (sample, criterion), so one record's criteria do not wait for each other.
+
+    With ``details_path`` the verdicts are a ledger of (sample, record version,
+    criterion, pass) rows. A pass calls the judge only for criteria of the
+    present records that have no good call there yet, adds its rows, and scores
+    the records from the newest good call of each criterion, so a judge that
+    was down for some calls is asked for those alone. ``on_error="null"`` keeps
+    a failed call as a row with its error and no verdict; the evaluation counts
+    them (``n_failed``) and is not complete before none is left."""
+    version = _version_of(records)
+    keys = ["sample_id", *version, "criterion_idx"]
     s = records.select(
         "sample_id",
+        *version,
         F.coalesce(F.col("prediction"), F.lit("")).alias("prediction"),
         grading_history_of(F.col("evaluation_sample"), _stored_prompt_is_variant(records)).alias("history"),
         F.col("evaluation_sample.rubrics").alias("rubrics"),
         F.col("evaluation_sample.criteria").alias("criteria"),
     )
-    crit = explode_criteria(s, "sample_id", "rubrics", "criteria", carry=["history", "prediction"])
-    if judge is not None:
-        prompts = crit.select(
-            "sample_id", "criterion_idx", "criterion", "weight",
-            F.array(_text_message("user", grader_prompt("history", "prediction", "criterion"))).cast(MESSAGE_TYPE).alias("messages"),
-        )
-        dealt = ("sample_id", "criterion_idx")
-        replies = generate(
-            prompts.repartition(partitions, *dealt) if partitions else prompts.repartition(*dealt),
-            "messages",
-            judge,
-            out="reply",
-            carry=["sample_id", "criterion_idx", "criterion", "weight"],
-            config=GenerationConfig(max_tokens=GRADER_MAX_TOKENS, temperature=0.0, options={"response_format": {"type": "json_object"}}),
-            retry=retry or RetryPolicy(),
-            on_error=on_error,
-            concurrency=concurrency,
-        )
-        judged = with_verdict(replies, "reply", "criteria_met")
-        if details_path is not None:
-            run_id = uuid.uuid4().hex
-            judged.withColumn("grade_run", F.lit(run_id)).write.mode("append").parquet(details_path)
-            judged = judged.sparkSession.read.parquet(details_path).where(F.col("grade_run") == run_id).drop("grade_run")
+    crit = explode_criteria(s, "sample_id", "rubrics", "criteria", carry=[*version, "history", "prediction"])
+    run_id = None
+    if judge is None:
+        judged = crit.select(*keys, "criterion", "weight", F.lit(None).cast("boolean").alias("criteria_met"), F.lit(None).cast("string").alias("error"))
+    elif details_path is None or not version:
+        judged = _judge_calls(crit, keys, judge, partitions, concurrency, on_error, retry)
     else:
-        judged = crit.select("sample_id", "criterion_idx", "criterion", "weight", F.lit(None).cast("boolean").alias("criteria_met"))
-    scored = score_samples(judged, "sample_id")
-    out = s.select("sample_id").join(scored, "sample_id", "left")
+        spark, run_id = records.sparkSession, uuid.uuid4().hex
+        ledger = read_if_exists(spark.read.parquet, details_path)
+        todo = crit if ledger is None else crit.join(ledger.where("error is null").select(*keys), keys, "left_anti")
+        calls = _judge_calls(todo, keys, judge, partitions, concurrency, on_error, retry)
+        calls.withColumns({GRADE_PASS: F.lit(next_pass(ledger, GRADE_PASS)).cast("bigint"), "grade_run": F.lit(run_id)}).write.mode("append").parquet(details_path)
+        ledger = spark.read.parquet(details_path).join(s.select("sample_id", VERSION), ["sample_id", VERSION], "left_semi")
+        judged = newest_verdicts(ledger)
+    scored = score_samples(judged, "sample_id", failed="error")
+    out = s.select("sample_id", *version).join(scored, "sample_id", "left")
+    zero = F.lit(0).cast("bigint")
     ev = F.struct(
         F.coalesce("rubric_score", F.lit(0.0)).alias("rubric_score"),
-        F.coalesce("n_criteria", F.lit(0).cast("bigint")).alias("n_criteria"),
-        F.coalesce("n_judged", F.lit(0).cast("bigint")).alias("n_judged"),
-        F.coalesce("n_met", F.lit(0).cast("bigint")).alias("n_met"),
-        (F.lit(run_id) if judge is not None and details_path is not None else F.lit(None).cast("string")).alias("grade_run"),
+        *[F.coalesce(c, zero).alias(c) for c in ("n_criteria", "n_judged", "n_met", "n_failed")],
+        F.lit(run_id).cast("string").alias("grade_run"),
     )
-    return out.select("sample_id", ev.alias("evaluation"))
+    return out.select("sample_id", *version, ev.alias("evaluation"))
 
 
 def _chat_aggregate(records: DataFrame, judged: bool = True) -> DataFrame:
@@ -412,6 +440,7 @@ RUBRIC_CHAT = register(
         payload=_chat_payload,
         grade=_chat_grade,
         aggregate=_chat_aggregate,
+        complete=lambda ev: F.coalesce(ev["n_failed"], F.lit(0)) == 0,
         graded_by_model=True,
     )
 )

@@ -87,13 +87,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), "evalframe", f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared root and read it back.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared root (in a folder per value of ``by``) and read it back.
 
     Used where one expensive intermediate feeds several branches of a plan:
     the work runs once, the lineage is cut (a lost executor re-reads files
     instead of recomputing), and later scans get column pruning.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.parquet(path) if by is None else df.sparkSession.read.schema(df.schema).parquet(path)

@@ -272,3 +272,130 @@ def test_failed_rows_are_tried_again(spark):
     assert first.where("error is not null").count() == 40
     again = run_generation(spark, task, samples, choice_model, path)
     assert again.count() == 40 and again.where("error is not null or prediction is null").count() == 0
+
+
+def _letter_or(failure, broken):
+    """Model that answers by question length, but fails with ``failure`` for questions of a length in ``broken``."""
+
+    def factory():
+        def predict(messages, **_):
+            n = len(messages[-1]["content"][0]["text"])
+            if n in broken:
+                raise failure("no")
+            return "The answer is " + "ABCDE"[n % 5]
+
+        return predict
+
+    return factory
+
+
+def _lengths(samples):
+    """Length of each sample's prompt text, by sample."""
+    task = get_task("choice_qa")
+    return {r.sample_id: r.n for r in samples.select("sample_id", F.length(F.element_at(task.messages(samples), -1)["content"][0]["text"]).alias("n")).collect()}
+
+
+def test_failed_pass_keeps_every_finished_sample(spark):
+    from evalframe.plans.run import GenerationFailed
+
+    task, samples, path = get_task("choice_qa"), _qa_samples(spark), scratch_path(spark, "one-bad")
+    bad = _lengths(samples)[17]
+    with pytest.raises(GenerationFailed, match="1 samples failed.*ValueError"):
+        run_generation(spark, task, samples.where("sample_id > 0"), _letter_or(ValueError, {bad}), path)
+    kept = read_jsonl(spark, path, "sample_id long, prediction string, error string, run_pass long").collect()
+    assert len(kept) == 39 and [r.sample_id for r in kept if r.error] == [17] and {r.run_pass for r in kept} == {1}
+    again = run_generation(spark, task, samples, _letter_or(ValueError, set()), path)
+    assert again.count() == 40 and again.where("error is not null").count() == 0
+    ledger = read_jsonl(spark, path, "sample_id long, run_pass long").collect()
+    assert sorted(r.sample_id for r in ledger if r.run_pass == 2) == [0, 17]  # nothing else is called again
+
+
+def test_job_that_dies_keeps_its_finished_chunks(spark):
+    """A worker that ends itself fails its chunk's job; the other chunks are stored."""
+    task, samples, path = get_task("choice_qa"), _qa_samples(spark), scratch_path(spark, "died")
+    with pytest.raises(Exception, match="SystemExit"):
+        run_generation(spark, task, samples, _letter_or(SystemExit, {_lengths(samples)[5]}), path, chunks=8)
+    chunk = {r.sample_id: r.c for r in samples.select("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(8)).alias("c")).collect()}
+    kept = {r.sample_id for r in read_jsonl(spark, path, "sample_id long").collect()}
+    assert kept == {i for i in chunk if chunk[i] != chunk[5]} and len(kept) >= 20
+    again = run_generation(spark, task, samples, _letter_or(ValueError, set()), path, chunks=8)
+    assert again.count() == 40
+    assert read_jsonl(spark, path, "sample_id long").count() == 40
+
+
+def test_changed_records_are_graded_again(spark):
+    task, samples, root = get_task("choice_qa"), _qa_samples(spark), scratch_path(spark, "versions")
+    records_path, graded_path = os.path.join(root, "records"), os.path.join(root, "graded")
+    lengths = _lengths(samples)
+    failed = run_generation(spark, task, samples, _letter_or(ValueError, {lengths[i] for i in (1, 3, 5, 7)}), records_path, on_error="null")
+    evaluate_run(spark, task, failed, graded_path)
+    n = read_jsonl(spark, graded_path, "sample_id long").count()
+    records = run_generation(spark, task, samples, _letter_or(ValueError, set()), records_path)
+    graded, metrics = evaluate_run(spark, task, records, graded_path)
+    fresh, want = evaluate_run(spark, task, records, os.path.join(root, "graded-fresh"))
+    key = lambda df: sorted((r.sample_id, r.evaluation.correct) for r in df.collect())
+    assert key(graded) == key(fresh)
+    assert sorted(map(tuple, metrics.collect())) == sorted(map(tuple, want.collect()))
+    changed = {r.sample_id for r in read_jsonl(spark, graded_path, "sample_id long, grade_pass long").where("grade_pass = 2").collect()}
+    shared = {lengths[i] for i in (1, 3, 5, 7)}
+    assert n == 40 and changed == {i for i in lengths if lengths[i] in shared}
+
+
+def test_judge_is_asked_again_for_failed_calls_only(spark):
+    from evalframe.plans.run import criterion_results_of, details_location
+
+    task, root = get_task("rubric_chat"), scratch_path(spark, "ledger")
+    rows = [(i, f"q{i}", [(f"criterion {k} of {i}", None, float(k + 1), None) for k in range(i)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "sample_id long, prompt string, rubrics array<struct<criterion:string,text:string,weight:double,points:double>>")
+    records = run_generation(spark, task, df, lambda: lambda messages, **_: "an answer", os.path.join(root, "records"))
+
+    def judge(down):
+        def factory():
+            def predict(messages, **_):
+                text = messages[-1]["content"][0]["text"]
+                k, i = map(int, __import__("re").search(r"criterion (\d+) of (\d+)", text).groups())
+                if down and k % 2 == 1:
+                    raise ValueError("down")
+                return json.dumps({"criteria_met": k <= 1})
+
+            return predict
+
+        return factory
+
+    path = os.path.join(root, "graded")
+    first, _ = evaluate_run(spark, task, records, path, judge=judge(True), on_error="null")
+    assert {r.sample_id: r.evaluation.n_failed for r in first.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    second, metrics = evaluate_run(spark, task, records, path, judge=judge(False))
+    got = {r.sample_id: r.evaluation for r in second.collect()}
+    assert {i: e.n_failed for i, e in got.items()} == dict.fromkeys(range(5), 0)
+    assert [got[i].rubric_score for i in range(5)] == pytest.approx([0.0, 1.0, 1.0, 3 / 6, 3 / 10])
+    calls = spark.read.parquet(details_location(path))
+    assert calls.where("grade_pass = 1").count() == 10 and calls.where("grade_pass = 2").count() == 4
+    results = criterion_results_of(spark, path).collect()
+    assert len(results) == 10 and all(r.error is None and r.criteria_met == (r.criterion_idx <= 1) for r in results)
+    evaluate_run(spark, task, records, path, judge=judge(True))  # all is judged: the judge is not called
+    assert spark.read.parquet(details_location(path)).count() == 14
+
+
+def test_interrupted_grading_keeps_its_verdicts(spark):
+    """Verdicts written by a pass that stored no evaluation are used by the next one."""
+    from evalframe.plans.run import details_location
+
+    task, root = get_task("rubric_chat"), scratch_path(spark, "interrupted-grading")
+    rows = [(i, f"q{i}", [(f"c{k}", None, 1.0, None) for k in range(3)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "sample_id long, prompt string, rubrics array<struct<criterion:string,text:string,weight:double,points:double>>")
+    records = run_generation(spark, task, df, lambda: lambda messages, **_: "an answer", os.path.join(root, "records"))
+    from evalframe.sources.ledger import VERSION, record_version
+
+    yes = lambda: lambda messages, **_: '{"criteria_met": true}'
+    path = os.path.join(root, "graded")
+    task.grade(records.withColumn(VERSION, record_version(records)), yes, details_location(path))  # no evaluation is stored
+
+    def never():
+        def predict(messages, **_):
+            raise AssertionError("called again")
+
+        return predict
+
+    graded, _ = evaluate_run(spark, task, records, path, judge=never)
+    assert [r.evaluation.rubric_score for r in graded.collect()] == [1.0] * 4
