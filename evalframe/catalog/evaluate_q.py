@@ -7,7 +7,6 @@ Samples are written from `conversations` (one sample per conversation) and
 from __future__ import annotations
 
 import os
-import time
 
 from pyspark.sql import functions as F
 
@@ -214,7 +213,6 @@ def q_run_summary(spark, sf_dir):
     key = run.first().result_path
     log = os.path.join(root, "evaluations")
     append_evaluation(spark, log, key, "task__choice_qa", metrics, num_samples=n)
-    time.sleep(0.01)  # newer timestamp for the second evaluation
     append_evaluation(spark, log, key, "grader__choice_qa__stand-in__parity", metrics, {"backend": "stand-in", "model": "parity"}, n)
     s = run_summaries(spark, os.path.join(root, "runs"), log)
     ev = s.select("metrics", F.explode("evaluations").alias("evaluation_name", "e"))

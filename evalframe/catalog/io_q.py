@@ -16,6 +16,7 @@ from evalframe.catalog.registry import query
 from evalframe.functions.text import py_strip
 from evalframe.operators.joins import completed, merge_keyed, merge_prefix, pending
 from evalframe.session import scratch_path, table
+from evalframe.sources.positions import first_samples, position_manifest
 from evalframe.sources.files import (
     evaluated_records,
     legacy_records,
@@ -216,8 +217,9 @@ def q_evaluated_sink(spark, sf_dir):
     return a.unionByName(b)
 
 
-def _merge_inputs(spark, sf_dir):
-    src = with_sample_idx(table(spark, sf_dir, "documents").select("doc_id", "lang")).withColumnRenamed("doc_id", "sample_id")
+def _merge_inputs(spark, sf_dir, positions=True):
+    src = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    src = (with_sample_idx(src) if positions else src).withColumnRenamed("doc_id", "sample_id")
     persisted = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("sample_id"), F.struct("quality", "toxic").alias("evaluation"), F.lit("grader-a").alias("grader")
     )
@@ -243,7 +245,7 @@ def q_merge_prefix(spark, sf_dir):
 )
 def q_merge_keyed(spark, sf_dir):
     """Prior grades resumed by key: every record with a persisted evaluation, anywhere."""
-    src, persisted = _merge_inputs(spark, sf_dir)
+    src, persisted = _merge_inputs(spark, sf_dir, positions=False)
     m = merge_keyed(src, persisted)
     return m.select("sample_id", "evaluation.quality", "evaluation.toxic", "grader")
 
@@ -264,6 +266,49 @@ def q_resume_pending(spark, sf_dir):
     return todo.unionByName(kept)
 
 
+@query(
+    "split_limit",
+    oracle="""WITH o AS (SELECT doc_id, lang = 'en' AND lang IS NOT NULL AS english, CAST(floor(doc_id / 50) AS BIGINT) AS bucket FROM documents),
+n AS (SELECT doc_id, CASE WHEN english THEN 'test_day' ELSE 'test_week' END AS source_split,
+             row_number() OVER (ORDER BY NOT english, CAST(bucket AS VARCHAR), doc_id) - 1 AS sample_idx FROM o)
+SELECT doc_id, source_split, sample_idx FROM n WHERE sample_idx < (SELECT count(*) FROM documents) // 2""",
+)
+def q_split_limit(spark, sf_dir):
+    """The first half of the rows of a split that spans two folders of JSON-array files:
+    positions run over (list place, path, place in the file)."""
+    root = scratch_path(spark, "split-limit")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).alias("bucket"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    _write_arrays(docs.where(english), os.path.join(root, "day"), "bucket")
+    _write_arrays(docs.where(~english), os.path.join(root, "week"), "bucket")
+    files = {"test": [("day", "test_day"), ("week", "test_week")]}
+    rows = read_splits(spark, root, "test", "doc_id bigint, lang string", files, ordered=True)
+    half = docs.select((F.floor(F.count(F.lit(1)) / 2)).alias("n")).scalar()
+    return rows.where(F.col("sample_idx") < half).select("doc_id", "source_split", "sample_idx")
+
+
+@query(
+    "limit_files",
+    oracle="""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_idx FROM orders)
+SELECT o_orderkey, sample_idx, manifest FROM n, (VALUES ('first'), ('reused')) AS m(manifest) WHERE sample_idx < 1000""",
+)
+def q_limit_files(spark, sf_dir):
+    """The first 1000 orders of sixteen files by a position manifest: it is built by one
+    counting scan, published, and used again; only the files that start below the limit
+    are opened."""
+    root = scratch_path(spark, "limit-files")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    write_jsonl(orders.repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey"), os.path.join(root, "orders"))
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+    read = lambda paths: read_jsonl(spark, paths, schema)
+    out = None
+    for name in ("first", "reused"):
+        manifest = position_manifest(spark, read, [os.path.join(root, "orders")], os.path.join(root, "manifest"))
+        rows = first_samples(read, manifest, 1000).select("o_orderkey", "sample_idx", F.lit(name).alias("manifest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 PREFIX_LIMIT = 100
 
 

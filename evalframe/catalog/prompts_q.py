@@ -22,6 +22,7 @@ from evalframe.functions.prompts import (
 )
 from evalframe.functions.text import first_nonempty, py_strip
 from evalframe.operators.conversation import chat_messages, grading_history, last_turn
+from evalframe.plans.tasks import get_task
 from evalframe.session import table
 
 
@@ -172,7 +173,41 @@ def q_reference_column(spark, sf_dir):
     and the chat reference "{number of rubric criteria} rubrics"."""
     orders = table(spark, sf_dir, "orders")
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    s = orders.join(counts, "o_orderkey", "left")
-    qa_ref = F.upper(py_strip(first_nonempty("o_orderpriority", "o_orderstatus", F.lit(""))))
-    chat_ref = F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" rubrics"))
-    return s.select(F.col("o_orderkey").alias("sample_id"), qa_ref.alias("qa_reference"), chat_ref.alias("chat_reference"))
+    rubric = F.struct(F.lit("a criterion").alias("criterion"), F.lit(1.0).alias("weight"))
+    s = orders.join(counts, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("sample_id"),
+        F.col("o_orderpriority").alias("answer"),
+        F.col("o_orderstatus").alias("gt_answer"),
+        F.array_repeat(rubric, F.coalesce("n", F.lit(0)).cast("int")).alias("rubrics"),
+    )
+    qa, chat = get_task("choice_qa"), get_task("rubric_chat")
+    return s.select("sample_id", qa.reference(s).alias("qa_reference"), chat.reference(s).alias("chat_reference"))
+
+
+@query(
+    "qa_image_messages",
+    oracle=f"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, coalesce(text, '') AS q, 'data:image/jpeg;base64,' || base64(encode(text)) AS u FROM documents),
+o AS (SELECT *, CASE WHEN k = 1 THEN 'one; two; three' WHEN k = 2 THEN '' END AS opts FROM d)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND u IS NOT NULL THEN 2 ELSE 1 END AS n_parts,
+       CASE WHEN doc_id % 2 = 0 AND u IS NOT NULL THEN sha256(u) END AS image_sha256,
+       sha256(CASE WHEN opts <> '' THEN {sql_fill(QA_CHOICE_TEMPLATE, question="q", options="opts")} ELSE {sql_fill(QA_OPEN_TEMPLATE, question="q")} END) AS text_sha256
+FROM o""",
+)
+def q_qa_image_messages(spark, sf_dir):
+    """Model input of image questions through the task: every second document carries its
+    bytes as an image; options are one text, an empty text or absent."""
+    k = F.col("doc_id") % 3
+    s = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("text").alias("question"),
+        F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).alias("image"),
+        F.when(k == 1, F.lit("one; two; three")).when(k == 2, F.lit("")).alias("options"),
+    )
+    parts = s.select("doc_id", F.element_at(get_task("choice_qa").messages(s), -1)["content"].alias("c"))
+    last = F.element_at("c", -1)
+    return parts.select(
+        "doc_id",
+        F.size("c").alias("n_parts"),
+        F.sha2(F.get(F.filter("c", lambda p: p["type"] == "image_url"), F.lit(0))["url"], 256).alias("image_sha256"),
+        F.sha2(last["text"], 256).alias("text_sha256"),
+    )

@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from evalframe.catalog import sqltext as S
 from evalframe.catalog.fixtures import qa_samples, qa_samples_sql
+from evalframe.catalog.prompts_q import sql_fill
 from evalframe.catalog.registry import query
+from evalframe.functions.prompts import QA_OPEN_TEMPLATE
 from evalframe.functions.text import py_strip
-from evalframe.operators.conversation import valid_message
+from evalframe.operators.infer import GenerationConfig
 from evalframe.operators.joins import upsert_evaluations
 from evalframe.operators.metrics import category_label, grade_qa, metrics_long, record_accuracy
+from evalframe.operators.stand_in_models import choice_model
+from evalframe.plans.run import TaskRun, run_tasks, summary, validate_samples
+from evalframe.plans.tasks import get_task
 from evalframe.session import scratch_path, table
 from evalframe.sources.runs import evaluated_key, evaluation_name, find_runs, result_path, run_key, summary_row, write_runs
 
@@ -181,30 +186,74 @@ def q_metrics_long(spark, sf_dir):
     return metrics_long(last.select("task", "r.metrics", "r.num_samples"))
 
 
+_DOC_WORDS = S.token_count(sql_fill(QA_OPEN_TEMPLATE, question="coalesce(text, '')"))
 _VALID = "coalesce(role, 'user') IN ('user', 'assistant', 'system') AND text IS NOT NULL AND text <> ''"
 
 
 @query(
     "validate_dataset",
-    oracle=f"""WITH per AS (SELECT conv_id, count(*) FILTER (WHERE {_VALID}) AS n_valid FROM conversations GROUP BY conv_id)
-SELECT count(*) AS num_samples, min(conv_id) AS first_sample_id, 1 + greatest(arg_min(n_valid, conv_id), 1) AS first_prompt_turns,
-       (SELECT count(*) FILTER (WHERE text IS NULL) FROM conversations) AS null_texts,
-       (SELECT count(*) FILTER (WHERE role IS NULL) FROM conversations) AS null_roles
+    oracle=f"""WITH per AS (SELECT conv_id, count(*) FILTER (WHERE {_VALID}) AS n_valid, count(*) FILTER (WHERE text IS NULL) AS no_text, count(*) FILTER (WHERE role IS NULL) AS no_role,
+                            count(*) FILTER (WHERE {_VALID} AND coalesce(role, 'user') <> 'system') AS n_said FROM conversations GROUP BY conv_id)
+SELECT count(*) AS num_samples, 1 + greatest(arg_min(n_valid, conv_id), 1) AS first_prompt_turns, CAST(0 AS BIGINT) AS null_conversation,
+       count(*) FILTER (WHERE no_text > 0) AS null_content, count(*) FILTER (WHERE no_role > 0) AS null_role, count(*) FILTER (WHERE n_said = 0) AS no_input, CAST(0 AS BIGINT) AS no_reference
 FROM per""",
 )
 def q_validate_dataset(spark, sf_dir):
     """Dataset check in one aggregate job: sample count, message count of the first
-    sample's prompt (system text + valid turns, at least one), null counts."""
-    turns = table(spark, sf_dir, "conversations")
-    per = turns.groupBy("conv_id").agg(
-        F.count_if(valid_message("role", "text")).alias("n_valid"),
-        F.count_if(F.col("text").isNull()).alias("n_null_text"),
-        F.count_if(F.col("role").isNull()).alias("n_null_role"),
+    sample's prompt (system text + valid turns, at least one), nulls by column, samples
+    without an input text or a reference."""
+    turn = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))
+    samples = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    samples = samples.select("sample_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("conversation"))
+    # nulls inside the conversations, as a column that is null where a turn lacks the field
+    samples = samples.withColumns({
+        "content": F.when(~F.exists("conversation", lambda x: x["content"].isNull()), F.lit(True)),
+        "role": F.when(~F.exists("conversation", lambda x: x["role"].isNull()), F.lit(True)),
+    })
+    found = validate_samples(get_task("rubric_chat"), samples)
+    checks = F.col("checks")
+    return found.select(
+        "num_samples",
+        F.col("first_prompt_messages").cast("bigint").alias("first_prompt_turns"),
+        *[checks[f"null_{c}"].alias(f"null_{c}") for c in ("conversation", "content", "role")],
+        *[checks[c].alias(c) for c in ("no_input", "no_reference")],
+    )
+
+
+@query(
+    "tasks_summary",
+    oracle=f"""WITH q AS (SELECT CAST(({_DOC_WORDS}) % 5 = doc_id % 5 AS DOUBLE) AS ok FROM documents),
+p AS (SELECT 'size' || CAST(p_size % 5 AS VARCHAR) AS cat,
+             {S.exact_match("coalesce(list_last(list_filter(regexp_split_to_array('Material of: ' || p_type, '" + S.WS + "+'), lambda t: t <> '')), '')",
+                            "CASE WHEN p_size % 2 = 0 THEN list_last(string_split(p_type, ' ')) ELSE p_brand END")} AS ok FROM part)
+SELECT 'choice_qa' AS task, 'accuracy' AS metric, printf('%.4f', avg(ok)) AS value, CAST(count(*) AS VARCHAR) AS num_samples FROM q
+UNION ALL SELECT 'part_material', CASE WHEN grouping(cat) = 1 THEN 'accuracy' ELSE 'accuracy_' || cat END, printf('%.4f', avg(ok)), (SELECT CAST(count(*) AS VARCHAR) FROM part)
+FROM p GROUP BY GROUPING SETS ((), (cat))
+UNION ALL SELECT 'rubric_chat', 'status', 'predictions_saved', (SELECT CAST(count(DISTINCT conv_id) AS VARCHAR) FROM conversations)""",
+)
+def q_tasks_summary(spark, sf_dir):
+    """Four runs of three tasks: questions over documents twice (a model that knows nothing,
+    then one that answers; the later run counts), a task of one's own over parts, and chats
+    whose predictions are saved without evaluation. The listing has each task's last run."""
+    from evalframe.catalog.evaluate_q import reply_model
+    from evalframe.catalog.infer_q import PART_MATERIAL, last_word_model
+
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("question"), F.expr("'answer is ' || chr(65 + CAST(doc_id % 5 AS INT))").alias("answer")
     )
-    return per.agg(
-        F.count(F.lit(1)).alias("num_samples"),
-        F.min("conv_id").alias("first_sample_id"),
-        (F.lit(1) + F.greatest(F.min_by("n_valid", "conv_id"), F.lit(1))).cast("bigint").alias("first_prompt_turns"),
-        F.sum("n_null_text").alias("null_texts"),
-        F.sum("n_null_role").alias("null_roles"),
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "sample_id")
+    chats = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(F.max("text").alias("prompt"))
+    qa = get_task("choice_qa")
+    again = GenerationConfig(max_tokens=64)
+    root = scratch_path(spark, "several-tasks")
+    run_tasks(
+        spark,
+        [
+            TaskRun(qa, docs, reply_model),
+            TaskRun(PART_MATERIAL, parts, last_word_model),
+            TaskRun(get_task("rubric_chat"), chats, reply_model, judge_options=None),
+            TaskRun(qa, docs, choice_model, {"config": again}),
+        ],
+        root, backend="stand-in", model="several", chunks=1,
     )
+    return summary(spark, root)

@@ -89,8 +89,11 @@ def q_stream_metrics(spark, sf_dir):
     as streaming state, overall and per-category accuracy derived from them."""
     root = scratch_path(spark, "stream-metrics")
     _deliver(spark, sf_dir, root)
-    stream = spark.readStream.schema(EVENT_RECORD_SCHEMA).option("maxFilesPerTrigger", 64).json(os.path.join(root, "records"))
-    graded = stream.select(grade_qa("prediction", "reference", F.lit(True)).alias("correct"), "category")
+
+    def graded(session):
+        stream = session.readStream.schema(EVENT_RECORD_SCHEMA).option("maxFilesPerTrigger", 64).json(os.path.join(root, "records"))
+        return stream.select(grade_qa("prediction", "reference", F.lit(True)).alias("correct"), "category")
+
     m = running_metrics(spark, graded, os.path.join(root, "counts"), os.path.join(root, "checkpoint"))
     return m.select("metric", F.round("value", 6).alias("value"), "n")
 

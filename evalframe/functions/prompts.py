@@ -70,10 +70,11 @@ def grader_prompt(history, response, criterion) -> Column:
     return fill(GRADER_TEMPLATE, history=h, response=response, criterion=criterion)
 
 
-def has_options(options=None, choices=None, keyed: dict | None = None) -> Column:
+def has_options(options=None, choices=None, keyed: dict | None = None, texts: list | None = None) -> Column:
     """A QA sample has options when its ``options``/``choices`` list is non-empty or any
-    ``option_X``/``X`` field is present (``choice_X`` fields are not consulted)."""
-    conds = []
+    ``option_X``/``X`` field is present (``choice_X`` fields are not consulted). ``texts``:
+    options or choices given as one text, which count unless empty."""
+    conds = [F.coalesce(_c(t) != "", F.lit(False)) for t in texts or []]
     for lst in (options, choices):
         if lst is not None:
             conds.append(F.coalesce(F.size(_c(lst)) > 0, F.lit(False)))
@@ -87,14 +88,16 @@ def has_options(options=None, choices=None, keyed: dict | None = None) -> Column
     return out
 
 
-def format_options(options=None, choices=None, keyed: dict | None = None) -> Column:
-    """Lettered option list.
+def format_options(options=None, choices=None, keyed: dict | None = None, text=None) -> Column:
+    """Lettered option list, or ``text`` (options given as one text) as it is where nothing is listed.
 
     For A..E the keyed value is ``option_X or X or choice_X``. Keyed letters are
     listed until the first missing one; at that point a non-empty options list
     (``options or choices``) is listed instead, lettered from A, at most five
     items, and listing stops. Without a list, missing letters are skipped.
     """
+    if text is not None:
+        return F.coalesce(F.nullif(format_options(options, choices, keyed), F.lit("")), _c(text), F.lit(""))
     keyed = keyed or {}
     lst = None
     for c in (options, choices):

@@ -27,6 +27,29 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: powers of two that split a double into two integers for exact sums
+_HIGH, _LOW = 2.0**26, 2.0**78
+
+
+def exact_sum(value) -> Column:
+    """Aggregate: sum of doubles that does not depend on the order or the partitioning of rows.
+
+    Each value is split into a multiple of 2^-26 and a rest counted in 2^-78; both are summed as
+    decimals, which is exact and associative, and only the two totals are rounded to a double.
+    Null for no values, as ``sum``. Values are finite.
+    """
+    v = _c(value).cast("double")
+    high = F.rint(v * _HIGH)
+    low = F.rint((v - high / _HIGH) * _LOW)
+    part = lambda x, unit: F.sum(x.cast("decimal(38,0)")).cast("double") / unit
+    return part(high, _HIGH) + part(low, _LOW)
+
+
+def exact_mean(value) -> Column:
+    """Aggregate: mean of the non-null doubles, equal for any order and partitioning; null for none."""
+    return F.try_divide(exact_sum(value), F.count(value))
+
+
 def category_label(category, type_=None, task_type=None) -> Column:
     """``category or type or task_type``; empty → null (no category)."""
     cols = [c for c in (category, type_, task_type) if c is not None]
@@ -122,8 +145,8 @@ def rubric_score_expr(met, weight, judged=None) -> Column:
     """
     v = _c(met)
     w = F.coalesce(_c(weight).cast("double"), F.lit(1.0))
-    met_w = F.coalesce(F.sum(F.when(v, w)), F.lit(0.0))
-    total_w = F.sum(F.when(v.isNotNull(), w))
+    met_w = F.coalesce(exact_sum(F.when(v, w)), F.lit(0.0))
+    total_w = exact_sum(F.when(v.isNotNull(), w))
     return F.coalesce(F.try_divide(met_w, total_w), F.lit(0.0))
 
 
@@ -155,7 +178,7 @@ def dataset_rubric_metrics(per_sample: DataFrame, score: str = "rubric_score", n
     """Mean score over all samples (rubric-less count as 0.0) and the number of
     samples with a non-empty rubric list. One row."""
     return per_sample.agg(
-        F.coalesce(F.avg(F.coalesce(F.col(score), F.lit(0.0))), F.lit(0.0)).alias("rubric_score"),
+        F.coalesce(exact_mean(F.coalesce(F.col(score), F.lit(0.0))), F.lit(0.0)).alias("rubric_score"),
         F.count_if(F.coalesce(F.col(n_criteria), F.lit(0)) > 0).alias("num_graded"),
         F.count(F.lit(1)).alias("num_samples"),
     )

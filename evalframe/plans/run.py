@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evalframe.operators.infer import GenerationConfig, RetryPolicy, generate
 from evalframe.operators.joins import pending
+from evalframe.operators.metrics import metrics_long
 from evalframe.plans.tasks import TaskSpec, newest_verdicts
 from evalframe.session import materialize
 from evalframe.sources.files import read_if_exists, read_jsonl, write_jsonl
@@ -34,6 +36,7 @@ from evalframe.sources.runs import (
     latest_runs,
     result_path,
     run_key,
+    run_summaries,
     summary_row,
     write_runs,
 )
@@ -76,6 +79,7 @@ def run_generation(
     partitions: int | None = None,
     concurrency: int = 1,
     chunks: int = CHUNKS,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Generate a prediction for every sample without a good persisted record.
 
@@ -90,6 +94,9 @@ def run_generation(
     the next run. With ``on_error="fail"`` a pass with failures ends in
     ``GenerationFailed`` after everything else is stored. Returns the newest
     good record of each sample (its newest failed one where none is good).
+
+    ``observation`` gets the counts of ``validation_metrics`` over the samples
+    as the run reads them, without a scan of its own.
     """
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
@@ -97,6 +104,8 @@ def run_generation(
         raise ValueError("chunks must be at least 1")
     if limit is not None:
         samples = samples.where(F.col("sample_idx") < limit)
+    if observation is not None:
+        samples = samples.observe(observation, *validation_metrics(task, samples))
     frame = record_frame(task, samples)
 
     def records_of(todo: DataFrame, number: int) -> DataFrame:
@@ -118,7 +127,7 @@ def run_generation(
     number = next_pass(existing, RUN_PASS)
     todo = frame if existing is None else pending(frame, existing.where("error is null"))
     parts = [todo]
-    if chunks > 1:
+    if chunks > 1 or observation is not None:
         dealt = todo.withColumn("_chunk", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)).cast("int"))
         dealt = materialize(dealt, "pending", by="_chunk")
         parts = [dealt.where(F.col("_chunk") == i).drop("_chunk") for i in range(chunks)]
@@ -211,18 +220,50 @@ def evaluate_run(
     return merged, task.aggregate(merged, judged)
 
 
+def _problems(task: TaskSpec, samples: DataFrame) -> dict[str, Column]:
+    """What can be wrong with a sample, by name."""
+    empty = lambda c: c.isNull() | (c == "")
+    messages = task.messages(samples)
+    said = F.exists(messages, lambda m: (m["role"] != "system") & F.exists(m["content"], lambda p: ~empty(F.coalesce(p["text"], p["url"]))))
+    return {
+        "no_key": F.col("sample_id").isNull() if "sample_id" in samples.columns else F.lit(False),
+        "no_input": ~F.coalesce(said, F.lit(False)),
+        "no_reference": empty(task.reference(samples)),
+        "no_payload": task.payload(samples).isNull(),
+    }
+
+
+def validation_metrics(task: TaskSpec, samples: DataFrame) -> list[Column]:
+    """Aggregates that check samples: num_samples, null_{column} for every column, and the number of
+    samples without a key, an input text, a reference or a payload (no_...)."""
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in samples.columns]
+    return [F.count(F.lit(1)).alias("num_samples"), *nulls, *[F.count_if(c).alias(name) for name, c in _problems(task, samples).items()]]
+
+
+def failing_rows(task: TaskSpec, samples: DataFrame) -> DataFrame:
+    """Samples with a problem, and the names of their problems in ``problems``."""
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in _problems(task, samples).items()]))
+    return samples.withColumn("problems", found).where(F.size("problems") > 0)
+
+
 def validate_samples(task: TaskSpec, samples: DataFrame, order: str = "sample_id") -> DataFrame:
     """Dataset check in one aggregate job: number of samples, number of model-input
-    messages of the first sample (by ``order``) and the fields that sample has
-    (non-null columns). One row; a broken dataset fails the job."""
+    messages of the first sample (by ``order``), the fields that sample has
+    (non-null columns) and ``checks``, the counts of ``validation_metrics`` by
+    name. One row; a broken dataset fails the job."""
     cols = [c for c in samples.columns if c != order]
     first = F.min_by(F.struct(F.size(task.messages(samples)).alias("n_messages"), *[F.col(c) for c in cols]), F.col(order))
-    agg = samples.agg(F.count(F.lit(1)).alias("num_samples"), first.alias("_first"))
+    counts = validation_metrics(task, samples)
+    names = samples.agg(*counts).columns
+    agg = samples.agg(*counts, first.alias("_first")).withColumn(
+        "checks", F.create_map(*[x for c in names[1:] for x in (F.lit(c), F.col(f"`{c}`"))])
+    )
     present = F.array(F.lit(order), *[F.when(F.col("_first")[c].isNotNull(), F.lit(c)) for c in cols])
     return agg.select(
         "num_samples",
         F.col("_first.n_messages").alias("first_prompt_messages"),
         F.array_compact(present).alias("first_sample_keys"),
+        "checks",
     )
 
 
@@ -320,3 +361,51 @@ def evaluate_task(
     grader = {k: v for k, v in (("backend", grader_backend), ("model", grader_model)) if v}
     append_evaluation(spark, os.path.join(root, "evaluations"), identity["result_path"], name, metrics, grader, run.num_samples)
     return metrics
+
+
+@dataclass
+class TaskRun:
+    """One task of a run over several: its samples, and the options of ``run_task`` / ``evaluate_task`` that are its own."""
+
+    task: TaskSpec
+    samples: DataFrame
+    predictor_factory: Callable
+    run_options: dict = field(default_factory=dict)
+    judge_options: dict | None = field(default_factory=dict)  # None: predictions only, not evaluated
+
+
+#: options that name a run; ``evaluate_task`` needs them too
+_IDENTITY = ("task_config", "config", "limit")
+
+
+def run_tasks(spark: SparkSession, runs: list[TaskRun], root: str, *, backend: str | None, model: str | None, **shared) -> DataFrame:
+    """Run and evaluate several tasks in order, each like ``run_task`` and ``evaluate_task`` with ``shared``
+    and its own options. A task may come again; its later run counts.
+
+    Returns the metrics of every evaluated run as one frame: (run_no, task_name, metric, value, n), run_no from 1
+    in the order given. Samples of all tasks stay distributed; only run-level rows are shared.
+    """
+    out = None
+    for number, one in enumerate(runs, 1):
+        options = shared | one.run_options
+        run_task(spark, one.task, one.samples, one.predictor_factory, root, backend=backend, model=model, **options)
+        if one.judge_options is None:
+            continue
+        identity = {k: v for k, v in options.items() if k in _IDENTITY}
+        metrics = evaluate_task(spark, one.task, root, backend=backend, model=model, **identity, **one.judge_options)
+        tagged = materialize(metrics, "task-metrics").select(F.lit(number).alias("run_no"), F.lit(one.task.name).alias("task_name"), "metric", "value", "n")
+        out = tagged if out is None else out.unionByName(tagged)
+    return spark.createDataFrame([], "run_no int, task_name string, metric string, value double, n bigint") if out is None else out
+
+
+def summary(spark: SparkSession, root: str) -> DataFrame:
+    """Listing (task, metric, value, num_samples) of the last run of every task below ``root``, with the
+    metrics of its newest evaluation (``status`` = ``predictions_saved`` where there is none).
+
+    One grouped pass over the run rows: the last run of a task is the one with the highest sequence number.
+    """
+    log = os.path.join(root, "evaluations")
+    there = read_if_exists(spark.read.parquet, log) is not None
+    folded = run_summaries(spark, os.path.join(root, "runs"), log if there else None)
+    last = newest(folded.select("task_name", "seq", "metrics", "num_samples"), ["task_name"], F.col("seq"))
+    return metrics_long(last.withColumnRenamed("task_name", "task"))

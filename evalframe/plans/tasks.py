@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType, VariantType
+from pyspark.sql.types import ArrayType, StringType, StructType, VariantType
 
 from evalframe.functions.prompts import (
     CHAT_ROLES,
@@ -80,7 +80,7 @@ def register(spec: TaskSpec) -> TaskSpec:
 
 def get_task(name: str) -> TaskSpec:
     if name not in _REGISTRY:
-        raise ValueError(f"Task '{name}' not found. Available tasks: {list(_REGISTRY)}")
+        raise ValueError(f"No task named '{name}'; registered: {', '.join(_REGISTRY)}")
     return _REGISTRY[name]
 
 
@@ -109,12 +109,17 @@ def _keyed_options(df: DataFrame) -> dict:
     return {n: n for n in names if n in df.columns}
 
 
+def _option_columns(df: DataFrame) -> dict:
+    """``options`` and ``choices`` by kind: lists under their own names, texts under ``texts``."""
+    given = [n for n in ("options", "choices") if n in df.columns]
+    texts = [n for n in given if isinstance(df.schema[n].dataType, StringType)]
+    return {n: n if n in given and n not in texts else None for n in ("options", "choices")} | {"texts": texts}
+
+
 def _qa_messages(df: DataFrame) -> Column:
-    keyed = _keyed_options(df)
-    opts = "options" if "options" in df.columns else None
-    chs = "choices" if "choices" in df.columns else None
-    opt = has_options(opts, chs, keyed)
-    text = format_options(opts, chs, keyed)
+    keyed, found = _keyed_options(df), _option_columns(df)
+    opt = has_options(keyed=keyed, **found)
+    text = format_options(found["options"], found["choices"], keyed, text="options" if "options" in found["texts"] else None)
     image = None
     for n in ("image", "Image"):
         if n in df.columns:
@@ -132,11 +137,11 @@ def _qa_reference(df: DataFrame) -> Column:
 
 
 def _qa_payload(df: DataFrame, strict: bool = False) -> Column:
-    opts = "options" if "options" in df.columns else None
-    chs = "choices" if "choices" in df.columns else None
+    found = _option_columns(df)
+    opts, chs = found["options"], found["choices"]
     # strict: only a non-empty options/choices list survives persistence, so
     # samples given as option_X fields are graded by exact match later
-    opt = has_options(opts, chs, {} if strict else _keyed_options(df))
+    opt = has_options(keyed={} if strict else _keyed_options(df), **found)
     lst = None
     for c in (opts, chs):
         if c is not None:

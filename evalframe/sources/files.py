@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,6 +68,11 @@ def read_json_array(spark: SparkSession, path, schema=None) -> DataFrame:
     return r.json(path)
 
 
+def plain_paths(files: list[str]) -> list[str]:
+    """File names as Spark reports them (URL-escaped) as paths that a reader takes literally."""
+    return [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(f)) for f in files]
+
+
 def _glob_regex(pattern: str) -> str:
     return "".join("[^/]*" if ch == "*" else re.escape(ch) for ch in pattern)
 
@@ -76,41 +82,43 @@ def subset_scan(spark: SparkSession, data_dir: str, subset: str = "standard", sc
     sorted-path order. Matching entries may be files or directories of part files;
     only file names are listed on the driver, the rows are read by the cluster."""
     if subset not in SUBSET_FILE_PATTERNS:
-        valid = ", ".join(sorted(SUBSET_FILE_PATTERNS))
-        raise ValueError(f"Invalid subset: {subset}. Expected one of: {valid}")
+        raise ValueError(f"No subset named '{subset}'; there are {', '.join(sorted(SUBSET_FILE_PATTERNS))}")
     pattern = SUBSET_FILE_PATTERNS[subset]
     rx = re.compile("/(" + _glob_regex(pattern) + ")(/|$)")
     try:
         listed = spark.read.format("text").load(os.path.join(data_dir, pattern)).inputFiles()
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise FileNotFoundError(f"No files matching '{pattern}' found in {data_dir}") from exc
+            raise FileNotFoundError(f"{data_dir} has no file named like {pattern}") from exc
         raise
     files = []
     for f in listed:
-        m = rx.search(f)
+        m = rx.search(unquote(f))
         if m is None or (subset == "standard" and STANDARD_EXCLUDE in m.group(1)):
             continue
         files.append(f)
     if not files:
-        raise FileNotFoundError(f"No files matching '{pattern}' found in {data_dir}")
-    df = read_jsonl(spark, sorted(files), schema)
+        raise FileNotFoundError(f"{data_dir} has no file named like {pattern}")
+    df = read_jsonl(spark, plain_paths(sorted(files)), schema)
     return with_sample_idx(df) if ordered else df
 
 
-def read_splits(spark: SparkSession, root: str, split: str, schema=None, split_files: dict | None = None) -> DataFrame:
+def read_splits(spark: SparkSession, root: str, split: str, schema=None, split_files: dict | None = None, ordered: bool = False) -> DataFrame:
     """Rows of a named split: its files concatenated in list order, each row
     tagged with ``source_split``; ``clue_interval`` back-filled from
-    ``clue_intervals`` when absent (both read as raw JSON text)."""
+    ``clue_intervals`` when absent (both read as raw JSON text). ``ordered``
+    adds ``sample_idx``, the position in (list place, path, place in the file)."""
     files = (split_files or SPLIT_FILES).get(split)
     if files is None:
-        valid = ", ".join(sorted(split_files or SPLIT_FILES))
-        raise ValueError(f"Invalid split '{split}'. Expected one of: {valid}")
-    out = None
-    for i, (name, tag) in enumerate(files):
-        part = read_json_array(spark, os.path.join(root, name), schema)
-        part = part.withColumn("source_split", F.lit(tag)).withColumn("_split_pos", F.lit(i))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        raise ValueError(f"No split named '{split}'; there are {', '.join(sorted(split_files or SPLIT_FILES))}")
+    scans = [read_json_array(spark, os.path.join(root, name), schema) for name, _ in files]
+    tags = [F.lit(tag) for _, tag in files]
+    if ordered:
+        out = union_with_sample_idx([scan.withColumn("source_split", tag) for scan, tag in zip(scans, tags, strict=True)])
+    else:
+        out = scans[0].withColumn("source_split", tags[0])
+        for scan, tag in zip(scans[1:], tags[1:], strict=True):
+            out = out.unionByName(scan.withColumn("source_split", tag), allowMissingColumns=True)
     cols = out.columns
     if "clue_intervals" in cols:
         fill = F.col("clue_intervals") if "clue_interval" not in cols else F.coalesce("clue_interval", "clue_intervals")
@@ -124,22 +132,40 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _offsets_distributed(splits: DataFrame) -> DataFrame:
-    """Running sum over (file, split) order without a single-task window.
+    """Running sum over (scan, file, split) order without a single-task window.
 
-    The split table is range-partitioned by (file, split) and written once
+    The split table is range-partitioned in that order and written once
     with each row's partition number, so every branch below sees the same
     assignment. Offsets are then the running sum of the partition totals
     (one row per partition) plus the running sum inside the partition.
     """
     ranged = materialize(
-        splits.repartitionByRange("_f", "_b").select("*", F.spark_partition_id().alias("_p")), "split-offsets"
+        splits.repartitionByRange("_s", "_f", "_b").select("*", F.spark_partition_id().alias("_p")), "split-offsets"
     )
     totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_pn"))
     part_before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     part_off = totals.select("_p", F.coalesce(F.sum("_pn").over(part_before), F.lit(0)).alias("_poff"))
-    local_before = Window.partitionBy("_p").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select("_p", "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(local_before), F.lit(0)).alias("_loff"))
-    return local.join(part_off, "_p").select("_f", "_b", "_m0", (F.col("_poff") + F.col("_loff")).alias("_off"))
+    local_before = Window.partitionBy("_p").orderBy("_s", "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("_p", "_s", "_f", "_b", "_m0", F.coalesce(F.sum("_n").over(local_before), F.lit(0)).alias("_loff"))
+    return local.join(part_off, "_p").select("_s", "_f", "_b", "_m0", (F.col("_poff") + F.col("_loff")).alias("_off"))
+
+
+def _tagged(scan: DataFrame, place: int) -> DataFrame:
+    """A file scan whose rows carry the scan's place, their file, split start (0 where a file is one split) and order in it."""
+    return scan.select(
+        "*",
+        F.lit(place).alias("_s"),
+        F.col("_metadata.file_path").alias("_f"),
+        F.coalesce(F.col("_metadata.file_block_start"), F.lit(0)).alias("_b"),
+        F.monotonically_increasing_id().alias("_m"),
+    )
+
+
+def _numbered(tagged: DataFrame, name: str) -> DataFrame:
+    keys = ["_s", "_f", "_b"]
+    splits = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    out = tagged.join(_offsets_distributed(splits), keys)
+    return out.withColumn(name, F.col("_off") + F.col("_m") - F.col("_m0")).drop(*keys, "_m", "_m0", "_off")
 
 
 def with_sample_idx(scan: DataFrame, name: str = "sample_idx") -> DataFrame:
@@ -152,15 +178,15 @@ def with_sample_idx(scan: DataFrame, name: str = "sample_idx") -> DataFrame:
     the split. No data row is sorted or moved to one task; the running sum over
     splits is a distributed prefix sum.
     """
-    tagged = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_m"),
-    )
-    splits = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    out = tagged.join(_offsets_distributed(splits), ["_f", "_b"])
-    return out.withColumn(name, F.col("_off") + F.col("_m") - F.col("_m0")).drop("_f", "_b", "_m", "_m0", "_off")
+    return _numbered(_tagged(scan, 0), name)
+
+
+def union_with_sample_idx(scans: list[DataFrame], name: str = "sample_idx") -> DataFrame:
+    """Union by name of file scans with each row's global 0-based position in (list place, sorted file path, in-file order)."""
+    out = _tagged(scans[0], 0)
+    for i, scan in enumerate(scans[1:], 1):
+        out = out.unionByName(_tagged(scan, i), allowMissingColumns=True)
+    return _numbered(out, name)
 
 
 def legacy_records(summaries: DataFrame, run_key: str = "run_key") -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evalframe.functions.text import first_nonempty, sanitize_component
+from evalframe.sources.files import read_if_exists
+from evalframe.sources.ledger import newest, next_pass
 
 # --- fixed values ---------------------------------------------------------
 DEFAULT_MAX_TOKENS = 4096
@@ -168,8 +169,11 @@ def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
 
     The runs table holds one small row per run, so rows are first grouped by
     the partition columns: one file per partition instead of one per task
-    and partition.
+    and partition. Each write has the next sequence number (``seq``), so the
+    later of two rows of a run is known whatever the clock says.
     """
+    stored = None if mode == "overwrite" else read_if_exists(runs.sparkSession.read.parquet, path)
+    runs = runs.withColumn("seq", F.lit(next_pass(stored, "seq")).cast("bigint"))
     runs.repartition(*RUN_PARTITIONS).write.mode(mode).partitionBy(*RUN_PARTITIONS).parquet(path)
 
 
@@ -202,8 +206,9 @@ def metrics_entries(metrics: DataFrame) -> DataFrame:
 
 EVALUATION_LOG_SCHEMA = (
     "result_path string, evaluation_name string, metrics map<string,double>, grader map<string,string>, "
-    "num_samples bigint, ts timestamp"
+    "num_samples bigint, ts timestamp, seq bigint, snapshot boolean"
 )
+_EVALUATION = ["result_path", "evaluation_name"]
 
 
 def append_evaluation(
@@ -219,9 +224,11 @@ def append_evaluation(
     ``result_path``, which names task, backend, model and run key.
 
     ``metrics`` is the long form (metric, value[, n]); it becomes one map. The
-    log is append-only: re-evaluating under the same name adds a newer row,
-    and ``run_summaries`` keeps the newest.
+    log is append-only: re-evaluating under the same name adds a row with a
+    higher sequence number, and ``run_summaries`` keeps that one. ``ts`` is
+    information only.
     """
+    log = read_if_exists(spark.read.parquet, log_path)
     grader_map = F.create_map(*[F.lit(x) for kv in sorted((grader or {}).items()) for x in kv]).cast("map<string,string>")
     row = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("double")))).alias("metrics")).select(
         F.lit(key).alias("result_path"),
@@ -230,14 +237,36 @@ def append_evaluation(
         grader_map.alias("grader"),
         F.lit(num_samples).cast("bigint").alias("num_samples"),
         F.current_timestamp().alias("ts"),
+        F.lit(number := next_pass(log, "part")).cast("bigint").alias("seq"),
+        F.lit(False).alias("snapshot"),
+        F.lit(number).cast("bigint").alias("part"),
     )
-    row.write.mode("append").parquet(log_path)
+    row.write.mode("append").partitionBy("part").parquet(log_path)
+
+
+def read_evaluations(spark: SparkSession, log_path: str) -> DataFrame:
+    """Rows of the evaluation log from its newest snapshot on; older folders are not opened."""
+    log = spark.read.parquet(log_path)
+    cut = log.where("snapshot").agg(F.max("part").alias("part")).first()["part"]
+    return (log if cut is None else log.where(F.col("part") >= cut)).drop("part")
+
+
+def compact_evaluations(spark: SparkSession, log_path: str) -> None:
+    """Fold the log into a snapshot: the newest row per (run, evaluation name), with its sequence number.
+
+    The snapshot is one more folder of the log. Readers start at the newest
+    complete one, so an interrupted compaction changes nothing, and folders
+    before it may be removed when no reader is left that began earlier.
+    """
+    number = next_pass(spark.read.parquet(log_path), "part")
+    rows = newest(read_evaluations(spark, log_path), _EVALUATION, F.col("seq"))
+    rows = rows.withColumns({"snapshot": F.lit(True), "part": F.lit(number).cast("bigint")})
+    rows.coalesce(1).write.mode("append").partitionBy("part").parquet(log_path)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """One row per run (task, backend, model, run key): a rerun adds a row that holds at least as many samples."""
-    order = Window.partitionBy("result_path").orderBy(F.col("num_samples").desc_nulls_last())
-    return runs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """One row per run (task, backend, model, run key): the one written last."""
+    return newest(runs, ["result_path"], F.col("seq")).select(*runs.columns)
 
 
 def run_summaries(spark: SparkSession, runs_path: str, log_path: str | None) -> DataFrame:
@@ -247,11 +276,10 @@ def run_summaries(spark: SparkSession, runs_path: str, log_path: str | None) ->
     runs = latest_runs(spark.read.parquet(runs_path))
     if log_path is None:
         return runs
-    log = spark.read.parquet(log_path)
-    latest = log.groupBy("result_path", "evaluation_name").agg(F.max_by(F.struct("metrics", "grader", "ts"), "ts").alias("e"))
+    latest = newest(read_evaluations(spark, log_path), _EVALUATION, F.col("seq")).select(*_EVALUATION, F.struct("metrics", "grader", "seq").alias("e"))
     per_run = latest.groupBy("result_path").agg(
         F.map_from_entries(F.collect_list(F.struct("evaluation_name", F.struct(F.col("e.metrics").alias("metrics"), F.col("e.grader").alias("grader"))))).alias("_evals"),
-        F.max_by(F.col("e.metrics"), F.col("e.ts")).alias("_metrics"),
+        F.max_by(F.col("e.metrics"), F.col("e.seq")).alias("_metrics"),
     )
     joined = runs.join(per_run, "result_path", "left")
     return joined.withColumn("evaluations", F.coalesce("_evals", "evaluations")).withColumn(

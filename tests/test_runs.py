@@ -112,8 +112,6 @@ def test_evaluated_path_rerooting(spark):
 
 
 def test_evaluation_log_and_summaries(spark):
-    import time
-
     from evalframe.sources.runs import append_evaluation, run_summaries
 
     df = spark.createDataFrame([("qa", "openai", "m1", 10)], "task string, backend string, model string, n int")
@@ -123,9 +121,7 @@ def test_evaluation_log_and_summaries(spark):
     key = rows.first().result_path
     m1 = spark.createDataFrame([("accuracy", 0.5, 10)], "metric string, value double, n bigint")
     append_evaluation(spark, log_path, key, "task__qa", m1)
-    time.sleep(0.05)
     append_evaluation(spark, log_path, key, "grader__qa__b__m", m1.selectExpr("metric", "0.7 AS value", "n"), {"backend": "b", "model": "m"})
-    time.sleep(0.05)
     append_evaluation(spark, log_path, key, "task__qa", m1.selectExpr("metric", "0.9 AS value", "n"))
     s = run_summaries(spark, runs_path, log_path).first()
     assert {k: v.metrics["accuracy"] for k, v in s.evaluations.items()} == {"task__qa": 0.9, "grader__qa__b__m": 0.7}
