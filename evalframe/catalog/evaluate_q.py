@@ -42,15 +42,16 @@ def _json_string(c):
 
 
 def _mixed_prompt(t):
-    """Prompt JSON in one of four shapes, picked by conversation id mod 4: a string, one
-    message object, a list of message objects, or a list mixing strings and
-    single-message lists."""
+    """Prompt JSON in one of four shapes, picked by conversation id mod 4: a string (all
+    turns joined), one message object (the same, in the first turn's role), a list of
+    message objects, or a list mixing strings and single-message lists."""
     obj = lambda x: F.to_json(F.struct(x["role"].alias("role"), x["text"].alias("content")))
     first = F.element_at(t, 1)
+    whole = F.array_join(F.transform(t, lambda x: x["text"]), "\n")
     as_list = F.concat(F.lit("["), F.array_join(F.transform(t, obj), ","), F.lit("]"))
     mixed_items = F.transform(t, lambda x, i: F.when(i % 2 == 0, _json_string(x["text"])).otherwise(F.concat(F.lit("["), obj(x), F.lit("]"))))
     mixed = F.concat(F.lit("["), F.array_join(mixed_items, ","), F.lit("]"))
-    return mixed, as_list, obj(first), _json_string(first["text"])
+    return mixed, as_list, F.to_json(F.struct(first["role"].alias("role"), whole.alias("content"))), _json_string(whole)
 
 
 @query(
@@ -58,9 +59,11 @@ def _mixed_prompt(t):
     oracle=f"""WITH b AS (
   SELECT {_SAMPLE_ID} AS sample_id, conv_id % 4 AS shape, role, text,
          row_number() OVER (PARTITION BY {_SAMPLE_ID} ORDER BY turn) - 1 AS pos FROM conversations),
+w AS (SELECT sample_id, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS whole FROM b GROUP BY sample_id),
+c AS (SELECT b.sample_id, shape, role, pos, CASE WHEN shape IN (0, 1) THEN whole ELSE text END AS text FROM b JOIN w ON w.sample_id = b.sample_id),
 m AS (
   SELECT sample_id, pos, CASE WHEN shape = 0 OR (shape = 3 AND pos % 2 = 0) THEN 'user' ELSE coalesce(role, 'user') END AS role, text AS content
-  FROM b
+  FROM c
   WHERE (shape IN (0, 1) AND pos = 0 OR shape IN (2, 3))
     AND text IS NOT NULL AND text <> ''
     AND (shape = 0 OR (shape = 3 AND pos % 2 = 0) OR coalesce(role, 'user') IN ('user', 'assistant', 'system'))),

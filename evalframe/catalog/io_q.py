@@ -12,9 +12,12 @@ import os
 from pyspark.sql import functions as F
 
 from evalframe.catalog.fixtures import QA_COLUMNS, qa_samples, qa_samples_sql
+from evalframe.catalog import sqltext as S
 from evalframe.catalog.registry import query
 from evalframe.functions.text import py_strip
 from evalframe.operators.joins import completed, merge_keyed, merge_prefix, pending
+from evalframe.plans.run import evaluate_file
+from evalframe.plans.tasks import get_task
 from evalframe.session import scratch_path, table
 from evalframe.sources.positions import first_samples, position_manifest
 from evalframe.sources.files import (
@@ -57,8 +60,9 @@ def q_jsonl_roundtrip(spark, sf_dir):
     read back with the record schema."""
     path = scratch_path(spark, "records")
     recs = qa_records(spark, sf_dir)
-    write_jsonl(recs.where(F.col("status") == "F").drop("status"), path, "overwrite")
-    write_jsonl(recs.where(F.col("status") != "F").drop("status"), path, "append")
+    finished = F.coalesce(F.col("status") == "F", F.lit(False))
+    write_jsonl(recs.where(finished).drop("status"), path, "overwrite")
+    write_jsonl(recs.where(~finished).drop("status"), path, "append")
     back = read_jsonl(spark, path, RECORD_SCHEMA)
     return back.select(
         "sample_id",
@@ -87,26 +91,34 @@ def q_ordered_ingest(spark, sf_dir):
 
 # Fixture layout for the subset scan: one JSONL location per language.
 _SUBSET_FILES = {"en": "hard_en.jsonl", "fr": "fr_oss_eval.jsonl", "de": "de_meta_oss_eval.jsonl", "es": "es_oss_eval.jsonl"}
+_CONSENSUS_FILE = "consensus_a set.jsonl"
 
 
 @query(
     "subset_scan",
-    oracle="""SELECT 'standard' AS subset, doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS sample_idx FROM documents WHERE lang IN ('es', 'fr')
+    oracle="""SELECT 'standard' AS subset, doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS sample_idx, md5(text) AS text_md5 FROM documents WHERE lang IN ('es', 'fr')
 UNION ALL
-SELECT 'hard', doc_id, row_number() OVER (ORDER BY doc_id) - 1 FROM documents WHERE lang = 'en'""",
+SELECT 'hard', doc_id, row_number() OVER (ORDER BY doc_id) - 1, md5(text) FROM documents WHERE lang = 'en'
+UNION ALL
+SELECT 'consensus', item_id, row_number() OVER (ORDER BY item_id) - 1, md5(text) FROM benchmark""",
 )
 def q_subset_scan(spark, sf_dir):
     """Documents laid out as subset files by language, then scanned per subset by file-name
-    pattern ("standard" skips the meta file), with positions in sorted-path order."""
-    root = scratch_path(spark, "subsets")
+    pattern ("standard" skips the meta file), with positions in sorted-path order; the
+    benchmark as the consensus subset, in a folder and a file with a space in the name."""
+    root = scratch_path(spark, "sub sets")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     for lang, name in _SUBSET_FILES.items():
         part = docs.where(F.col("lang") == lang).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
         write_jsonl(part, os.path.join(root, name))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), "text")
+    write_jsonl(bench.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id"), os.path.join(root, _CONSENSUS_FILE))
     schema = "doc_id bigint, lang string, text string"
-    std = subset_scan(spark, root, "standard", schema).select(F.lit("standard").alias("subset"), "doc_id", "sample_idx")
-    hard = subset_scan(spark, root, "hard", schema).select(F.lit("hard").alias("subset"), "doc_id", "sample_idx")
-    return std.unionByName(hard)
+    out = None
+    for subset in ("standard", "hard", "consensus"):
+        rows = subset_scan(spark, root, subset, schema).select(F.lit(subset).alias("subset"), "doc_id", "sample_idx", F.md5("text").alias("text_md5"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _write_arrays(df, path, bucket_col):
@@ -195,6 +207,38 @@ def q_legacy_records(spark, sf_dir):
     return recs.select("run_key", "sample_idx", "prediction", "reference", F.col("evaluation_sample.answer").alias("sample_answer"))
 
 
+@query(
+    "evaluate_legacy",
+    oracle=f"""WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS sample_id, count(*) OVER () AS n FROM benchmark),
+p AS (SELECT sample_id, text, 'The answer is ' || chr(65 + CAST(item_id % 3 AS INT)) AS prediction,
+             CASE WHEN sample_id = n - 1 THEN '' ELSE chr(65 + CAST(item_id % 5 AS INT)) END AS reference, chr(65 + CAST(item_id % 5 AS INT)) AS answer FROM b),
+g AS (SELECT *, CAST({S.choice_correct("prediction", "upper(coalesce(nullif(reference, ''), answer))")} AS DOUBLE) AS correct FROM p)
+SELECT sample_id, prediction, reference, correct, round((SELECT avg(correct) FROM g), 6) AS accuracy FROM g""",
+)
+def q_evaluate_legacy(spark, sf_dir):
+    """A legacy summary (parallel arrays, the references one short) graded end to end: turned
+    into a record file, graded, and written in place, every record with its evaluation."""
+    root = scratch_path(spark, "legacy-run")
+    letter = lambda n: F.expr(f"chr(65 + CAST(item_id % {n} AS INT))")
+    bench = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.concat(F.lit("The answer is "), letter(3)).alias("p"), letter(5).alias("r"),
+        F.struct(letter(5).alias("answer"), F.array(*[F.lit(x) for x in "ABCDE"]).alias("options"), *[F.lit(None).cast("string").alias(c) for c in ("category", "type", "task_type")]).alias("s"),
+    )
+    run = bench.agg(F.array_sort(F.collect_list(F.struct("item_id", "p", "r", "s"))).alias("x"))  # one document, as the format has it
+    get = lambda c: F.transform("x", lambda e: e[c])
+    run = run.select(get("p").alias("predictions"), F.slice(get("r"), F.lit(1), F.size("x") - 1).alias("references"), get("s").alias("evaluation_samples"))
+    summary_path = os.path.join(root, "results", "legacy.json")
+    run.write.json(summary_path)
+    summary_schema = "predictions array<string>, references array<string>, evaluation_samples array<struct<answer:string, options:array<string>, category:string, type:string, task_type:string>>"
+    where, metrics = evaluate_file(
+        spark, get_task("choice_qa"), os.path.join(root, "results", "legacy.jsonl"), None,
+        summary_path=summary_path, summary_schema=summary_schema, in_place=True, output_dir=os.path.join(root, "evaluated"),
+    )
+    back = read_jsonl(spark, where, "sample_id bigint, prediction string, reference string, evaluation struct<correct:double>")
+    accuracy = metrics.where("metric = 'accuracy'").select(F.round("value", 6)).scalar()
+    return back.select("sample_id", "prediction", "reference", "evaluation.correct", accuracy.alias("accuracy"))
+
+
 @query(
     "evaluated_sink",
     oracle="""SELECT 'in_place' AS layout, d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id

@@ -116,8 +116,8 @@ def q_stream_generate(spark, sf_dir):
     )
     schema = "sample_id bigint, question string, answer string"
     task = get_task("choice_qa")
-    write_jsonl(docs.where(F.col("lang") == "en").drop("lang"), os.path.join(source, "wave=1"))
+    write_jsonl(docs.where(F.coalesce(F.col("lang") == "en", F.lit(False))).drop("lang"), os.path.join(source, "wave=1"))
     generate_stream(spark, source, schema, task, choice_model, sink, ckpt)
-    write_jsonl(docs.where(F.col("lang") != "en").drop("lang"), os.path.join(source, "wave=2"))
+    write_jsonl(docs.where(~F.coalesce(F.col("lang") == "en", F.lit(False))).drop("lang"), os.path.join(source, "wave=2"))
     records = generate_stream(spark, source, schema, task, choice_model, sink, ckpt)
     return records.select("sample_id", "prediction", "attempts")

@@ -22,15 +22,17 @@ from evalframe.operators.joins import pending
 from evalframe.operators.metrics import metrics_long
 from evalframe.plans.tasks import TaskSpec, newest_verdicts
 from evalframe.session import materialize
-from evalframe.sources.files import read_if_exists, read_jsonl, write_jsonl
+from evalframe.sources.files import evaluated_records, load_records, read_if_exists, read_jsonl, with_sample_idx, write_jsonl
 from evalframe.sources.ledger import GRADE_PASS, RUN_PASS, VERSION, newest, next_pass, record_version
 from evalframe.sources.runs import (
+    EVALUATED_ROOT,
     RECORDS_SUFFIX,
     RESULT_SUFFIX,
     UNKNOWN_BACKEND,
     UNKNOWN_MODEL,
     append_evaluation,
     evaluated_key,
+    evaluated_path,
     evaluation_name,
     find_run,
     latest_runs,
@@ -409,3 +411,38 @@ def summary(spark: SparkSession, root: str) -> DataFrame:
     folded = run_summaries(spark, os.path.join(root, "runs"), log if there else None)
     last = newest(folded.select("task_name", "seq", "metrics", "num_samples"), ["task_name"], F.col("seq"))
     return metrics_long(last.withColumnRenamed("task_name", "task"))
+
+
+def evaluate_file(
+    spark: SparkSession,
+    task: TaskSpec,
+    records_path: str,
+    schema,
+    *,
+    summary_path: str | None = None,
+    summary_schema=None,
+    in_place: bool = False,
+    output_dir: str = EVALUATED_ROOT,
+    judge: Callable | None = None,
+    grader_backend: str | None = None,
+    grader_model: str | None = None,
+    **judge_options,
+) -> tuple[str, DataFrame]:
+    """Grade saved records that no run table knows: a record file (JSON Lines), or a legacy summary of
+    parallel arrays, which is turned into a record file first.
+
+    Records without ``sample_id`` are identified by their position. Grades are resumable like those of a
+    run; the evaluated records are written below ``output_dir``, in place (every record with its
+    ``evaluation``) or apart (key and evaluation only). Returns (where, metrics).
+    """
+    records = load_records(spark, records_path, summary_path, schema, summary_schema)
+    if records is None:
+        raise FileNotFoundError(f"neither records {records_path} nor a summary {summary_path} exist")
+    if "sample_id" not in records.columns:
+        records = with_sample_idx(records, "sample_id")
+    path = F.lit(summary_path or records_path)
+    where = spark.range(1).select(evaluated_path(path, F.lit(grader_backend), F.lit(grader_model), output_dir).alias("p")).first()["p"]
+    where = where[: -len(RESULT_SUFFIX)] + RECORDS_SUFFIX
+    graded, metrics = evaluate_run(spark, task, records, where + "_grades", judge=judge, **judge_options)
+    write_jsonl(evaluated_records(records, graded.where("evaluation is not null"), in_place=in_place), where)
+    return where, metrics

@@ -399,3 +399,24 @@ def test_interrupted_grading_keeps_its_verdicts(spark):
 
     graded, _ = evaluate_run(spark, task, records, path, judge=never)
     assert [r.evaluation.rubric_score for r in graded.collect()] == [1.0] * 4
+
+
+def test_plain_record_file_is_graded_apart_and_resumed(spark, tmp_dir):
+    from evalframe.plans.run import evaluate_file
+
+    path = os.path.join(tmp_dir, "results", "run a.jsonl")
+    os.makedirs(os.path.dirname(path))
+    with open(path, "w") as f:
+        for i in range(6):
+            f.write(json.dumps({"prediction": f"The answer is {'ABC'[i % 3]}", "reference": "A", "evaluation_sample": {"answer": "A", "category": f"c{i % 2}", "options": ["x", "y"]}}) + "\n")
+    schema = "prediction string, reference string, evaluation_sample struct<answer:string, category:string, type:string, task_type:string, options:array<string>>"
+    out = os.path.join(tmp_dir, "out")
+    where, metrics = evaluate_file(spark, get_task("choice_qa"), path, schema, output_dir=out, grader_backend="b", grader_model="m")
+    assert where == f"{out}/run a__graded-by-b-m.jsonl"
+    rows = read_jsonl(spark, where).orderBy("sample_id").collect()
+    assert rows[0].__fields__ == ["evaluation", "sample_id"] and [r.evaluation.correct for r in rows] == [1.0, 0.0, 0.0] * 2
+    assert {r.metric: r.value for r in metrics.collect()} == pytest.approx({"accuracy": 1 / 3, "accuracy_c0": 1 / 3, "accuracy_c1": 1 / 3})
+    evaluate_file(spark, get_task("choice_qa"), path, schema, output_dir=out, grader_backend="b", grader_model="m")
+    assert read_jsonl(spark, where + "_grades").count() == 6  # nothing was graded twice
+    with pytest.raises(FileNotFoundError):
+        evaluate_file(spark, get_task("choice_qa"), path + ".none", schema, output_dir=out)
