@@ -8,9 +8,11 @@ character (from ``MIN_CHARS`` characters on), and longer ones if one space more
 or less makes them equal. A line goes if an earlier line (by document id, then
 line number) is a duplicate of it.
 
-1. Equal lines meet by hash; the earliest stands for all.
+1. Every text is read once: a line becomes its hash and the hashes of its halves.
+   Equal lines meet by hash; the earliest stands for all.
 2. One edit leaves the first or the last half of a line as it is, so only lines
-   that share a half with another line can have a neighbour.
+   that share a half with another line can have a neighbour. The words of those
+   are fetched once, from their earliest place.
 3. Those emit every variant with one word deleted, as hashed keys. Lines with
    an equal variant at one position are all within one replacement of each
    other, so each joins the earliest only; a line that equals a variant is
@@ -20,11 +22,13 @@ line number) is a duplicate of it.
 5. The characters of the shorter lines go through steps 2 to 4 like words. Longer
    lines emit every variant with two neighbouring words written as one; a line
    that equals such a variant is one space away.
+6. A line stays if it is the earliest of its kind and near no earlier one, so
+   occurrences meet the lines that stay by their place, which is unique.
 
-Everything is DataFrame code. Keys are pre-aggregated to their earliest line, so
-a variant shared by a third of all lines costs each task a row, and pairs are
-linear in the variants. Running hashes of a line come from window functions
-over that line's own words.
+Everything is DataFrame code. Lines are pre-aggregated to their earliest place
+and keys to their earliest line, so a line or a variant shared by a third of all
+lines costs each task a row, and pairs are linear in the variants. Running hashes
+of a line come from window functions over that line's own words.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalframe.llm.common import text_or_empty, words, written
+from evalframe.llm.common import NOT_SPACE, fresh_name, text_or_empty, words, written
 
 #: a changed word makes no duplicates of shorter lines
 MIN_WORDS = 8
@@ -41,37 +45,41 @@ MIN_WORDS = 8
 MIN_CHARS = 8
 
 
-def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines with a word: _ord (document, line), _line (hash of the normalised words), _w (the words)."""
+def _places(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lines with a word: their place (null id or not, id, hash of the text, line number) and _raw."""
     t = text_or_empty(F.col(f"`{text}`"))
     i = F.col(f"`{doc_id}`").cast("bigint")
-    each = df.select(i.alias("_id"), F.xxhash64(t).alias("_text"), F.posexplode(F.split(t, "\n")).alias("_at", "_raw"))
-    each = each.withColumn("_w", words(F.lower("_raw"))).where(F.size("_w") > 0)
-    order = F.struct(F.col("_id").isNull().alias("a"), F.coalesce("_id", F.lit(0).cast("bigint")).alias("b"), F.col("_text").alias("c"), F.col("_at").alias("d"))
-    return each.select(order.alias("_ord"), F.xxhash64("_w").alias("_line"), "_w")
+    key = i.isNull().alias("_a"), F.coalesce(i, F.lit(0).cast("bigint")).alias("_b"), F.xxhash64(t).alias("_c")
+    return df.select(*key, F.posexplode(F.split(t, "\n")).alias("_d", "_raw")).where(F.col("_raw").rlike(NOT_SPACE))
 
 
-def _half_keys(n: Column) -> Column:
-    """First and last halves, for a partner as long and for one a word shorter."""
-    keys = []
+def _units(w: Column) -> Column:
+    """The characters of the words joined by single spaces."""
+    return F.split(F.array_join(w, " "), "")
+
+
+def _half_keys(w: Column) -> Column:
+    """First and last halves, for a partner as long and for one a unit shorter."""
+    n, keys = F.size(w), []
     for i, q in enumerate((F.floor(n / 2), F.floor((n - 1) / 2))):
         q = q.cast("int")
-        head, tail = F.xxhash64(F.lit(0), q, F.slice("_w", F.lit(1), q)), F.xxhash64(F.lit(1), q, F.slice("_w", n - q + 1, q))
+        head, tail = F.xxhash64(F.lit(0), q, F.slice(w, F.lit(1), q)), F.xxhash64(F.lit(1), q, F.slice(w, n - q + 1, q))
         keys += [head, tail] if i == 0 else [F.when(n % 2 == 0, head), F.when(n % 2 == 0, tail)]
     return F.array(*keys)
 
 
-def _near_lines(lines: DataFrame, first: DataFrame, least: int, joins: bool) -> DataFrame:
+def _with_shared_half(first: DataFrame, keys: str) -> DataFrame:
+    """(_line) of the lines that share a half with another line."""
+    halves = first.select("_line", F.explode(keys).alias("_half")).where("_half is not null")
+    shared = halves.groupBy("_half").agg(F.min("_line").alias("_lo"), F.max("_line").alias("_hi")).where("_lo <> _hi").select("_half")
+    return halves.join(shared, "_half", "left_semi").select("_line")
+
+
+def _near_lines(texts: DataFrame, least: int, joins: bool) -> DataFrame:
     """(_line) of every line that is one edit of its units ``_w`` from an earlier one; both have ``least`` units or more.
 
     With ``joins`` also those that two neighbouring units written as one make equal to a line, or the reverse.
     """
-    long = lines.where(F.size("_w") >= least - 1)
-    halves = long.select("_line", F.explode(_half_keys(F.size("_w"))).alias("_half")).where("_half is not null")
-    shared = halves.groupBy("_half").agg(F.min("_line").alias("_lo"), F.max("_line").alias("_hi")).where("_lo <> _hi").select("_half")
-    maybe = written(halves.join(shared, "_half", "left_semi").groupBy("_line").agg(F.lit(1).alias("_one")).join(first, "_line").select("_line", "_first"), "maybe")
-    texts = written(lines.join(maybe, "_line").where("_ord = _first").select("_line", "_first", "_w").dropDuplicates(["_line"]), "texts")
-
     # running hashes: words before a place as they are, words after it moved one to the left
     each = texts.select("_line", "_first", F.size("_w").alias("_n"), F.posexplode("_w").alias("_at", "_word"))
     stay, move = F.xxhash64("_at", "_word"), F.xxhash64(F.col("_at") - 1, "_word")
@@ -90,7 +98,8 @@ def _near_lines(lines: DataFrame, first: DataFrame, least: int, joins: bool) ->
 
     # one replaced word: the same rest at the same place
     rest = variants.where(F.col("_n") >= least)
-    head = rest.groupBy("_key", "_at").agg(F.min(F.struct("_first", "_line")).alias("_head"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    head = rest.groupBy("_key", "_at").agg(F.min(F.struct("_first", "_line")).alias("_head"), F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    head = written(head.drop("_times"), "heads")
     replaced = rest.join(head, ["_key", "_at"]).where("_line <> _head._line").select("_line", F.col("_head._line").alias("_by"))
     # one word more: a line that is another's variant
     short = full.where(F.col("_n") >= least).select("_key", F.col("_line").alias("_short"), F.col("_first").alias("_sf"))
@@ -119,18 +128,34 @@ def _near_lines(lines: DataFrame, first: DataFrame, least: int, joins: bool) ->
     return both.where(near).select("_line")
 
 
-def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
-    """(_ord, _line, _gone) of every line with a word."""
-    lines = _lines(df, doc_id, text)
-    where = written(lines.select("_ord", "_line"), "lines")
-    first = where.groupBy("_line").agg(F.min("_ord").alias("_first"))
-    near = _near_lines(lines, first, MIN_WORDS, characters)
+def _cuts(df: DataFrame, doc_id: str, text: str, characters: bool) -> DataFrame:
+    """(_a, _b, _c, _all, _cut) of every text with a line: its lines with a word, and the numbers of those that go."""
+    place = ["_a", "_b", "_c", "_d"]
+    each = _places(df, doc_id, text).withColumn("_w", words(F.lower("_raw")))
+    n = F.size("_w")
+    keys = [F.when(n >= MIN_WORDS - 1, _half_keys(F.col("_w"))).alias("_by_word")]
     if characters:
-        few = lines.where(F.size("_w") <= MIN_WORDS).withColumn("_w", F.split(F.array_join("_w", " "), ""))
-        near = near.unionByName(_near_lines(few, first, MIN_CHARS, False))
-    gone = near.distinct().withColumn("_near", F.lit(True))
-    lost = F.coalesce("_near", F.lit(False)) | (F.col("_ord") != F.col("_first"))
-    return where.join(first, "_line").join(gone, "_line", "left").select("_ord", "_line", lost.alias("_gone"))
+        few = F.transform(F.array(_units(F.col("_w"))), lambda u: F.when(F.size(u) >= MIN_CHARS - 1, _half_keys(u)))[0]
+        keys.append(F.when(n <= MIN_WORDS, few).alias("_by_character"))
+    lines = written(each.select(*place, F.xxhash64("_w").alias("_line"), *keys), "lines")
+    kinds = [c for c in lines.columns if c.startswith("_by_")]
+    first = written(lines.groupBy("_line").agg(F.min(F.struct(*place)).alias("_first"), *[F.first(c).alias(c) for c in kinds]), "firsts")
+
+    maybe = [_with_shared_half(first, c).select("_line", *[F.lit(c == k).alias(k) for k in kinds]) for c in kinds]
+    maybe = maybe[0].unionByName(maybe[1]) if characters else maybe[0]
+    maybe = written(maybe.groupBy("_line").agg(*[F.max(k).alias(k) for k in kinds]), "maybe")
+    needed = written(first.select("_line", "_first").join(maybe, "_line").select("_first.*", "_line", *kinds), "needed")
+    texts = _places(df, doc_id, text).join(needed, place).dropDuplicates(place)
+    texts = written(texts.select("_line", F.struct(*place).alias("_first"), words(F.lower("_raw")).alias("_w"), *kinds), "texts")
+
+    near = _near_lines(texts.where("_by_word"), MIN_WORDS, characters)
+    if characters:
+        near = near.unionByName(_near_lines(texts.where("_by_character").withColumn("_w", _units(F.col("_w"))), MIN_CHARS, False))
+    near = written(near.distinct(), "near")
+    stay = first.select("_line", "_first").join(near, "_line", "left_anti").select("_first.*", F.lit(True).alias("_stays"))
+    both = lines.select(*place, F.lit(False).alias("_stays")).unionByName(stay).repartition("_a", "_b", "_c")
+    at = both.groupBy(*place).agg(F.max("_stays").alias("_stays"))
+    return at.groupBy("_a", "_b", "_c").agg(F.count(F.lit(1)).alias("_all"), F.collect_list(F.when(~F.col("_stays"), F.col("_d"))).alias("_cut"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
@@ -142,19 +167,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chara
     named n_lines or n_removed are replaced. ``characters`` adds the edits of one
     character to those of one word.
     """
-    per_doc = duplicate_lines(df, doc_id, text, characters).groupBy(F.col("_ord.a").alias("_a"), F.col("_ord.b").alias("_b"), F.col("_ord.c").alias("_c")).agg(
-        F.count(F.lit(1)).alias("_all"), F.collect_list(F.when(F.col("_gone"), F.col("_ord.d"))).alias("_cut")
-    )
-    per_doc = written(per_doc, "cuts")
+    per_doc = written(_cuts(df, doc_id, text, characters), "cuts")
+    of = {c: fresh_name(df, c) for c in ("a", "b", "c", "all", "cut")}
+    per_doc = per_doc.select(*[F.col(f"_{c}").alias(name) for c, name in of.items()])
     i, t = F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`")
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    rows = df.select(
-        *[F.col(f"`{c}`") for c in keep], i.isNull().alias("_a"), F.coalesce(i, F.lit(0).cast("bigint")).alias("_b"), F.xxhash64(text_or_empty(t)).alias("_c")
-    ).join(per_doc, ["_a", "_b", "_c"], "left")
-    left = F.filter(F.split(t, "\n"), lambda x, at: ~F.array_contains(F.col("_cut"), at))
-    new = F.when(F.size("_cut") > 0, F.array_join(left, "\n")).otherwise(t)
-    zero = F.lit(0).cast("bigint")
+    key = i.isNull().alias(of["a"]), F.coalesce(i, F.lit(0).cast("bigint")).alias(of["b"]), F.xxhash64(text_or_empty(t)).alias(of["c"])
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *key).join(per_doc, [of["a"], of["b"], of["c"]], "left")
+    cut, zero = F.col(of["cut"]), F.lit(0).cast("bigint")
+    left = F.filter(F.split(t, "\n"), lambda x, at: ~F.array_contains(cut, at))
+    new = F.when(F.size(cut) > 0, F.array_join(left, "\n")).otherwise(t)
     return rows.select(
         *[new.alias(c) if c == text else F.col(f"`{c}`") for c in keep],
-        F.coalesce("_all", zero).alias("n_lines"), F.coalesce(F.size("_cut").cast("bigint"), zero).alias("n_removed"),
+        F.coalesce(F.col(of["all"]), zero).alias("n_lines"), F.coalesce(F.size(cut).cast("bigint"), zero).alias("n_removed"),
     )

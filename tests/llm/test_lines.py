@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalframe.llm import lines
 from evalframe.llm.queries import QUERIES
@@ -75,11 +76,22 @@ def test_template_line_in_many_documents(spark):
 
 def test_repeated_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "x y", 5, "q"), (1, "x y", 5, "q"), (2, "X  y", 6, "q")], "doc_id bigint, text string, n_lines int, lines string")
+    for c in ("_a", "_b", "_c", "_d", "_all", "_cut", "_line", "_first", "_raw", "_w", "_stays"):
+        df = df.withColumn(c, F.lit(7))
     rows = sorted(lines.dedup_lines(df).collect(), key=repr)
     assert [(r["doc_id"], r["n_removed"], r["text"], r["lines"]) for r in rows] == [(1, 0, "x y", "q"), (1, 0, "x y", "q"), (2, 1, "", "q")]
+    assert [r["n_lines"] for r in rows] == [1, 1, 1] and {r["_a"] for r in rows} | {r["_cut"] for r in rows} == {7}
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_hot_line_and_long_line(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(i, f"all of these pages carry one and the same line\nbody text {i} of its own " + "x" * (i % 7)) for i in range(900)]
+    rows += [(1000, long), (1001, long.replace("w30000 ", "")), (1002, long.replace("w30000 ", "").replace("w7 ", ""))]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(v for k, v in got.items() if k < 1000) == 899 and [got[k] for k in (1000, 1001, 1002)] == [0, 1, 1]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
