@@ -1,12 +1,15 @@
 """Helpers shared by the training-data operators.
 
-Column rule: every operator projects its inputs to names that start with ``_``
-before it works, so caller columns of any name never clash with its own.
+Column rule: operators give their own columns names that start with ``_``.
+Caller columns of such names go by others while a ``shielded`` operator runs, so
+the two never clash.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +99,37 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hidden(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with new names for the columns in ``names``, and {new name: old name} to undo it."""
+    out, names = {}, list(names)
+    for i, c in enumerate(names):
+        new = f"caller{i}"
+        while new in {x.lower() for x in df.columns}:
+            new += "_"
+        out[new] = c
+    return df.withColumnsRenamed({c: new for new, c in out.items()}), out
+
+
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` over a table whose columns may have any name.
+
+    Columns whose names start with ``_`` are renamed before the call and named
+    back after it; arguments that name such a column follow. Other tables are
+    passed on as they are.
+    """
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        plain, names = hidden(df, [c for c in df.columns if c.startswith("_")])
+        if not names:
+            return operator(df, *args, **options)
+        new = {old: name for name, old in names.items()}
+
+        def of(x):
+            return new.get(x, x) if isinstance(x, str) else x
+
+        return operator(plain, *map(of, args), **{k: of(v) for k, v in options.items()}).withColumnsRenamed(names)
+
+    return run

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import hash_sample, written
+from evalframe.llm.common import hash_sample, shielded, written
 
 BUCKETS = 1 << 15
 TRAIN_DOCUMENTS = 8_000
@@ -101,6 +101,7 @@ def _evidence(page: str, url: str) -> dict[str, Column]:
     }
 
 
+@shielded
 def identify(pages: DataFrame, model: TextModel, page: str = "html", url: str = "url") -> DataFrame:
     """All columns of ``pages`` plus language, confidence and text_language (by the text alone).
 

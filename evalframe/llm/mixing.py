@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import checkpoint, range_bits, row_hash, with_rank, words
+from evalframe.llm.common import checkpoint, range_bits, row_hash, shielded, with_rank, words
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -111,6 +111,7 @@ def _plan(histogram: pd.DataFrame) -> pd.DataFrame:
     return h[["_key", "_size", "_passes", "_extra"]]
 
 
+@shielded
 def mix(df: DataFrame, text: str = "text", source: str = "source", seed: int = 29) -> DataFrame:
     """All columns of ``df`` plus size, source_size, target and taken.
 

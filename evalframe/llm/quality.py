@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import NOT_SPACE, SPACE, checkpoint, text_or_empty, words, written
+from evalframe.llm.common import NOT_SPACE, SPACE, checkpoint, shielded, text_or_empty, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -126,6 +126,7 @@ def frequent_lines(lines: DataFrame, copies: DataFrame) -> DataFrame:
     return per_line.join(texts, "_host").where(above).select("_host", "_line")
 
 
+@shielded
 def judge(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """All columns of ``df`` plus the base counts, n_boiler_words and ``kept``.
 
@@ -156,6 +157,7 @@ def judge(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     return joined.drop("_host", "_text")
 
 
+@shielded
 def without_frequent_lines(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """``df`` with the lines above their host's limit cut from ``text``; other lines stay byte for byte.
 

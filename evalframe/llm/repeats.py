@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import row_hash, text_or_empty, written
+from evalframe.llm.common import row_hash, shielded, text_or_empty, written
 
 GRAM = 64
 #: bands of the longest run
@@ -317,6 +317,7 @@ def _split(df: DataFrame, group: str, digest: str, item: list[str]) -> tuple[Dat
     return same, first.drop("_least")
 
 
+@shielded
 def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text: bool = False) -> DataFrame:
     """All columns of ``df`` plus n_bytes, n_removed, spans, kept_sha256 (and kept_bytes).
 

@@ -16,19 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalframe.llm.common import checkpoint, range_bits, row_hash, with_rank
+from evalframe.llm.common import checkpoint, range_bits, row_hash, shielded, with_rank
 
 #: ranges of the global order; positions inside a range come from one sort task
 MIN_POSITION_RANGES = 64
 
 
+@shielded
 def shard(df: DataFrame, n_shards: int, source: str = "source", seed: int = 17) -> DataFrame:
     """All rows and columns of ``df`` plus ``shard`` (0..n_shards-1) and ``slot`` (0.. in each shard).
 
     Null sources are one source of their own. Repeated rows each get a slot of
     their own; identical rows are interchangeable. An empty table gives no
     rows. Caller columns named ``shard`` or ``slot`` are replaced; other
-    columns may have any name that does not start with ``_``.
+    columns may have any name.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
