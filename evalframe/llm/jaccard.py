@@ -8,22 +8,25 @@ joined through pivots, never by listing all pairs:
    3 |x n y| - |x| - |y|. By the prefix principle the first of x's pairs in hash
    order, ``prefix_length`` many, meet those of every partner. The documents
    that share a pair form a region; unlike single shingles, ring pairs are not
-   shared by texts that merely quote the same line.
-2. Regions that overlap make one cluster. A cluster of up to ``LEAF`` documents
-   is joined as it is. In a larger one each document is measured against
-   ``PIVOTS`` pivots and goes to the Voronoi region of the nearest one; the
-   documents that link to a pivot form components at once.
-3. Regions are cut into blocks by distance band. Two blocks meet only if, for
+   shared by texts that merely quote the same line. Regions of equal members are
+   one region; overlapping regions are never merged.
+2. The least document of a region is its first pivot. What links to it joins its
+   component, and a region whose other members share one component is done.
+3. In a region that is left and larger than ``LEAF`` each document is measured
+   against ``PIVOTS`` more pivots and goes to the Voronoi region of the nearest
+   one, which is cut into blocks by distance band. Two blocks meet only if, for
    every pivot p, their ranges of d(., p) come within eps of each other (by the
-   triangle inequality no link can bridge a wider gap), and only if they don't
-   belong to one component already.
-4. A leaf (a cluster, or two blocks) counts all its intersections exactly as a
-   product of 0/1 matrices over the shingles that occur at least twice in it.
+   triangle inequality no link can bridge a wider gap).
+4. In a cell (a region, or two blocks) pairs of different components are held
+   against two exact bounds: their sizes, and the parities of their sets in
+   ``BITS`` buckets, of which a symmetric difference of m changes m at most.
+   The few pairs within both bounds are counted over the whole texts, once each.
 
 Only components are reported, so two members of one component need no test.
 Set sizes, distances and links are exact; 64-bit hashes stand for shingles.
 Equal sets are one node. Regions are found by pre-aggregated minima, so a
-region with a third of all documents costs each task a row.
+region with a third of all documents costs each task a row. Only parities
+travel to cells; texts go to the pairs that are counted.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -46,14 +48,16 @@ from evalframe.llm.components import components
 #: a set has 1 / ORDER_SHARE such pairs on average at most, so their list has a fixed bound
 ORDER_SAMPLE = 20_000
 ORDER_SHARE = 1 / 2_000
-#: documents that a leaf holds, at most (twice as many where two blocks meet)
+#: documents of a region that is one cell, and of two blocks that meet
 LEAF = 512
-#: pivots of a larger cluster
+#: pivots of a larger region
 PIVOTS = 8
 #: distance bands within eps
 BANDS = 3
-#: shingles in one matrix product
-COLUMNS = 4096
+#: buckets whose parities bound the difference of two sets
+BITS = 2048
+#: rows of a cell that are compared at once
+ROWS = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -181,9 +185,31 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), packed], names=["_id", "_packed"])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """One bit a bucket: whether the set has an odd number of elements there."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _text_rows(k: int):
+    """(_id, _n, _parity, _packed): size and parities of the set of each packed text."""
+    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_parity", pa.binary()), ("_packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, unpack = Shingler(k), zstandard.ZstdDecompressor()
+        for batch in batches:
+            sizes, bits = [], []
+            for x in batch.column("_packed"):
+                s = of.shingles(unpack.decompress(x.as_py()))
+                sizes.append(len(s))
+                bits.append(parities(s))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), batch.column("_packed")], schema=schema)
+
+    return run
+
+
 def _common_rows(k: int):
-    """(_id, _pivot, _both, _n, _m): sizes of the intersection and of both sets."""
-    schema = pa.schema([("_id", pa.int64()), ("_pivot", pa.int64()), ("_both", pa.int64()), ("_n", pa.int64()), ("_m", pa.int64())])
+    """(a, b, _both, _n, _m): sizes of the intersection and of both sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("_both", pa.int64()), ("_n", pa.int64()), ("_m", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, unpack = Shingler(k), zstandard.ZstdDecompressor()
@@ -198,95 +224,158 @@ def _common_rows(k: int):
 
         for batch in batches:
             rows = []
-            for i, p, own, other in zip(batch.column("_id").to_pylist(), batch.column("_pivot").to_pylist(), batch.column("_packed"), batch.column("_other"), strict=True):
-                s, t = set_of(i, own), set_of(p, other)
-                rows.append((i, p, len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
+            for i, j, own, other in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("_packed"), batch.column("_other"), strict=True):
+                s, t = set_of(i, own), set_of(j, other)
+                rows.append((i, j, len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     return run
 
 
-def leaf_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (row, least row it reaches) over the pairs of a ``left`` and a ``right`` row."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    keep = shared[column]
-    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    a, b = np.flatnonzero(left), np.flatnonzero(right)
-    both = np.zeros((len(a), len(b)), dtype=np.int64)
-    for start in range(0, int(shared.sum()), COLUMNS):
-        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
-        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-        x[owner[lo:hi], column[lo:hi] - start] = 1
-        both += (x[a] @ x[b].T).astype(np.int64)
-    linked = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
-    label = np.arange(len(sets))
-    while True:  # least label over links, until nothing changes
-        new = label.copy()
-        np.minimum.at(new, a, np.where(linked, label[b][None, :], len(sets)).min(axis=1, initial=len(sets)))
-        np.minimum.at(new, b, np.where(linked, label[a][:, None], len(sets)).min(axis=0, initial=len(sets)))
-        if (new == label).all():
-            return [(i, int(x)) for i, x in enumerate(label) if x != i]
-        label = new
-
-
-def _leaf_rows(k: int, percent: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        of, unpack = Shingler(k), zstandard.ZstdDecompressor()
-        group = group.sort_values("_id")
-        ids = group["_id"].to_numpy()
-        found = leaf_links([of.shingles(unpack.decompress(x)) for x in group["_packed"]], group["_left"].to_numpy(), group["_right"].to_numpy(), percent)
-        return pd.DataFrame({"a": [int(ids[i]) for i, _ in found], "b": [int(ids[j]) for _, j in found]}, dtype="int64")
+def _as_matrix(parity: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(parity.to_pylist()), dtype=np.uint64).reshape(len(parity), BITS // 64)
+
+
+def _in_bound(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the parities of two sets differ in no more places than linked sets of ``sizes`` elements together may."""
+    return (100 + percent) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - percent) * sizes
+
+
+def _bounded_rows(percent: int):
+    """The pairs (a, b) whose parities are within the bound."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = _in_bound(_as_matrix(batch.column("_parity")), _as_matrix(batch.column("_other")), batch.column("_sizes").to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], schema=schema)
+
+    return run
+
+
+def cell_pairs(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (a, b) of the pairs of a ``_left`` and a ``_right`` row that may link and have different labels."""
+    ids, sizes, labels = (cell.column(c).to_numpy() for c in ("_id", "_n", "_label"))
+    bits = _as_matrix(cell.column("_parity").combine_chunks())
+    left, right = (np.flatnonzero(cell.column(c).to_numpy()) for c in ("_left", "_right"))
+    found = []
+    for start in range(0, len(left), ROWS):
+        x = left[start : start + ROWS]
+        n, m = sizes[x][:, None], sizes[right][None, :]
+        fit = (labels[x][:, None] != labels[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        i, j = np.nonzero(fit)
+        i, j = x[i], right[j]
+        near = _in_bound(bits[i], bits[j], sizes[i] + sizes[j], percent)
+        found.append((ids[i[near]], ids[j[near]]))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _cell_rows(percent: int):
+    """``cell_pairs`` of every cell; rows come sorted by cell, and a cell holds about LEAF rows."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cells: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                a, b = cell_pairs(cells.slice(lo, hi - lo), percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+        rest = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            here = here if rest is None else pa.concat_tables([rest, here])
+            x, y = here.column("_x").to_numpy(), here.column("_y").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
+            yield from pairs(here, cuts)
+            rest = here.slice(int(cuts[-1])) if len(x) else None
+        if rest is not None:
+            yield from pairs(rest, np.array([0, rest.num_rows]))
 
     return run
 
 
-def _block_links(texts: DataFrame, big: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) of the clusters that are larger than a leaf; ``big`` has (_cluster, _id)."""
-    at = F.row_number().over(Window.partitionBy("_cluster").orderBy("_hash", "_id")) - 1
-    # the least hashes of a cluster, found without sorting it: the least of each of PIVOTS parts, then ranked
-    parts = big.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PIVOTS))).groupBy("_cluster", "_part").agg(F.min(F.struct(F.xxhash64("_id", F.lit(1)).alias("_hash"), "_id")).alias("_p"))
-    pivots = written(parts.select("_cluster", F.col("_p._hash").alias("_hash"), F.col("_p._id").alias("_id")).withColumn("_at", at).select("_cluster", F.col("_id").alias("_pivot"), "_at"), "pivots")
-    pairs = big.join(pivots, "_cluster")
-    other = texts.select(F.col("_id").alias("_pivot"), F.col("_packed").alias("_other"))
-    rows = pairs.select("_id", "_pivot").join(other, "_pivot").join(texts, "_id").select("_id", "_pivot", "_packed", "_other")
-    measured = written(rows.mapInArrow(_common_rows(k), "_id bigint, _pivot bigint, _both bigint, _n bigint, _m bigint"), "measured")
-    linked = measured.where(100 * F.col("_both") >= percent * (F.col("_n") + F.col("_m") - F.col("_both"))).select("_id", "_pivot")
-    labels = components(linked, "_id", "_pivot").select(F.col("node").alias("_id"), F.col("component").alias("_label"))
+def _measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, _both, _n, _m) of pairs (a, b), over their whole texts."""
+    other = texts.select(F.col("_id").alias("b"), F.col("_packed").alias("_other"))
+    rows = pairs.join(other, "b").join(texts.select(F.col("_id").alias("a"), "_packed"), "a").select("a", "b", "_packed", "_other")
+    return rows.mapInArrow(_common_rows(k), "a bigint, b bigint, _both bigint, _n bigint, _m bigint")
+
+
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(100 * F.col("_both") >= percent * (F.col("_n") + F.col("_m") - F.col("_both"))).select("a", "b")
+
+
+def _pivot_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of the members of each region (_key, _id, _head) to its pivot ``_head``."""
+    sizes = texts.select("_id", "_n", "_parity")
+    a = sizes.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), "_parity")
+    b = sizes.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_parity").alias("_other"))
+    pairs = members.where("_id <> _head").select(F.col("_id").alias("a"), F.col("_head").alias("b")).distinct().join(b, "b").join(a, "a")
+    fit = pairs.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sizes"), "_parity", "_other")
+    near = written(fit.mapInArrow(_bounded_rows(percent), "a bigint, b bigint"), "near")
+    return written(_linked(_measured(near, texts, k), percent), "links")
+
+
+def _blocks(big: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (_x, _y, _id, _label, _left, _right) of the regions (_key, _id, _label) above a leaf, and the links (a, b) to their pivots."""
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("_hash", "_id")) - 1
+    # the least hashes of a region, found without sorting it: the least of each of PIVOTS parts, then ranked
+    parts = big.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PIVOTS))).groupBy("_key", "_part").agg(F.min(F.struct(F.xxhash64("_id", F.lit(1)).alias("_hash"), "_id")).alias("_p"))
+    pivots = written(parts.select("_key", F.col("_p._hash").alias("_hash"), F.col("_p._id").alias("_id")).withColumn("_at", at).select("_key", F.col("_id").alias("b"), "_at"), "pivots")
+    pairs = big.select("_key", F.col("_id").alias("a"), "_label").join(pivots, "_key")
+    measured = written(_measured(pairs.select("a", "b").distinct(), texts, k), "measured")
 
     eps = 1 - percent / 100
     d = 1 - F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
-    by_doc = pairs.join(measured.select("_id", "_pivot", d.alias("_d")), ["_id", "_pivot"]).groupBy("_cluster", "_id").agg(
+    by_doc = pairs.join(measured.select("a", "b", d.alias("_d")), ["a", "b"]).groupBy("_key", F.col("a").alias("_id"), "_label").agg(
         F.min(F.struct("_d", "_at")).alias("_near"), *[F.max(F.when(F.col("_at") == i, F.col("_d"))).alias(f"_d{i}") for i in range(PIVOTS)]
     )
-    by_doc = by_doc.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    cell = ["_cluster", F.col("_near._at").alias("_home"), F.ceil(F.col("_near._d") / (eps / BANDS) - 1e-9).alias("_band")]
+    cell = ["_key", F.col("_near._at").alias("_home"), F.ceil(F.col("_near._d") / (eps / BANDS) - 1e-9).alias("_band")]
     docs = written(by_doc.select(*cell, "_id", "_label", *[f"_d{i}" for i in range(PIVOTS)]), "distances")
-    counts = docs.groupBy("_cluster", "_home", "_band").agg(F.ceil(F.count(F.lit(1)) / (LEAF // 2)).alias("_blocks"))
-    docs = docs.join(counts, ["_cluster", "_home", "_band"]).withColumn("_block", F.xxhash64("_cluster", "_home", "_band", F.pmod(F.xxhash64("_id", F.lit(2)), F.col("_blocks"))))
+    counts = docs.groupBy("_key", "_home", "_band").agg(F.ceil(F.count(F.lit(1)) / (LEAF // 2)).alias("_blocks"))
+    docs = docs.join(counts, ["_key", "_home", "_band"]).withColumn("_block", F.xxhash64("_key", "_home", "_band", F.pmod(F.xxhash64("_id", F.lit(2)), F.col("_blocks"))))
     docs = written(docs.drop("_home", "_band", "_blocks"), "blocks")
-    ranges = docs.groupBy("_cluster", "_block").agg(
+    ranges = docs.groupBy("_key", "_block").agg(
         F.min("_label").alias("_from"), F.max("_label").alias("_to"),
         *[f(f"_d{i}").alias(f"_{n}{i}") for i in range(PIVOTS) for f, n in ((F.min, "lo"), (F.max, "hi"))],
     )
     x, y = ranges.alias("x"), ranges.alias("y")
     near = [F.greatest(F.col(f"x._lo{i}") - F.col(f"y._hi{i}"), F.col(f"y._lo{i}") - F.col(f"x._hi{i}")) <= eps + 1e-9 for i in range(PIVOTS)]
     one = (F.col("x._from") == F.col("x._to")) & (F.col("y._from") == F.col("y._to")) & (F.col("x._from") == F.col("y._from"))
-    meet = x.join(y, F.col("x._cluster") == F.col("y._cluster")).where(F.col("x._block") <= F.col("y._block")).where(~one)
+    meet = x.join(y, F.col("x._key") == F.col("y._key")).where(F.col("x._block") <= F.col("y._block")).where(~one)
     for close in near:
         meet = meet.where(F.coalesce(close, F.lit(True)))
     meet = written(meet.select(F.col("x._block").alias("_x"), F.col("y._block").alias("_y")), "meet")
     sides = meet.select("_x", "_y", F.col("_x").alias("_block"), F.lit(True).alias("_left"), (F.col("_x") == F.col("_y")).alias("_right")).unionByName(
         meet.where("_x <> _y").select("_x", "_y", F.col("_y").alias("_block"), F.lit(False).alias("_left"), F.lit(True).alias("_right"))
     )
-    leaves = docs.select("_id", "_block").join(sides, "_block").join(texts, "_id").select("_x", "_y", "_id", "_left", "_right", "_packed")
-    found = leaves.groupBy("_x", "_y").applyInPandas(_leaf_rows(k, percent), "a bigint, b bigint")
-    return linked.select(F.col("_id").alias("a"), F.col("_pivot").alias("b")).unionByName(found)
+    cells = docs.select("_id", "_label", "_block").join(sides, "_block").select("_x", "_y", "_id", "_label", "_left", "_right")
+    return cells, _linked(measured, percent)
+
+
+def _region_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that give the components of the regions (_key, _id, _head)."""
+    to_pivot = _pivot_links(members, texts, k, percent)
+    labels = written(components(to_pivot).select(F.col("node").alias("_id"), F.col("component").alias("_label")), "labels")
+    # the pivot has met every other member
+    others = members.where("_id <> _head").join(labels, "_id", "left").select("_key", "_id", F.coalesce("_label", "_id").alias("_label"))
+    others = written(others, "others")
+    left = others.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_label").alias("_from"), F.max("_label").alias("_to"))
+    left = written(left.where("_from <> _to").select("_key", "_size"), "left")
+    both = [F.lit(True).alias("_left"), F.lit(True).alias("_right")]
+    cells = others.join(left.where(F.col("_size") <= LEAF), "_key", "left_semi").select(F.col("_key").alias("_x"), F.col("_key").alias("_y"), "_id", "_label", *both)
+    links = to_pivot
+    big = others.join(left.where(F.col("_size") > LEAF), "_key", "left_semi")
+    if not left.where(F.col("_size") > LEAF).isEmpty():
+        blocks, to_pivots = _blocks(big, texts, k, percent)
+        cells, links = cells.unionByName(blocks), links.unionByName(to_pivots)
+    rows = cells.join(texts.select("_id", "_n", "_parity"), "_id").repartition("_x", "_y").sortWithinPartitions("_x", "_y")
+    pairs = written(rows.mapInArrow(_cell_rows(percent), "a bigint, b bigint").distinct(), "pairs")
+    return links.unionByName(_linked(_measured(pairs, texts, k), percent))
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
@@ -324,18 +413,18 @@ def _solve(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataF
     tied = written(keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key"), "keys")
     members = keyed.join(tied, "_key", "left_semi")
     members = written(members, "members")
-    heads = members.groupBy("_key").agg(F.min("_id").alias("_head"))
-    clusters = written(components(members.join(heads, "_key").where("_id <> _head").select("_id", "_head").distinct(), "_id", "_head"), "clusters")
-    clusters = clusters.select(F.col("node").alias("_id"), F.col("component").alias("_cluster"))
-    counts = written(clusters.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    # regions of equal members (by count and a 128-bit digest) are one
+    same = ["_size", "_even", "_odd"]
+    regions = members.groupBy("_key").agg(
+        F.min("_id").alias("_head"), F.count(F.lit(1)).alias("_size"),
+        *[F.bit_xor(F.xxhash64("_id", F.lit(seed))).alias(name) for seed, name in ((5, "_even"), (6, "_odd"))],
+    ).groupBy(*same).agg(F.min(F.struct("_key", "_head")).alias("_first")).select("_first.*")
+    members = written(members.join(regions, "_key").select("_key", "_id", "_head"), "regions")
 
     packed = src.where("_id is not null").mapInArrow(_pack, "_id bigint, _packed binary")
-    texts = written(packed.join(clusters, "_id").dropDuplicates(["_id"]), "texts")
-    small = texts.join(counts.where(F.col("_size") <= LEAF), "_cluster", "left_semi").select("_cluster", "_id", "_packed", F.lit(True).alias("_left"), F.lit(True).alias("_right"))
-    links = small.groupBy("_cluster").applyInPandas(_leaf_rows(k, percent), "a bigint, b bigint")
-    big = clusters.join(counts.where(F.col("_size") > LEAF), "_cluster", "left_semi")
-    if not big.isEmpty():
-        links = links.unionByName(_block_links(texts.drop("_cluster"), big, k, percent))
+    texts = packed.join(members.select("_id").distinct(), "_id").dropDuplicates(["_id"])
+    texts = written(texts.mapInArrow(_text_rows(k), "_id bigint, _n bigint, _parity binary, _packed binary"), "texts")
+    links = _region_links(members, texts, k, percent)
 
     label = components(links).select(F.col("node").alias("_rep"), F.col("component").alias("_label"))
     least = label.join(reps, "_rep").groupBy("_label").agg(F.min("_least").alias("component_id"))
