@@ -48,16 +48,16 @@ from evalframe.llm.components import components
 #: a set has 1 / ORDER_SHARE such pairs on average at most, so their list has a fixed bound
 ORDER_SAMPLE = 20_000
 ORDER_SHARE = 1 / 2_000
-#: documents of a region that is one cell, and of two blocks that meet
-LEAF = 512
+#: documents of a region that is one cell, and of two blocks that meet; a document takes about 300 bytes there
+LEAF = 4096
 #: pivots of a larger region
 PIVOTS = 8
 #: distance bands within eps
 BANDS = 3
 #: buckets whose parities bound the difference of two sets
 BITS = 2048
-#: rows of a cell that are compared at once
-ROWS = 64
+#: pairs of a cell that are compared at once
+PAIRS = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -261,8 +261,9 @@ def cell_pairs(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     bits = _as_matrix(cell.column("_parity").combine_chunks())
     left, right = (np.flatnonzero(cell.column(c).to_numpy()) for c in ("_left", "_right"))
     found = []
-    for start in range(0, len(left), ROWS):
-        x = left[start : start + ROWS]
+    step = max(1, PAIRS // max(1, len(right)))
+    for start in range(0, len(left), step):
+        x = left[start : start + step]
         n, m = sizes[x][:, None], sizes[right][None, :]
         fit = (labels[x][:, None] != labels[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         i, j = np.nonzero(fit)

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,6 +123,36 @@ def test_prefix_principle(a, out, new, percent):
     assert keys[0] & keys[1]
 
 
+def cell_rows(sets, cells):
+    """Rows of ``_cell_rows`` over the cells (x, y, left, right) of the ``sets``."""
+    rows = [(x, y, i, 100 + i, i in left, i in right) for x, y, left, right in cells for i in sorted(left | right)]
+    x, y, ids, labels, left, right = (list(c) for c in zip(*rows, strict=True))
+    bits = [jaccard.parities(np.array(sorted(sets[i]), dtype=np.uint64)) for i in ids]
+    return pa.RecordBatch.from_pydict({"_x": x, "_y": y, "_id": ids, "_label": labels, "_left": left, "_right": right, "_n": [len(sets[i]) for i in ids], "_parity": bits})
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_cells_lose_no_link(rows):
+    """Cells cut over any batches give each linked pair of a left and a right row, and pairs within the bounds only."""
+    r = random.Random(rows)
+    sets = []
+    for _ in range(8):
+        base = r.sample(range(1 << 60), 80)
+        sets += [set(base[r.randint(0, 8):]) | set(r.sample(range(1 << 60), r.randint(0, 8))) for _ in range(5)]
+    every = set(range(len(sets)))
+    cells = [(1, 1, every, every), (1, 2, set(range(20)), set(range(20, 40))), (2, 2, {3}, {3})]
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    for some in (cells, cells[:1], cells[1:]):
+        batch = cell_rows(sets, some)
+        found = set()
+        for out in jaccard._cell_rows(85)(iter([batch.slice(at, rows) for at in range(0, batch.num_rows, rows)])):
+            found |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+        wanted = {(max(i, j), min(i, j)) for _, _, left, right in some for i in left for j in right if i != j and linked(i, j)}
+        assert wanted <= found and all(a > b for a, b in found)
+        assert len(found) <= len(wanted) + 60
+    assert len({(i, j) for i in every for j in range(i) if linked(i, j)}) > 10
+
+
 @settings(max_examples=100, deadline=None, derandomize=True)
 @given(st.text(alphabet="aAbé \t\n\x0b\x85ß", max_size=40), st.integers(1, 5))
 def test_shingle_counts(text, k):
