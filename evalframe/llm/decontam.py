@@ -2,11 +2,11 @@
 
 1. TF-IDF vectors of passages over ``FEATURES`` hashed words; document
    frequencies are counted over every document.
-2. A randomised SVD of the passage matrix: Spark tasks multiply their rows
-   with a seeded test matrix, the small products are added up, and a few power
-   rounds give the leading right singular vectors. The basis is an index and is
-   fitted on a bounded sample of passages (``FIT_DOCUMENTS``) plus the
-   benchmark; retrieval covers every document.
+2. A randomised SVD of the passage matrix A: Spark tasks add up the products of
+   the words of every passage of every document, which gives A'A, a table of
+   ``FEATURES`` by ``FEATURES`` whatever the input. A few power rounds on it,
+   from a seeded test matrix and with the benchmark's own passages, give the
+   leading right singular vectors.
 3. Every window of every document is projected and compared by cosine with
    every benchmark item. Windows come in the lengths of the items, in steps of
    ``STEP`` words, so an item inside a document always has a window that
@@ -16,8 +16,10 @@
    last ``ANSWER_WORDS`` words, survives to ``MIN_ANSWER_PERCENT`` as well.
 
 Scale: the benchmark is a small reference set (its vectors travel with the
-task, and ``MAX_ITEMS`` bounds them); documents are only scanned, and all that
-leaves a task are counts, sums of fixed size and confirmed leaks.
+task, and ``MAX_ITEMS`` bounds them). The features of the words are written
+once, two bytes a word; documents are only scanned, and all that leaves a task
+are counts, sums of fixed size and confirmed leaks. The products of a passage
+grow with the square of its length, the middle length of the items.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from evalframe.llm.common import text_or_empty, written
 
 FEATURES = 1 << 12
 RANK, EXTRA, POWER_ROUNDS = 80, 16, 2
-FIT_DOCUMENTS = 4_000
-FIT_PARTS = 16
+#: tasks that add up passages: this many, and more where one would have more than PART_DOCUMENTS documents
+FIT_PARTS, PART_DOCUMENTS = 16, 1 << 18
 #: benchmark items that a task may hold as vectors; a larger benchmark has to be run in parts
 MAX_ITEMS = 100_000
 STEP = 8
@@ -44,8 +46,8 @@ MIN_COSINE = 0.62
 MIN_LCS_PERCENT = 70
 ANSWER_WORDS = 8
 MIN_ANSWER_PERCENT = 50
-#: documents that a task takes at a time: for counts and windows, and for the products of the fit
-DOCUMENTS, FIT_BATCH = 2048, 32
+#: documents that a task takes at a time for windows, items for the products of the fit, and passages for their words' products
+DOCUMENTS, FIT_BATCH, PASSAGES = 2048, 32, 4096
 #: words whose vectors one task holds at a time, with the padding between texts (a longer text is held alone)
 WORDS = 1 << 16
 #: trimmed from both ends of a word
@@ -113,25 +115,44 @@ def is_leak(item: list[str], passage: list[str]) -> tuple[bool, float]:
     return ok, share
 
 
-def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each hashed word, over every row of ``texts`` (_text)."""
+def word_slots(texts: DataFrame) -> DataFrame:
+    """The features of the words of every row of ``texts`` (_text), in order, as 16-bit numbers: _words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(FEATURES, dtype=np.int64), 0
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, DOCUMENTS):
             codes, offsets, names = _flat_words(batch.column("_text"))
-            if len(codes):
-                slot = _slots(names)[codes]
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                for a in range(0, batch.num_rows, 1024):  # a table of texts by features at a time
-                    lo, hi = offsets[a], offsets[min(a + 1024, batch.num_rows)]
-                    holds = np.zeros((1024, FEATURES), dtype=bool)
-                    holds[owner[lo:hi] - a, slot[lo:hi]] = True
-                    df += holds.sum(axis=0)
+            data = (_slots(names)[codes] if len(codes) else codes).astype(np.uint16)
+            words = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(2 * offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary())], names=["_words"])
+
+    return written(texts.select("_text").mapInArrow(code, "_words binary"), "word-slots")
+
+
+def _stored_slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(feature of every word, offsets of the texts) of a batch of ``word_slots``."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return data.view(np.uint16), (ends - ends[0]) // 2
+
+
+def document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each feature, over every row of ``word_slots``, and the number of documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(FEATURES, dtype=np.int64), 0
+        for batch in batches:
+            slot, offsets = _stored_slots(batch.column("_words"))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            for a in range(0, batch.num_rows, 1024):  # a table of texts by features at a time
+                lo, hi = offsets[a], offsets[min(a + 1024, batch.num_rows)]
+                holds = np.zeros((1024, FEATURES), dtype=bool)
+                holds[owner[lo:hi] - a, slot[lo:hi]] = True
+                df += holds.sum(axis=0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(FEATURES), -1)), pa.array(np.append(df, n))], names=["_slot", "_n"])
 
-    rows = texts.mapInArrow(count, "_slot bigint, _n bigint").groupBy("_slot").agg(F.sum("_n").alias("_n")).toPandas()
+    rows = words.mapInArrow(count, "_slot bigint, _n bigint").groupBy("_slot").agg(F.sum("_n").alias("_n")).toPandas()
     by = dict(zip(rows["_slot"], rows["_n"], strict=True))
     return np.array([by.get(i, 0) for i in range(FEATURES)], dtype=np.float64), int(by.get(-1, 0))
 
@@ -166,23 +187,93 @@ def _times(row: np.ndarray, slot: np.ndarray, value: np.ndarray, v: np.ndarray)
     return out
 
 
-def fit_basis(sample: DataFrame, items: list[str], idf: np.ndarray, length: int, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors (FEATURES x RANK), each divided by its singular value: latent axes of unit spread."""
+def _sorted_passages(slot: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """A row for each passage of ``length`` words with its features in order; a shorter passage ends in FEATURES."""
+    sizes = np.diff(offsets)
+    first = np.concatenate(([0], np.cumsum(-(-sizes // length))))
+    at = np.arange(len(slot)) - np.repeat(offsets[:-1], sizes)
+    table = np.full((first[-1], length), FEATURES, dtype=np.uint16)
+    table[np.repeat(first[:-1], sizes) + at // length, at % length] = slot
+    table.sort(axis=1)
+    return table
+
+
+def _add_products(table: np.ndarray, squares: np.ndarray, total: np.ndarray) -> None:
+    """Add A'A without the factors idf to ``total`` (flat, FEATURES + 1 a row) over the upper triangle, its diagonal halved;
+    ``squares`` are the squared idf, with 0 for the end of a short passage."""
+    norm = squares[table].sum(axis=1)
+    rows = np.arange(len(table))
+    for d in range(1, table.shape[1]):  # a feature found n times counts n * n
+        part = table[rows]
+        same = (part[:, d:] == part[:, :-d]) & (part[:, d:] < FEATURES)
+        some = same.any(axis=1)
+        if not some.any():
+            break
+        norm[rows] += 2 * np.where(same, squares[part[:, d:]], 0).sum(axis=1)
+        rows = rows[some]
+    share = 1 / np.maximum(norm, 1e-24)
+    words = np.ascontiguousarray(table.T).astype(np.int64)
+    starts = words * (FEATURES + 1)
+    np.add.at(total, (starts + words).ravel(), np.tile(share / 2, len(words)))
+    for d in range(1, len(words)):
+        np.add.at(total, (starts[:-d] + words[d:]).ravel(), np.tile(share, len(words) - d))
+
+
+def passage_products(words: DataFrame, idf: np.ndarray, length: int, documents: int) -> np.ndarray:
+    """A'A of the TF-IDF rows (unit length) of all passages of ``length`` words of ``word_slots``."""
+    # frequent features side by side: their sums are near in memory
+    order = np.argsort(idf, kind="stable")
+    place = np.empty(FEATURES + 1, dtype=np.uint16)
+    place[order], place[FEATURES] = np.arange(FEATURES), FEATURES
+    squares = np.append(idf[order] ** 2, 0.0)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FEATURES + 1) ** 2)
+        for batch in batches:
+            slot, offsets = _stored_slots(batch.column("_words"))
+            table = _sorted_passages(place[slot], offsets, length)
+            for a in range(0, len(table), PASSAGES):
+                _add_products(table[a : a + PASSAGES], squares, total)
+        total = total.reshape(FEATURES + 1, -1)[:FEATURES, :FEATURES]
+        rows = [i for i in range(FEATURES) if total[i, i:].any()]
+        for a in range(0, len(rows), 512):
+            part = rows[a : a + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([total[i, i:].astype(np.float32).tobytes() for i in part], pa.binary())], names=["_slot", "_sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column("_slot").to_pylist(), batch.column("_sums"), strict=True):
+                row = np.frombuffer(row.as_buffer(), dtype=np.float32)
+                if i in sums:
+                    sums[i] += row
+                else:
+                    sums[i] = row.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["_slot", "_sums"])
+
+    made = "_slot int, _sums binary"
+    parts = max(FIT_PARTS, -(-documents // PART_DOCUMENTS))
+    out = np.zeros((FEATURES, FEATURES), dtype=np.float32)
+    for r in words.coalesce(parts).mapInArrow(add, made).repartition(FIT_PARTS, "_slot").mapInArrow(merge, made).collect():  # half a table, whatever the input
+        out[r["_slot"], r["_slot"] :] = np.frombuffer(r["_sums"], dtype=np.float32)
+    out += out.T
+    ranked = idf[order].astype(np.float32)
+    out *= ranked
+    out *= ranked[:, None]
+    return out[np.ix_(place[:FEATURES], place[:FEATURES])]
+
+
+def fit_basis(texts: DataFrame, items: list[str], idf: np.ndarray, length: int, seed: int = 5, documents: int = 0) -> np.ndarray:
+    """Leading right singular vectors (FEATURES x RANK) of all passages of ``texts`` (_text, or ``word_slots`` of it) and of
+    the items, each divided by its singular value: latent axes of unit spread."""
     width = RANK + EXTRA
-    parts = written(sample.select("_text").repartition(FIT_PARTS), "passages")
+    words = texts if "_words" in texts.columns else word_slots(texts)
+    products = passage_products(words, idf, length, documents)
     v = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, width)))[0]
     scale = np.ones(width)
     for _ in range(POWER_ROUNDS + 1):
-
-        def multiply(batches: Iterator[pa.RecordBatch], v: np.ndarray = v) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(v)
-            for batch in _slices(batches, FIT_BATCH):
-                total += _times(*_passages(batch.column("_text"), length, idf), v)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["_sum"])
-
         y = sum(_times(*_passages(pa.array(items[a : a + FIT_BATCH], pa.string()), length, idf), v) for a in range(0, len(items), FIT_BATCH))
-        for r in parts.mapInArrow(multiply, "_sum binary").collect():  # at most a few parts of fixed size
-            y += np.frombuffer(r["_sum"], dtype=np.float32).reshape(y.shape)
+        y = y + products @ v.astype(np.float32)
         v, upper = np.linalg.qr(y)
         u, scale, _ = np.linalg.svd(upper)
         v = v @ u
@@ -205,13 +296,12 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     out = [F.col("_id").alias(doc_id), F.col("_item").alias(item_id if item_id != doc_id else "item"), F.col("_cosine").alias("cosine"), F.col("_share").alias("lcs_share")]
     if not items:
         return df.sparkSession.createDataFrame([], made).select(*out)
-    df_counts, n = document_frequency(src.select("_text"))
+    words = word_slots(src)
+    df_counts, n = document_frequency(words)
     idf = np.log((n + 1.0) / (df_counts + 1.0)) + 1.0
     lengths = [len(w) for _, w in items]
     typical = max(1, int(np.median(lengths)))
-    share = min(1.0, FIT_DOCUMENTS / max(1, n))
-    sample = src.where(F.pmod(F.xxhash64("_text", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    basis = fit_basis(sample, [" ".join(w) for _, w in items], idf, typical)
+    basis = fit_basis(words, [" ".join(w) for _, w in items], idf, typical, documents=n)
     weights = (idf[:, None] * basis).astype(np.float32)
 
     vectors = np.array([weights[_slots(pa.array(w))].sum(axis=0) for _, w in items])
@@ -257,7 +347,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
         at = np.arange(len(part)) + np.repeat(first_block[:-1] * STEP - (offsets[begin:end] - base), sizes)
         padded = np.full(first_block[-1] * STEP, FEATURES, dtype=np.int64)
         padded[at] = slot[part]
-        sums = table[padded].reshape(-1, STEP, RANK).sum(axis=1)
+        grid = padded.reshape(-1, STEP)
+        sums = table[grid[:, 0]]
+        for j in range(1, STEP):
+            sums += table[grid[:, j]]
         window, out = sums.copy(), []
         for n_steps in range(1, longest + 1):
             if n_steps > 1:
@@ -268,7 +361,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
                 continue
             norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
             near = (window @ vectors[who].T.astype(np.float32)) / norm[:, None]
-            for w, i in zip(*np.nonzero(near >= MIN_COSINE), strict=True):
+            for w, i in zip(*np.divmod(np.flatnonzero(near >= MIN_COSINE), len(who)), strict=True):
                 row = int(np.searchsorted(first_block, w, side="right")) - 1
                 a = int(w - first_block[row]) * STEP
                 out.append((begin + row, int(who[i]), a, a + n_steps * STEP, float(near[w, i])))

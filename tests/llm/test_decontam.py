@@ -118,3 +118,33 @@ def test_basis_finds_leading_subspace(spark, monkeypatch):
 @pytest.mark.parametrize("text", [None, "", "...", "One, TWO; three"])
 def test_words(text):
     assert decontam.words_of(text) == ([] if not text or text == "..." else ["one", "two", "three"])
+
+
+def test_basis_is_fitted_on_every_document(spark, monkeypatch):
+    """The whole table goes into the basis, not a sample of it."""
+    n, seen, fit = 9_000, [], decontam.fit_basis
+
+    def spy(texts, *args, **options):
+        seen.append(texts.count())
+        return fit(texts, *args, **options)
+
+    monkeypatch.setattr(decontam, "fit_basis", spy)
+    d = spark.range(n, numPartitions=2).selectExpr("id AS doc_id", "concat('some words of document number ', id) AS text")
+    b = spark.createDataFrame([(7, "some words of document number 77")], "item_id bigint, text string")
+    assert 77 in {r["doc_id"] for r in decontam.find_leaks(d, b).collect()}
+    assert seen == [n]
+
+
+def test_passage_products(spark):
+    """A'A of all passages: repeated words, short and empty texts, several partitions."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefghijkl") * r.randint(1, 3) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["same " * 17, None, "", "x"]
+    idf = 1 + np.random.default_rng(2).random(decontam.FEATURES)
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    got = decontam.passage_products(decontam.word_slots(df), idf, 7, len(texts))
+    import pyarrow as pa
+
+    row, slot, value = decontam._passages(pa.array(texts), 7, idf)
+    a = np.zeros((row.max() + 1, decontam.FEATURES))
+    a[row, slot] = value
+    assert np.abs(got - a.T @ a).max() < 1e-4
