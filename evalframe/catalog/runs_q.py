@@ -99,14 +99,16 @@ FROM k JOIN part p ON k.p_partkey = p.p_partkey""",
 def q_run_table(spark, sf_dir):
     """Summary rows (schema version 2) written to the runs table partitioned by task and
     backend, then located again from their parameters."""
-    p = _run_params(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    # a small file of many rows is one or two tasks; keys and paths cost far more than the rows weigh
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = _run_params(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").repartition(tasks)
     rows = p.select(
         *summary_row("task", "backend", "model", "task_config", "max_tokens", "temperature", "limit", None, F.col("p_size") * 10),
         evaluation_name("task", "grader_backend", "grader_model").alias("evaluation_name"),
     )
     path = scratch_path(spark, "runs")
     write_runs(rows, path)
-    wanted = _run_params(spark, sf_dir).select(
+    wanted = _run_params(spark, sf_dir).repartition(tasks).select(
         F.col("task").alias("task_name"),
         "backend",
         "model",

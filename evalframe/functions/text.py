@@ -131,12 +131,10 @@ def sanitize_component(c) -> Column:
     → ``-``; collapse ``-``; strip ``-`` and ``.`` from the ends; empty →
     ``unknown``.
     """
-    s = py_strip(_col(c).cast("string"))
-    s = F.replace(s, F.lit("/"), F.lit("-"))
-    s = F.regexp_replace(s, "[^A-Za-z0-9._-]+", "-")
-    s = F.regexp_replace(s, "-+", "-")
-    s = F.trim(s, F.lit("-."))
-    return F.coalesce(_nonempty(s), F.lit("unknown"))
+    # one pass for all runs (they cover the space at the ends too); each step reads its operand once
+    s = F.regexp_replace(_col(c).cast("string"), "[^A-Za-z0-9._]+", "-")
+    s = F.regexp_replace(F.trim(s, F.lit("-.")), "^$", "unknown")
+    return F.coalesce(s, F.lit("unknown"))
 
 
 def capitalize(c) -> Column:

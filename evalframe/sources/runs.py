@@ -48,15 +48,14 @@ def run_key(task_config=None, max_tokens=None, temperature=None, limit=None, *,
     0.0 and ``all``. ``temperature_text`` gives the temperature already rendered
     (Python's float repr, e.g. ``1e-05``) when keys are built on the driver.
     """
-    pieces = []
+    entries = None
     if task_config is not None:
         kept = F.map_filter(
             _c(task_config),
             lambda k, v: v.isNotNull() & (v != "") & ~k.endswith(SKIPPED_KEY_SUFFIX),
         )
         entries = F.array_sort(F.map_entries(kept))
-        rendered = F.transform(entries, lambda e: F.concat(sanitize_component(e["key"]), F.lit("-"), sanitize_component(e["value"])))
-        pieces.append(F.array_join(F.when(F.size(rendered) > 0, rendered), "__"))
+        entries = F.transform(entries, lambda e: F.concat(sanitize_component(e["key"]), F.lit("-"), sanitize_component(e["value"])))
     mt = F.coalesce(_c(max_tokens).cast("string"), F.lit(str(DEFAULT_MAX_TOKENS))) if max_tokens is not None else F.lit(str(DEFAULT_MAX_TOKENS))
     if temperature_text is not None:
         tp = F.lit(temperature_text)
@@ -65,12 +64,12 @@ def run_key(task_config=None, max_tokens=None, temperature=None, limit=None, *,
     else:
         tp = F.lit(str(DEFAULT_TEMPERATURE))
     lm = F.coalesce(_c(limit).cast("string"), F.lit(ALL_SAMPLES)) if limit is not None else F.lit(ALL_SAMPLES)
-    pieces += [
+    pieces = F.array(
         F.concat(F.lit("max_tokens-"), sanitize_component(mt)),
         F.concat(F.lit("temperature-"), sanitize_component(tp)),
         F.concat(F.lit("limit-"), sanitize_component(lm)),
-    ]
-    return F.concat_ws("__", *pieces)
+    )
+    return F.array_join(pieces if entries is None else F.concat(F.coalesce(entries, F.array().cast("array<string>")), pieces), "__")
 
 
 def result_path(task, backend, model, key) -> Column:

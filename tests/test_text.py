@@ -159,3 +159,12 @@ def test_whitespace_functions_match_python(spark, texts):
     assert [r.s for r in rows] == [t.strip() for t in texts]
     assert [r.c for r in rows] == [" ".join(t.split()) for t in texts]
     assert [r.n for r in rows] == [len(t.split()) for t in texts]
+
+
+def test_sanitize_component_reads_its_operand_once(spark):
+    """Keys and paths nest it; an operand read twice at each step costs a power of two."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("x"))
+    assert str(df.select(sanitize_component("x").alias("y"))._jdf.queryExecution().optimizedPlan()).count("regexp_replace") == 2
+    odd = ["  .a/ b c--d. ", " ", "/-.", "", None, "a\nb", "\U0001f600x"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", sanitize_component("x").alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == ["a-b-c-d", "unknown", "unknown", "unknown", "unknown", "a-b", "x"]
