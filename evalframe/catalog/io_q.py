@@ -123,7 +123,16 @@ def q_subset_scan(spark, sf_dir):
 
 def _write_arrays(df, path, bucket_col):
     """One JSON array per bucket, one file per bucket (bounded arrays)."""
-    arrays = df.groupBy(bucket_col).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != bucket_col])))).alias("value"))
+    _write_sorted_arrays(df, path, bucket_col, [])
+
+
+def _write_sorted_arrays(df, path, bucket_col, order):
+    """``_write_arrays`` with the elements of an array by the columns ``order`` (not written), then by their own."""
+    kept = [c for c in df.columns if c != bucket_col and c not in order]
+    items = F.array_sort(F.collect_list(F.struct(*order, *kept)))
+    if order:
+        items = F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in kept]))
+    arrays = df.groupBy(bucket_col).agg(F.to_json(items).alias("value"))
     arrays.write.mode("overwrite").partitionBy(bucket_col).text(path)
 
 
@@ -159,15 +168,21 @@ def q_json_array_scan(spark, sf_dir):
     return rows.select("item_id", "question", "answer", "clue_interval", "source_split")
 
 
+#: bytes of text in one JSON array of a split, about
+ARRAY_BYTES = 8 << 20
+
+
 @query(
     "split_union",
     oracle="SELECT doc_id, lang, text, CASE WHEN lang = 'en' THEN 'test_day' ELSE 'test_week' END AS source_split FROM documents",
 )
 def q_split_union(spark, sf_dir):
     """English documents as the day split and all others as the week split (JSON arrays of
-    at most 50 documents per file); the "test" split reads both and tags every row."""
+    about ARRAY_BYTES of text, one per file); the "test" split reads both and tags every row."""
     root = scratch_path(spark, "splits")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.floor(F.col("doc_id") / 50).alias("bucket"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // ARRAY_BYTES + 1)))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     _write_arrays(docs.where(english), os.path.join(root, "day"), "bucket")
     _write_arrays(docs.where(~english), os.path.join(root, "week"), "bucket")
@@ -319,12 +334,15 @@ SELECT doc_id, source_split, sample_idx FROM n WHERE sample_idx < (SELECT count(
 )
 def q_split_limit(spark, sf_dir):
     """The first half of the rows of a split that spans two folders of JSON-array files:
-    positions run over (list place, path, place in the file)."""
+    positions run over (list place, path, place in the file). A file holds the buckets of 50
+    ids whose numbers begin alike, in the order of their text, so that there are few files."""
     root = scratch_path(spark, "split-limit")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).alias("bucket"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).cast("string").alias("place"))
+    digits = docs.agg(F.max(F.length("place")).alias("n")).first()["n"] or 1
+    docs = docs.withColumn("bucket", F.substring("place", 1, max(1, digits - 2)))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    _write_arrays(docs.where(english), os.path.join(root, "day"), "bucket")
-    _write_arrays(docs.where(~english), os.path.join(root, "week"), "bucket")
+    _write_sorted_arrays(docs.where(english), os.path.join(root, "day"), "bucket", ["place"])
+    _write_sorted_arrays(docs.where(~english), os.path.join(root, "week"), "bucket", ["place"])
     files = {"test": [("day", "test_day"), ("week", "test_week")]}
     rows = read_splits(spark, root, "test", "doc_id bigint, lang string", files, ordered=True)
     half = docs.select((F.floor(F.count(F.lit(1)) / 2)).alias("n")).scalar()

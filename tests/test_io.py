@@ -143,3 +143,24 @@ def test_ordered_ingest_parquet_row_groups(spark, tmp_dir):
         assert df.where("doc_id <> sample_idx").count() == 0 and df.count() == docs.count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _documents(spark, tmp_path, n):
+    rows = spark.range(n).selectExpr("id AS doc_id", "element_at(array('en', 'fr', 'de', 'es', null), int(id % 5) + 1) AS lang", "concat('text ', id) AS text")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(7).selectExpr("id AS item_id", "concat('item ', id) AS text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_splits_have_few_files(spark, tmp_path):
+    """Files of a split grow with its bytes, not by one for every 50 ids; positions keep the order of the buckets."""
+    from evalframe.catalog import QUERIES
+
+    sf = _documents(spark, tmp_path, 6000)
+    rows = QUERIES["split_union"](spark, sf)
+    assert len(rows.inputFiles()) <= 2 and rows.distinct().count() == 6000
+    first = QUERIES["split_limit"](spark, sf)
+    got = [r.doc_id for r in first.orderBy("sample_idx").collect()]
+    key = lambda i: (i % 5 != 0, str(i // 50), i)
+    assert got == sorted(range(6000), key=key)[:3000]
+    assert len(first.inputFiles()) < 60
