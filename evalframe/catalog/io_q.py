@@ -109,10 +109,10 @@ def q_subset_scan(spark, sf_dir):
     root = scratch_path(spark, "sub sets")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     for lang, name in _SUBSET_FILES.items():
-        part = docs.where(F.col("lang") == lang).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
+        part = docs.where(F.col("lang") == lang).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         write_jsonl(part, os.path.join(root, name))
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), "text")
-    write_jsonl(bench.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id"), os.path.join(root, _CONSENSUS_FILE))
+    write_jsonl(bench.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), os.path.join(root, _CONSENSUS_FILE))
     schema = "doc_id bigint, lang string, text string"
     out = None
     for subset in ("standard", "hard", "consensus"):

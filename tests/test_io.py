@@ -164,3 +164,24 @@ def test_splits_have_few_files(spark, tmp_path):
     key = lambda i: (i % 5 != 0, str(i // 50), i)
     assert got == sorted(range(6000), key=key)[:3000]
     assert len(first.inputFiles()) < 60
+
+
+def test_subset_files_are_written_by_as_many_tasks_as_the_session_has(spark, tmp_path, monkeypatch):
+    from evalframe.catalog import QUERIES, io_q
+
+    sf, parts, write = _documents(spark, tmp_path, 4000), [], io_q.write_jsonl
+
+    def spy(df, *args):
+        parts.append(df.rdd.getNumPartitions())
+        write(df, *args)
+
+    monkeypatch.setattr(io_q, "write_jsonl", spy)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert QUERIES["subset_scan"](spark, sf).count() == 2 * 800 + 800 + 7
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert min(parts[:4]) == 6
