@@ -21,6 +21,9 @@ from evalframe.session import scratch_path, shared_root
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
+#: Spark's setting that removes a query's shuffle files when it ends; else they wait for the driver to collect garbage
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: rows that one window group of ``with_rank`` holds on average, at most
 ROWS_PER_RANGE = 20_000
 
@@ -49,10 +52,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as zstd Parquet under the shared folder and read back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` written once as zstd Parquet under the shared folder and read back; the write leaves no shuffle files."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def row_hash(df: DataFrame, seed: int) -> Column:

@@ -101,12 +101,12 @@ def _near_lines(texts: DataFrame, least: int, joins: bool) -> DataFrame:
     head = rest.groupBy("_key", "_at").agg(F.min(F.struct("_first", "_line")).alias("_head"), F.count(F.lit(1)).alias("_times")).where("_times > 1")
     head = written(head.drop("_times"), "heads")
     replaced = rest.join(head, ["_key", "_at"]).where("_line <> _head._line").select("_line", F.col("_head._line").alias("_by"))
-    # one word more: a line that is another's variant
+    # one word more: a line that is another's variant; variants meet lines once, without their place
     short = full.where(F.col("_n") >= least).select("_key", F.col("_line").alias("_short"), F.col("_first").alias("_sf"))
-    made = variants.select("_line", "_first", "_key")
+    made = variants.select("_line", "_key")
     if joins:
-        made = made.unionByName(variants.where("_joined is not null").select("_line", "_first", F.col("_joined").alias("_key")))
-    hits = made.join(short, "_key")
+        made = made.unionByName(variants.where("_joined is not null").select("_line", F.col("_joined").alias("_key")))
+    hits = written(made.join(short, "_key").drop("_key").join(texts.select("_line", "_first"), "_line"), "hits")
     longer = hits.where("_sf < _first").select("_line", F.col("_short").alias("_by"))
     shorter = hits.where("_first < _sf").groupBy("_short").agg(F.min(F.struct("_first", "_line"))["_line"].alias("_by")).select(F.col("_short").alias("_line"), "_by")
     pairs = replaced.unionByName(longer).unionByName(shorter).distinct()

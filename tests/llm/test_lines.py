@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from evalframe.llm import lines
+from evalframe.llm.common import SHUFFLE_CLEANUP, written
 from evalframe.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,3 +156,37 @@ def test_lines_one_character_apart(spark):
     got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(df, characters=True).collect()}
     assert got == brute_characters(rows)
     assert got[2] == "de." and got[3] == "" and got[4] == "contakt our ofice"
+
+
+def test_variants_meet_lines_once(spark, monkeypatch):
+    """Lines one word longer and one word shorter come from one written join, which the last step only reads."""
+    plans, keep = {}, lines.written
+
+    def spy(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(lines, "written", spy)
+    base = "one two three four five six seven eight nine ten"
+    rows = [(1, base), (2, base + " eleven"), (3, "a b c d e f g h i j k"), (4, "a b c d e f g h i j"), (5, base.replace("four five", "fourfive"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df, characters=True).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
+    assert len(plans["hits"]) == 2 and "isnotnull(_joined" in plans["hits"][0]
+    assert "isnotnull(_joined" not in plans["near"][0]
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The shuffle files of a write go when it ends; the session's own setting stays as it was."""
+    roots = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for root in roots for f in Path(root).rglob("shuffle_*")}
+    old, set_before = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    df = spark.range(5_000, numPartitions=3).groupBy((F.col("id") % 1000).alias("k")).count()
+    again = written(df, "counts")
+    for _ in range(100):
+        if not (left := files() - old):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == set_before
+    assert again.count() == df.count() == 1000
