@@ -370,6 +370,14 @@ def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text:
     mask = F.expr("shiftleft(1, _band)")
     left = left.groupBy("_hash", "_run").agg(F.bit_or(mask).alias("_bands"), F.bit_or(F.when(F.col("_alone"), mask).otherwise(0)).alias("_open"))
 
+    # runs and bands that are repeated from end to end, written once for each text: no later step holds the files that they were sought with
+    band = _band_size(width)
+    at = back - F.col("_band") * band
+    pairs = whole.select("_hash", first.alias("_a"), (first + more).alias("_b")).unionByName(
+        whole_bands.select("_hash", (first + F.greatest(F.lit(0), at - (band - 1))).alias("_a"), (first + F.least(at, more)).alias("_b"))
+    )
+    pairs = written(pairs.groupBy("_hash").agg(F.collect_list(F.struct("_a", "_b")).alias("_pairs")), "pairs")
+
     # digit 5: single windows
     windows = members.join(left, ["_hash", "_run"]).select("_hash", "_run", "_span", "_bands", "_open").mapInArrow(
         _window_rows(width), "_lo bigint, _hi bigint, _hash binary, _at int, _alone boolean"
@@ -378,14 +386,8 @@ def cut_repeats(df: DataFrame, text: str = "text", width: int = 200, with_text:
     single = windows.where("_alone").join(_several(windows, ["_lo", "_hi"], ["_hash", "_at"]), ["_lo", "_hi"], "left_semi")
 
     # repeated windows as 64-bit blocks of a bit map: a run or band is at most a few blocks
-    band = _band_size(width)
-    at = back - F.col("_band") * band
-    pairs = whole.select("_hash", first.alias("_a"), (first + more).alias("_b")).unionByName(
-        whole_bands.select("_hash", (first + F.greatest(F.lit(0), at - (band - 1))).alias("_a"), (first + F.least(at, more)).alias("_b"))
-    )
     bits = single.groupBy("_hash", F.shiftright("_at", 6).alias("_block")).agg(F.bit_or(F.expr("shiftleft(1L, _at & 63)")).alias("_bits"))
-    bits = bits.groupBy("_hash").agg(F.collect_list(F.struct("_block", "_bits")).alias("_blocks"))
-    pairs = pairs.groupBy("_hash").agg(F.collect_list(F.struct("_a", "_b")).alias("_pairs"))
+    bits = written(bits.groupBy("_hash").agg(F.collect_list(F.struct("_block", "_bits")).alias("_blocks")), "bits")
     listed = pairs.join(bits, "_hash", "full")
     once = copies.where("_copies = 1").select("_hash", "_row")
     made = "_hash binary, _removed bigint, _spans array<struct<start:bigint,stop:bigint>>, _sha string" + ", _kept binary" * with_text

@@ -99,3 +99,13 @@ def test_query(spark):
     want = {r["doc_id"]: w for r, w in zip(docs, brute([r["text"] for r in docs]))}
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op6_repeated_windows"](spark, sf).collect()}
     assert got == want
+
+
+def test_last_step_reads_only_what_is_repeated(spark):
+    """Runs, bands and windows are settled and written before texts are cut, so their files aren't held together."""
+    texts = fixture(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string")
+    cut = repeats.cut_repeats(df)
+    compare(cut.collect(), texts)
+    read = {f.rsplit("/", 2)[1].rsplit("-", 1)[0] for f in cut.inputFiles()}
+    assert {"pairs", "bits"} <= read and not read & {"spans", "members", "bands", "classes", "windows"}
